@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op4_simhash_golay": "simhash",
     "op10_quality": "quality",
 }
 
