@@ -73,9 +73,10 @@ def word_hash(word: bytes) -> int:
 def mix(*parts: np.ndarray) -> np.ndarray:
     """Combines 64-bit hashes, in order."""
     out = np.uint64(0x9E3779B97F4A7C15)
-    for p in parts:
-        out = (out ^ p) * np.uint64(0xFF51AFD7ED558CCD)
-        out = out ^ (out >> np.uint64(32))
+    with np.errstate(over="ignore"):  # scalars wrap as arrays do
+        for p in parts:
+            out = (out ^ p) * np.uint64(0xFF51AFD7ED558CCD)
+            out = out ^ (out >> np.uint64(32))
     return out
 
 
