@@ -8,6 +8,7 @@ _MODULES = {
     "op4_simhash_golay": "simhash",
     "op5_wavelet_tokens": "tokens",
     "op8_decontamination": "decontam",
+    "op9_mixing": "mixing",
     "op10_quality": "quality",
 }
 
