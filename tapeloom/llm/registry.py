@@ -7,6 +7,7 @@ from importlib import import_module
 _MODULES = {
     "op4_simhash_golay": "simhash",
     "op5_wavelet_tokens": "tokens",
+    "op7_secrets": "secrets",
     "op8_decontamination": "decontam",
     "op9_mixing": "mixing",
     "op10_quality": "quality",
