@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op2_line_winnowing": "linededup",
     "op4_simhash_golay": "simhash",
     "op5_wavelet_tokens": "tokens",
     "op7_secrets": "secrets",
