@@ -8,6 +8,7 @@ _MODULES = {
     "op2_line_winnowing": "linededup",
     "op4_simhash_golay": "simhash",
     "op5_wavelet_tokens": "tokens",
+    "op6_ppm": "ppm",
     "op7_secrets": "secrets",
     "op8_decontamination": "decontam",
     "op9_mixing": "mixing",
