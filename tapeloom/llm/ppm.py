@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from tapeloom.llm.common import WordCache, fresh_path, held_out, stored, text_bytes, word_hash
 
-ORDER = 4
+ORDER = 5
 END = 0xFF
-PART_ROWS = 8_000_000
-CHUNK_BYTES, FLUSH_ROWS = 4 << 20, 3_000_000
+PART_ROWS = 5_000_000
+CHUNK_BYTES, FLUSH_ROWS = 4 << 20, 2_000_000
+MOST_CHUNK = 64 << 20
 END_WORD = word_hash(b"\xff")  # no word of a UTF-8 text
 GRAMS, WORDS = 0, 1
 
@@ -111,20 +112,21 @@ class Model:
         top = self.levels[order]
         at, _ = find(top.contexts, top.grams >> np.uint64(8))
         self.cost = np.log10(top.count / (top.seen[at] + top.kinds[at]))
-        self.bits = max(10, int(len(top.grams) * 3).bit_length())
-        self.slot_key = np.full(1 << self.bits, np.iinfo(np.uint64).max, np.uint64)
-        self.slot_cost = np.zeros(1 << self.bits)
-        slot = self._slot(top.grams)
-        self.slot_key[slot], self.slot_cost[slot] = top.grams, self.cost
+        self.bits = max(10, int(len(top.grams) * 1.5).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.slots[self._slot(top.grams)] = np.arange(len(top.grams), dtype=np.int32)
 
     def _slot(self, runs: np.ndarray) -> np.ndarray:
         return ((runs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def log10(self, runs: np.ndarray) -> np.ndarray:
         """Log10 probability of the last byte of each run after the others."""
-        slot = self._slot(runs)
-        out = self.slot_cost[slot]
-        miss = np.flatnonzero(self.slot_key[slot] != runs)
+        top = self.levels[self.order]
+        if not len(top.grams):
+            return self._slow(runs)
+        at = self.slots[self._slot(runs)]
+        out = self.cost[at]
+        miss = np.flatnonzero((top.grams[at] != runs) | (at < 0))
         if len(miss):
             rare, back = np.unique(runs[miss], return_inverse=True)
             out[miss] = self._slow(rare)[back]
@@ -156,14 +158,14 @@ class Model:
 
 
 # -- training -------------------------------------------------------------------------------------------------
-def _chunks(batches, columns: tuple[str, ...]):
-    """Lists of column values, of about CHUNK_BYTES of text each."""
+def _chunks(batches, columns: tuple[str, ...], chunk_bytes: int = CHUNK_BYTES):
+    """Lists of column values, of about `chunk_bytes` of text each, or one longer text."""
     held, size = [], 0
     for b in batches:
         for row in zip(*(b.column(c).to_pylist() for c in columns)):
             held.append(row)
             size += len(row[0])
-            if size >= CHUNK_BYTES:
+            if size >= chunk_bytes:
                 yield list(zip(*held))
                 held, size = [], 0
     if held:
@@ -268,7 +270,9 @@ def score_documents(docs: DataFrame, trained: Trained) -> DataFrame:
 
     def score(batches):
         cache = WordCache(word_hash)
-        for bodies, ids in _chunks(batches, ("body", "doc_id")):
+        # Parts are loaded once a chunk, so there is more in a chunk where there are more parts.
+        size = min(MOST_CHUNK, CHUNK_BYTES * (gram_parts + word_parts - 1))
+        for bodies, ids in _chunks(batches, ("body", "doc_id"), size):
             runs, starts = byte_runs(bodies, order)
             cost = np.zeros(len(runs))
             place = (runs >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.int64) % gram_parts
