@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op1_permutation_index": "pivots",
     "op2_line_winnowing": "linededup",
     "op4_simhash_golay": "simhash",
     "op5_wavelet_tokens": "tokens",
