@@ -7,6 +7,7 @@ from importlib import import_module
 _MODULES = {
     "op1_permutation_index": "pivots",
     "op2_line_winnowing": "linededup",
+    "op3_toxicity": "toxicity",
     "op4_simhash_golay": "simhash",
     "op5_wavelet_tokens": "tokens",
     "op6_ppm": "ppm",
