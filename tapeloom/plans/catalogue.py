@@ -1,11 +1,15 @@
-"""Every named query and the SQL it is held against."""
+"""Every named query over the provided tables, and the SQL each is held against."""
 
 from __future__ import annotations
 
+from tapeloom.plans import market, operations, research
+
+_PARTS = (market, research, operations)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for p in _PARTS for k, v in p.ORACLE_SQL.items()}
