@@ -33,7 +33,8 @@ def excess_kurtosis(x: Column) -> Column:
 def pearson(x: Column, y: Column) -> Column:
     """Correlation; 0 for fewer than three pairs or where a side does not vary."""
     both = F.count(F.when(x.isNotNull() & y.isNotNull(), 1))
-    return F.when((both >= 3) & (F.var_pop(x) > 0) & (F.var_pop(y) > 0), F.corr(x, y)).otherwise(0.0)
+    scale = F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+    return F.when(both >= 3, F.coalesce(F.covar_pop(x, y) / scale, F.lit(0.0))).otherwise(0.0)
 
 
 def hit_rate(x: Column, y: Column) -> Column:

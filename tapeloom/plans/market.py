@@ -43,6 +43,8 @@ ofi2 AS (SELECT *, CAST(sum(ofi_step) OVER (PARTITION BY symbol ORDER BY arrival
 
 
 def tape_sql(parts: str, select: str) -> str:
+    """The tape's WITH clause, further entries (with or without a leading comma) and a query."""
+    parts = parts.strip().lstrip(",")
     return f"WITH {TAPE_SQL}{',' if parts else ''}{parts}\n{select}"
 
 
@@ -236,7 +238,7 @@ ORACLE_SQL = {
     "event_type_counts": tape_sql("", "SELECT venue, event_type, count(*) n, CAST(sum(qty) AS BIGINT) total_qty FROM ev GROUP BY ALL"),
     "store_stats": tape_sql("", f"SELECT {_STATS} FROM ev"),
     "ts_forward_fill": tape_sql("", "SELECT arrival, venue, coalesce(last_value(nullif(CASE WHEN arrival % 3 = 0 THEN 0 ELSE ns END, 0) IGNORE NULLS) OVER (PARTITION BY venue ORDER BY arrival ROWS UNBOUNDED PRECEDING), 0) exchange_ts_ns FROM ev"),
-    "clock_rejects": tape_sql(_JIT, "SELECT venue, rejected, count(*) n, min(ns) min_ts, max(ns) max_ts FROM (SELECT *, ns < coalesce(max(ns) OVER (PARTITION BY venue ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) rejected FROM jit) GROUP BY ALL").replace("ev),\n, jit", "ev), jit"),
+    "clock_rejects": tape_sql(_JIT, "SELECT venue, rejected, count(*) n, min(ns) min_ts, max(ns) max_ts FROM (SELECT *, ns < coalesce(max(ns) OVER (PARTITION BY venue ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) rejected FROM jit) GROUP BY ALL"),
     "first_wins_dedupe": tape_sql(_COPIES, "SELECT venue, seq AS sequence, feed, arrival, order_id FROM firsts"),
     "gap_report": tape_sql(_COPIES, "SELECT venue, gap_begin, gap_end, gap_end - gap_begin + 1 missing FROM (SELECT venue, coalesce(lag(seq) OVER (PARTITION BY venue ORDER BY seq), 0) + 1 gap_begin, seq - 1 gap_end FROM firsts) WHERE gap_end >= gap_begin"),
     "deterministic_merge": tape_sql(_JIT, "SELECT row_number() OVER (ORDER BY k, arrival) merge_rank, arrival, venue, seq AS sequence, ns exchange_ts_ns FROM (SELECT *, max({'ns': ns, 'venue': venue, 'seq': seq, 'raw': event_type}) OVER (PARTITION BY venue ORDER BY arrival ROWS UNBOUNDED PRECEDING) k FROM jit)"),
@@ -269,5 +271,3 @@ ORACLE_SQL = {
     "kyle_lambda": tape_sql("," + _KYLE, "SELECT arrival, symbol, kyle_lambda FROM kl"),
     "feature_rows": tape_sql("," + OFI_SQL + _KYLE[len(TWO_SQL):], f"SELECT o.arrival, o.symbol, {_MICRO} microprice, CAST(o.ofi AS DOUBLE) ofi, CAST(o.queue_ahead AS DOUBLE) queue_ahead, k.kyle_lambda, bid_price, ask_price FROM ofi2 o JOIN kl k USING (arrival)"),
 }
-for _k, _v in ORACLE_SQL.items():
-    ORACLE_SQL[_k] = _v.replace("AS seq FROM flat),,", "AS seq FROM flat),").replace("AS seq FROM flat),\n,", "AS seq FROM flat),")
