@@ -136,9 +136,16 @@ def train(docs: DataFrame, labels: DataFrame, train_rows=None, max_train: int =
             ids = [features(t, cache).astype(np.int32) for t in b.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "y", "ids"])
 
-    found = sample.mapInArrow(extract, "doc_id long, y int, ids array<int>").toArrow().to_pydict()
-    order = sorted(range(len(found["y"])), key=lambda i: (word_hash(str(found["doc_id"][i]).encode()), found["ids"][i]))
-    return fit([np.array(found["ids"][i], np.uint32) for i in order], np.array([found["y"][i] for i in order], int))
+    # Kept as flat arrays: a Python number for each feature would take many times the memory.
+    found = sample.mapInArrow(extract, "doc_id long, y int, ids array<int>").toArrow().combine_chunks()
+    if not found.num_rows:
+        return fit([], np.zeros(0, int))
+    lists = found.column("ids").chunk(0)
+    flat, ends = lists.flatten().to_numpy().view(np.uint32), np.diff(lists.offsets.to_numpy()).cumsum()
+    rows = [flat[s:e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    doc_ids, y = found.column("doc_id").to_pylist(), found.column("y").to_numpy()
+    order = sorted(range(len(rows)), key=lambda i: (word_hash(str(doc_ids[i]).encode()), rows[i].tobytes()))
+    return fit([rows[i] for i in order], y[order].astype(int))
 
 
 def scorer(docs: DataFrame, model: Model):
