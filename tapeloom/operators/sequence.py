@@ -215,13 +215,13 @@ def witness(events: DataFrame, order: str = "arrival", parts: int = 16) -> int:
     """
     import struct
 
-    pack = struct.Struct("<BBQQ8sQII").pack
+    form = "<BBQQ8sQII"
 
     def crc(batches):
         value, size, first = 0, 0, None
         for b in batches:
             cells = [b.column(c).to_pylist() for c in ("venue", "event_type", "sequence", "exchange_ts_ns", "symbol", "order_id", "qty", "price", order)]
-            raw = b"".join(pack(v, k, s, t, sym.encode().ljust(8)[:8], o, q, p) for v, k, s, t, sym, o, q, p, _ in zip(*cells))
+            raw = b"".join(struct.pack(form, v, k, s, t, sym.encode().ljust(8)[:8], o, q, p) for v, k, s, t, sym, o, q, p, _ in zip(*cells))
             if first is None and b.num_rows:
                 first = cells[-1][0]
             value, size = zlib.crc32(raw, value), size + len(raw)

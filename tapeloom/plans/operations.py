@@ -1 +1,121 @@
-QUERIES, ORACLE_SQL = {}, {}
+"""Queries of sequencing, decoding, generators and simulated trading."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tapeloom.functions import stats
+from tapeloom.operators import backtest, book, sequence
+from tapeloom.plans.market import HOUR, WINDOW, _copies, tape_sql
+from tapeloom.sources import crypto, decode, synthetic
+from tapeloom.sources.adapter import book_events
+
+MM = backtest.Config("market_maker", {"size": 20, "half_spread": 2}, cap=0.5, ofi_window_ns=WINDOW)
+OFI = backtest.Config("ofi", {"size": 20, "half_spread": 2, "threshold": 60.0, "max_position": 60}, cap=0.5, ofi_window_ns=WINDOW)
+
+
+def sequence_release(spark, d):
+    """A tape with losses, copies and late events, through each venue's tracker."""
+    ev = book_events(spark, d).where("sequence % 53 <> 0").withColumn("arrival", F.col("arrival") + F.when(F.col("sequence") % 11 == 0, 40).otherwise(0) * 5)
+    return sequence.sequenced(ev, 64).select("venue", "arrival", "sequence", "status", "release")
+
+
+def sequence_stats(spark, d):
+    return sequence.tracker_stats(_copies(book_events(spark, d)), 64)
+
+
+def accepted_by_feed(spark, d):
+    return sequence.accepted_by_feed(_copies(book_events(spark, d)))
+
+
+def crc_witness(spark, d):
+    ev = book_events(spark, d)
+    a, b = sequence.witness(ev, parts=4), sequence.witness(ev.repartition(7), parts=9)
+    return spark.createDataFrame([(a, a == b)], "crc long, same boolean")
+
+
+def itch_roundtrip(spark, d):
+    """The tape as venue messages and back; rows that differ."""
+    ev = book_events(spark, d).withColumn("exchange_ts_ns", F.col("exchange_ts_ns") % (1 << 47)).withColumn("venue", F.lit(0).cast("short"))
+    sent = ev.select("arrival", "sequence", "ingest_ts_ns", decode.itch_payload(F.col("event_type")).alias("payload"))
+    back = decode.decode(sent, decode.ITCH).drop("status")
+    cells = ["event_type", "exchange_ts_ns", "order_id", "qty"]
+    return sequence.divergence(ev, back, ["arrival"], cells)
+
+
+def itch_type_counts(spark, d):
+    ev = book_events(spark, d).withColumn("exchange_ts_ns", F.col("exchange_ts_ns") % (1 << 47))
+    sent = ev.select("arrival", "sequence", "ingest_ts_ns", decode.itch_payload(F.col("event_type")).alias("payload"))
+    return decode.parse_stats(sent, decode.ITCH).select(F.chr("raw_type").alias("type"), "status", "n")
+
+
+def crypto_lowering(spark, d):
+    """Frames made from the events table: an order a user, moved by views and signups, removed by errors."""
+    ev = spark.read.parquet(f"{d}/events.parquet")
+    row = F.concat(F.lit("["), F.col("user_id"), F.lit(","), F.when(F.col("event_type") == "error", F.lit("0")).otherwise(F.col("value").cast("string")), F.lit(","), F.when(F.col("event_id") % 2 == 0, 1.5).otherwise(-0.25), F.lit("]"))
+    frame = F.when(F.col("event_id") % 1000 == 0, F.concat(F.lit("[7,["), row, F.lit("],"), F.col("event_id") + 1, F.lit("]"))).otherwise(F.concat(F.lit("[7,"), row, F.lit(","), F.col("event_id") + 1, F.lit("]")))
+    frames = ev.select(F.col("event_id").alias("arrival"), F.lit("tBTCUSD").alias("symbol"), F.col("event_id").alias("exchange_ts_ns"), frame.alias("frame"))
+    low = crypto.lower(crypto.synced(crypto.parse_frames(frames)))
+    return low.where("status = 'ok'").select("arrival", "event_type", "order_id", "qty", "price", "prev_qty", "prev_price", "side")
+
+
+def research_tape(spark, d):
+    return synthetic.research_tape(spark, 6000, 4).groupBy("symbol", "event_type", "side").agg(F.count("*").alias("n"), F.sum("price").alias("price_sum"), F.sum("qty").alias("qty_sum"))
+
+
+def lifecycle_book(spark, d):
+    """Final levels of the lifecycle tape by the engine."""
+    tape = synthetic.lifecycle_tape(spark, 4000)
+    return book.with_tops(book.enrich(tape)).groupBy("venue", "symbol").agg(F.max_by("bid_price", "arrival").alias("bid_price"), F.max_by("ask_price", "arrival").alias("ask_price"), F.count("*").alias("events"))
+
+
+def sim_fills_mm(spark, d):
+    return backtest.fills(backtest.simulate(book_events(spark, d), MM)).select("symbol", "arrival", "number", "side", "price", "qty", "partial", "taker", F.round("realized", 6).alias("realized"))
+
+
+def sim_fills_ofi(spark, d):
+    return backtest.fills(backtest.simulate(book_events(spark, d), OFI)).select("symbol", "arrival", "number", "side", "price", "qty", "partial", "taker", F.round("realized", 6).alias("realized"))
+
+
+def pnl_by_symbol(spark, d):
+    return backtest.final_accounts(backtest.simulate(book_events(spark, d), MM)).select("symbol", "submitted", "position", F.round("cash", 4).alias("cash"), F.round("realized", 4).alias("realized"), F.round("equity", 4).alias("equity"), "fills")
+
+
+def equity_buckets(spark, d):
+    curve = backtest.equity_curve(backtest.simulate(book_events(spark, d), MM))
+    return backtest.bucket_returns(curve, 24 * HOUR).select("bucket", F.round("equity", 4).alias("equity"), F.round("r", 4).alias("r"))
+
+
+def experiment_report(spark, d):
+    return backtest.report(backtest.simulate(book_events(spark, d), MM), 24 * HOUR)
+
+
+def risk_metrics(spark, d):
+    ticks = backtest.simulate(book_events(spark, d), MM)
+    curve = backtest.equity_curve(ticks)
+    r = backtest.bucket_returns(curve, 24 * HOUR).where("r IS NOT NULL").select("r")
+    return stats.risk_metrics(r, curve.select(F.col("arrival").alias("at"), "equity"), backtest.fills(ticks).where("realized <> 0").select(F.col("realized").alias("pnl")))
+
+
+def ofi_holdout_report(spark, d):
+    """Trading of the last 30 % of the tape, with the bootstrap of its daily equity changes."""
+    curve = backtest.equity_curve(backtest.simulate(backtest.holdout(book_events(spark, d), 0.3), OFI))
+    r = backtest.bucket_returns(curve, HOUR).where("r IS NOT NULL AND r <> 0")
+    return stats.bootstrap(r, "r", "bucket", 10, 500).select("p_value", "n")
+
+
+QUERIES = {f.__name__: f for f in (
+    sequence_release, sequence_stats, accepted_by_feed, crc_witness, itch_roundtrip, itch_type_counts, crypto_lowering, research_tape, lifecycle_book, sim_fills_mm, sim_fills_ofi, pnl_by_symbol, equity_buckets, experiment_report, risk_metrics, ofi_holdout_report,
+)}
+
+ORACLE_SQL = {
+    "accepted_by_feed": tape_sql(""", copies AS (SELECT venue, seq, 'A' feed, arrival * 2 arrival FROM ev WHERE seq % 7 <> 0 UNION ALL SELECT venue, seq, 'B', arrival * 2 + 1 FROM ev WHERE seq % 5 <> 0)""",
+        "SELECT feed, count(*) accepted FROM (SELECT feed, row_number() OVER (PARTITION BY venue, seq ORDER BY arrival) rn FROM copies) WHERE rn = 1 GROUP BY feed"),
+    "itch_roundtrip": "SELECT CAST(0 AS BIGINT) changed, CAST(0 AS BIGINT) left_only, CAST(0 AS BIGINT) right_only, CAST(0 AS BIGINT) total",
+    "itch_type_counts": tape_sql("", "SELECT CASE event_type WHEN 0 THEN 'A' WHEN 2 THEN 'E' WHEN 4 THEN 'X' WHEN 5 THEN 'D' WHEN 7 THEN 'P' END AS type, 'ok' status, count(*) n FROM ev GROUP BY ALL"),
+    "crypto_lowering": """WITH ev AS (SELECT event_id, user_id, event_type = 'error' gone, CAST(floor(value * 10000 + 0.5) AS BIGINT) px, CASE WHEN event_id % 2 = 0 THEN 1500000 ELSE 250000 END q, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END side, event_id // 1000 epoch FROM events),
+        w AS (SELECT *, lag({'g': gone, 'p': px, 'q': q}) OVER (PARTITION BY epoch, user_id ORDER BY event_id) was FROM ev)
+        SELECT event_id * 65536 arrival, CASE WHEN gone THEN 4 WHEN was IS NOT NULL AND NOT was.g THEN 6 ELSE 0 END event_type, user_id order_id, CASE WHEN gone THEN 0 ELSE q END qty, CASE WHEN gone THEN 0 ELSE px END price,
+            CASE WHEN NOT gone AND was IS NOT NULL AND NOT was.g THEN was.q ELSE 0 END prev_qty, CASE WHEN NOT gone AND was IS NOT NULL AND NOT was.g THEN was.p ELSE 0 END prev_price, side FROM w WHERE NOT gone OR (was IS NOT NULL AND NOT was.g)""",
+}
+
