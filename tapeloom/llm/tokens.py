@@ -8,7 +8,8 @@ Readers decode shard files one by one.
 
 A text is cut at white space and each distinct piece is encoded once a worker by the tokenizers library. The vocabulary's
 normaliser works on characters and its pattern never spans white space, so the pieces' ids in turn are the text's;
-texts with a special token's string are encoded whole.
+texts with a special token's string or one of the four separators that only Python splits at are encoded whole. This holds for vocabularies of byte-level BPE in lower case that drop
+white space, such as the default; others are refused.
 
 Defined results: a null or empty text has the end id alone; repeated rows and ids are kept, in order of doc_id, then text;
 null doc_ids come first; an empty table gives an empty result; other columns play no part.
@@ -16,8 +17,10 @@ null doc_ids come first; an empty table gives an empty result; other columns pla
 
 from __future__ import annotations
 
+import string
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +28,28 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from tapeloom.llm.common import WordCache, fresh_path, stored, text_bytes
+from tapeloom.llm.common import fresh_path, stored
 from tapeloom.llm.wavelet import WaveletMatrix
 
 END_ID = 2
 SHARD_TOKENS = 1 << 22
 PIECES = 400_000
-_loaded: dict[str, tuple] = {}
+#: ASCII punctuation that the pre-tokenizer keeps together behind a word; an apostrophe may begin a contraction.
+TAIL = string.punctuation.replace("'", "")
+PROBE = ("Some", "wörds,", "12", "it's", "|", "end.")
+
+
+def _byte_level() -> dict[int, str]:
+    """Byte -> the character that stands for it in a byte-level vocabulary: visible ones stay, the rest follow 255 in turn."""
+    seen = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace() and b != 0xAD]
+    rest = (b for b in range(256) if b not in set(seen))
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+BYTE_LEVEL = _byte_level()
+#: Lower-case letters of Latin-1 in byte-level form.
+FORMS = {c: "".join(BYTE_LEVEL[b] for b in c.encode()) for c in map(chr, range(256)) if c.isalpha() and c == c.lower()}
+_loaded: dict[str, "Encoder"] = {}
 
 
 def default_vocabulary() -> str:
@@ -47,31 +65,71 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._check(vocabulary)
+        # Python splits at these separators, the vocabulary's pattern does not.
+        self.special = ["\x1c", "\x1d", "\x1e", "\x1f"] + [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = max(1, (max(self.tokenizer.get_vocab_size(True) - 1, END_ID)).bit_length())
-        self.pieces = WordCache(lambda p: self._ids(p), PIECES)
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, texts: list[str]) -> None:
-        """Encodes the unknown pieces of a batch in one call."""
-        new = list({p for t in texts for p in t.split() if p not in self.pieces})
-        if len(self.pieces) + len(new) > PIECES:
-            self.pieces.clear()
-            new = list(dict.fromkeys(p for t in texts for p in t.split()))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                dict.__setitem__(self.pieces, p, np.array(e.ids, "<u4").tobytes())
+        self.model, self.tails, self.pieces = self.tokenizer.model, {}, Pieces(self.piece)
+
+    def _check(self, vocabulary: str) -> None:
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        if ids(" ".join(PROBE)) != [i for p in PROBE for i in ids(p)] or ids("AbÉ") != ids("abé"):
+            raise ValueError(f"{vocabulary}: pieces between white space are not encoded on their own")
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        """Words of Latin letters, with punctuation behind them or not, go to the library's model right away, in the form that its
+        normaliser and pre-tokenizer would give them; other pieces go through the whole tokenizer."""
+        core = piece.rstrip(TAIL)
+        low = core.lower()
+        if not (core.isalpha() if low.isascii() else FORMS.keys() >= set(low)):
+            return self.whole(piece)
+        ids = self.pieces.known(low) if len(low) < len(piece) or low != piece else None
+        if ids is None:
+            form = low if low.isascii() else "".join(map(FORMS.__getitem__, low))
+            ids = array("I", [t.id for t in self.model.tokenize(form)]).tobytes()
+            if low != piece:
+                self.pieces[low] = ids
+        if len(core) < len(piece):
+            tail = piece[len(core) :]
+            if tail not in self.tails:
+                if len(self.tails) > 10_000:
+                    self.tails.clear()
+                self.tails[tail] = self.whole(tail)
+            ids += self.tails[tail]
+        return ids
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian u32."""
         if any(s in text for s in self.special):
-            return self._ids(text)
+            return self.whole(text)
         return b"".join(map(self.pieces.__getitem__, text.split()))
 
 
+class Pieces(dict):
+    """Ids by piece. When it is full it becomes the older half, from which what is still used comes back."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def known(self, piece: str) -> bytes | None:
+        ids = self.get(piece)
+        return self.older.get(piece) if ids is None else ids
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        if len(self) >= PIECES:
+            self.older = self.copy()
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 def encoder(vocabulary: str) -> Encoder:
     if vocabulary not in _loaded:
         _loaded.clear()
@@ -109,7 +167,6 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, shards: int, sha
             for at in range(0, b.num_rows, 256):
                 piece = b.slice(at, 256)
                 texts = piece.column("text").to_pylist()
-                enc.learn(texts)
                 for doc_id, text in zip(piece.column("doc_id").to_pylist(), texts):
                     coded = enc.encode(text) + end
                     buffer.append(coded)
@@ -131,7 +188,7 @@ def read_shards(files: DataFrame, folder: str) -> DataFrame:
     # Offsets of shards: a row a file of millions of ids, summed over all files before.
     before = Window.orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)
     offsets = files.select("part", "nth", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("offset"))
-    placed = files.join(offsets, ["part", "nth"]).select("file", "offset", "doc_ids").repartition(F.col("file"))
+    placed = files.join(offsets, ["part", "nth"]).select("file", "offset", "doc_ids").repartition(max(1, files.rdd.getNumPartitions(), int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "file")
 
     def read(batches):
         fs, base = pafs.FileSystem.from_uri(folder)

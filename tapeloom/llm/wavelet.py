@@ -33,14 +33,14 @@ class WaveletMatrix:
         zeros, planes, ranks = [], [], []
         for bit in range(width - 1, -1, -1):
             on = (rest >> bit & 1).astype(bool)
-            low = rest[~on]
+            low = np.flatnonzero(~on)
             zeros.append(len(low))
             packed = np.packbits(on, bitorder="little")
             packed = np.concatenate([packed, np.zeros(-len(packed) % (BLOCK // 8), np.uint8)])
             counts = np.bitwise_count(packed.view(np.uint64)).reshape(-1, BLOCK // 64).sum(1, dtype=np.uint64)
             planes.append(packed)
             ranks.append(np.concatenate([[0], np.cumsum(counts)]).astype(np.uint32))
-            rest = np.concatenate([low, rest[on]])
+            rest = np.concatenate([rest.take(low), rest.take(np.flatnonzero(on))])
         return cls(len(ids), zeros, planes, ranks, np.ascontiguousarray(ends, np.uint64))
 
     def to_bytes(self) -> bytes:
@@ -127,7 +127,7 @@ class WaveletMatrix:
         for k in range(len(self.planes) - 1, -1, -1):
             on = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
             back = np.empty_like(out)
-            back[~on] = out[: self.zeros[k]]
-            back[on] = out[self.zeros[k] :]
-            out = back | (on.astype(out.dtype) << (len(self.planes) - 1 - k))
+            back[np.flatnonzero(~on)] = out[: self.zeros[k]]
+            back[np.flatnonzero(on)] = out[self.zeros[k] :] | out.dtype.type(1 << (len(self.planes) - 1 - k))
+            out = back
         return out.astype(np.uint32)
