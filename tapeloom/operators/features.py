@@ -141,7 +141,7 @@ def event_ofi(events: DataFrame, most: int = 128, window_ns: int | None = None)
     for side, up in ((BUY, 1), (SELL, -1)):
         quotes = F.when((F.col("side") == side) & (F.col("price") > 0), F.struct("price", "qty"))
         was = F.last(quotes, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        better = (F.col("price") - F.col("was.price")) * up
+        better = F.col("price") - F.col("was.price")  # for offers, too: the rule is the bids' with its sign turned
         step = F.when(F.col("was").isNull() | (better > 0), F.col("qty")).when(better == 0, F.col("qty") - F.col("was.qty")).otherwise(-F.col("was.qty"))
         out = out.withColumn("was", was).withColumn(f"step_{side}", F.when(quotes.isNotNull(), step * up).otherwise(0)).drop("was")
     out = out.withColumn("ofi_step", F.col(f"step_{BUY}") + F.col(f"step_{SELL}"))

@@ -263,7 +263,7 @@ ORACLE_SQL = {
     "ofi_window": tape_sql("," + OFI_SQL, "SELECT arrival, symbol, ofi FROM ofi2"),
     "ofi_events128": tape_sql(""", q AS (SELECT *, CASE WHEN side = 0 AND price > 0 THEN {'p': price, 'q': qty} END b, CASE WHEN side = 1 AND price > 0 THEN {'p': price, 'q': qty} END a FROM ev),
         w AS (SELECT *, last_value(b IGNORE NULLS) OVER x pb, last_value(a IGNORE NULLS) OVER x pa FROM q WINDOW x AS (PARTITION BY symbol ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-        st AS (SELECT *, CASE WHEN b IS NOT NULL THEN CASE WHEN pb IS NULL OR b.p > pb.p THEN b.q WHEN b.p = pb.p THEN b.q - pb.q ELSE -pb.q END WHEN a IS NOT NULL THEN CASE WHEN pa IS NULL OR a.p < pa.p THEN -a.q WHEN a.p = pa.p THEN pa.q - a.q ELSE pa.q END ELSE 0 END v FROM w)""",
+        st AS (SELECT *, CASE WHEN b IS NOT NULL THEN CASE WHEN pb IS NULL OR b.p > pb.p THEN b.q WHEN b.p = pb.p THEN b.q - pb.q ELSE -pb.q END WHEN a IS NOT NULL THEN CASE WHEN pa IS NULL OR a.p > pa.p THEN -a.q WHEN a.p = pa.p THEN pa.q - a.q ELSE pa.q END ELSE 0 END v FROM w)""",
         "SELECT arrival, symbol, CAST(sum(v) OVER (PARTITION BY symbol ORDER BY arrival ROWS BETWEEN 127 PRECEDING AND CURRENT ROW) AS BIGINT) ofi_events FROM st"),
     "effective_spread_ema": tape_sql("," + TWO_SQL + """, tr AS (SELECT *, CASE WHEN event_type IN (7, 8) THEN 2.0 * abs(price - mid) END s FROM two),
         ls AS (SELECT arrival, symbol, list(s) FILTER (s IS NOT NULL) OVER (PARTITION BY symbol ORDER BY arrival ROWS UNBOUNDED PRECEDING) l FROM tr)""",
