@@ -1,8 +1,8 @@
 """Operator 3: toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Terms are lower-cased words without outer punctuation, and their first four, five and six letters (so inflected forms
-meet). The vocabulary is what tells the labels apart in the labelled sample: terms in MIN_DOCS examples or more whose chi-squared
-is at least CHI2, at most MAX_TERMS by that measure. Document frequencies for the inverse document frequency are counted over
+meet). The vocabulary is what tells the labels apart in the labelled sample: of the terms in MIN_DOCS examples or more, those
+whose log-likelihood ratio would come by chance with less than LEVEL in all of them together, at most MAX_TERMS by that measure. Document frequencies for the inverse document frequency are counted over
 all documents. Weights are (1 + ln tf) * ln((1 + N) / (1 + df)), vectors have length 1.
 
 The examples' vectors lie in inverted lists cut into blocks of BLOCK examples, and each list keeps its largest weight in each block. A document
@@ -23,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tapeloom.llm.common import WordCache, held_out, labelled_sample, platt, sigmoid, stored, text_bytes, word_hash
 
-MAX_EXAMPLES, MAX_TERMS, MIN_DOCS, CHI2 = 8000, 4096, 4, 15.0
+MAX_EXAMPLES, MAX_TERMS, MIN_DOCS, LEVEL = 8000, 4096, 4, 0.05
 K, BLOCK, SOFT, PRIOR = 16, 64, 0.1, 0.5
 STEMS = (4, 5, 6)
 _OUTER = re.compile(r"^\W+|\W+$")
@@ -146,11 +147,13 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows=None, max_examples: int =
     # Term counts by label are summed by Spark; the driver gets those that pass, MAX_TERMS at most.
     n, p = len(y), int(y.sum())
     each = sample.mapInArrow(terms, "y int, terms array<binary>").select("y", F.explode("terms").alias("term"))
-    c, a = F.count("*"), F.sum("y")
-    rated = each.groupBy("term").agg(c.alias("c"), a.alias("a")).where((F.col("c") >= MIN_DOCS) & (F.col("c") < n))
-    off = F.col("a") * float(n) - F.col("c") * float(p)
-    rated = rated.withColumn("chi2", off * off * n / (F.col("c") * (n - F.col("c")) * float(p) * (n - p))).where(F.col("chi2") >= CHI2)
-    chosen = sorted(bytes(r["term"]) for r in rated.orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).select("term").collect())
+    counts = stored(each.groupBy("term").agg(F.count("*").alias("c"), F.sum("y").alias("a")).where((F.col("c") >= MIN_DOCS) & (F.col("c") < n)), "toxic-terms")
+    least = NormalDist().inv_cdf(1 - LEVEL / 2 / max(1, counts.count())) ** 2
+    cell = lambda seen, rows, cols: F.when(seen > 0, seen * F.log(seen * float(n) / (rows * cols))).otherwise(0.0)
+    c, a = F.col("c"), F.col("a")
+    ratio = 2 * (cell(a, c, F.lit(p)) + cell(c - a, c, F.lit(n - p)) + cell(p - a, n - c, F.lit(p)) + cell(n - p - c + a, n - c, F.lit(n - p)))
+    rated = counts.withColumn("ratio", F.round(ratio, 6)).where(F.col("ratio") >= least)
+    chosen = sorted(bytes(r["term"]) for r in rated.orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).select("term").collect())
     vocabulary = {t: i for i, t in enumerate(chosen)}
     index = Index(vocabulary, _idf(docs, vocabulary))
 
