@@ -32,7 +32,7 @@ KINDS = ("assign", "access", "hex", "markov")
 RUN = 16
 CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-THRESHOLD, MEAN, SMOOTH = 14.0, 0.7, 0.5
+THRESHOLD, MEAN, SMOOTH, PRIOR = 14.0, 0.7, 0.5, 10.0
 _SPAN = "struct<start:int,kind:int,stop:int,value:string>"
 _NONE = f"cast(array() as array<{_SPAN}>)"
 
@@ -87,11 +87,17 @@ def ratios(sample: DataFrame, smooth: float = SMOOTH) -> dict[tuple[int, int], f
         seen[r["random"]][ALPHABET.find(r["pair"][0]) + 1, ALPHABET.find(r["pair"][1]) + 1] = r["n"]
     if not seen[True] or not seen[False]:
         return {}
+    # Pairs not seen are as likely as their second character is in the class.
+    single = {k: [smooth] * size for k in seen}
+    for k in seen:
+        for (_, b), n in seen[k].items():
+            single[k][b] += n
+    share = {k: [x / sum(single[k][1:]) for x in single[k]] for k in seen}
     out = {}
     for a in range(size):
         total = {k: sum(seen[k].get((a, b), 0) for b in range(1, size)) for k in seen}
         for b in range(1, size):
-            p = {k: (seen[k].get((a, b), 0) + smooth) / (total[k] + smooth * (size - 1)) for k in seen}
+            p = {k: (seen[k].get((a, b), 0) + PRIOR * share[k][b]) / (total[k] + PRIOR) for k in seen}
             out[a, b] = math.log(p[True]) - math.log(p[False])
     return out
 

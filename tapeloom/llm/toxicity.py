@@ -59,6 +59,7 @@ class Index:
     prior: float = 0.5
     slope: float = 1.0
     intercept: float = 0.0
+    constant: float | None = None  # the score of every text where there is nothing to learn from
 
     def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """vectors: terms and weights of each example, in the order of ids."""
@@ -114,6 +115,8 @@ class Index:
         return float(np.log(yes / no))
 
     def score(self, found: Counter) -> tuple[float, list[int], list[float]]:
+        if self.constant is not None:
+            return self.constant, [], []
         at, cos = self.nearest(*self.vector(found))
         return float(sigmoid(self.slope * self.vote(at, cos) + self.intercept)), self.ids[at].tolist(), cos.tolist()
 
@@ -136,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows=None, max_examples: int =
     y = np.array([r["y"] for r in sample.select("y").collect()], int)  # max_examples rows
     if not len(y) or y.min() == y.max():
         share = 0.0 if not len(y) else float((y.sum() + 1) / (len(y) + 2))
-        return Index({}, np.zeros(0), prior=share, slope=0.0, intercept=float(np.log(share / (1 - share))) if share else -np.inf)
+        return Index({}, np.zeros(0), constant=share)
 
     def terms(batches):
         cache = WordCache(terms_of)
