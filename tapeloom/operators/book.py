@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -104,6 +105,68 @@ class Book:
         return (*self.ladder(symbol, BUY).top(), *self.ladder(symbol, SELL).top())
 
 
+def walk_strict(kinds: list, ids: list, references: list, sides: list, prices: list, quantities: list) -> list[list]:
+    """Columns bid_price, bid_qty, ask_price, ask_qty, queue_ahead and changed_top after each event of one venue's symbol.
+
+    The rules are Book's in strict mode, written out flat: levels are dicts, and each side has a heap of prices from which dead ones are
+    dropped when they come to the top.
+    """
+    n = len(kinds)
+    out = [[None] * n for _ in range(4)] + [[0] * n, [False] * n]
+    bid_price, bid_qty, ask_price, ask_qty, ahead_of, moved = out
+    orders, bids, asks, bid_heap, ask_heap = {}, {}, {}, [], []
+    b = bq = a = aq = None
+    for i in range(n):
+        kind, added = kinds[i], None
+        if kind <= ADD_MPID:
+            added = ids[i], sides[i], prices[i], quantities[i]
+        elif kind <= REPLACE:
+            key = ids[i] if kind != REPLACE else references[i] or ids[i]
+            order = orders.get(key)
+            if order is not None:
+                side, price, left = order
+                qty = quantities[i]
+                if kind >= DELETE or qty == 0 or qty > left:
+                    qty = left
+                levels = asks if side else bids
+                have = levels.get(price, 0)
+                if have > qty:
+                    levels[price] = have - qty
+                else:
+                    levels.pop(price, None)
+                if qty == left:
+                    del orders[key]
+                else:
+                    orders[key] = side, price, left - qty
+            if kind == REPLACE:
+                side = sides[i]
+                added = ids[i], side if side < 2 or order is None else order[0], prices[i], quantities[i]
+        if added is not None and added[1] < 2 and added[0]:
+            key, side, price, qty = added
+            levels = asks if side else bids
+            have = levels.get(price)
+            if qty:
+                if have is None:
+                    heappush(ask_heap, price) if side else heappush(bid_heap, -price)
+                    levels[price] = qty
+                else:
+                    levels[price] = have + qty
+            orders[key] = side, price, qty
+            if have:
+                ahead_of[i] = have
+        while bid_heap and -bid_heap[0] not in bids:
+            heappop(bid_heap)
+        while ask_heap and ask_heap[0] not in asks:
+            heappop(ask_heap)
+        nb, na = (-bid_heap[0] if bid_heap else None), (ask_heap[0] if ask_heap else None)
+        nbq, naq = bids.get(nb), asks.get(na)
+        if nb != b or nbq != bq or na != a or naq != aq:
+            moved[i] = True
+            b, bq, a, aq = nb, nbq, na, naq
+        bid_price[i], bid_qty[i], ask_price[i], ask_qty[i] = b, bq, a, aq
+    return out
+
+
 def enrich(events: DataFrame) -> DataFrame:
     """Events that name only an order get its symbol and side, from the latest event of the order that has them."""
     order = Window.partitionBy("venue", F.when(F.col("reference_order_id") != 0, F.col("reference_order_id")).otherwise(F.col("order_id"))).orderBy("arrival")
@@ -122,17 +185,20 @@ def with_tops(events: DataFrame, compat: bool = False) -> DataFrame:
 
     def walk(table: pa.Table) -> pa.Table:
         table = table.sort_by("arrival")
-        book, out, last = Book(compat), [], {}
-        cells = (table.column(c).to_pylist() for c in ("event_type", "symbol", "order_id", "reference_order_id", "side", "price", "qty"))
-        for row in zip(*cells):
-            ahead = book.apply(*row)
-            top = book.tops(row[1])
-            out.append((*top, ahead, top != last.get(row[1], (None,) * 4)))
-            last[row[1]] = top
-        types = (pa.int64(),) * 5 + (pa.bool_(),)
         names = [f.split()[0] for f in TOP.split(", ")]
-        for name, values, kind in zip(names, zip(*out), types):
-            table = table.append_column(name, pa.array(values, kind))
+        cells = [table.column(c).to_numpy().tolist() for c in ("event_type", "order_id", "reference_order_id", "side", "price", "qty")]
+        if compat:
+            book, last, out = Book(True), {}, []
+            for kind, symbol, *rest in zip(cells[0], table.column("symbol").to_pylist(), *cells[1:]):
+                ahead = book.apply(kind, symbol, *rest)
+                top = book.tops(symbol)
+                out.append((*top, ahead, top != last.get(symbol, (None,) * 4)))
+                last[symbol] = top
+            out = list(zip(*out))
+        else:
+            out = walk_strict(*cells)
+        for name, values in zip(names, out):
+            table = table.append_column(name, pa.array(values, pa.bool_() if name == "changed_top" else pa.int64()))
         return table.select([*columns, *names])
 
     types = ", ".join(f"{n} {t}" for n, t in events.dtypes)

@@ -107,6 +107,21 @@ def test_book_traps():
     assert strict.tops("Z")[2] == 71 and compat.tops("Z")[2] is None
 
 
+def test_flat_walk_equals_the_book():
+    rng = np.random.default_rng(6)
+    n = 4000
+    kinds = rng.choice([0, 0, 0, 1, 2, 3, 4, 5, 6, 7, 255], n).tolist()
+    ids, refs = rng.integers(0, 60, n).tolist(), rng.integers(0, 60, n).tolist()
+    sides, prices, qtys = rng.integers(0, 3, n).tolist(), rng.integers(90, 110, n).tolist(), rng.integers(0, 9, n).tolist()
+    b, want, last = book.Book(), [], (None,) * 4
+    for row in zip(kinds, ids, refs, sides, prices, qtys):
+        ahead = b.apply(row[0], "X", *row[1:])
+        top = b.tops("X")
+        want.append((*top, ahead, top != last))
+        last = top
+    assert list(zip(*book.walk_strict(kinds, ids, refs, sides, prices, qtys))) == want
+
+
 def test_enrich_gives_orders_their_symbol(spark):
     ev = book.enrich(tape(spark, [LIFE[0], {"event_type": S.DELETE, "order_id": 1, "symbol": ""}]))
     assert [r["symbol"] for r in ev.orderBy("arrival").collect()] == ["X", "X"]
