@@ -131,3 +131,11 @@ def journalled(events: DataFrame, paths: list[str], checkpoint: str):
         batch.unpersist()
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def wire_events(datagrams: DataFrame, protocol: str) -> DataFrame:
+    """Canonical events of a stream (or table) of datagrams (arrival, ingest_ts_ns, payload) of one feed."""
+    from tapeloom.sources.decode import LAYOUTS, decode
+    from tapeloom.sources.files import framed
+
+    return decode(framed(datagrams, protocol), LAYOUTS[protocol])
