@@ -201,8 +201,9 @@ class Config:
     ofi_window_ns: int = feat.SECOND
 
 
+INTENT = "struct<action:string,number:long,side:short,price:long,qty:long>"
 FILL = "struct<number:long,side:short,price:long,qty:long,partial:boolean,taker:boolean,realized:double>"
-TICKS = f"symbol string, arrival long, exchange_ts_ns long, submitted long, cancelled long, position long, cash double, realized double, unrealized double, turnover double, fees double, rebates double, equity double, fills array<{FILL}>"
+TICKS = f"symbol string, arrival long, exchange_ts_ns long, submitted long, cancelled long, position long, cash double, realized double, unrealized double, turnover double, fees double, rebates double, equity double, intents array<{INTENT}>, fills array<{FILL}>"
 
 
 def inputs(events: DataFrame, cfg: Config) -> DataFrame:
@@ -229,12 +230,15 @@ def simulate(events: DataFrame, cfg: Config | None = None) -> DataFrame:
             if r["mid"] is not None:
                 account.mid, best = r["mid"], (r["bid_price"], r["ask_price"])
             orders, old = strategy.view(r)
+            intents = []
             for n in old:
                 match.cancel(n)
                 cancelled += 1
+                intents.append({"action": "cancel", "number": n, "side": None, "price": None, "qty": None})
             for side, price, qty in orders:
                 number += 1
                 submitted += 1
+                intents.append({"action": "submit", "number": number, "side": side, "price": price, "qty": qty})
                 takers[number] = best[1] is not None and price >= best[1] if side == BUY else best[0] is not None and price <= best[0]
                 strategy.placed(number, side)
                 match.submit(number, side, price, qty, r["exchange_ts_ns"])
@@ -243,9 +247,10 @@ def simulate(events: DataFrame, cfg: Config | None = None) -> DataFrame:
                 gain = account.fill(side, float(price), qty, takers[n])
                 strategy.filled(n, side, qty, partial)
                 fills.append({"number": n, "side": side, "price": price, "qty": qty, "partial": partial, "taker": takers[n], "realized": gain})
-            out.append((r["symbol"], r["arrival"], r["exchange_ts_ns"], submitted, cancelled, account.position, account.cash, account.realized, account.unrealized, account.turnover, account.fees, account.rebates, account.equity, fills))
+            out.append((r["symbol"], r["arrival"], r["exchange_ts_ns"], submitted, cancelled, account.position, account.cash, account.realized, account.unrealized, account.turnover, account.fees, account.rebates, account.equity, intents, fills))
         fill_type = pa.struct([("number", pa.int64()), ("side", pa.int16()), ("price", pa.int64()), ("qty", pa.int64()), ("partial", pa.bool_()), ("taker", pa.bool_()), ("realized", pa.float64())])
-        kinds = [pa.string()] + [pa.int64()] * 5 + [pa.float64()] * 7 + [pa.list_(fill_type)]
+        intent_type = pa.struct([("action", pa.string()), ("number", pa.int64()), ("side", pa.int16()), ("price", pa.int64()), ("qty", pa.int64())])
+        kinds = [pa.string()] + [pa.int64()] * 5 + [pa.float64()] * 7 + [pa.list_(intent_type), pa.list_(fill_type)]
         names = [c.split()[0] for c in TICKS.split(", ")]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
@@ -256,6 +261,18 @@ def fills(ticks: DataFrame) -> DataFrame:
     return ticks.select("symbol", "arrival", "exchange_ts_ns", F.explode("fills").alias("f")).select("symbol", "arrival", "exchange_ts_ns", "f.*")
 
 
+def intents(ticks: DataFrame) -> DataFrame:
+    """Orders sent and cancelled, in order of arrival and position."""
+    return ticks.select("symbol", "arrival", "exchange_ts_ns", F.posexplode("intents").alias("nth", "i")).select("symbol", "arrival", "exchange_ts_ns", "nth", "i.*")
+
+
+def output_hash(ticks: DataFrame) -> DataFrame:
+    """Order-free checksum of what a run did: equal for equal runs, whatever the partitioning."""
+    cells = [F.xxhash64("symbol", "arrival", F.lit(k), *c) for k, c in enumerate((["number", "price", "qty"], ["nth", "number", "price", "qty"]))]
+    f = fills(ticks).select(cells[0].alias("h"))
+    return f.union(intents(ticks).select(cells[1])).agg(F.bit_xor("h").alias("hash"), F.count("*").alias("items"))
+
+
 def final_accounts(ticks: DataFrame) -> DataFrame:
     """The last row of each symbol."""
     cells = ("submitted", "cancelled", "position", "cash", "realized", "unrealized", "turnover", "fees", "rebates", "equity")

@@ -198,7 +198,7 @@ VPIN_VOLUME = 200
 
 def vpin(spark, d):
     q = features.with_recursions(features.two_sided(_quotes(spark, d)), VPIN_VOLUME)
-    return q.where("event_type IN (7, 8)").select("arrival", "symbol", F.round("vpin", 6).alias("vpin"))
+    return q.where("event_type IN (7, 8)").select("arrival", "symbol", F.round("vpin", 9).alias("vpin"))
 
 
 def feature_rows(spark, d):
@@ -269,5 +269,12 @@ ORACLE_SQL = {
         ls AS (SELECT arrival, symbol, list(s) FILTER (s IS NOT NULL) OVER (PARTITION BY symbol ORDER BY arrival ROWS UNBOUNDED PRECEDING) l FROM tr)""",
         "SELECT arrival, symbol, round(coalesce(list_reduce(l, lambda x, y: 0.95 * x + (1 - 0.95) * y), 0.0), 6) effective_spread FROM ls"),
     "kyle_lambda": tape_sql("," + _KYLE, "SELECT arrival, symbol, kyle_lambda FROM kl"),
+    "vpin": tape_sql("," + TWO_SQL + """, tr AS MATERIALIZED (SELECT symbol, arrival, side, qty, row_number() OVER (PARTITION BY symbol ORDER BY arrival) n FROM two WHERE event_type IN (7, 8)),
+        st AS (SELECT symbol, CAST(0 AS BIGINT) n, CAST(0 AS BIGINT) buy, CAST(0 AS BIGINT) sell, CAST(NULL AS DOUBLE) tox, CAST(NULL AS BIGINT) arrival FROM (SELECT DISTINCT symbol FROM tr)
+            UNION ALL SELECT symbol, n, CASE WHEN b + s < 200 THEN b WHEN b > b + s - 200 THEN b + s - 200 ELSE 0 END, CASE WHEN b + s < 200 THEN s WHEN s > CASE WHEN b > b + s - 200 THEN b + s - 200 ELSE 0 END THEN b + s - 200 - CASE WHEN b > b + s - 200 THEN b + s - 200 ELSE 0 END ELSE 0 END,
+                CASE WHEN b + s >= 200 THEN abs(b - s) / 200.0 END, arrival
+            FROM (SELECT t.symbol, t.n, t.arrival, st.buy + CASE WHEN t.side = 0 THEN t.qty ELSE 0 END b, st.sell + CASE WHEN t.side = 1 THEN t.qty ELSE 0 END s FROM st JOIN tr t ON t.symbol = st.symbol AND t.n = st.n + 1)),
+        ls AS (SELECT arrival, symbol, list(tox) FILTER (tox IS NOT NULL) OVER (PARTITION BY symbol ORDER BY n ROWS UNBOUNDED PRECEDING) l FROM st)""",
+        "SELECT arrival, symbol, round(coalesce(list_aggregate(list_slice(l, -32, -1), 'avg'), 0.0), 9) vpin FROM ls WHERE arrival IS NOT NULL").replace("WITH ", "WITH RECURSIVE ", 1),
     "feature_rows": tape_sql("," + OFI_SQL + _KYLE[len(TWO_SQL):], f"SELECT o.arrival, o.symbol, {_MICRO} microprice, CAST(o.ofi AS DOUBLE) ofi, CAST(o.queue_ahead AS DOUBLE) queue_ahead, k.kyle_lambda, bid_price, ask_price FROM ofi2 o JOIN kl k USING (arrival)"),
 }

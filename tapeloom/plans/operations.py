@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeloom.functions import stats
+from tapeloom.functions import codecs, stats
 from tapeloom.operators import backtest, book, sequence
 from tapeloom.plans.market import HOUR, WINDOW, _copies, tape_sql
 from tapeloom.sources import crypto, decode, synthetic
@@ -77,6 +77,26 @@ def sim_fills_ofi(spark, d):
     return backtest.fills(backtest.simulate(book_events(spark, d), OFI)).select("symbol", "arrival", "number", "side", "price", "qty", "partial", "taker", F.round("realized", 6).alias("realized"))
 
 
+def intents_mm(spark, d):
+    return backtest.intents(backtest.simulate(book_events(spark, d), MM)).groupBy("symbol", "action").agg(F.count("*").alias("n"), F.coalesce(F.sum("qty"), F.lit(0)).alias("qty"))
+
+
+def shard_witness(spark, d):
+    """Checksums of the tape for 1, 2, 4 and 8 shards."""
+    ev = book_events(spark, d)
+    out = None
+    for n in (1, 2, 4, 8):
+        one = codecs.shard_witness(ev, n).select(F.lit(n).alias("shards"), "events", "witness")
+        out = one if out is None else out.union(one)
+    return out.groupBy("witness").agg(F.count("*").alias("runs"), F.max("events").alias("events")).select("runs", "events")
+
+
+def symbol_codes(spark, d):
+    ev = book_events(spark, d).groupBy("symbol").agg(F.count("*").alias("n"))
+    code = codecs.symbol_to_u64(F.col("symbol"))
+    return ev.select(F.col("symbol"), code.alias("code"), codecs.u64_to_symbol(code).alias("back"), "n")
+
+
 def pnl_by_symbol(spark, d):
     return backtest.final_accounts(backtest.simulate(book_events(spark, d), MM)).select("symbol", "submitted", "position", F.round("cash", 4).alias("cash"), F.round("realized", 4).alias("realized"), F.round("equity", 4).alias("equity"), "fills")
 
@@ -105,12 +125,17 @@ def ofi_holdout_report(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    sequence_release, sequence_stats, accepted_by_feed, crc_witness, itch_roundtrip, itch_type_counts, crypto_lowering, research_tape, lifecycle_book, sim_fills_mm, sim_fills_ofi, pnl_by_symbol, equity_buckets, experiment_report, risk_metrics, ofi_holdout_report,
+    sequence_release, sequence_stats, accepted_by_feed, crc_witness, itch_roundtrip, itch_type_counts, crypto_lowering, research_tape, lifecycle_book, sim_fills_mm, sim_fills_ofi, intents_mm, shard_witness, symbol_codes, pnl_by_symbol, equity_buckets, experiment_report, risk_metrics, ofi_holdout_report,
 )}
 
 ORACLE_SQL = {
     "accepted_by_feed": tape_sql(""", copies AS (SELECT venue, seq, 'A' feed, arrival * 2 arrival FROM ev WHERE seq % 7 <> 0 UNION ALL SELECT venue, seq, 'B', arrival * 2 + 1 FROM ev WHERE seq % 5 <> 0)""",
         "SELECT feed, count(*) accepted FROM (SELECT feed, row_number() OVER (PARTITION BY venue, seq ORDER BY arrival) rn FROM copies) WHERE rn = 1 GROUP BY feed"),
+    "research_tape": """WITH t AS (SELECT i, i % 4 slot, i // 24 AS cycle, (i // 4) % 6 step FROM range(6000) r(i))
+        SELECT list_extract(['AAPL0001', 'MSFT0002', 'NVDA0003', 'AMZN0004'], slot + 1) symbol, list_extract([0, 0, 7, 7, 5, 5], step + 1) event_type, list_extract([0, 1, 1, 0, 2, 2], step + 1) side, count(*) n,
+            CAST(sum(CASE WHEN step IN (0, 2) THEN 9999 + cycle % 97 WHEN step IN (1, 3) THEN 10001 + cycle % 97 ELSE 0 END) AS BIGINT) price_sum, CAST(sum(CASE WHEN step >= 4 THEN 0 ELSE 100 END) AS BIGINT) qty_sum FROM t GROUP BY ALL""",
+    "shard_witness": tape_sql("", "SELECT CAST(4 AS BIGINT) runs, count(*) events FROM ev"),
+    "symbol_codes": tape_sql("", "SELECT symbol, CAST(('0x' || hex(rpad(symbol, 8, ' '))) AS BIGINT) code, symbol AS back, count(*) n FROM ev GROUP BY ALL"),
     "itch_roundtrip": "SELECT CAST(0 AS BIGINT) changed, CAST(0 AS BIGINT) left_only, CAST(0 AS BIGINT) right_only, CAST(0 AS BIGINT) total",
     "itch_type_counts": tape_sql("", "SELECT CASE event_type WHEN 0 THEN 'A' WHEN 2 THEN 'E' WHEN 4 THEN 'X' WHEN 5 THEN 'D' WHEN 7 THEN 'P' END AS type, 'ok' status, count(*) n FROM ev GROUP BY ALL"),
     "crypto_lowering": """WITH ev AS (SELECT event_id, user_id, event_type = 'error' gone, CAST(floor(value * 10000 + 0.5) AS BIGINT) px, CASE WHEN event_id % 2 = 0 THEN 1500000 ELSE 250000 END q, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END side, event_id // 1000 epoch FROM events),

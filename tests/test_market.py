@@ -321,6 +321,9 @@ def test_account():
 def test_simulation_conserves(spark, small):
     ticks = backtest.simulate(book_events(spark, small), backtest.Config("market_maker", {"half_spread": 2}, 0.5))
     f, a = backtest.fills(ticks), backtest.final_accounts(ticks)
+    i = backtest.intents(ticks)
+    assert i.where("action = 'submit'").count() == a.agg(F.sum("submitted")).first()[0] and i.where("action = 'cancel'").count() == a.agg(F.sum("cancelled")).first()[0]
+    assert backtest.output_hash(ticks).first() == backtest.output_hash(ticks.repartition(3)).first()
     net = {r["symbol"]: r["n"] for r in f.groupBy("symbol").agg(F.sum(F.when(F.col("side") == 0, F.col("qty")).otherwise(-F.col("qty"))).alias("n")).collect()}
     assert f.count() > 10 and all(net.get(r["symbol"], 0) == r["position"] for r in a.collect())
     last = backtest.equity_curve(ticks).orderBy(F.desc("arrival")).first()["equity"]
@@ -522,6 +525,15 @@ def test_crypto_frames(spark):
     assert low[2]["prev_price"] == 1_005_000
 
 
+def test_codecs(spark):
+    from tapeloom.functions import codecs as c
+
+    df = spark.createDataFrame([("AAPL", "1K", 1_234_567), ("A", "bad", 1 << 40)], "s string, k string, t long")
+    got = df.select(c.u64_to_symbol(c.symbol_to_u64(F.col("s"))), c.base36(F.col("k")), c.rescale(F.col("t"), 6), c.display_price(F.col("t")).cast("string")).collect()
+    assert [tuple(r) for r in got] == [("AAPL", 56, 12_345, "123.4567"), ("A", 0, S.U32, "109951162.7776")]
+    assert df.select(c.symbol_to_u64(F.col("s")).alias("x")).first()["x"] == int.from_bytes(b"AAPL    ", "big")
+
+
 def test_sidecar(spark, tmp_path):
     p = crypto.parse_frames(frames(spark, ["[1,[[5,100.5,2.0]],10]"]))
     crypto.write_sidecar(p, str(tmp_path / "s"))
