@@ -62,9 +62,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source's token prefix of its seeded order, within its share of the budget."""
-    chosen = stored(mixing.mix(docs, **MIX).select("doc_id").distinct(), "pipeline-mix")
-    marked = docs.withColumn("__tapeloom_id", F.col("doc_id"))
-    return marked.join(chosen.select(F.col("doc_id").alias("__tapeloom_id")), "__tapeloom_id", "left_semi").select(*docs.columns)
+    return mixing.chosen_rows(docs, **MIX)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,7 +80,31 @@ def allotments(tokens: DataFrame, weights: dict, share: float, max_epochs: int)
     return known.withColumn("tokens", F.expr(f"supply div {int(max_epochs)}")).select(*LEVELS, "tokens", "alloc")
 
 
-def mix(docs: DataFrame, weights: dict | None = None, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, domain: Column | None = None) -> DataFrame:
+def last_places(chosen: DataFrame) -> DataFrame:
+    """For rows of `mix` with their place: each leaf's whole epochs and where its prefix ends (null: nowhere)."""
+    inside = F.when(F.col("n_epochs") > F.col("whole"), F.col("place"))
+    return chosen.groupBy(*LEVELS).agg(F.max("whole").alias("whole"), F.max(inside).alias("last"))
+
+
+def place_of(whole: Column, seed: str) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(seed), whole.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+
+
+def chosen_rows(docs: DataFrame, weights: dict | None = None, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, domain: Column | None = None) -> DataFrame:
+    """The rows of docs that `mix` reads at least once, rows of one doc_id together.
+
+    The choice is a condition on a row's place and its leaf's last one, so texts are filtered where they lie
+    against a table of a row a leaf, which Spark broadcasts if its measured size allows.
+    """
+    domain = domain_of() if domain is None else domain
+    ends = stored(last_places(mix(docs, weights, share, max_epochs, seed, domain, places=True)), "mix-last")
+    ends = ends.select(*(F.col(k).alias(f"__leaf_{k}") for k in LEVELS), F.col("whole").alias("__whole"), F.col("last").alias("__last"))
+    here = domain.eqNullSafe(F.col("__leaf_domain")) & F.col("lang").eqNullSafe(F.col("__leaf_lang")) & F.col("source").eqNullSafe(F.col("__leaf_source"))
+    met = docs.join(ends, here)
+    return met.where((F.col("__whole") > 0) | (place_of(F.col("__whole"), seed) <= F.col("__last"))).select(*docs.columns)
+
+
+def mix(docs: DataFrame, weights: dict | None = None, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, domain: Column | None = None, places: bool = False) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens and n_epochs (times it is read, 1 or more) of the documents chosen."""
     weights = WEIGHTS if weights is None else weights
     n_tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
@@ -90,8 +114,7 @@ def mix(docs: DataFrame, weights: dict | None = None, share: float = SHARE, max_
     cond = F.lit(True)
     for k in LEVELS:
         cond = cond & F.col(k).eqNullSafe(F.col(f"leaf_{k}"))
-    place = F.md5(F.concat_ws(":", F.lit(seed), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    placed = tokens.join(plan, cond).drop(*(f"leaf_{k}" for k in LEVELS)).withColumn("place", place).withColumn("digits", F.substring("place", 1, DIGITS))
+    placed = tokens.join(plan, cond).drop(*(f"leaf_{k}" for k in LEVELS)).withColumn("place", place_of(F.col("whole"), seed)).withColumn("digits", F.substring("place", 1, DIGITS))
     group = [*LEVELS, "digits"]
     sums = placed.groupBy(*group).agg(F.sum("n_tokens").alias("in_group"))
     ahead = Window.partitionBy(*LEVELS).orderBy("digits").rowsBetween(Window.unboundedPreceding, -1)
@@ -102,7 +125,7 @@ def mix(docs: DataFrame, weights: dict | None = None, share: float = SHARE, max_
     inside = Window.partitionBy(*group).orderBy("place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     ends = placed.join(sums, cond).withColumn("end", F.col("ahead") + F.sum("n_tokens").over(inside))
     n_epochs = F.col("whole") + F.when((F.col("end") <= F.col("rest")) & (F.col("rest") > 0), 1).otherwise(0)
-    return ends.withColumn("n_epochs", n_epochs.cast("long")).where("n_epochs > 0").select("doc_id", *LEVELS, "n_tokens", "n_epochs")
+    return ends.withColumn("n_epochs", n_epochs.cast("long")).where("n_epochs > 0").select("doc_id", *LEVELS, "n_tokens", "n_epochs", *(["whole", "place"] * places))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
