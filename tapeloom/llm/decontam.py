@@ -55,7 +55,7 @@ def _entry(word: bytes) -> tuple[int, int, int, int]:
         kind = UNIT
     else:
         kind = WORD
-    name = core[:1].isupper() and not (len(core) > 1 and core.isupper())
+    name = len(core) > 1 and core[0].isupper() and not core.isupper()
     return word_hash(low), kind, int(name), int(bool(_STOP.search(text)))
 
 
