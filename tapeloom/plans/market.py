@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeloom.operators import book, features, nbbo, sequence, service
-from tapeloom.schema import BUY
 from tapeloom.sources.adapter import TAPE_SQL, book_events
 
 HOUR = 3_600_000_000_000

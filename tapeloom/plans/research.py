@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import stats
 from tapeloom.operators import features, nbbo, research
-from tapeloom.plans.market import HOUR, OFI_SQL, WINDOW, _KYLE, TWO_SQL, tape_sql
+from tapeloom.plans.market import HOUR, OFI_SQL, WINDOW, tape_sql
 from tapeloom.sources.adapter import book_events
 
 HORIZONS = (HOUR, 6 * HOUR, 24 * HOUR)
