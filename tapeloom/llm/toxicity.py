@@ -30,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tapeloom.llm.common import WordCache, held_out, labelled_sample, platt, sigmoid, stored, text_bytes, word_hash
+from tapeloom.llm.common import WordCache, held_out, labelled_sample, platt, sigmoid, stored, text_bytes
 
 MAX_EXAMPLES, MAX_TERMS, MIN_DOCS, LEVEL = 8000, 4096, 4, 0.05
 K, BLOCK, SOFT, PRIOR = 16, 64, 0.1, 0.5
