@@ -143,11 +143,14 @@ def leaks(assigned: DataFrame, horizon: int) -> DataFrame:
 
 
 # -- evaluation ---------------------------------------------------------------------------------------------------
-def evaluation_rows(signals: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
-    """(signal, horizon, fold, arrival, value, label) of valid pairs on test rows."""
-    pairs = signals.join(labels.select("arrival", "horizon", "label"), "arrival").join(tested.select("arrival", "fold"), "arrival")
-    ok = F.col("value").isNotNull() & F.col("label").isNotNull() & ~F.isnan("value") & ~F.isnan("label")
-    return pairs.where(ok).select("signal", "horizon", "fold", "arrival", "value", "label")
+def evaluation_rows(wide: DataFrame, labels: DataFrame, tested: DataFrame, names) -> DataFrame:
+    """(signal, horizon, fold, arrival, value, label) of valid pairs on test rows, for a column a signal.
+
+    Rows meet before they are unpivoted, so what is shuffled does not grow with the number of signals.
+    """
+    cells = wide.select("arrival", *names).join(tested.select("arrival", "fold"), "arrival").join(labels.select("arrival", "horizon", "label"), "arrival")
+    pairs = cells.where(F.col("label").isNotNull() & ~F.isnan("label")).unpivot(["arrival", "fold", "horizon", "label"], list(names), "signal", "value")
+    return pairs.where(F.col("value").isNotNull() & ~F.isnan("value")).select("signal", "horizon", "fold", "arrival", "value", "label")
 
 
 def fold_metrics(pairs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def _signals(rows):
 
 def _pairs(spark, d):
     rows = _rows(spark, d)
-    return research.evaluation_rows(_signals(rows), research.forward_labels(rows, HORIZONS), research.test_folds(rows))
+    return research.evaluation_rows(research.SignalRegistry().wide(rows, SIGNALS), research.forward_labels(rows, HORIZONS), research.test_folds(rows), SIGNALS)
 
 
 def forward_labels(spark, d):
