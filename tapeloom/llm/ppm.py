@@ -22,8 +22,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as pads
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, functions as F
 
 from tapeloom.llm.common import WordCache, fresh_path, held_out, stored, text_bytes, word_hash
@@ -31,7 +31,7 @@ from tapeloom.llm.common import WordCache, fresh_path, held_out, stored, text_by
 ORDER = 5
 END = 0xFF
 PART_ROWS = 5_000_000
-CHUNK_BYTES, FLUSH_ROWS = 4 << 20, 2_000_000
+CHUNK_BYTES, FLUSH_ROWS = 1 << 20, 2_000_000
 MOST_CHUNK = 64 << 20
 END_WORD = word_hash(b"\xff")  # no word of a UTF-8 text
 GRAMS, WORDS = 0, 1
@@ -55,8 +55,10 @@ def byte_runs(bodies: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
+    if len(keys) and not (keys[1:] >= keys[:-1]).all():
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        del order
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
@@ -106,12 +108,17 @@ class Model:
 
     def __init__(self, order: int, runs: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray):
         self.order = order
-        tables = [summed(pairs & np.uint64(0xFF), pair_counts), summed(pairs, pair_counts)][: order + 1]
-        tables += [summed(runs & np.uint64((1 << 8 * (i + 1)) - 1), counts) for i in range(2, order + 1)]
+        # Each length is summed from the next longer one, so only the longest is sorted in full.
+        tables = [summed(runs, counts)]
+        for i in range(order - 1, 1, -1):
+            tables.append(summed(tables[-1][0] & np.uint64((1 << 8 * (i + 1)) - 1), tables[-1][1]))
+        del runs, counts
+        tables = [summed(pairs & np.uint64(0xFF), pair_counts), summed(pairs, pair_counts), *reversed(tables)] if order > 1 else [summed(pairs & np.uint64(0xFF), pair_counts), summed(pairs, pair_counts)]
         self.levels = _levels(tables)
+        del tables
         top = self.levels[order]
-        at, _ = find(top.contexts, top.grams >> np.uint64(8))
-        self.cost = np.log10(top.count / (top.seen[at] + top.kinds[at]))
+        self.cost = np.log10(top.count / np.repeat(top.seen + top.kinds, top.kinds))
+        top.count = self.cost  # the longest runs' counts have served
         self.bits = max(10, int(len(top.grams) * 1.5).bit_length())
         self.slots = np.full(1 << self.bits, -1, np.int32)
         self.slots[self._slot(top.grams)] = np.arange(len(top.grams), dtype=np.int32)
@@ -145,7 +152,7 @@ class Model:
             n[new], u[new] = level.seen[context[new]], level.kinds[context[new]]
             gram, hit = find(level.grams, part)
             hit &= known
-            out[hit] += np.log10(level.count[gram[hit]] / (n[hit] + u[hit]))
+            out[hit] += self.cost[gram[hit]] if i == self.order else np.log10(level.count[gram[hit]] / (n[hit] + u[hit]))
             open_ &= ~hit
             on = known & ~hit
             paid = on & (u > 0)
@@ -162,12 +169,13 @@ def _chunks(batches, columns: tuple[str, ...], chunk_bytes: int = CHUNK_BYTES):
     """Lists of column values, of about `chunk_bytes` of text each, or one longer text."""
     held, size = [], 0
     for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in columns)):
-            held.append(row)
-            size += len(row[0])
-            if size >= chunk_bytes:
-                yield list(zip(*held))
-                held, size = [], 0
+        for at in range(0, b.num_rows, 256):
+            for row in zip(*(b.column(c).slice(at, 256).to_pylist() for c in columns)):
+                held.append(row)
+                size += len(row[0])
+                if size >= chunk_bytes:
+                    yield list(zip(*held))
+                    held, size = [], 0
     if held:
         yield list(zip(*held))
 
@@ -233,20 +241,27 @@ def train(docs: DataFrame, order: int = ORDER, part_rows: int = PART_ROWS) -> Tr
     place = F.when(F.col("kind") == GRAMS, last_two % parts[0]).otherwise((F.shiftrightunsigned("key", 40) % parts[1]).cast("int"))
     placed = table.withColumn("part", place.cast("int"))
     pairs = placed.where(F.col("kind") == GRAMS).groupBy(F.expr("key & 65535").alias("key")).agg(F.sum("n").alias("n")).select(F.lit(2).alias("kind"), "key", "n", F.lit(0).alias("part"))
-    placed.select("kind", "key", "n", "part").unionByName(pairs).repartition(sum(parts) + 1, "kind", "part").sortWithinPartitions("kind", "part", "key").write.partitionBy("kind", "part").parquet(folder)
+    # Ranges of keys, so a part's files in order of name hold its keys in order.
+    ranged = placed.select("kind", "key", "n", "part").unionByName(pairs).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "kind", "part", "key")
+    ranged.sortWithinPartitions("kind", "part", "key").write.partitionBy("kind", "part").parquet(folder)
     words = total.get(WORDS)
     return Trained(order, folder, parts, words["n"] if words else 0, words["rows"] if words else 0)
 
 
 def _table(folder: str, kind: int, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, ascending as signed numbers, and counts."""
     fs, base = pafs.FileSystem.from_uri(folder)
-    place = f"{base}/kind={kind}/part={part}"
-    if fs.get_file_info(place).type == pafs.FileType.NotFound:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    got = pads.dataset(place, filesystem=fs, format="parquet").to_table(columns=["key", "n"], use_threads=False)
-    keys, n = got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy()
-    order = np.argsort(keys, kind="stable")
-    return keys[order], n[order]
+    found = fs.get_file_info(pafs.FileSelector(f"{base}/kind={kind}/part={part}", allow_not_found=True))
+    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for path in sorted(f.path for f in found if f.base_name.endswith(".parquet")):
+        with fs.open_input_file(path) as src:
+            got = pq.read_table(src, columns=["key", "n"], use_threads=False)
+        keys.append(got.column("key").to_numpy())
+        counts.append(got.column("n").to_numpy())
+    keys, counts = np.concatenate(keys), np.concatenate(counts)
+    if len(counts) and counts.max() < 1 << 32:
+        counts = counts.astype(np.uint32)
+    return summed(keys, counts)
 
 
 _held: dict[tuple, object] = {}
@@ -258,7 +273,11 @@ def _part(trained: Trained, kind: int, part: int):
     if key not in _held:
         for k in [k for k in _held if k[1] == kind]:
             del _held[k]
-        _held[key] = Model(trained.order, *_table(trained.folder, GRAMS, part), *_table(trained.folder, 2, 0)) if kind == GRAMS else _table(trained.folder, WORDS, part)
+        if kind == GRAMS:
+            (runs, n), (pairs, pair_n) = _table(trained.folder, GRAMS, part), _table(trained.folder, 2, 0)
+            _held[key] = Model(trained.order, runs.view(np.uint64), n.astype(np.int64), pairs.view(np.uint64), pair_n.astype(np.int64))
+        else:
+            _held[key] = _table(trained.folder, WORDS, part)
     return _held[key]
 
 
@@ -285,7 +304,7 @@ def score_documents(docs: DataFrame, trained: Trained) -> DataFrame:
             for part in range(word_parts):
                 at = np.flatnonzero((distinct >> np.uint64(40)) % np.uint64(word_parts) == part)
                 keys, known = _part(trained, WORDS, part)
-                where, hit = find(keys, distinct[at])
+                where, hit = find(keys, distinct[at].view(np.int64))
                 n[at[hit]] = known[where[hit]]
             base = np.log10((n + 0.1) / floor)[back]
             size = np.diff(np.append(firsts, len(words)))
