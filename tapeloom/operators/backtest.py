@@ -210,7 +210,7 @@ def inputs(events: DataFrame, cfg: Config) -> DataFrame:
     """Per event: own venue's top, order flow of events, and microprice, flow and mid where the market is two-sided; late events are left out."""
     late = Window.partitionBy("symbol").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
     on_time = events.withColumn("__max", F.max("exchange_ts_ns").over(late)).where("__max IS NULL OR exchange_ts_ns >= __max").drop("__max")
-    tops = with_tops(feat.event_ofi(on_time).drop("ofi_step"))
+    tops = with_tops(feat.event_ofi(on_time), keep=["arrival", "venue", "symbol", "exchange_ts_ns", "event_type", "side", "price", "qty", "ofi_events"])
     quotes = consolidate(tops.withColumn("own_bid", F.col("bid_price")).withColumn("own_ask", F.col("ask_price")))
     two = feat.two_sided(quotes).withColumn("ofi_step", feat.ofi_delta())
     seen = two.select(F.col("arrival").alias("a"), feat.trailing_sum("ofi_step", cfg.ofi_window_ns).cast("double").alias("ofi"), feat.microprice().alias("microprice"), feat.mid().alias("mid"))

@@ -175,12 +175,18 @@ def enrich(events: DataFrame) -> DataFrame:
     return events.withColumn("symbol", F.when(bare, symbol).otherwise(F.col("symbol")))
 
 
-def with_tops(events: DataFrame, compat: bool = False) -> DataFrame:
+NEEDED = ("arrival", "venue", "symbol", "event_type", "order_id", "reference_order_id", "side", "price", "qty")
+
+
+def with_tops(events: DataFrame, compat: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Every event with its own venue's best bid and offer after it, the queue ahead of a new order and whether the top changed.
 
+    `keep` names the events' columns that are wanted after it (all): Spark cannot prune through the walk, so the rest is cut before.
+
     Books are independent by venue and symbol (in compat mode by venue), so these are the groups; a group is walked once in order of arrival.
     """
-    columns = events.columns
+    columns = list(keep or events.columns)
+    events = events.select(*dict.fromkeys([*columns, *NEEDED]))
     keys = ["venue"] if compat else ["venue", "symbol"]
 
     def walk(table: pa.Table) -> pa.Table:
@@ -201,7 +207,7 @@ def with_tops(events: DataFrame, compat: bool = False) -> DataFrame:
             table = table.append_column(name, pa.array(values, pa.bool_() if name == "changed_top" else pa.int64()))
         return table.select([*columns, *names])
 
-    types = ", ".join(f"{n} {t}" for n, t in events.dtypes)
+    types = ", ".join(f"{n} {t}" for n, t in events.select(*columns).dtypes)
     return events.groupBy(*keys).applyInArrow(walk, f"{types}, {TOP}")
 
 

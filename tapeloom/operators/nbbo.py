@@ -34,8 +34,9 @@ def consolidate(tops: DataFrame) -> DataFrame:
     return filled.select(*keep, F.expr("b div 8").alias("bid_price"), of("bid_venue", "bid_qty").alias("bid_qty"), "bid_venue", F.expr("a div 8").alias("ask_price"), of("ask_venue", "ask_qty").alias("ask_qty"), "ask_venue")
 
 
-def nbbo(events: DataFrame, compat: bool = False) -> DataFrame:
-    return consolidate(with_tops(events, compat))
+def nbbo(events: DataFrame, compat: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """`keep` names the events' columns that are wanted after it; arrival, venue and symbol must be among them."""
+    return consolidate(with_tops(events, compat, keep))
 
 
 def changes(quotes: DataFrame) -> DataFrame:

@@ -47,8 +47,11 @@ def tape_sql(parts: str, select: str) -> str:
     return f"WITH {TAPE_SQL}{',' if parts else ''}{parts}\n{select}"
 
 
+QUOTED = ["arrival", "venue", "symbol", "event_type", "exchange_ts_ns", "ingest_ts_ns", "side", "qty", "price"]
+
+
 def _quotes(spark: SparkSession, d: str) -> DataFrame:
-    return nbbo.nbbo(book_events(spark, d))
+    return nbbo.nbbo(book_events(spark, d), keep=QUOTED)
 
 
 def stream_ticks(spark, d):
@@ -142,7 +145,7 @@ def book_reconcile(spark, d):
 
 
 def book_tops(spark, d):
-    return book.with_tops(book_events(spark, d)).select("arrival", "venue", "symbol", "bid_price", "bid_qty", "ask_price", "ask_qty", "queue_ahead")
+    return book.with_tops(book_events(spark, d), keep=["arrival", "venue", "symbol"]).select("arrival", "venue", "symbol", "bid_price", "bid_qty", "ask_price", "ask_qty", "queue_ahead")
 
 
 def nbbo_consolidated(spark, d):
@@ -162,7 +165,7 @@ def nbbo_asof(spark, d):
     ev = book_events(spark, d)
     hours = ev.agg(F.floor(F.min("exchange_ts_ns") / HOUR).alias("lo"), F.floor(F.max("exchange_ts_ns") / HOUR).alias("hi"))
     grid = hours.select(F.explode(F.sequence("lo", F.col("hi") + 1)).alias("h")).select((F.col("h") * HOUR).alias("ts"), F.explode(F.array(*(F.lit(f"SYM{k}") for k in range(8)))).alias("symbol"))
-    quotes = nbbo.changes(nbbo.nbbo(ev))
+    quotes = nbbo.changes(nbbo.nbbo(ev, keep=QUOTED))
     return nbbo.asof(grid, quotes, ["bid_price", "bid_qty", "ask_price", "ask_qty"]).select("symbol", "ts", "bid_price", "bid_qty", "ask_price", "ask_qty", "quote_ts", "found")
 
 

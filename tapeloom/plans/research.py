@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import stats
 from tapeloom.operators import features, nbbo, research
-from tapeloom.plans.market import HOUR, OFI_SQL, WINDOW, tape_sql
+from tapeloom.plans.market import HOUR, OFI_SQL, QUOTED, WINDOW, tape_sql
 from tapeloom.sources.adapter import book_events
 
 HORIZONS = (HOUR, 6 * HOUR, 24 * HOUR)
@@ -16,7 +16,7 @@ SIGNALS = ("ofi", "microprice_minus_mid", "queue_ahead", "ofi_times_spread", "bi
 
 def _rows(spark, d):
     """Feature rows with mid, without the sequential features, which their own queries cover."""
-    q = features.two_sided(nbbo.nbbo(book_events(spark, d))).withColumn("ofi_step", features.ofi_delta())
+    q = features.two_sided(nbbo.nbbo(book_events(spark, d), keep=QUOTED)).withColumn("ofi_step", features.ofi_delta())
     q = q.withColumn("ofi", features.trailing_sum("ofi_step", WINDOW).cast("double")).withColumn("microprice", features.microprice())
     return research.with_mid(features.with_kyle(q).withColumn("queue_ahead", F.col("queue_ahead").cast("double")))
 
