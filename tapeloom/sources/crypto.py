@@ -17,12 +17,14 @@ CONTROL, HEARTBEAT, SNAPSHOT, UPDATE, BAD = "control", "heartbeat", "snapshot",
 
 def parse_frames(frames: DataFrame) -> DataFrame:
     """(arrival, symbol, exchange_ts_ns, frame) with kind, channel, sequence (0 if there is none), event and rows (order_id, price, amount)."""
-    f = F.col("frame")
-    body = F.get_json_object(f, "$[1]")
-    many = F.from_json(body, "array<array<string>>")
-    one = F.from_json(body, "array<string>")
+    f, body, event = F.col("frame"), F.col("__body"), F.col("__event")
+    # Each path is read once: what is used more than once is a column of its own.
+    rest = [c for c in frames.columns if c != "frame"]
+    read = frames.select(*rest, F.get_json_object(f, "$[1]").alias("__body"), F.get_json_object(f, "$.event").alias("__event"), F.get_json_object(f, "$[0]").alias("__channel"), F.get_json_object(f, "$[2]").alias("__sequence"))
+    read = read.select("*", F.from_json(body, "array<string>").alias("__one"), F.when(body.rlike(r"^\s*\[\s*\["), F.from_json(body, "array<array<string>>")).when(body.rlike(r"^\s*\[\s*\]"), F.array().cast("array<array<string>>")).alias("__many"))
+    one, many = F.col("__one"), F.col("__many")
     kind = (
-        F.when(F.get_json_object(f, "$.event").isNotNull(), CONTROL)
+        F.when(event.isNotNull(), CONTROL)
         .when(body == "hb", HEARTBEAT)
         .when(body.rlike(r"^\s*\[\s*(\[|\])"), SNAPSHOT)
         .when(body.rlike(r"^\s*\[") & (F.size(one) == 3), UPDATE)
@@ -30,12 +32,12 @@ def parse_frames(frames: DataFrame) -> DataFrame:
     )
     as_row = lambda r: F.struct(F.try_element_at(r, F.lit(1)).try_cast("long").alias("order_id"), F.try_element_at(r, F.lit(2)).try_cast("double").alias("price"), F.try_element_at(r, F.lit(3)).try_cast("double").alias("amount"))
     rows = F.when(kind == SNAPSHOT, F.transform(many, as_row)).when(kind == UPDATE, F.array(as_row(one)))
-    parsed = frames.select(
-        *(c for c in frames.columns if c != "frame"),
+    parsed = read.select(
+        *rest,
         kind.alias("kind"),
-        F.get_json_object(f, "$[0]").try_cast("long").alias("channel"),
-        F.coalesce(F.get_json_object(f, "$[2]").try_cast("long"), F.lit(0).cast("long")).alias("frame_sequence"),
-        F.get_json_object(f, "$.event").alias("event"),
+        F.col("__channel").try_cast("long").alias("channel"),
+        F.coalesce(F.col("__sequence").try_cast("long"), F.lit(0).cast("long")).alias("frame_sequence"),
+        event.alias("event"),
         rows.alias("rows"),
     )
     whole = F.coalesce(F.forall("rows", lambda r: r["order_id"].isNotNull() & r["price"].isNotNull() & r["amount"].isNotNull()), F.lit(True))
