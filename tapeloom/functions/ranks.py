@@ -23,6 +23,20 @@ def global_rank(df: DataFrame, order: str, ties: list[str], name: str = "rank")
     return ranged.join(counts, "__range").withColumn(name, (F.col("__before") + inside).cast("long")).drop("__range", "__before")
 
 
+def running_max_before(df: DataFrame, order: str, value: str, name: str = "before") -> DataFrame:
+    """Adds the largest value of all rows before each in the order of a whole-number column; null for the first.
+
+    Ranges of the column are reduced to their maxima, which are carried into the ranges after them.
+    """
+    span = df.agg(F.min(order).alias("__low"), F.max(order).alias("__high"))
+    ranged = df.join(F.broadcast(span))  # one row
+    ranged = ranged.withColumn("__range", F.floor((F.col(order) - F.col("__low")) / ((F.col("__high") - F.col("__low") + 1) / F.lit(float(BUCKETS)))).cast("int")).drop("__low", "__high")
+    tops = ranged.groupBy("__range").agg(F.max(value).alias("__top"))
+    tops = tops.select("__range", F.max("__top").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__ahead"))
+    inside = F.max(value).over(Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return ranged.join(tops, "__range").withColumn(name, F.greatest("__ahead", inside)).drop("__range", "__ahead")
+
+
 def trailing(df: DataFrame, rank: str, rows: int, block: int, aggregates: dict) -> DataFrame:
     """Aggregates over the `rows` rows up to each, in the order of a global rank.
 

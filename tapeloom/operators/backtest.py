@@ -19,6 +19,7 @@ from tapeloom.functions.stats import drawdown, sharpe
 from tapeloom.operators import features as feat
 from tapeloom.operators.book import with_tops
 from tapeloom.operators.nbbo import consolidate
+from tapeloom.operators.sequence import clock_filter
 from tapeloom.schema import BUY, MATCHING_TRADES, SELL
 
 
@@ -208,8 +209,7 @@ TICKS = f"symbol string, arrival long, exchange_ts_ns long, submitted long, canc
 
 def inputs(events: DataFrame, cfg: Config) -> DataFrame:
     """Per event: own venue's top, order flow of events, and microprice, flow and mid where the market is two-sided; late events are left out."""
-    late = Window.partitionBy("symbol").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    on_time = events.withColumn("__max", F.max("exchange_ts_ns").over(late)).where("__max IS NULL OR exchange_ts_ns >= __max").drop("__max")
+    on_time = clock_filter(events).where("NOT rejected").drop("rejected")
     tops = with_tops(feat.event_ofi(on_time), keep=["arrival", "venue", "symbol", "exchange_ts_ns", "event_type", "side", "price", "qty", "ofi_events"])
     quotes = consolidate(tops.withColumn("own_bid", F.col("bid_price")).withColumn("own_ask", F.col("ask_price")))
     two = feat.two_sided(quotes).withColumn("ofi_step", feat.ofi_delta())

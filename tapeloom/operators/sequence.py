@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from tapeloom.functions.ranks import global_rank, running_max_before
+
 IN_ORDER, DUPLICATE, GAP_BUFFERED, GAP_TOO_LARGE = "in_order", "duplicate", "gap_buffered", "gap_too_large"
 LOOKBACK = 64
 
@@ -22,7 +24,10 @@ def forward_fill_time(events: DataFrame, by: list[str] = ()) -> DataFrame:
 
 
 def clock_filter(events: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Adds rejected: whether an event is older than one that arrived before it."""
+    """Adds rejected: whether an event is older than one that arrived before it, of all or of its own keys."""
+    if not by:
+        seen = running_max_before(events, "arrival", "exchange_ts_ns", "__seen")
+        return seen.withColumn("rejected", F.col("exchange_ts_ns") < F.coalesce("__seen", F.lit(0).cast("long"))).drop("__seen")
     w = Window.partitionBy(*by).orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
     return events.withColumn("rejected", F.col("exchange_ts_ns") < F.coalesce(F.max("exchange_ts_ns").over(w), F.lit(0).cast("long")))
 
@@ -51,8 +56,6 @@ def merge_order(events: DataFrame, rank: bool = True) -> DataFrame:
 
     An event waits for all before it in its venue, so its key is the largest of its venue so far. merge_rank is from 1.
     """
-    from tapeloom.functions.ranks import global_rank
-
     key = F.struct(F.col("exchange_ts_ns").alias("t"), F.col("venue").alias("v"), F.col("sequence").alias("s"), F.col("raw_type").alias("r"))
     w = Window.partitionBy("venue").orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0)
     keyed = events.withColumn("__k", F.max(key).over(w)).withColumn("__t", F.col("__k.t"))

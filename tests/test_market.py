@@ -232,6 +232,14 @@ def test_global_rank_and_trailing(spark):
     assert [r["s"] for r in t] == [int(s[max(0, i - 9) : i + 1].sum()) for i in range(700)]
 
 
+def test_clock_over_all_events(spark):
+    rng = np.random.default_rng(4)
+    ts = (np.arange(400) * 10 - rng.integers(0, 60, 400)).clip(1).tolist()
+    ev = tape(spark, [{"exchange_ts_ns": int(t), "venue": k % 3} for k, t in enumerate(ts)])
+    want = [k > 0 and ts[k] < max(ts[:k]) for k in range(400)]
+    assert [r["rejected"] for r in sequence.clock_filter(ev.repartition(5)).orderBy("arrival").collect()] == want
+
+
 def test_zscore_blocks_do_not_matter(spark):
     rows = spark.range(500).select(F.col("id").alias("arrival"), F.lit("X").alias("symbol"), F.lit(0).cast("long").alias("exchange_ts_ns"), ((F.col("id") * 37) % 101).cast("double").alias("ofi"))
     a = research.with_zscore(rows, block=120).orderBy("arrival").collect()
