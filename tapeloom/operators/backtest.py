@@ -212,10 +212,14 @@ def inputs(events: DataFrame, cfg: Config) -> DataFrame:
     on_time = clock_filter(events).where("NOT rejected").drop("rejected")
     tops = with_tops(feat.event_ofi(on_time), keep=["arrival", "venue", "symbol", "exchange_ts_ns", "event_type", "side", "price", "qty", "ofi_events"])
     quotes = consolidate(tops.withColumn("own_bid", F.col("bid_price")).withColumn("own_ask", F.col("ask_price")))
-    two = feat.two_sided(quotes).withColumn("ofi_step", feat.ofi_delta())
-    seen = two.select(F.col("arrival").alias("a"), feat.trailing_sum("ofi_step", cfg.ofi_window_ns).cast("double").alias("ofi"), feat.microprice().alias("microprice"), feat.mid().alias("mid"))
-    cells = ["arrival", "symbol", "exchange_ts_ns", "event_type", "side", "price", "qty", "own_bid", "own_ask", "ofi_events", "bid_price", "ask_price"]
-    return quotes.select(*cells).join(seen, F.col("arrival") == F.col("a"), "left").drop("a")
+    # Rows without both sides neither count nor move a feature: each stands in a group of its own, so one pass serves all rows.
+    two = F.coalesce((F.col("bid_price") != 0) & (F.col("ask_price") != 0), F.lit(False))
+    alone = F.concat("symbol", F.lit("\x00"), F.col("arrival").cast("string"))
+    q = quotes.withColumn("__symbol", F.col("symbol")).withColumn("__two", two).withColumn("symbol", F.when(F.col("__two"), F.col("symbol")).otherwise(alone))
+    q = q.withColumn("ofi_step", feat.ofi_delta())
+    seen = {"ofi": feat.trailing_sum("ofi_step", cfg.ofi_window_ns).cast("double"), "microprice": feat.microprice(), "mid": feat.mid()}
+    cells = ["arrival", "exchange_ts_ns", "event_type", "side", "price", "qty", "own_bid", "own_ask", "ofi_events", "bid_price", "ask_price"]
+    return q.select(F.col("__symbol").alias("symbol"), *cells, *(F.when(F.col("__two"), c).alias(n) for n, c in seen.items()))
 
 
 def simulate(events: DataFrame, cfg: Config | None = None) -> DataFrame:

@@ -107,11 +107,11 @@ def equity_buckets(spark, d):
 
 
 def experiment_report(spark, d):
-    return backtest.report(backtest.simulate(book_events(spark, d), MM), 24 * HOUR)
+    return backtest.report(backtest.simulate(book_events(spark, d), MM).persist(), 24 * HOUR)
 
 
 def risk_metrics(spark, d):
-    ticks = backtest.simulate(book_events(spark, d), MM)
+    ticks = backtest.simulate(book_events(spark, d), MM).persist()
     curve = backtest.equity_curve(ticks)
     r = backtest.bucket_returns(curve, 24 * HOUR).where("r IS NOT NULL").select("r")
     return stats.risk_metrics(r, curve.select(F.col("arrival").alias("at"), "equity"), backtest.fills(ticks).where("realized <> 0").select(F.col("realized").alias("pnl")))

@@ -15,10 +15,10 @@ SIGNALS = ("ofi", "microprice_minus_mid", "queue_ahead", "ofi_times_spread", "bi
 
 
 def _rows(spark, d):
-    """Feature rows with mid, without the sequential features, which their own queries cover."""
+    """Feature rows with mid, without the sequential features, which their own queries cover. Kept, as folds, labels and signals all read them."""
     q = features.two_sided(nbbo.nbbo(book_events(spark, d), keep=QUOTED)).withColumn("ofi_step", features.ofi_delta())
     q = q.withColumn("ofi", features.trailing_sum("ofi_step", WINDOW).cast("double")).withColumn("microprice", features.microprice())
-    return research.with_mid(features.with_kyle(q).withColumn("queue_ahead", F.col("queue_ahead").cast("double")))
+    return research.with_mid(features.with_kyle(q).withColumn("queue_ahead", F.col("queue_ahead").cast("double"))).persist()
 
 
 def _signals(rows):
