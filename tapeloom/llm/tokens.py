@@ -84,11 +84,17 @@ class Encoder:
         normaliser and pre-tokenizer would give them; other pieces go through the whole tokenizer."""
         core = piece.rstrip(TAIL)
         low = core.lower()
-        if not (core.isalpha() if low.isascii() else FORMS.keys() >= set(low)):
-            return self.whole(piece)
-        ids = self.pieces.known(low) if len(low) < len(piece) or low != piece else None
+        if low.isascii():
+            if not core.isalpha():
+                return self.whole(piece)
+            form = low
+        else:
+            try:
+                form = "".join(map(FORMS.__getitem__, low))
+            except KeyError:
+                return self.whole(piece)
+        ids = self.pieces.known(low) if low != piece else None
         if ids is None:
-            form = low if low.isascii() else "".join(map(FORMS.__getitem__, low))
             ids = array("I", [t.id for t in self.model.tokenize(form)]).tobytes()
             if low != piece:
                 self.pieces[low] = ids
@@ -196,10 +202,10 @@ def read_shards(files: DataFrame, folder: str) -> DataFrame:
             for row in b.to_pylist():
                 with fs.open_input_stream(f"{base}/{row['file']}") as f:
                     matrix = WaveletMatrix.from_bytes(f.read())
-                tokens = matrix.decode().astype("<u4")
+                tokens = matrix.decode().astype("<u4", copy=False)
                 ends = matrix.ends.astype(np.int64)
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                raw = memoryview(tokens.tobytes())
+                raw = memoryview(tokens).cast("B")
                 crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["offset"] + starts), pa.array(ends - starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 

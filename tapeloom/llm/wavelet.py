@@ -130,4 +130,4 @@ class WaveletMatrix:
             back[np.flatnonzero(~on)] = out[: self.zeros[k]]
             back[np.flatnonzero(on)] = out[self.zeros[k] :] | out.dtype.type(1 << (len(self.planes) - 1 - k))
             out = back
-        return out.astype(np.uint32)
+        return out.astype(np.uint32, copy=False)
