@@ -5,9 +5,11 @@ GRAM words (its hash covers the lines in order, so equal grams are equal runs).
 MIN_WORDS - GRAM words after a line the smallest hash is selected, the later of equals, so any run of lines that
 repeats with MIN_WORDS words or more has a gram selected in both places, and nothing shorter than GRAM words ever matches.
 
-Selected grams are joined by hash with their first position (smallest doc_id, then line): a gram in very many documents
-costs a row a place, never pairs. Each match is a diagonal of two documents; along it equal lines are extended both ways as
-far as they run, and runs of MIN_WORDS words or more are deleted from the later place. The first place always stays.
+Documents that share a selected gram are candidates; no other can hold a repeat. In these every shortest run of whole lines
+of MIN_WORDS words or more, from a line on and up to a line, is hashed, and runs are joined by hash with their first place
+(smallest doc_id, then line): a run in very many documents costs a row a place, never pairs. A run that is not the
+first is deleted. Any longer repeat is the union of such runs, so exactly the lines in a run of MIN_WORDS words or more that
+also stands at some earlier place go, whichever documents hold its parts first. The first place always stays.
 
 Defined results: null and empty texts have no lines and stay as they are; rows with a null doc_id take no part and stay
 as they are; rows of one doc_id and different texts are documents of their own, equal rows are one and are all cleaned alike; an
@@ -62,7 +64,7 @@ def fingerprints(rows: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM)
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
-    """(doc_id, tx, line, n) of every line to delete."""
+    """(doc_id, tx, line, n) of lines in repeats of the first places of selected grams: a part of every_repeat, and what ORACLE_SQL finds."""
     if not 1 <= gram <= min_words:
         raise ValueError("1 <= gram <= min_words")
     rows = stored(lines(docs), "line-hashes")
@@ -79,9 +81,38 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> Da
     return runs.where(F.col("words") >= min_words).select(*DOC, "line", "n").distinct()
 
 
+def shortest_runs(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, tx, nth, size, g): place, number of lines and hash of each shortest run with min_words, from a line on and up to a line."""
+    by = Window.partitionBy(*DOC)
+    onward = by.orderBy("at").rangeBetween(0, min_words - 1)
+    back = by.orderBy("end").rangeBetween(1 - min_words, 0)
+    each = rows.withColumn("end", F.col("at") + F.col("n"))
+    for side, within in (("onward", onward), ("back", back)):
+        each = each.withColumn(side, F.collect_list("h").over(within)).withColumn(f"{side}_words", F.sum("n").over(within))
+    run = lambda side, nth: F.when(F.col(f"{side}_words") >= min_words, F.struct(nth.alias("nth"), F.size(side).alias("size"), F.col(side).alias("run")))
+    both = F.array(run("onward", F.col("nth")), run("back", F.col("nth") - F.size("back") + 1))
+    runs = each.select(*DOC, F.explode(both).alias("r")).where("r IS NOT NULL")
+    return runs.select(*DOC, "r.nth", "r.size", _h(F.array_join(F.transform("r.run", lambda x: x.cast("string")), ",")).alias("g")).distinct()
+
+
+def every_repeat(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
+    """(doc_id, tx, line, n) of every line to delete."""
+    if not 1 <= gram <= min_words:
+        raise ValueError("1 <= gram <= min_words")
+    rows = stored(lines(docs), "line-hashes")
+    chosen = stored(fingerprints(rows, min_words, gram), "line-prints")
+    shared = chosen.groupBy("g").agg(F.count("*").alias("places")).where("places > 1").select("g")
+    candidates = chosen.join(shared, "g", "left_semi").select(*DOC).distinct()
+    runs = stored(shortest_runs(rows.join(candidates, DOC, "left_semi"), min_words), "line-runs")
+    first = runs.groupBy("g").agg(F.min(F.struct(*DOC, "nth")).alias("first"), F.count("*").alias("places")).where("places > 1")
+    later = runs.join(first, "g").where(F.struct(*DOC, "nth") != F.col("first"))
+    gone = later.select(*DOC, F.explode(F.sequence("nth", F.col("nth") + F.col("size") - 1)).alias("nth")).distinct()
+    return rows.join(gone, [*DOC, "nth"]).select(*DOC, "line", "n")
+
+
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
     """doc_id, text, clean_text, n_lines, n_removed and n_removed_words of every row."""
-    gone = repeats(docs, min_words, gram).groupBy(*DOC).agg(F.collect_list("line").alias("gone"), F.sum("n").alias("gone_words"))
+    gone = every_repeat(docs, min_words, gram).groupBy(*DOC).agg(F.collect_list("line").alias("gone"), F.sum("n").alias("gone_words"))
     joined = docs.select(*_row_keys(docs), "text").join(gone, DOC, "left")
     kept = F.expr("array_join(filter(split(text, '\n', -1), (x, i) -> NOT array_contains(gone, i)), '\n')")
     return joined.select(

@@ -202,6 +202,41 @@ def test_line_dedup_catches_one_long_line(spark):
     assert got == {1: f"a\n{line}\nb", 2: "c\nd", 3: ""}
 
 
+def lines_repeated_anywhere(rows, least=50):
+    """Lines in a run of whole lines with `least` words or more that stands at some earlier place too, comparing all places."""
+    texts = sorted({(i, t) for i, t in rows if i is not None and t is not None}, key=lambda r: (r[0], linededup_hash(r[1])))
+    kept = [(i, [(n, len(x.split()), x.strip()) for n, x in enumerate(t.split("\n")) if x.split()]) for i, t in texts]
+    gone = defaultdict(set)
+    for d, (i, a) in enumerate(kept):
+        for e, (_, b) in enumerate(kept[: d + 1]):
+            for shift in range(1 if d == e else 1 - len(b), len(a)):
+                same = [k for k in range(len(a)) if 0 <= k - shift < len(b) and a[k][2] == b[k - shift][2]]
+                for _, run in itertools.groupby(enumerate(same), lambda x: x[1] - x[0]):
+                    run = [k for _, k in run]
+                    if sum(a[k][1] for k in run) >= least:
+                        gone[i, linededup_hash(texts[d][1])] |= {a[k][0] for k in run}
+    return {key: sorted(v) for key, v in gone.items()}
+
+
+def linededup_hash(t):
+    import hashlib
+
+    return int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
+
+
+def test_line_dedup_finds_passages_whose_parts_stand_first_elsewhere(spark):
+    one, two = words(30, seed=301), words(30, seed=302)
+    rows = [(1, one), (2, two), (3, f"{one}\n{two}"), (4, f"x\n{one}\n{two}\ny")]
+    assert {r["doc_id"]: r["clean_text"] for r in linededup.deduplicated(docs(spark, rows)).collect()} == {1: one, 2: two, 3: f"{one}\n{two}", 4: "x\ny"}
+    rng = random.Random(9)
+    pool = [words(n, seed=600 + n) for n in (1, 2, 9, 17, 24, 26, 31, 49)]
+    rows = [*((k, pool[k]) for k in range(8)), *((20 + k, "\n".join(rng.choice(pool) for _ in range(rng.randrange(2, 9)))) for k in range(60))]
+    got = defaultdict(list)
+    for r in linededup.every_repeat(docs(spark, rows)).collect():
+        got[r["doc_id"], r["tx"]].append(r["line"])
+    assert got and {k: sorted(v) for k, v in got.items()} == lines_repeated_anywhere(rows)
+
+
 def test_line_dedup_empty(spark):
     assert linededup.deduplicated(docs(spark, EMPTY)).count() == 0
 
