@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on all rows that the stage before
 return the columns of documents, untouched. Between stages the rows are written to the shared folder and read again, so
 a lost executor costs one stage's tasks at most.
 
-Rows of one doc_id stand or fall together from the second stage on; rows without a doc_id are judged by quality alone, and of
-those with equal fingerprints near-dedup keeps none where a document with an id has it, else one.
+A row is a document: near-dedup keeps one row of each group whatever ids it holds, so rows of one doc_id and different texts
+stay apart, and a row without a doc_id stays where its group has no row with one.
 """
 
 from __future__ import annotations
@@ -31,26 +31,33 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id."""
-    found = stored(simhash.near_duplicates(docs), "dedup-found")
-    gone = stored(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1"), "dedup-gone")
-    kept = docs.join(gone.where("NOT kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each near-duplicate group: of the smallest doc_id, fingerprint and row in it; a row without an id only where no other is."""
+    rows = stored(simhash.fingerprints(docs), "dedup-prints")
+    by_fp = stored(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lonely"), "doc_id")).alias("least")), "dedup-distinct")
+    groups = by_fp.join(simhash.link_fingerprints(by_fp.select("fp")), "fp")
+    keepers = groups.groupBy("component").agg(F.min(F.struct("least.lonely", "least.doc_id", "fp")).alias("k"))
+    keepers = stored(keepers.select("k.doc_id", "k.fp"), "dedup-keepers")
+    chosen = keepers.where("doc_id IS NOT NULL").withColumn("chosen", F.lit(True))
+    per_id = rows.where("doc_id IS NOT NULL").groupBy("doc_id", "fp").agg(F.count("*").alias("n")).join(chosen, ["doc_id", "fp"], "left")
+    per_id = per_id.groupBy("doc_id").agg(F.sum("n").alias("n"), F.max(F.coalesce("chosen", F.lit(False))).alias("kept"))
+    apart = stored(per_id.where("NOT kept OR n > 1"), "dedup-apart")
+    once = docs.where("doc_id IS NOT NULL").join(apart.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
     lonely = docs.where("doc_id IS NULL").limit(1).count() > 0
-    repeated = gone.where("kept").limit(1).count() > 0
+    repeated = apart.where("kept AND n > 1").limit(1).count() > 0
     if not (lonely or repeated):
-        return kept
-    return _one_row_each(kept, gone, found, docs.columns)
-
-
-def _one_row_each(kept: DataFrame, gone: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows that repeat a kept doc_id, and rows without one, are cut down to a row each by their fingerprints."""
-    once = kept.where("doc_id IS NOT NULL").join(gone.where("kept").select("doc_id"), "doc_id", "left_anti").select(*columns)
-    again = kept.join(gone.where("kept").select("doc_id"), "doc_id", "left_semi").select(*columns).dropDuplicates(["doc_id"])
-    named = found.where("doc_id IS NULL AND component_id IS NULL").select("fingerprint").distinct()
-    prints = F.udf(lambda b: format(simhash.fingerprint(bytes(b)), "016x"), "string")
-    lonely = kept.where("doc_id IS NULL").withColumn("__print", prints(text_bytes()))
-    lonely = lonely.join(named.withColumnRenamed("fingerprint", "__print"), "__print", "left_semi").dropDuplicates(["__print"]).select(*columns)
-    return once.unionByName(again).unionByName(lonely)
+        return once
+    return once.unionByName(_one_row_each(docs, apart.where("kept AND n > 1").select("doc_id"), keepers))
+
+
+def _one_row_each(docs: DataFrame, repeated: DataFrame, keepers: DataFrame) -> DataFrame:
+    """Of rows that share a doc_id, and of rows without one, the least row of each kept id and fingerprint."""
+    prints = F.udf(lambda b: int.from_bytes(simhash.fingerprint(bytes(b)).to_bytes(8, "big"), "big", signed=True), "long")
+    again = docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL")).withColumn("__print", prints(text_bytes()))
+    chosen = keepers.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"))
+    met = again.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__print") == F.col("__fp")), "left_semi")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    least = met.groupBy("doc_id", "__print").agg(F.min(F.struct("text", *rest)).alias("__row"))
+    return least.select("doc_id", "__row.*").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

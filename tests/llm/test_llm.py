@@ -578,6 +578,15 @@ def test_dedup_stage_edges(spark, small):
     assert P.dedup_stage(spark, docs(spark, EMPTY), small).count() == 0
 
 
+def test_dedup_stage_keeps_a_row_of_each_group_under_shared_ids(spark, small):
+    import corpus_pipeline as P
+
+    far = [words(60, seed=700 + k) for k in range(6)]
+    rows = [*((7, t) for t in far), (1, far[0]), (3, far[5]), (9, far[1]), (7, far[2]), (None, far[3]), (None, words(60, seed=800)), (None, words(60, seed=800))]
+    got = Counter((r["doc_id"], r["text"]) for r in P.dedup_stage(spark, docs(spark, rows), small).collect())
+    assert got == Counter([(1, far[0]), (7, far[1]), (7, far[2]), (7, far[3]), (7, far[4]), (3, far[5]), (None, words(60, seed=800))])
+
+
 def test_held_out_matches_zlib(spark):
     got = {r["id"]: r["h"] for r in spark.range(200).select("id", F.col("id").alias("doc_id")).select("id", held_out(10, 0).alias("h")).collect()}
     assert all(h == (zlib.crc32(str(i).encode()) % 10 == 0) for i, h in got.items())
