@@ -3,7 +3,8 @@
 Words lose outer punctuation and case; numbers, names (capitalised inside a sentence) and units become typed
 placeholders. Every window of WINDOW template words of a document is hashed; those that pass a bitmap of the
 benchmark's windows, of fixed size, are joined with the benchmark's windows on the hash. Hits of a document and an item
-that lie on one diagonal form an alignment. Its slots must be consistent: over the words covered, a filling of the
+that lie on one diagonal form an alignment. Windows are also hashed as plain lower-cased words, and a hit of either form counts,
+so copies are found whatever their case or line breaks (with other names filled in, names must be seen as such). Its slots must be consistent: over the words covered, a filling of the
 item's always stands against the same filling in the document, and back (numbers, names and units each on
 their own; a tenth of the slots may be at odds), and at least MIN_WORDS plain words must be covered. So a question with other
 numbers or names filled in is found, while text that merely has its shape is not. A document is contaminated by an
@@ -108,6 +109,8 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                 hashes = windows(form, length).view(np.int64) if length else np.zeros(0, np.int64)
                 row = lambda h, p, kind: (int(h), item, p, length, len(hashes), kind[p : p + length].tolist(), fill[p : p + length].view(np.int64).tolist())
                 rows += [row(h, p, kind) for p, h in enumerate(hashes)]
+                plain, zero = (windows(fill, length).view(np.int64), np.zeros_like(kind)) if length else (hashes, kind)
+                rows += [row(h, p, zero) for p, h in enumerate(plain) if h != hashes[p]]
                 if length and kind[0] == WORD and capital[0]:  # inside a sentence, its first word reads as a name
                     kind = np.concatenate([[NAME], kind[1:length]]).astype(kind.dtype)
                     rows.append(row(windows(_forms(kind, fill[:length]), length).view(np.int64)[0], 0, kind))
@@ -141,15 +144,20 @@ def alignments(docs: DataFrame, grams: DataFrame) -> DataFrame:
             ids, pos, found, kinds, fills = [], [], [], [], []
             for doc_id, body in zip(b.column("doc_id").to_pylist(), b.column("body").to_pylist()):
                 form, kind, fill, _ = template(body, cache)
+                slots = kind.any()
                 for length in lengths:
-                    h = windows(form, length)
-                    slot = h >> np.uint64(64 - BITMAP_BITS)
-                    for p in np.flatnonzero(bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).tolist():
-                        ids.append(doc_id)
-                        pos.append(p)
-                        found.append(int(h[p : p + 1].view(np.int64)[0]))
-                        kinds.append(kind[p : p + length].tolist())
-                        fills.append(fill[p : p + length].view(np.int64).tolist())
+                    typed = windows(form, length)
+                    for h, types in ((typed, kind), (windows(fill, length), np.zeros_like(kind))) if slots else ((typed, kind),):
+                        slot = h >> np.uint64(64 - BITMAP_BITS)
+                        hit = bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)
+                        if types is not kind:
+                            hit = hit & (h != typed)
+                        for p in np.flatnonzero(hit).tolist():
+                            ids.append(doc_id)
+                            pos.append(p)
+                            found.append(int(h[p : p + 1].view(np.int64)[0]))
+                            kinds.append(types[p : p + length].tolist())
+                            fills.append(fill[p : p + length].view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(found, pa.int64()), pa.array(kinds, pa.list_(pa.int32())), pa.array(fills, pa.list_(pa.int64()))], ["doc_id", "doc_pos", "h", "doc_kinds", "doc_fills"])
 
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
@@ -157,23 +165,28 @@ def alignments(docs: DataFrame, grams: DataFrame) -> DataFrame:
     return hits.join(grams, "h").where(F.col("doc_kinds") == F.col("kinds")).withColumn("shift", F.col("doc_pos") - F.col("pos"))
 
 
-def _contradictions(hits: DataFrame) -> DataFrame:
-    """Per alignment: plain words covered, slots, and slots whose filling is at odds with another's."""
+def _cells(hits: DataFrame) -> DataFrame:
+    """Per alignment and word of the item covered: its kind, whether a window of plain words covers it, and the fillings."""
     key = ["doc_id", "item_id", "shift"]
-    cells = (
+    return (
         hits.select(*key, "pos", F.posexplode(F.arrays_zip("kinds", "fills", "doc_fills")).alias("k", "cell"))
         .select(*key, (F.col("pos") + F.col("k")).alias("at"), "cell.*")
         .groupBy(*key, "at")
-        .agg(F.first("kinds").alias("kind"), F.first("fills").alias("fill"), F.first("doc_fills").alias("doc_fill"))
+        .agg(F.max("kinds").alias("kind"), (F.min("kinds") == WORD).alias("plain"), F.first("fills").alias("fill"), F.first("doc_fills").alias("doc_fill"))
     )
-    pairs = cells.groupBy(*key, "kind", "fill", "doc_fill").agg(F.count("*").alias("n"))
+
+
+def _contradictions(cells: DataFrame) -> DataFrame:
+    """Per alignment: plain words covered, slots, and slots whose filling is at odds with another's."""
+    key = ["doc_id", "item_id", "shift"]
+    pairs = cells.groupBy(*key, "kind", "fill", "doc_fill").agg(F.count("*").alias("n"), F.sum(F.col("plain").cast("int")).alias("n_plain"))
     there, back = Window.partitionBy(*key, "kind", "fill"), Window.partitionBy(*key, "kind", "doc_fill")
     odd = (F.count("*").over(there) > 1) | (F.count("*").over(back) > 1)
     return (
         pairs.withColumn("odd", F.when(F.col("kind") != WORD, odd).otherwise(False))
         .groupBy(*key)
         .agg(
-            F.sum(F.when(F.col("kind") == WORD, F.col("n")).otherwise(0)).alias("n_words"),
+            F.sum("n_plain").alias("n_words"),
             F.sum(F.when(F.col("kind") != WORD, F.col("n")).otherwise(0)).alias("n_slots"),
             F.sum(F.when(F.col("odd"), F.col("n")).otherwise(0)).alias("n_odd"),
             F.sum(F.when((F.col("kind") != WORD) & (F.col("fill") != F.col("doc_fill")), F.col("n")).otherwise(0)).alias("n_changed"),
@@ -186,7 +199,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     grams = stored(benchmark_windows(benchmark, window), "decontam-grams")
     hits = stored(alignments(docs, grams), "decontam-hits")
     key = ["doc_id", "item_id", "shift"]
-    judged = _contradictions(hits)
+    judged = _contradictions(_cells(hits))
     clean = judged.where((F.col("n_words") >= F.least(F.lit(min_words), F.col("n_words") + F.col("n_slots"))) & (F.col("n_odd") * 10 <= F.col("n_slots")))
     kept = hits.select(*key, "pos", "n_windows").join(clean, key)
     per_item = kept.groupBy("doc_id", "item_id").agg(

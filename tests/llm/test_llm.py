@@ -266,6 +266,15 @@ def test_decontamination_short_items_and_edges(spark):
     assert leaks(spark, EMPTY) == set() and leaks(spark, EDGES, []) == set()
 
 
+NAMED = "Natalia sold clips to 48 of her friends in April and then she sold half as many clips to James and Robert in Boston during May"
+
+
+def test_decontamination_finds_copies_in_any_case_and_wrapped(spark):
+    wrapped = "\n".join(re.findall(r".{1,20}(?:\s|$)", NAMED))
+    got = leaks(spark, [(1, NAMED.lower()), (2, NAMED.upper()), (3, wrapped), (4, f"{words(30)} {NAMED}"), (5, words(200))], [NAMED])
+    assert got == {(1, 0), (2, 0), (3, 0), (4, 0)}
+
+
 def test_decontamination_equals_plain_windows(spark, small):
     """Verbatim items in the provided documents, found by comparing word windows."""
     d, b = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
