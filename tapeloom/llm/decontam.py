@@ -3,11 +3,13 @@
 Words lose outer punctuation and case; numbers, names (capitalised inside a sentence) and units become typed
 placeholders. Every window of WINDOW template words of a document is hashed; those that pass a bitmap of the
 benchmark's windows, of fixed size, are joined with the benchmark's windows on the hash. Hits of a document and an item
-that lie on one diagonal form an alignment. Windows are also hashed as plain lower-cased words, and a hit of either form counts,
-so copies are found whatever their case or line breaks (with other names filled in, names must be seen as such). Its slots must be consistent: over the words covered, a filling of the
-item's always stands against the same filling in the document, and back (numbers, names and units each on
-their own; a tenth of the slots may be at odds), and at least MIN_WORDS plain words must be covered. So a question with other
-numbers or names filled in is found, while text that merely has its shape is not. A document is contaminated by an
+that lie on one diagonal form an alignment. Windows are also hashed as plain lower-cased words, and a hit of either form
+counts, so copies are found whatever their case or line breaks (with other names filled in, names must be seen as such).
+The slots of an alignment must be consistent: over the words covered, a filling of the item's always stands against the same
+filling in the document, and of names back too (numbers may collide; names, numbers and units each on their own; a
+tenth of the slots may be at odds, and more of the numbers and units where nine tenths of the item's plain words agree), and at
+least MIN_WORDS plain words must be covered. So a question with other numbers or names filled in is found, while text
+that merely has its shape is not. A document is contaminated by an
 item of which its consistent alignments together cover at least the share COVER of windows.
 
 Items shorter than WINDOW words make one window of their whole length. An item without words matches nothing.
@@ -97,7 +99,7 @@ def windows(form: np.ndarray, length: int) -> np.ndarray:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(h, item_id, pos, length, n_windows, kinds, fills): a row for each window of each item, with its slots."""
+    """(h, item_id, pos, length, n_windows, n_plain, kinds, fills): a row for each window of each item, with its slots, and the item's plain words."""
 
     def extract(batches):
         cache = WordCache(_packed)
@@ -107,7 +109,8 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                 form, kind, fill, capital = template(body, cache)
                 length = min(window, len(form))
                 hashes = windows(form, length).view(np.int64) if length else np.zeros(0, np.int64)
-                row = lambda h, p, kind: (int(h), item, p, length, len(hashes), kind[p : p + length].tolist(), fill[p : p + length].view(np.int64).tolist())
+                n_plain = int((kind == WORD).sum())
+                row = lambda h, p, kind: (int(h), item, p, length, len(hashes), n_plain, kind[p : p + length].tolist(), fill[p : p + length].view(np.int64).tolist())
                 rows += [row(h, p, kind) for p, h in enumerate(hashes)]
                 plain, zero = (windows(fill, length).view(np.int64), np.zeros_like(kind)) if length else (hashes, kind)
                 rows += [row(h, p, zero) for p, h in enumerate(plain) if h != hashes[p]]
@@ -116,11 +119,11 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                     rows.append(row(windows(_forms(kind, fill[:length]), length).view(np.int64)[0], 0, kind))
             if rows:
                 cols = list(zip(*rows))
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["h", "item_id", "pos", "length", "n_windows", "kinds", "fills"])
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["h", "item_id", "pos", "length", "n_windows", "n_plain", "kinds", "fills"])
 
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), text_bytes().alias("body"))
-    return items.mapInArrow(extract, "h long, item_id long, pos int, length int, n_windows int, kinds array<int>, fills array<long>")
+    return items.mapInArrow(extract, "h long, item_id long, pos int, length int, n_windows int, n_plain int, kinds array<int>, fills array<long>")
 
 
 def _bitmap(grams: DataFrame) -> tuple[np.ndarray, list[int]]:
@@ -181,7 +184,8 @@ def _contradictions(cells: DataFrame) -> DataFrame:
     key = ["doc_id", "item_id", "shift"]
     pairs = cells.groupBy(*key, "kind", "fill", "doc_fill").agg(F.count("*").alias("n"), F.sum(F.col("plain").cast("int")).alias("n_plain"))
     there, back = Window.partitionBy(*key, "kind", "fill"), Window.partitionBy(*key, "kind", "doc_fill")
-    odd = (F.count("*").over(there) > 1) | (F.count("*").over(back) > 1)
+    many = F.count("*").over(there) > 1
+    odd = F.when(F.col("kind") == NAME, many | (F.count("*").over(back) > 1)).otherwise(many)
     return (
         pairs.withColumn("odd", F.when(F.col("kind") != WORD, odd).otherwise(False))
         .groupBy(*key)
@@ -189,6 +193,8 @@ def _contradictions(cells: DataFrame) -> DataFrame:
             F.sum("n_plain").alias("n_words"),
             F.sum(F.when(F.col("kind") != WORD, F.col("n")).otherwise(0)).alias("n_slots"),
             F.sum(F.when(F.col("odd"), F.col("n")).otherwise(0)).alias("n_odd"),
+            F.sum(F.when(F.col("odd") & (F.col("kind") == NAME), F.col("n")).otherwise(0)).alias("n_odd_names"),
+            F.sum(F.when(F.col("kind") == WORD, F.col("n")).otherwise(0)).alias("n_agree"),
             F.sum(F.when((F.col("kind") != WORD) & (F.col("fill") != F.col("doc_fill")), F.col("n")).otherwise(0)).alias("n_changed"),
         )
     )
@@ -199,8 +205,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     grams = stored(benchmark_windows(benchmark, window), "decontam-grams")
     hits = stored(alignments(docs, grams), "decontam-hits")
     key = ["doc_id", "item_id", "shift"]
-    judged = _contradictions(_cells(hits))
-    clean = judged.where((F.col("n_words") >= F.least(F.lit(min_words), F.col("n_words") + F.col("n_slots"))) & (F.col("n_odd") * 10 <= F.col("n_slots")))
+    plain = hits.groupBy(*key).agg(F.max("n_plain").alias("n_plain"))
+    judged = _contradictions(_cells(hits)).join(plain, key)
+    steady = (F.col("n_odd") * 10 <= F.col("n_slots")) | ((F.col("n_odd_names") * 10 <= F.col("n_slots")) & (F.col("n_agree") * 10 >= F.col("n_plain") * 9))
+    clean = judged.where((F.col("n_words") >= F.least(F.lit(min_words), F.col("n_words") + F.col("n_slots"))) & steady)
     kept = hits.select(*key, "pos", "n_windows").join(clean, key)
     per_item = kept.groupBy("doc_id", "item_id").agg(
         (F.countDistinct("pos") / F.first("n_windows")).alias("coverage"),

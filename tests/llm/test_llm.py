@@ -275,6 +275,14 @@ def test_decontamination_finds_copies_in_any_case_and_wrapped(spark):
     assert got == {(1, 0), (2, 0), (3, 0), (4, 0)}
 
 
+def test_decontamination_lets_numbers_collide(spark):
+    meet = QUESTION.replace("12", "9").replace("3 ", "9 ")  # two numbers, one value
+    twice = QUESTION.replace("5 apples", "12 apples")
+    parted = twice.replace("12", "8", 1)  # one number, two values
+    got = leaks(spark, [(1, f"{words(30)} {meet}"), (2, f"{words(30)} {parted}"), (3, words(200))], [QUESTION, twice])
+    assert {(1, 0), (2, 1)} <= got and not {d for d, _ in got} & {3}
+
+
 def test_decontamination_equals_plain_windows(spark, small):
     """Verbatim items in the provided documents, found by comparing word windows."""
     d, b = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
