@@ -10,9 +10,11 @@ filling in the document, and of names back too (numbers may collide; names, numb
 tenth of the slots may be at odds, and more of the numbers and units where nine tenths of the item's plain words agree), and at
 least MIN_WORDS plain words must be covered. So a question with other numbers or names filled in is found, while text
 that merely has its shape is not. A document is contaminated by an
-item of which its consistent alignments together cover at least the share COVER of windows.
+item of which its consistent alignments together cover at least the share COVER of windows or of words, or one of them
+RUN words in a row, half of them plain. Less than that, as a third of a short item, is not told from common phrases.
 
-Items shorter than WINDOW words make one window of their whole length. An item without words matches nothing.
+Items shorter than WINDOW words make one window of their whole length; those of 11 to 16 words have windows of half their
+length, so one changed word leaves windows whole. An item without words matches nothing.
 Both sides are large-safe: the bitmap is 2**BITMAP_BITS bits whatever the benchmark's size, the join is a shuffle join
 that Spark may broadcast by the size it measured, and a window that many documents share is one row a document and item.
 
@@ -34,6 +36,8 @@ from tapeloom.llm.common import WordCache, mix, stored, text_bytes, word_hash
 WINDOW = 8
 COVER = 0.5
 MIN_WORDS = 4
+RUN = 13  # covered words in a row that suffice alone
+LEAST_WINDOW = 5  # of items of under 2 * WINDOW + 1 words
 BITMAP_BITS = 23
 WORD, NUMBER, NAME, UNIT, NOTHING = range(5)
 
@@ -98,6 +102,11 @@ def windows(form: np.ndarray, length: int) -> np.ndarray:
     return mix(np.uint64(length), *(form[i : i + n] for i in range(length)))
 
 
+def window_of(n: int, window: int = WINDOW) -> int:
+    """Window of an item of n words: where one changed word in the middle would leave no whole window, half of the rest, or LEAST_WINDOW."""
+    return min(window, n) if n < 2 * LEAST_WINDOW + 1 else min(window, (n - 1) // 2)
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(h, item_id, pos, length, n_windows, n_plain, kinds, fills): a row for each window of each item, with its slots, and the item's plain words."""
 
@@ -107,7 +116,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
             rows = []
             for item, body in zip(b.column("item_id").to_pylist(), b.column("body").to_pylist()):
                 form, kind, fill, capital = template(body, cache)
-                length = min(window, len(form))
+                length = window_of(len(form), window)
                 hashes = windows(form, length).view(np.int64) if length else np.zeros(0, np.int64)
                 n_plain = int((kind == WORD).sum())
                 row = lambda h, p, kind: (int(h), item, p, length, len(hashes), n_plain, kind[p : p + length].tolist(), fill[p : p + length].view(np.int64).tolist())
@@ -206,16 +215,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     hits = stored(alignments(docs, grams), "decontam-hits")
     key = ["doc_id", "item_id", "shift"]
     plain = hits.groupBy(*key).agg(F.max("n_plain").alias("n_plain"))
-    judged = _contradictions(_cells(hits)).join(plain, key)
+    cells = stored(_cells(hits), "decontam-cells")
+    judged = _contradictions(cells).join(plain, key)
     steady = (F.col("n_odd") * 10 <= F.col("n_slots")) | ((F.col("n_odd_names") * 10 <= F.col("n_slots")) & (F.col("n_agree") * 10 >= F.col("n_plain") * 9))
-    clean = judged.where((F.col("n_words") >= F.least(F.lit(min_words), F.col("n_words") + F.col("n_slots"))) & steady)
-    kept = hits.select(*key, "pos", "n_windows").join(clean, key)
+    clean = stored(judged.where((F.col("n_words") >= F.least(F.lit(min_words), F.col("n_words") + F.col("n_slots"))) & steady), "decontam-clean")
+    kept = hits.select(*key, "pos", "length", "n_windows").join(clean, key)
     per_item = kept.groupBy("doc_id", "item_id").agg(
         (F.countDistinct("pos") / F.first("n_windows")).alias("coverage"),
+        (F.first("n_windows") + F.first("length") - 1).alias("n_item"),
         F.max("n_slots").alias("n_slots"),
         F.min("n_changed").alias("n_changed"),
     )
-    return per_item.where(F.col("coverage") >= cover)
+    sound = cells.join(clean.select(*key), key)
+    covered = sound.groupBy("doc_id", "item_id").agg(F.countDistinct("at").alias("n_covered"))
+    island = F.col("at") - F.row_number().over(Window.partitionBy(*key).orderBy("at"))
+    runs = sound.withColumn("island", island).groupBy(*key, "island").agg(F.count("*").alias("n"), F.sum(F.col("plain").cast("int")).alias("n_plain"))
+    long_run = runs.where((F.col("n") >= RUN) & (F.col("n_plain") * 2 >= F.col("n"))).select("doc_id", "item_id").distinct().withColumn("long_run", F.lit(True))
+    all_of = per_item.join(covered, ["doc_id", "item_id"]).join(long_run, ["doc_id", "item_id"], "left")
+    found = all_of.where((F.col("coverage") >= cover) | (F.col("n_covered") >= cover * F.col("n_item")) | F.col("long_run"))
+    return found.select("doc_id", "item_id", "coverage", "n_slots", "n_changed")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

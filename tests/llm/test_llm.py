@@ -283,6 +283,15 @@ def test_decontamination_lets_numbers_collide(spark):
     assert {(1, 0), (2, 1)} <= got and not {d for d, _ in got} & {3}
 
 
+def test_decontamination_finds_edited_items_and_long_parts(spark):
+    bench = [words(n, seed=900 + n) for n in (11, 13, 15, 16, 17, 24, 40, 59)]
+    edited = [(k, " ".join([*t.split()[: (n := len(t.split())) // 2], "changed", *t.split()[n // 2 + 1 :]])) for k, t in enumerate(bench)]
+    parts = [(100 + k, f"{words(30, seed=k)} {' '.join(t.split()[: int(len(t.split()) * 0.45)])}") for k, t in enumerate(bench)]
+    half = [(200 + k, f"{' '.join(t.split()[: -(-len(t.split()) // 2)])} {words(30, seed=k)}") for k, t in enumerate(bench)]
+    got = leaks(spark, edited + parts + half, bench)
+    assert got == {(k, k) for k in range(8)} | {(106, 6), (107, 7)} | {(200 + k, k) for k in range(8)}
+
+
 def test_decontamination_equals_plain_windows(spark, small):
     """Verbatim items in the provided documents, found by comparing word windows."""
     d, b = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
