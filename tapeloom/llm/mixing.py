@@ -3,7 +3,7 @@
 A token budget is propagated down a tree of domains, languages and sources. The children of a node share its budget by their
 weights; none gets more than its supply, which is its tokens times `max_epochs`. What a child cannot take goes to its
 siblings by their weights, and only what a whole subtree cannot take reaches the siblings of its ancestors (a node's
-supply is the sum over its leaves, so its parent never gives it more). Each leaf then reads its documents in
+cap is the sum of its leaves' supplies, 0 where a weight on the way is 0, so its parent never gives it more). Each leaf then reads its documents in
 seeded epochs: allotment div supply whole ones, and of the next the longest prefix that fits into the
 rest, in the order of md5(seed:epoch:doc_id), then doc_id, then length.
 
@@ -44,8 +44,8 @@ def _weight(level: str, weights: dict) -> Column:
 
 
 def _share_out(nodes: DataFrame, parent: list[str], level: str) -> DataFrame:
-    """nodes have parent columns, level, supply, w and the parent's `budget`; adds `alloc`."""
-    nodes = nodes.withColumn("cap", F.when(F.col("w") == 0, 0).otherwise(F.col("supply"))).withColumn("w", F.greatest(F.col("w"), F.lit(1).cast("long")))
+    """nodes have parent columns, level, supply, cap (of it, what weights let the leaves take), w and the parent's `budget`; adds `alloc`."""
+    nodes = nodes.withColumn("w", F.greatest(F.col("w"), F.lit(1).cast("long")))
     every = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
     before = every.orderBy(F.col("cap") / F.col("w"), level).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
@@ -63,11 +63,15 @@ def _share_out(nodes: DataFrame, parent: list[str], level: str) -> DataFrame:
 def allotments(tokens: DataFrame, weights: dict, share: float, max_epochs: int) -> DataFrame:
     """domain, lang, source, tokens, alloc of each leaf, for rows (domain, lang, source, n_tokens)."""
     leaves = tokens.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")).withColumn("supply", F.col("tokens") * max_epochs)
+    open_ = F.lit(True)
+    for level in LEVELS:
+        open_ = open_ & (_weight(level, weights) > 0)
+    leaves = leaves.withColumn("cap", F.when(open_, F.col("supply")).otherwise(0))
     total = leaves.agg(F.floor(F.sum("tokens") * F.lit(share)).cast("long").alias("budget"))
     up, known = [], total
     for depth, level in enumerate(LEVELS):
         parent, keys = list(LEVELS[:depth]), list(LEVELS[: depth + 1])
-        nodes = leaves.groupBy(*keys).agg(F.sum("supply").alias("supply")).withColumn("w", _weight(level, weights))
+        nodes = leaves.groupBy(*keys).agg(F.sum("supply").alias("supply"), F.sum("cap").alias("cap")).withColumn("w", _weight(level, weights))
         if depth:
             above = known.select(*(F.col(k).alias(f"up_{k}") for k in parent), F.col("alloc").alias("budget"))
             cond = F.lit(True)

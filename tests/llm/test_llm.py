@@ -594,6 +594,24 @@ def test_pipeline(spark, small):
     assert decontam.contaminated(d, spark.read.parquet(f"{small}/benchmark.parquet")).count() == 0
 
 
+def test_closed_leaves_pass_their_share_on(spark):
+    rows = [("a", "x", "s1", 100), ("a", "y", "s1", 10), ("b", "x", "s1", 100), ("b", "x", "s2", 30)]
+    d = spark.createDataFrame(rows, "domain string, lang string, source string, n_tokens long")
+    d = d.where("NOT (domain = 'b' AND source = 's2')").unionByName(d.where("domain = 'b' AND source = 's2'").withColumn("lang", F.lit("z")))
+    got = {(r["domain"], r["lang"], r["source"]): r["alloc"] for r in mixing.allotments(d, {"domain": {}, "lang": {"x": 0}, "source": {}}, 0.125, 1).collect()}
+    assert got == {("a", "x", "s1"): 0, ("a", "y", "s1"): 10, ("b", "x", "s1"): 0, ("b", "z", "s2"): 20}
+
+
+def test_decontamination_stage_judges_rows_without_ids(spark, small, tmp_path):
+    import corpus_pipeline as P
+
+    spark.createDataFrame([(1, QUESTION)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = words(60, seed=5)
+    rows = [(None, f"{words(20)} {QUESTION}"), (None, clean), (None, None), (3, QUESTION), (3, clean)]
+    got = Counter((r["doc_id"], r["text"]) for r in P.decontamination_stage(spark, docs(spark, rows), str(tmp_path)).collect())
+    assert got == Counter([(None, clean), (None, None), (3, clean)])
+
+
 def test_dedup_stage_edges(spark, small):
     import corpus_pipeline as P
 
