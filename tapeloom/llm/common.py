@@ -105,7 +105,8 @@ def platt(margin: np.ndarray, label: np.ndarray, rounds: int = 60) -> tuple[floa
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, train, most: int) -> DataFrame:
     """(doc_id, y, body) of at most `most` labelled training rows, those whose ids hash lowest.
 
-    A doc_id labelled more than once takes its largest label; null ids and labels take no part.
+    A doc_id labelled more than once takes its largest label; null ids and labels take no part. A doc_id that stands more than
+    once in docs gives one row, the text whose hash is least, so `most` bounds the rows however often an id is repeated.
     The sample's ids are bounded by `most`, so they are broadcast to the scan of the texts.
     """
     ids = (
@@ -118,4 +119,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, train, most
         .limit(most)
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
-    return texts.join(F.broadcast(ids), "doc_id")
+    found = texts.join(F.broadcast(ids), "doc_id")
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("body").alias("h"), "y", "body")).alias("row"))
+    return one.select("doc_id", "row.y", "row.body")

@@ -1,18 +1,18 @@
 """Operator 3: toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are lower-cased words without outer punctuation, and their first four, five and six letters (so inflected forms
-meet). The vocabulary is what tells the labels apart in the labelled sample: of the terms in MIN_DOCS examples or more, those
-whose log-likelihood ratio would come by chance with less than LEVEL in all of them together, at most MAX_TERMS by that measure. Document frequencies for the inverse document frequency are counted over
-all documents. Weights are (1 + ln tf) * ln((1 + N) / (1 + df)), vectors have length 1.
-
-The examples' vectors lie in inverted lists cut into blocks of BLOCK examples, and each list keeps its largest weight in each block. A document
-adds up these bounds for its terms and visits blocks in falling order of their bounds until none can hold one of the K
-nearest, so the neighbours are exact; equal cosines go to the smaller doc_id. Equal vectors of the same label are one example with a count.
-Votes are weighted by the angle, cosine / (1 - cosine + SOFT), against a prior of weight PRIOR for the share of the label among examples
-without any term; a logistic fit on leave-one-out votes calibrates the score.
-
-The fit takes at most `max_examples` labelled rows, so what is broadcast is bounded by it, MAX_TERMS and K; every document is
-scored on its whole text. Defined results: null and empty texts, and texts without a term of the vocabulary, get the
+Terms are lower-cased words without outer punctuation, and every term of every labelled example is indexed. A term's weight is
+(1 + ln tf) * ln((1 + N) / (1 + df)) * contrast, with document frequencies over all documents; contrast is FLOOR and the log-likelihood ratio of
+the term and the label among the examples, so words that tell the labels apart weigh most and none is left out. Vectors have length 1.
+
+The examples' vectors lie in inverted lists cut into blocks of BLOCK examples, and each list keeps its largest weight in each block it reaches.
+A document adds up these bounds for its terms, scores the FIRST blocks of the largest bounds, and then every block whose bound
+reaches the K-th cosine found, so the neighbours are exact; equal cosines go to the smaller doc_id. Examples that lean on the same word lie
+together, which keeps the bounds of other blocks low. Equal vectors of the same label are one example with a count.
+Votes are weighted by the angle, cosine / (1 - cosine + SOFT), against a prior of weight PRIOR for the label's share; a
+logistic fit calibrates them on each fold of the examples, with lists and contrasts that know the other folds alone.
+
+The fit takes at most `max_examples` labelled rows, so the index that is broadcast is bounded by their terms; every document is
+scored on its whole text. Defined results: null and empty texts, and texts without a term of any example, get the
 score of an empty vote; repeated rows are scored alike; without labelled rows every score is 0, with one class it is that class's
 smoothed share; an empty table gives an empty result; columns other than doc_id and text play no part.
 """
@@ -23,39 +23,51 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tapeloom.llm.common import WordCache, held_out, labelled_sample, platt, sigmoid, stored, text_bytes
+from tapeloom.llm.common import WordCache, held_out, labelled_sample, platt, sigmoid, text_bytes, word_hash
 
-MAX_EXAMPLES, MAX_TERMS, MIN_DOCS, LEVEL = 8000, 4096, 4, 0.05
-K, BLOCK, SOFT, PRIOR = 16, 64, 0.1, 0.5
-STEMS = (4, 5, 6)
+MAX_EXAMPLES = 5000
+K, BLOCK, FIRST, SOFT, PRIOR, FLOOR, FOLDS = 16, 64, 4, 0.1, 0.5, 0.05, 3
 _OUTER = re.compile(r"^\W+|\W+$")
+_ASCII_OUTER = bytes(b for b in range(128) if not (chr(b).isalnum() or b == ord("_")))
 
 
-def terms_of(word: bytes) -> tuple[bytes, ...]:
-    """The term of a white-space word, and those of its beginnings."""
-    core = _OUTER.sub("", word.decode("utf-8", "replace")).lower()
-    return (core.encode(), *(f"{core[:n]}*".encode() for n in STEMS if len(core) > n)) if core else ()
+def term_of(word: bytes) -> bytes:
+    """The term of a white-space word; empty if it has none."""
+    if word.isascii():
+        return word.strip(_ASCII_OUTER).lower()
+    return _OUTER.sub("", word.decode("utf-8", "replace")).lower().encode()
+
+
+def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all half-open ranges in turn, and which range each comes from."""
+    size = ends - starts
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) + np.repeat(starts - np.concatenate([[0], np.cumsum(size)[:-1]]), size) if len(of) else of, of
 
 
 # -- index ----------------------------------------------------------------------------------------------------
 @dataclass
 class Index:
-    """Block-max inverted index over the examples' vectors."""
+    """Block-max inverted index over the examples' vectors; `idf` has the weight of each term, its contrast included."""
 
     terms: dict[bytes, int]
     idf: np.ndarray
-    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # smallest doc_id of equal examples, ascending
+    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # smallest doc_id of equal examples
     label: np.ndarray = field(default_factory=lambda: np.zeros(0))
     count: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    bound: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # term x block: the largest weight
-    lists: list[list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=list)  # block, term: examples and weights
+    row: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # postings by term, then example
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    runs: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # where each term's runs start: its postings in one block
+    block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # a run's block, largest weight and first posting
+    most: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     prior: float = 0.5
     slope: float = 1.0
     intercept: float = 0.0
@@ -63,49 +75,58 @@ class Index:
 
     def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """vectors: terms and weights of each example, in the order of ids."""
-        n_blocks = -(-len(vectors) // BLOCK)
-        self.bound = np.zeros((len(self.idf), n_blocks))
-        self.lists = []
-        for b in range(n_blocks):
-            part = vectors[b * BLOCK : (b + 1) * BLOCK]
-            term = np.concatenate([t for t, _ in part])
-            row = np.repeat(np.arange(len(part)), [len(t) for t, _ in part])
-            weight = np.concatenate([w for _, w in part])
-            order = np.argsort(term, kind="stable")
-            term, row, weight = term[order], row[order], weight[order]
-            first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
-            self.bound[term[first], b] = np.maximum.reduceat(weight, first)
-            self.lists.append({int(t): (row[s:e], weight[s:e]) for t, s, e in zip(term[first], first, [*first[1:], len(term)])})
+        term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)])
+        row = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
+        order = np.lexsort((row, term))
+        term, self.row, self.weight = term[order], row[order].astype(np.int32), weight[order]
+        block = self.row // BLOCK
+        starts = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, int)
+        self.block, self.first = block[starts], np.append(starts, len(term))
+        self.most = np.maximum.reduceat(self.weight, starts) if len(starts) else np.zeros(0)
+        self.runs = np.searchsorted(term[starts], np.arange(len(self.idf) + 1))
 
     def vector(self, found: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Terms, ascending, and weights of length 1."""
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
         term = np.array(sorted(found), np.int64)
-        weight = (1 + np.log([found[t] for t in term.tolist()])) * self.idf[term]
-        return term, weight / np.sqrt((weight * weight).sum())
+        return self.scaled(term, np.array([found[t] for t in term.tolist()], float))
+
+    def scaled(self, term: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weight = (1 + np.log(tf)) * self.idf[term]
+        return term, weight / np.sqrt((weight * weight).sum()) if len(weight) else weight
+
+    def _cosines(self, of: np.ndarray, runs: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Of all examples, as far as these runs go."""
+        at, run = _spans(self.first[runs], self.first[runs + 1])
+        return np.bincount(self.row[at], self.weight[at] * weight[of[run]], len(self.ids)).round(12)
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples with a positive cosine, exactly; one copy of `skip` is left out."""
-        if not len(term) or not len(self.ids):
+        runs, of = _spans(self.runs[term], self.runs[term + 1]) if len(term) and len(self.ids) else (np.zeros(0, np.int64),) * 2
+        if not len(runs):
             return np.zeros(0, np.int64), np.zeros(0)
-        bounds = weight @ self.bound[term]
-        at, cos = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(at) == k and bounds[b] < cos[-1] - 1e-12:
-                break
-            score = np.zeros(min(BLOCK, len(self.ids) - b * BLOCK))
-            lists = self.lists[b]
-            for t, w in zip(term.tolist(), weight):
-                if t in lists:
-                    rows, weights = lists[t]
-                    score[rows] += w * weights
-            here = np.flatnonzero(score > 0)
-            here = here[(here + b * BLOCK != skip) | (self.count[here + b * BLOCK] > 1)]
-            at, cos = np.concatenate([at, here + b * BLOCK]), np.concatenate([cos, score[here].round(12)])
-            best = np.lexsort((self.ids[at], -cos))[:k]
-            at, cos = at[best], cos[best]
-        return at, cos
+        block = self.block[runs]
+        bound = np.bincount(block, self.most[runs] * weight[of], -(-len(self.ids) // BLOCK))
+
+        def best(wanted: np.ndarray, at: np.ndarray, cos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """With the examples of more blocks."""
+            some = wanted[block]
+            more = self._cosines(of[some], runs[some], weight)
+            if skip >= 0 and self.count[skip] < 2:
+                more[skip] = 0
+            least = 0.0 if len(at) < k else cos[-1]
+            here = np.flatnonzero((more > 0) & (more >= least))
+            if len(here) > k:
+                here = here[more[here] >= np.partition(more[here], len(here) - k)[len(here) - k]]
+            at, cos = np.concatenate([at, here]), np.concatenate([cos, more[here]])
+            order = np.lexsort((self.ids[at], -cos))[:k]
+            return at[order], cos[order]
+
+        none = np.zeros(0, np.int64), np.zeros(0)
+        first = bound >= (np.partition(bound, len(bound) - FIRST)[len(bound) - FIRST] if len(bound) > FIRST else 0.0)
+        at, cos = best(first, *none)
+        rest = ~first & (bound >= (cos[-1] - 1e-9 if len(at) == k else 1e-300))
+        return best(rest, at, cos) if rest.any() else (at, cos)
 
     def vote(self, at: np.ndarray, cos: np.ndarray, skip: int = -1) -> float:
         """Log odds of the weighted votes; the count of an example's copies counts as its logarithm."""
@@ -114,104 +135,133 @@ class Index:
         no = float((weight * (1 - self.label[at])).sum()) + PRIOR * (1 - self.prior)
         return float(np.log(yes / no))
 
-    def score(self, found: Counter) -> tuple[float, list[int], list[float]]:
+    def score(self, term: np.ndarray, tf: np.ndarray) -> tuple[float, list[int], list[float]]:
         if self.constant is not None:
             return self.constant, [], []
-        at, cos = self.nearest(*self.vector(found))
+        at, cos = self.nearest(*self.scaled(term, tf))
         return float(sigmoid(self.slope * self.vote(at, cos) + self.intercept)), self.ids[at].tolist(), cos.tolist()
 
 
 class Finder:
-    """Counts a text's terms that are in the vocabulary."""
+    """Terms, ascending, of a text that are in the vocabulary, and how often each stands there."""
 
     def __init__(self, terms: dict[bytes, int]):
-        self.words = WordCache(lambda w: tuple(i for t in terms_of(w) if (i := terms.get(t)) is not None))
+        self.words = WordCache(lambda w: terms.get(term_of(w), -1))
 
-    def __call__(self, body: bytes) -> Counter:
-        hits = [x for x in map(self.words.__getitem__, body.split()) if x]
-        return Counter(i for x in hits for i in x)
+    def __call__(self, body: bytes) -> tuple[np.ndarray, np.ndarray]:
+        term, tf = np.unique(self.words.array(body.split(), np.int64), return_counts=True)
+        return (term[1:], tf[1:]) if len(term) and term[0] < 0 else (term, tf)
 
 
 # -- fitting --------------------------------------------------------------------------------------------------
 def fit(docs: DataFrame, labels: DataFrame, train_rows=None, max_examples: int = MAX_EXAMPLES) -> Index:
     """Index of a bounded sample of labelled rows; `train_rows` is a condition on doc_id."""
-    sample = stored(labelled_sample(docs, labels, "toxic", F.lit(True) if train_rows is None else train_rows, max_examples), "toxic-sample")
-    y = np.array([r["y"] for r in sample.select("y").collect()], int)  # max_examples rows
-    if not len(y) or y.min() == y.max():
-        share = 0.0 if not len(y) else float((y.sum() + 1) / (len(y) + 2))
-        return Index({}, np.zeros(0), constant=share)
+    sample = labelled_sample(docs, labels, "toxic", F.lit(True) if train_rows is None else train_rows, max_examples)
 
     def terms(batches):
-        cache = WordCache(terms_of)
-        for b in batches:
-            found = [sorted({t for x in map(cache.__getitem__, body.split()) for t in x}) for body in b.column("body").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(found, pa.list_(pa.binary()))], ["y", "terms"])
-
-    # Term counts by label are summed by Spark; the driver gets those that pass, MAX_TERMS at most.
-    n, p = len(y), int(y.sum())
-    each = sample.mapInArrow(terms, "y int, terms array<binary>").select("y", F.explode("terms").alias("term"))
-    counts = stored(each.groupBy("term").agg(F.count("*").alias("c"), F.sum("y").alias("a")).where((F.col("c") >= MIN_DOCS) & (F.col("c") < n)), "toxic-terms")
-    least = NormalDist().inv_cdf(1 - LEVEL / 2 / max(1, counts.count())) ** 2
-    cell = lambda seen, rows, cols: F.when(seen > 0, seen * F.log(seen * float(n) / (rows * cols))).otherwise(0.0)
-    c, a = F.col("c"), F.col("a")
-    ratio = 2 * (cell(a, c, F.lit(p)) + cell(c - a, c, F.lit(n - p)) + cell(p - a, n - c, F.lit(p)) + cell(n - p - c + a, n - c, F.lit(n - p)))
-    rated = counts.withColumn("ratio", F.round(ratio, 6)).where(F.col("ratio") >= least)
-    chosen = sorted(bytes(r["term"]) for r in rated.orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).select("term").collect())
-    vocabulary = {t: i for i, t in enumerate(chosen)}
-    index = Index(vocabulary, _idf(docs, vocabulary))
-
-    def vectors(batches):
-        find = Finder(vocabulary)
+        cache = WordCache(term_of)
         for b in batches:
-            found = [find(body) for body in b.column("body").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], ["doc_id", "y", "term", "tf"])
+            found = [Counter(filter(None, map(cache.__getitem__, body.split()))) for body in b.column("body").to_pylist()]
+            lists = [pa.array([list(f) for f in found], pa.list_(pa.binary())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), *lists], ["doc_id", "y", "terms", "tf"])
 
-    rows = sample.mapInArrow(vectors, "doc_id long, y int, term array<int>, tf array<int>").collect()
-    _fill(index, [(r["doc_id"], r["y"], Counter(dict(zip(r["term"], r["tf"])))) for r in rows])
-    return index
+    # max_examples rows; kept as flat arrays, with a number for each term.
+    got = sample.mapInArrow(terms, "doc_id long, y int, terms array<binary>, tf array<int>").toArrow().combine_chunks()
+    y = got.column("y").to_numpy().astype(int)
+    if not len(y) or y.min() == y.max():
+        share = 0.0 if not len(y) else float((y.sum() + 1) / (len(y) + 2))
+        return Index({}, np.zeros(0), constant=share)
+    lists = got.column("terms").combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    order = sorted(range(len(names)), key=names.__getitem__)
+    place = np.empty(len(names), np.int64)
+    place[order] = np.arange(len(names))
+    vocabulary = {names[o]: i for i, o in enumerate(order)}
+    flat, tf = place[coded.indices.to_numpy()], got.column("tf").combine_chunks().flatten().to_numpy()
+    ends = np.diff(lists.offsets.to_numpy()).cumsum().tolist()
+    rows = []
+    for doc_id, label, s, e in zip(got.column("doc_id").to_pylist(), y.tolist(), [0, *ends[:-1]], ends):
+        up = np.argsort(flat[s:e])
+        rows.append((doc_id, label, flat[s:e][up], tf[s:e][up].astype(float)))
+    rows.sort(key=lambda r: (word_hash(str(r[0]).encode()), r[0]))
+    return _fitted(vocabulary, _idf(docs, vocabulary), rows)
 
 
 def _idf(docs: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
-    """From the document frequencies over all rows; a task adds up its own, so it sends MAX_TERMS numbers."""
+    """From the document frequencies over all rows; a task adds up its own, so it sends at most a number a term."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches):
-        find, df, n = Finder(vocabulary), np.zeros(len(vocabulary) + 1, np.int64), 0
+        find, df, n = Finder(shared.value), np.zeros(len(shared.value) + 1, np.int64), 0
         for b in batches:
             n += b.num_rows
             for body in b.column("body").to_pylist():
-                df[list(find(body))] += 1
+                df[find(body)[0]] += 1
         df[-1] = n
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["term", "df"])
 
-    total = {r["term"]: r["df"] for r in docs.select(text_bytes().alias("body")).mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()}
-    n = total.get(len(vocabulary), 0)
-    return np.array([np.log((1 + n) / (1 + total.get(i, 0))) + 1e-6 for i in range(len(vocabulary))])
+    summed = docs.select(text_bytes().alias("body")).mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(len(vocabulary) + 1, np.int64)
+    df[summed.column("term").to_numpy()] = summed.column("df").to_numpy()
+    shared.unpersist()
+    return np.log((1 + df[-1]) / (1 + df[:-1])) + 1e-6
+
+
+def contrast(rows: list[tuple], n_terms: int) -> np.ndarray:
+    """FLOOR and the log-likelihood ratio of each term's presence and the label."""
+    y = np.array([r[1] for r in rows], float)
+    term = np.concatenate([r[2] for r in rows])
+    c = np.bincount(term, minlength=n_terms).astype(float)
+    a = np.bincount(term, np.repeat(y, [len(r[2]) for r in rows]), n_terms)
+    n, p = float(len(y)), float(y.sum())
+
+    def cell(seen, of_term, of_label):
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-300) * n / np.maximum(of_term * of_label, 1e-300)), 0.0)
+
+    ratio = 2 * (cell(a, c, p) + cell(c - a, c, n - p) + cell(p - a, n - c, p) + cell(n - p - c + a, n - c, n - p))
+    return FLOOR + np.maximum(ratio, 0.0)
+
+
+def _fitted(vocabulary: dict[bytes, int], idf: np.ndarray, rows: list[tuple]) -> Index:
+    """rows: doc_id, label, terms (ascending) and their counts. Calibrates on each fold of the rows with an index of the others."""
+    index = Index(vocabulary, idf * contrast(rows, len(idf)))
+    votes, labels = [], []
+    for fold in range(FOLDS):
+        apart, others = rows[fold::FOLDS], [r for k, r in enumerate(rows) if k % FOLDS != fold]
+        if len({r[1] for r in others}) == 2:
+            trial = Index(vocabulary, idf * contrast(others, len(idf)))
+            _lists(trial, others)
+            votes += [trial.vote(*trial.nearest(*trial.scaled(*r[2:]))) for r in apart]
+            labels += [r[1] for r in apart]
+    if len(set(labels)) == 2:
+        slope, intercept = platt(np.array(votes), np.array(labels))
+        if slope > 0:
+            index.slope, index.intercept = slope, intercept
+    _lists(index, rows)
+    return index
 
 
-def _fill(index: Index, rows: list[tuple[int, int, Counter]]) -> None:
-    """Merges equal examples, builds the lists and calibrates on leave-one-out votes."""
+def _lists(index: Index, rows: list[tuple]) -> None:
+    """Merges equal examples and builds the lists; examples with the same heaviest term lie side by side."""
     merged: dict[tuple, list] = {}
-    empty = [0, 0]
-    for doc_id, y, found in rows:
-        if not found:
-            empty[y] += 1
-            continue
-        one = merged.setdefault((y, *sorted(found.items())), [doc_id, y, found, 0])
-        one[0], one[3] = min(one[0], doc_id), one[3] + 1
-    examples = sorted(merged.values(), key=lambda e: (e[0], e[1]))
+    y = [r[1] for r in rows]
+    index.prior = (sum(y) + 1) / (len(y) + 2)
+    for doc_id, label, term, tf in rows:
+        if len(term):
+            one = merged.setdefault((label, term.tobytes(), tf.tobytes()), [doc_id, label, index.scaled(term, tf), 0])
+            one[0], one[3] = min(one[0], doc_id), one[3] + 1
+    examples = sorted(merged.values(), key=lambda e: (int(e[2][0][np.argmax(e[2][1])]), e[0], e[1]))
     index.ids = np.array([e[0] for e in examples], np.int64)
     index.label = np.array([e[1] for e in examples], float)
     index.count = np.array([e[3] for e in examples], np.int64)
-    index.prior = (empty[1] + 1) / (sum(empty) + 2)
-    vectors = [index.vector(e[2]) for e in examples]
-    index.build(vectors)
-    votes, labels = [index.vote(np.zeros(0, np.int64), np.zeros(0))] * sum(empty), [0] * empty[0] + [1] * empty[1]
-    for i, e in enumerate(examples):
-        at, cos = index.nearest(*vectors[i], skip=i)
-        votes += [index.vote(at, cos, skip=i)] * e[3]
-        labels += [e[1]] * e[3]
-    index.slope, index.intercept = platt(np.array(votes), np.array(labels))
+    index.build([e[2] for e in examples])
+
+
+def _fill(index: Index, rows: list[tuple[int, int, Counter]]) -> None:
+    """Lists of counted terms in place of `_fitted`, with the weights that the index has."""
+    _lists(index, [(i, y, np.array(sorted(c), np.int64), np.array([c[t] for t in sorted(c)], float)) for i, y, c in rows])
 
 
 # -- scoring --------------------------------------------------------------------------------------------------
@@ -222,17 +272,15 @@ def scorer(docs: DataFrame, index: Index):
     @F.pandas_udf("score double, neighbours array<long>, cosines array<double>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         index = shared.value
-        find, known = Finder(index.terms), {}
+        find, known = Finder(index.terms), WordCache(lambda key: None, 20_000)
         for bodies in batches:
             out = []
             for body in bodies:
-                found = find(body)
-                key = tuple(sorted(found.items()))
-                if key not in known:
-                    if len(known) > 20_000:
-                        known.clear()
-                    known[key] = index.score(found)
-                out.append(known[key])
+                key = xxhash.xxh3_128_digest(body)  # copies are scored once
+                found = known[key]
+                if found is None:
+                    found = known[key] = index.score(*find(body))
+                out.append(found)
             yield pd.DataFrame(out, columns=["score", "neighbours", "cosines"])
 
     return score
