@@ -2,8 +2,10 @@
 
 Features are indicators of n-grams: words and word pairs, and runs of one to three word shapes (case
 pattern, digits, punctuation, repetition of the word before), the latter once for each share of the
-text that they reach. Indicators are scaled by the class log-count ratio and a linear hinge-loss model
-is fitted by dual coordinate descent; a logistic fit on out-of-fold margins gives the score.
+text that they reach. A feature's number is the top BITS bits of its hash, so the model has a fixed size; features that share a number
+share a weight, which blurs rare ones alone: a number met in fewer than `min_df` examples has none. Indicators are scaled by the class
+log-count ratio and a linear hinge-loss model is fitted by dual coordinate descent (each multiplier between 0 and
+`cost`); a logistic fit on out-of-fold margins gives the score.
 
 The fit takes at most `max_train` labelled rows; every document is scored on its whole text.
 Defined results: a null text is an empty one and is scored by the intercept; repeated rows are scored
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tapeloom.llm.common import WordCache, held_out, labelled_sample, mix, platt, sigmoid, text_bytes, word_hash
 
-BITS = 18
+BITS = 20
 MAX_TRAIN = 6000
 SHARES = (0.0, 1 / 64, 1 / 16, 1 / 8, 1 / 4, 1 / 2)
 _SHAPES = ((re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"0"), (re.compile(rb"([^Aa0])\1+"), rb"\1"))
@@ -33,7 +35,7 @@ _SHAPES = ((re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a
 def shape(word: bytes) -> bytes:
     for pattern, to in _SHAPES:
         word = pattern.sub(to, word)
-    return word[:12]
+    return word
 
 
 def _word(word: bytes) -> int:
@@ -78,28 +80,27 @@ def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, min_df: int) -> np.nd
     return np.where(pos + neg >= min_df, ratio, 0.0)
 
 
-def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float, epochs: int, seed: int = 7) -> tuple[np.ndarray, float]:
-    """L2-regularised squared-hinge model on indicators times `ratio`, by dual coordinate descent."""
+def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float, epochs: int, seed: int = 7, tolerance: float = 1e-3) -> tuple[np.ndarray, float]:
+    """L2-regularised hinge-loss model on indicators times `ratio` and a constant 1, by dual coordinate descent."""
     scaled = [ratio[r] for r in rows]
     sign = np.where(y > 0, 1.0, -1.0)
-    diag = 1.0 / (2.0 * cost)
-    norm = np.array([float(v @ v) + 1.0 + diag for v in scaled])
-    w, bias, alpha = np.zeros(1 << BITS), 0.0, np.zeros(len(rows))
+    norm = np.array([float(v @ v) + 1.0 for v in scaled])
+    w, bias, alpha = np.zeros(len(ratio)), 0.0, np.zeros(len(rows))
     order, rng = np.arange(len(rows)), np.random.default_rng(seed)
     for _ in range(epochs):
         rng.shuffle(order)
         moved = 0.0
         for i in order:
             r, v, s = rows[i], scaled[i], sign[i]
-            grad = s * (float(w[r] @ v) + bias) - 1.0 + diag * alpha[i]
-            new = max(alpha[i] - grad / norm[i], 0.0)
+            grad = s * (float(w[r] @ v) + bias) - 1.0
+            new = min(max(alpha[i] - grad / norm[i], 0.0), cost)
             step = (new - alpha[i]) * s
             if step:
                 w[r] += step * v
                 bias += step
                 moved = max(moved, abs(step))
                 alpha[i] = new
-        if moved < 1e-4:
+        if moved < tolerance * cost:
             break
     return w * ratio, bias
 
