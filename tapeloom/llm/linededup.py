@@ -63,24 +63,6 @@ def fingerprints(rows: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM)
     return grams.select(*DOC, least.alias("m")).select(*DOC, (-F.col("m.later")).alias("nth"), F.col("m.g").alias("g")).distinct()
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
-    """(doc_id, tx, line, n) of lines in repeats of the first places of selected grams: a part of every_repeat, and what ORACLE_SQL finds."""
-    if not 1 <= gram <= min_words:
-        raise ValueError("1 <= gram <= min_words")
-    rows = stored(lines(docs), "line-hashes")
-    chosen = stored(fingerprints(rows, min_words, gram), "line-prints")
-    first = chosen.groupBy("g").agg(F.min(F.struct(*DOC, "nth")).alias("first"), F.count("*").alias("places")).where("places > 1")
-    met = chosen.join(first, "g").where(F.struct(*DOC, "nth") != F.col("first"))
-    diagonals = met.select(*DOC, F.col("first.doc_id").alias("of"), F.col("first.tx").alias("of_tx"), (F.col("nth") - F.col("first.nth")).alias("shift")).distinct()
-    here = rows.join(diagonals, DOC).withColumn("there", F.col("nth") - F.col("shift"))
-    source = rows.select(F.col("doc_id").alias("of"), F.col("tx").alias("of_tx"), F.col("nth").alias("there"), F.col("h").alias("h_there"))
-    equal = here.join(source, ["of", "of_tx", "there"]).where("h = h_there")
-    key = [*DOC, "of", "of_tx", "shift"]
-    island = F.col("nth") - F.row_number().over(Window.partitionBy(*key).orderBy("nth"))
-    runs = equal.withColumn("island", island).withColumn("words", F.sum("n").over(Window.partitionBy(*key, "island")))
-    return runs.where(F.col("words") >= min_words).select(*DOC, "line", "n").distinct()
-
-
 def shortest_runs(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, tx, nth, size, g): place, number of lines and hash of each shortest run with min_words, from a line on and up to a line."""
     by = Window.partitionBy(*DOC)
@@ -114,12 +96,14 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM)
     """doc_id, text, clean_text, n_lines, n_removed and n_removed_words of every row."""
     gone = every_repeat(docs, min_words, gram).groupBy(*DOC).agg(F.collect_list("line").alias("gone"), F.sum("n").alias("gone_words"))
     joined = docs.select(*_row_keys(docs), "text").join(gone, DOC, "left")
-    kept = F.expr("array_join(filter(split(text, '\n', -1), (x, i) -> NOT array_contains(gone, i)), '\n')")
+    # array_except hashes, so the cost is linear in lines however many go.
+    joined = joined.withColumn("lines", F.split("text", "\n", -1))
+    kept = F.expr("array_join(transform(array_except(sequence(0, size(lines) - 1), gone), i -> lines[i]), '\n')")
     return joined.select(
         "doc_id",
         "text",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("clean_text"),
-        F.coalesce(F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n", -1))), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.when(F.col("text").isNotNull(), F.size("lines")), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("gone_words", F.lit(0)).cast("long").alias("n_removed_words"),
     )
@@ -144,12 +128,14 @@ grams AS (SELECT doc_id, tx, nth, ahead, {_h_sql("array_to_string(run, ',')")} g
     (SELECT *, list(h) OVER w run, sum(n) OVER w words FROM rows_ WINDOW w AS (PARTITION BY doc_id, tx ORDER BY ahead RANGE BETWEEN CURRENT ROW AND {GRAM - 1} FOLLOWING)) WHERE words >= {GRAM}),
 chosen AS (SELECT DISTINCT doc_id, tx, -(m.later) AS nth, m.g g FROM
     (SELECT doc_id, tx, min({{'g': g, 'later': -nth}}) OVER (PARTITION BY doc_id, tx ORDER BY ahead RANGE BETWEEN CURRENT ROW AND {MIN_WORDS - GRAM} FOLLOWING) m FROM grams)),
-firsts AS (SELECT g, min({{'doc_id': doc_id, 'tx': tx, 'nth': nth}}) f FROM chosen GROUP BY g HAVING count(*) > 1),
-diagonals AS (SELECT DISTINCT doc_id, tx, f.doc_id AS src, f.tx AS src_tx, nth - f.nth AS shift FROM chosen JOIN firsts USING (g) WHERE (doc_id, tx, nth) <> (f.doc_id, f.tx, f.nth)),
-equal AS (SELECT a.doc_id, a.tx, a.line, a.n, a.nth, d.src, d.src_tx, d.shift FROM rows_ a JOIN diagonals d ON a.doc_id = d.doc_id AND a.tx = d.tx
-    JOIN rows_ b ON b.doc_id = d.src AND b.tx = d.src_tx AND b.nth = a.nth - d.shift AND b.h = a.h),
-islands AS (SELECT *, nth - row_number() OVER (PARTITION BY doc_id, tx, src, src_tx, shift ORDER BY nth) island FROM equal),
-gone AS (SELECT DISTINCT doc_id, tx, line, n FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id, tx, src, src_tx, shift, island) words FROM islands) WHERE words >= {MIN_WORDS}),
+shared AS (SELECT DISTINCT doc_id, tx FROM chosen WHERE g IN (SELECT g FROM chosen GROUP BY g HAVING count(*) > 1)),
+both_ways AS (SELECT *, list(h) OVER onward run_on, sum(n) OVER onward words_on, list(h) OVER back run_back, sum(n) OVER back words_back FROM rows_ SEMI JOIN shared USING (doc_id, tx)
+    WINDOW onward AS (PARTITION BY doc_id, tx ORDER BY ahead RANGE BETWEEN CURRENT ROW AND {MIN_WORDS - 1} FOLLOWING), back AS (PARTITION BY doc_id, tx ORDER BY ahead + n RANGE BETWEEN {MIN_WORDS - 1} PRECEDING AND CURRENT ROW)),
+runs AS (SELECT doc_id, tx, nth, len(run_on) size, {_h_sql("array_to_string(run_on, ',')")} g FROM both_ways WHERE words_on >= {MIN_WORDS}
+    UNION SELECT doc_id, tx, nth - len(run_back) + 1, len(run_back), {_h_sql("array_to_string(run_back, ',')")} FROM both_ways WHERE words_back >= {MIN_WORDS}),
+firsts AS (SELECT g, min({{'doc_id': doc_id, 'tx': tx, 'nth': nth}}) f FROM runs GROUP BY g HAVING count(*) > 1),
+places AS (SELECT DISTINCT doc_id, tx, unnest(generate_series(nth, nth + size - 1)) nth FROM runs JOIN firsts USING (g) WHERE (doc_id, tx, nth) <> (f.doc_id, f.tx, f.nth)),
+gone AS (SELECT doc_id, tx, line, n FROM rows_ JOIN places USING (doc_id, tx, nth)),
 per_doc AS (SELECT doc_id, tx, list(line) lines, count(*) n_removed, sum(n) words FROM gone GROUP BY ALL)
 SELECT doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) n_lines, coalesce(n_removed, 0) n_removed, CAST(coalesce(words, 0) AS BIGINT) n_removed_words,
     md5(CASE WHEN lines IS NULL THEN text ELSE array_to_string(list_transform(list_filter(list_zip(string_split(text, chr(10)), range(len(string_split(text, chr(10))))), lambda z: NOT list_contains(lines, z[2])), lambda z: z[1]), chr(10)) END) clean_md5

@@ -7,10 +7,11 @@ differences of places, a pivot that a row lacks counting as place PREFIX. The be
 reranked by exact cosine in double precision. Rows that tie at the last place of the share are all reranked.
 
 Queries are a stated set, in chunks of CHUNK; each chunk meets each block once, and every meeting keeps the k best of a query, so a
-task holds a block and a chunk whatever the table's size. What is broadcast is the pivots.
+task holds a block and a chunk whatever the table's size; a row is sent once a chunk of the queries, not once a query. What is broadcast is the pivots.
 
 Defined results: vectors that are null, empty, zero, of another length than most (of the smaller length in a tie) or hold null or non-finite
-components take no part; rows with a null vec_id neither; repeated ids are candidates of their own, but no row with the query's id is its neighbour;
+components take no part; rows with a null vec_id neither; rows that repeat an id are candidates of their own, but no row with the query's id is its neighbour,
+and of a query's rows the one with the least vector, components compared in order, answers for its id;
 of equal scores the smaller id comes first; a query with fewer candidates than k gets all; an empty table gives an empty result; other columns play no part.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql.window import Window
 from tapeloom.llm.common import stored
 
 PIVOTS, PREFIX = 256, 64
-BLOCK, CHUNK = 16_384, 1_024
+BLOCK, CHUNK = 16_384, 4_096
 RERANK, LEAST = 0.16, 256
 K = 5
 
@@ -116,8 +117,9 @@ def neighbours(vectors: DataFrame, queries, k: int = K, n_pivots: int = PIVOTS,
     indexed = stored(rows.mapInArrow(represent, "vec_id long, v array<double>, perm array<short>"), "pivot-index")
     deal = lambda parts, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(parts))
     posted = indexed.withColumn("block", deal(n_blocks, 1)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
-    # Every chunk of the queries meets every block of the rows.
-    asking = indexed.where(queries).withColumn("chunk", deal(n_chunks, 2).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    # One row an id asks. Every chunk of the queries meets every block of the rows.
+    asked_by = indexed.where(queries).groupBy("vec_id").agg(F.min(F.struct("v", "perm")).alias("q")).select("vec_id", "q.v", "q.perm")
+    asking = asked_by.withColumn("chunk", deal(n_chunks, 2).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [[], [], []]
