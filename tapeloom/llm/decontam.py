@@ -1,19 +1,21 @@
 """Operator 8: benchmark decontamination by template canonicalisation.
 
-Words lose outer punctuation and case; numbers, names (capitalised inside a sentence) and units become typed
-placeholders. Every window of WINDOW template words of a document is hashed; those that pass a bitmap of the
-benchmark's windows, of fixed size, are joined with the benchmark's windows on the hash. Hits of a document and an item
-that lie on one diagonal form an alignment. Windows are also hashed as plain lower-cased words, and a hit of either form
-counts, so copies are found whatever their case or line breaks (with other names filled in, names must be seen as such).
-The slots of an alignment must be consistent: over the words covered, a filling of the item's always stands against the same
+Words lose outer punctuation and case; numbers, names (capitalised inside a sentence) and units become typed placeholders. Runs of one
+type are one slot, and units behind a number belong to its slot, so "Mary Ann" may stand for "Bob", "1 200" for "7" and "3 km per hour" for "5mph".
+Every window of WINDOW tokens (words and slots) of a document is hashed; those that pass a bitmap of the benchmark's windows, of fixed size, are
+joined with the benchmark's windows on the hash. Windows with slots count if PLAIN words are in them, so tables of numbers match nothing. Windows
+are also hashed with the slots' fillings in place of their types, and a hit of either kind counts. Hits of a document and an item that lie
+on one diagonal form an alignment.
+The slots of an alignment must be consistent: over the tokens covered, a filling of the item's always stands against the same
 filling in the document, and of names back too (numbers may collide; names, numbers and units each on their own; a
 tenth of the slots may be at odds, and more of the numbers and units where nine tenths of the item's plain words agree), and at
 least MIN_WORDS plain words must be covered. So a question with other numbers or names filled in is found, while text
-that merely has its shape is not. A document is contaminated by an
-item of which its consistent alignments together cover at least the share COVER of windows or of words, or one of them
-RUN words in a row, half of them plain. Less than that, as a third of a short item, is not told from common phrases.
+that merely has its shape is not. A document is contaminated by an item of whose words its consistent alignments together cover at least the
+share COVER, or one of them RUN tokens in a row, half of them plain words. Less than that, as a third of a short item, is not told from common phrases.
+Apart from templates, windows of lower-cased words are matched as they are, whatever reads as a name: who has the share VERBATIM
+of an item's words that way holds a copy, whatever its case or line breaks.
 
-Items shorter than WINDOW words make one window of their whole length; those of 11 to 16 words have windows of half their
+Items shorter than WINDOW tokens make one window of their whole length; those of 11 to 16 have windows of half their
 length, so one changed word leaves windows whole. An item without words matches nothing.
 Both sides are large-safe: the bitmap is 2**BITMAP_BITS bits whatever the benchmark's size, the join is a shuffle join
 that Spark may broadcast by the size it measured, and a window that many documents share is one row a document and item.
@@ -25,6 +27,7 @@ rows with null ids take no part; empty tables give an empty result; other column
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,36 +37,45 @@ from pyspark.sql.window import Window
 from tapeloom.llm.common import WordCache, mix, stored, text_bytes, word_hash
 
 WINDOW = 8
-COVER = 0.5
-MIN_WORDS = 4
-RUN = 13  # covered words in a row that suffice alone
-LEAST_WINDOW = 5  # of items of under 2 * WINDOW + 1 words
+COVER, VERBATIM = 0.5, 0.9
+MIN_WORDS, PLAIN = 4, 2
+RUN = 13  # covered tokens in a row that suffice alone
+LEAST_WINDOW = 5  # of items of under 2 * WINDOW + 1 tokens
 BITMAP_BITS = 23
-WORD, NUMBER, NAME, UNIT, NOTHING = range(5)
+WORD, NUMBER, NAME, UNIT, NOTHING, AFTER_NUMBER = range(6)
+TEMPLATE, COPY = 0, 1
 
-# Words read as units of measure.
-UNITS = "mm cm m km in ft yd mi mg g kg t oz lb lbs ml cl dl l s sec ms min h hr hrs day days week weeks month months year years hz khz mhz ghz w kw mw v a ma k c f pa kpa bar j kj cal kcal mph kmh percent usd eur gbp dollars euros cents meters metres kilometers kilometres miles grams kilograms pounds liters litres hours minutes seconds"
-_UNITS = frozenset(UNITS.encode().split())
+# Words read as units of measure; those of the second list only behind a number.
+UNITS = "mm cm km ft yd mg kg oz lb lbs ml cl dl sec ms min hr hrs day days week weeks month months year years hz khz mhz ghz kw mw kpa bar cal kcal mph kmh percent usd eur gbp dollars euros cents meters metres kilometers kilometres miles grams kilograms pounds liters litres hour hours minutes seconds"
+UNITS_AFTER_NUMBER = "m in mi g t l s h w v a k c f j ma pa"
+_UNITS, _AFTER = frozenset(UNITS.split()), frozenset(UNITS_AFTER_NUMBER.split())
 _OUTER = re.compile(r"^\W+|\W+$")
-_NUMBER = re.compile(r"[+-]?[$€£]?\d+([.,:/]\d+)*%?")
+_NUMBER = re.compile(r"[+-]?[$€£]?\d+([.,:/]\d+)*%?([^\W\d_]*)")
 _STOP = re.compile(r"[.!?:][\"')\]»”]*$")
+PER = np.uint64(word_hash(b"per") & ~0x1F)
 
 
 def _entry(word: bytes) -> tuple[int, int, int, int]:
     """Hash, kind, whether a capital leads, and whether it ends a sentence, of one white-space word."""
     text = word.decode("utf-8", "replace")
+    core = text[:-1] if text[-1] in ".,;:!?" else text
+    if core.isalpha():  # most words, without patterns
+        low = core.lower()
+        kind = UNIT if low in _UNITS else AFTER_NUMBER if low in _AFTER else WORD
+        return word_hash(low.encode()), kind, int(len(core) > 1 and core[0].isupper() and not core.isupper()), int(text[-1] in ".:!?")
     core = _OUTER.sub("", text)
-    low = core.lower().encode()
+    low = core.lower()
+    parts = low.split("/")
     if not core:
         kind = NOTHING
-    elif _NUMBER.fullmatch(core):
+    elif (m := _NUMBER.fullmatch(low)) and (not m[2] or m[2] in _UNITS or m[2] in _AFTER):
         kind = NUMBER
-    elif low in _UNITS and len(low) > 1:
+    elif low in _UNITS or len(parts) > 1 and all(p in _UNITS or p in _AFTER for p in parts):
         kind = UNIT
     else:
-        kind = WORD
+        kind = AFTER_NUMBER if low in _AFTER else WORD
     name = len(core) > 1 and core[0].isupper() and not core.isupper()
-    return word_hash(low), kind, int(name), int(bool(_STOP.search(text)))
+    return word_hash(low.encode()), kind, int(name), int(bool(_STOP.search(text)))
 
 
 def _packed(word: bytes) -> int:
@@ -71,133 +83,217 @@ def _packed(word: bytes) -> int:
     return (h & ~0x1F) | kind << 2 | name << 1 | stop
 
 
-def template(body: bytes, cache: WordCache) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template hash, kind, filling hash and capital of each word of a whole text."""
-    lines = body.split(b"\n")
-    counts = [len(line.split()) for line in lines]
+@dataclass
+class Template:
+    """Tokens of a text: kind and filling of each, its first word and number of words; and the words themselves."""
+
+    kind: np.ndarray
+    fill: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+    words: np.ndarray
+
+    @property
+    def form(self) -> np.ndarray:
+        return np.where(self.kind == WORD, self.fill, self.kind.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _kinds(body: bytes, cache: WordCache) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kind and hash of each word that has a letter or digit, and whether a capital leads it."""
     packed = cache.array(body.split(), np.uint64)
     first = np.zeros(len(packed) + 1, bool)
     first[0] = True
-    if sum(counts) == len(packed):
+    if b"\n" in body:
+        counts = [len(line.split()) for line in body.split(b"\n")]
         first[np.cumsum(counts)] = True
     fill, kind = packed & ~np.uint64(0x1F), (packed >> np.uint64(2) & np.uint64(7)).astype(np.int8)
     capital, stop = (packed >> np.uint64(1) & np.uint64(1)).astype(bool), (packed & np.uint64(1)).astype(bool)
     first = first[:-1]
     first[1:] |= stop[:-1]
-    kind = np.where((kind == WORD) & capital & ~first, NAME, kind)
+    kind = np.where(((kind == WORD) | (kind == AFTER_NUMBER)) & capital & ~first, NAME, kind)
     keep = kind != NOTHING
-    fill, kind, capital = fill[keep], kind[keep], capital[keep]
-    return _forms(kind, fill), kind, fill, capital
+    return kind[keep], fill[keep], capital[keep]
+
+
+def tokens(kind: np.ndarray, fill: np.ndarray) -> Template:
+    """Runs of one type as one slot; units behind a number, and between units "per", join the slot before."""
+    kind = kind.copy()
+    after = np.flatnonzero(kind == AFTER_NUMBER)
+    if len(after):
+        number = np.concatenate([[False], kind[:-1] == NUMBER])
+        kind[after] = np.where(number[after], UNIT, WORD)
+    unit = kind == UNIT
+    if unit.any() and len(kind) > 2:
+        per = np.flatnonzero((fill[1:-1] == PER) & unit[:-2] & unit[2:]) + 1
+        kind[per] = UNIT
+        unit[per] = True
+    if not kind.any():
+        return Template(kind, fill, np.arange(len(fill)), np.ones(len(fill), np.int64), fill)
+    start = np.concatenate([[True], (kind[1:] != kind[:-1]) | (kind[1:] == WORD)])
+    start[1:] &= ~(unit[1:] & (kind[:-1] == NUMBER))
+    first = np.flatnonzero(start)
+    size = np.diff(np.append(first, len(kind)))
+    joined, out = np.flatnonzero(size > 1), fill[first]
+    for j in joined.tolist():
+        out[j] = mix(*fill[first[j] : first[j] + size[j]]) & ~np.uint64(0x1F)
+    return Template(kind[first], out, first, size, fill)
+
+
+def template(body: bytes, cache: WordCache) -> Template:
+    return tokens(*_kinds(body, cache)[:2])
+
+
+def all_windows(form: np.ndarray, lengths: dict[int, list[int]]) -> dict[int, dict[int, np.ndarray]]:
+    """By salt and length: the hash of the window that starts at each position. Longer windows carry the shorter ones' hashes on."""
+    out, state = {salt: {} for salt in lengths}, np.zeros(len(form), np.uint64)
+    for k in range(min(max((n for some in lengths.values() for n in some), default=0), len(form))):
+        state = mix(state[: len(form) - k], form[k:])
+        for salt, some in lengths.items():
+            if k + 1 in some:
+                out[salt][k + 1] = mix(state, np.uint64(salt << 8 | k + 1))
+    return out
+
+
+def windows(form: np.ndarray, lengths, salt: int) -> dict[int, np.ndarray]:
+    return all_windows(form, {salt: lengths})[salt]
+
+
+def slot_windows(t: Template, lengths) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: hashes of typed windows, and which of them count: those without slots, or with PLAIN plain words."""
+    plain = np.concatenate([[0], np.cumsum(t.kind == WORD)])
+    return {n: (h, (some := plain[n:] - plain[:-n]) >= np.minimum(n, PLAIN)) if n > 1 else (h, t.kind == WORD) for n, h in windows(t.form, lengths, TEMPLATE).items()}
+
+
+def window_of(n: int, window: int = WINDOW) -> int:
+    """Window of an item of n tokens: where one changed word in the middle would leave no whole window, half of the rest, or LEAST_WINDOW."""
+    return min(window, n) if n < 2 * LEAST_WINDOW + 1 else min(window, (n - 1) // 2)
 
 
-def _forms(kind: np.ndarray, fill: np.ndarray) -> np.ndarray:
-    return np.where(kind == WORD, fill, kind.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_GRAMS = {"h": "long", "item_id": "long", "form": "int", "pos": "int", "length": "int", "n_item": "int", "n_plain": "int", "kinds": "array<int>", "fills": "array<long>", "sizes": "array<int>"}
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
 
 
-def windows(form: np.ndarray, length: int) -> np.ndarray:
-    """Hash of the window of that length that starts at each position."""
-    n = len(form) - length + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
-    return mix(np.uint64(length), *(form[i : i + n] for i in range(length)))
+def _batch(rows: list[tuple], kinds: dict[str, str]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, t in zip(columns, kinds.values())], list(kinds))
 
 
-def window_of(n: int, window: int = WINDOW) -> int:
-    """Window of an item of n words: where one changed word in the middle would leave no whole window, half of the rest, or LEAST_WINDOW."""
-    return min(window, n) if n < 2 * LEAST_WINDOW + 1 else min(window, (n - 1) // 2)
+def _schema(kinds: dict[str, str]) -> str:
+    return ", ".join(f"{k} {t}" for k, t in kinds.items())
+
+
+def item_windows(body: bytes, cache: WordCache, window: int = WINDOW) -> list[tuple]:
+    """Of one item: hash, form, position, length, words of the item, its plain words, and kinds, fillings and words of the window's tokens."""
+    kind, fill, capital = _kinds(body, cache)
+    t = tokens(kind, fill)
+    if not len(t.kind):
+        return []
+    rows, n_item, n_plain = [], len(t.words), int((t.kind == WORD).sum())
+    signed = lambda x: x.view(np.int64)
+
+    def add(h, form, pos, kinds, fills, sizes):
+        rows.append((int(signed(np.array([h], np.uint64))[0]), form, pos, len(kinds), n_item, n_plain, kinds.tolist(), signed(fills).tolist(), sizes.tolist()))
+
+    def typed(t: Template, length: int, at: int, most: int):
+        for p, (h, counts) in enumerate(zip(*slot_windows(t, [length])[length])):
+            if counts and p < most:
+                add(h, TEMPLATE, p + at, t.kind[p : p + length], t.fill[p : p + length], t.size[p : p + length])
+
+    length = window_of(len(t.kind), window)
+    typed(t, length, 0, len(t.kind))
+    if t.kind.any():
+        for p, h in enumerate(windows(t.fill, [length], TEMPLATE)[length]):
+            add(h, TEMPLATE, p, np.zeros(length, np.int8), t.fill[p : p + length], t.size[p : p + length])
+    if kind[0] == WORD and capital[0]:  # inside a sentence, its first word reads as a name
+        inside = tokens(np.concatenate([[NAME], kind[1:]]).astype(kind.dtype), fill)
+        typed(inside, min(length, len(inside.kind)), len(t.kind) - len(inside.kind), 1)
+    length = window_of(n_item, window)
+    for p, h in enumerate(windows(t.words, [length], COPY)[length]):
+        add(h, COPY, p, np.zeros(length, np.int8), t.words[p : p + length], np.ones(length, np.int64))
+    return rows
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(h, item_id, pos, length, n_windows, n_plain, kinds, fills): a row for each window of each item, with its slots, and the item's plain words."""
+    """A row for each window of each item, with its tokens."""
 
     def extract(batches):
         cache = WordCache(_packed)
         for b in batches:
-            rows = []
-            for item, body in zip(b.column("item_id").to_pylist(), b.column("body").to_pylist()):
-                form, kind, fill, capital = template(body, cache)
-                length = window_of(len(form), window)
-                hashes = windows(form, length).view(np.int64) if length else np.zeros(0, np.int64)
-                n_plain = int((kind == WORD).sum())
-                row = lambda h, p, kind: (int(h), item, p, length, len(hashes), n_plain, kind[p : p + length].tolist(), fill[p : p + length].view(np.int64).tolist())
-                rows += [row(h, p, kind) for p, h in enumerate(hashes)]
-                plain, zero = (windows(fill, length).view(np.int64), np.zeros_like(kind)) if length else (hashes, kind)
-                rows += [row(h, p, zero) for p, h in enumerate(plain) if h != hashes[p]]
-                if length and kind[0] == WORD and capital[0]:  # inside a sentence, its first word reads as a name
-                    kind = np.concatenate([[NAME], kind[1:length]]).astype(kind.dtype)
-                    rows.append(row(windows(_forms(kind, fill[:length]), length).view(np.int64)[0], 0, kind))
-            if rows:
-                cols = list(zip(*rows))
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["h", "item_id", "pos", "length", "n_windows", "n_plain", "kinds", "fills"])
+            rows = [(r[0], item, *r[1:]) for item, body in zip(b.column("item_id").to_pylist(), b.column("body").to_pylist()) for r in item_windows(body, cache, window)]
+            yield _batch(rows, _GRAMS)
 
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), text_bytes().alias("body"))
-    return items.mapInArrow(extract, "h long, item_id long, pos int, length int, n_windows int, n_plain int, kinds array<int>, fills array<long>")
+    return items.mapInArrow(extract, _schema(_GRAMS))
 
 
-def _bitmap(grams: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """Which values the top BITMAP_BITS bits of the window hashes take, and the lengths of the windows."""
+def _bitmap(grams: DataFrame) -> tuple[np.ndarray, dict[int, list[int]]]:
+    """Which values the top BITMAP_BITS bits of the window hashes take, and the lengths of the windows of each form."""
     slot = grams.select(F.shiftrightunsigned("h", 64 - BITMAP_BITS).alias("slot"))
     words = slot.selectExpr("cast(slot div 64 as int) AS word", "shiftleft(1L, cast(slot % 64 as int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     bits = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
     bits[words["word"].to_numpy(int)] = words["bits"].to_numpy(np.int64)
-    return bits.view(np.uint64), sorted(r[0] for r in grams.select("length").distinct().collect())
+    lengths = [(r[0], r[1]) for r in grams.select("form", "length").distinct().collect()]  # at most WINDOW a form
+    return bits.view(np.uint64), {f: sorted(n for g, n in lengths if g == f) for f in (TEMPLATE, COPY)}
+
+
+_HITS = {"doc_id": "long", "doc_pos": "int", "h": "long", "doc_fills": "array<long>"}
 
 
 def alignments(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """(doc_id, item_id, shift, hits): hits are the windows of a document and an item on one diagonal."""
-    bits, lengths = _bitmap(grams)
-    shared = docs.sparkSession.sparkContext.broadcast((bits, lengths))  # 1 MB, and at most WINDOW lengths
+    """Windows of documents that are windows of items, with the shift between them."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(grams))  # 1 MB, and at most 2 * WINDOW lengths
 
     def extract(batches):
         cache = WordCache(_packed)
         bits, lengths = shared.value
+
+        def hits(h: np.ndarray) -> np.ndarray:
+            slot = h >> np.uint64(64 - BITMAP_BITS)
+            return bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)
+
         for b in batches:
-            ids, pos, found, kinds, fills = [], [], [], [], []
+            rows = []
             for doc_id, body in zip(b.column("doc_id").to_pylist(), b.column("body").to_pylist()):
-                form, kind, fill, _ = template(body, cache)
-                slots = kind.any()
-                for length in lengths:
-                    typed = windows(form, length)
-                    for h, types in ((typed, kind), (windows(fill, length), np.zeros_like(kind))) if slots else ((typed, kind),):
-                        slot = h >> np.uint64(64 - BITMAP_BITS)
-                        hit = bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)
-                        if types is not kind:
-                            hit = hit & (h != typed)
-                        for p in np.flatnonzero(hit).tolist():
-                            ids.append(doc_id)
-                            pos.append(p)
-                            found.append(int(h[p : p + 1].view(np.int64)[0]))
-                            kinds.append(types[p : p + length].tolist())
-                            fills.append(fill[p : p + length].view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(found, pa.int64()), pa.array(kinds, pa.list_(pa.int32())), pa.array(fills, pa.list_(pa.int64()))], ["doc_id", "doc_pos", "h", "doc_kinds", "doc_fills"])
+                t = template(body, cache)
+                found = [(h, n, hits(h) & counts, t.fill) for n, (h, counts) in slot_windows(t, lengths[TEMPLATE]).items()] if t.kind.any() else []
+                if len(t.fill) == len(t.words):  # no slot has more words, so both forms are windows over the same hashes
+                    filled = all_windows(t.words, lengths)
+                else:
+                    filled = {form: windows(x, lengths[form], form) for form, x in ((TEMPLATE, t.fill), (COPY, t.words))}
+                found += [(h, n, hits(h), t.fill if form == TEMPLATE else t.words) for form, some in filled.items() for n, h in some.items()]
+                for h, n, hit, fill in found:
+                    rows += [(doc_id, p, int(h[p : p + 1].view(np.int64)[0]), fill[p : p + n].view(np.int64).tolist()) for p in np.flatnonzero(hit).tolist()]
+            yield _batch(rows, _HITS)
 
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
-    hits = texts.mapInArrow(extract, "doc_id long, doc_pos int, h long, doc_kinds array<int>, doc_fills array<long>")
-    return hits.join(grams, "h").where(F.col("doc_kinds") == F.col("kinds")).withColumn("shift", F.col("doc_pos") - F.col("pos"))
+    hits = texts.mapInArrow(extract, _schema(_HITS))
+    met = hits.join(grams, "h").withColumn("shift", F.col("doc_pos") - F.col("pos"))
+    agree = F.forall(F.arrays_zip("kinds", "fills", "doc_fills"), lambda c: (c["kinds"] != WORD) | (c["fills"] == c["doc_fills"]))
+    return met.where(agree)  # hashes of windows alone may coincide
+
+
+KEY = ["doc_id", "item_id", "form", "shift"]
 
 
 def _cells(hits: DataFrame) -> DataFrame:
-    """Per alignment and word of the item covered: its kind, whether a window of plain words covers it, and the fillings."""
-    key = ["doc_id", "item_id", "shift"]
+    """Per alignment and token of the item covered: its kind, whether a window without types covers it, the fillings and its words."""
     return (
-        hits.select(*key, "pos", F.posexplode(F.arrays_zip("kinds", "fills", "doc_fills")).alias("k", "cell"))
-        .select(*key, (F.col("pos") + F.col("k")).alias("at"), "cell.*")
-        .groupBy(*key, "at")
-        .agg(F.max("kinds").alias("kind"), (F.min("kinds") == WORD).alias("plain"), F.first("fills").alias("fill"), F.first("doc_fills").alias("doc_fill"))
+        hits.select(*KEY, "pos", F.posexplode(F.arrays_zip("kinds", "fills", "doc_fills", "sizes")).alias("k", "cell"))
+        .select(*KEY, (F.col("pos") + F.col("k")).alias("at"), "cell.*")
+        .groupBy(*KEY, "at")
+        .agg(F.max("kinds").alias("kind"), (F.min("kinds") == WORD).alias("plain"), F.first("fills").alias("fill"), F.first("doc_fills").alias("doc_fill"), F.max("sizes").alias("size"))
     )
 
 
 def _contradictions(cells: DataFrame) -> DataFrame:
     """Per alignment: plain words covered, slots, and slots whose filling is at odds with another's."""
-    key = ["doc_id", "item_id", "shift"]
-    pairs = cells.groupBy(*key, "kind", "fill", "doc_fill").agg(F.count("*").alias("n"), F.sum(F.col("plain").cast("int")).alias("n_plain"))
-    there, back = Window.partitionBy(*key, "kind", "fill"), Window.partitionBy(*key, "kind", "doc_fill")
+    pairs = cells.groupBy(*KEY, "kind", "fill", "doc_fill").agg(F.count("*").alias("n"), F.sum(F.col("plain").cast("int")).alias("n_plain"))
+    there, back = Window.partitionBy(*KEY, "kind", "fill"), Window.partitionBy(*KEY, "kind", "doc_fill")
     many = F.count("*").over(there) > 1
     odd = F.when(F.col("kind") == NAME, many | (F.count("*").over(back) > 1)).otherwise(many)
     return (
         pairs.withColumn("odd", F.when(F.col("kind") != WORD, odd).otherwise(False))
-        .groupBy(*key)
+        .groupBy(*KEY)
         .agg(
             F.sum("n_plain").alias("n_words"),
             F.sum(F.when(F.col("kind") != WORD, F.col("n")).otherwise(0)).alias("n_slots"),
@@ -210,30 +306,25 @@ def _contradictions(cells: DataFrame) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, item_id, coverage (share of the item's windows), slots and changed slots of each contaminated pair."""
+    """doc_id, item_id, coverage (share of the item's words), slots and changed slots of each contaminated pair."""
     grams = stored(benchmark_windows(benchmark, window), "decontam-grams")
     hits = stored(alignments(docs, grams), "decontam-hits")
-    key = ["doc_id", "item_id", "shift"]
-    plain = hits.groupBy(*key).agg(F.max("n_plain").alias("n_plain"))
+    totals = hits.groupBy(*KEY).agg(F.max("n_plain").alias("n_plain"), F.max("n_item").alias("n_item"))
     cells = stored(_cells(hits), "decontam-cells")
-    judged = _contradictions(cells).join(plain, key)
+    judged = _contradictions(cells).join(totals, KEY)
     steady = (F.col("n_odd") * 10 <= F.col("n_slots")) | ((F.col("n_odd_names") * 10 <= F.col("n_slots")) & (F.col("n_agree") * 10 >= F.col("n_plain") * 9))
     clean = stored(judged.where((F.col("n_words") >= F.least(F.lit(min_words), F.col("n_words") + F.col("n_slots"))) & steady), "decontam-clean")
-    kept = hits.select(*key, "pos", "length", "n_windows").join(clean, key)
-    per_item = kept.groupBy("doc_id", "item_id").agg(
-        (F.countDistinct("pos") / F.first("n_windows")).alias("coverage"),
-        (F.first("n_windows") + F.first("length") - 1).alias("n_item"),
-        F.max("n_slots").alias("n_slots"),
-        F.min("n_changed").alias("n_changed"),
-    )
-    sound = cells.join(clean.select(*key), key)
-    covered = sound.groupBy("doc_id", "item_id").agg(F.countDistinct("at").alias("n_covered"))
-    island = F.col("at") - F.row_number().over(Window.partitionBy(*key).orderBy("at"))
-    runs = sound.withColumn("island", island).groupBy(*key, "island").agg(F.count("*").alias("n"), F.sum(F.col("plain").cast("int")).alias("n_plain"))
-    long_run = runs.where((F.col("n") >= RUN) & (F.col("n_plain") * 2 >= F.col("n"))).select("doc_id", "item_id").distinct().withColumn("long_run", F.lit(True))
-    all_of = per_item.join(covered, ["doc_id", "item_id"]).join(long_run, ["doc_id", "item_id"], "left")
-    found = all_of.where((F.col("coverage") >= cover) | (F.col("n_covered") >= cover * F.col("n_item")) | F.col("long_run"))
-    return found.select("doc_id", "item_id", "coverage", "n_slots", "n_changed")
+    sound = stored(cells.join(clean.select(*KEY, "n_item"), KEY), "decontam-sound")
+    pair, of = ["doc_id", "item_id"], ["doc_id", "item_id", "form"]
+    share = F.sum("size") / F.first("n_item")
+    covered = sound.groupBy(*of, "at").agg(F.max("size").alias("size"), F.max("n_item").alias("n_item")).groupBy(*of).agg(share.alias("share"))
+    covered = covered.groupBy(*pair).agg(F.max("share").alias("coverage"), F.max(F.when(F.col("form") == TEMPLATE, F.col("share"))).alias("by_template"), F.max(F.when(F.col("form") == COPY, F.col("share"))).alias("by_copy"))
+    island = F.col("at") - F.row_number().over(Window.partitionBy(*KEY).orderBy("at"))
+    runs = sound.where(F.col("form") == TEMPLATE).withColumn("island", island).groupBy(*KEY, "island").agg(F.count("*").alias("n"), F.sum(F.col("plain").cast("int")).alias("n_plain"))
+    long_run = runs.where((F.col("n") >= RUN) & (F.col("n_plain") * 2 >= F.col("n"))).select(*pair).distinct().withColumn("long_run", F.lit(True))
+    slots = clean.groupBy(*pair).agg(F.max("n_slots").alias("n_slots"), F.min(F.when(F.col("form") == TEMPLATE, F.col("n_changed"))).alias("n_changed"))
+    found = covered.join(slots, pair).join(long_run, pair, "left").where((F.col("by_template") >= cover) | (F.col("by_copy") >= VERBATIM) | F.col("long_run"))
+    return found.select(*pair, F.least("coverage", F.lit(1.0)).alias("coverage"), "n_slots", F.coalesce("n_changed", F.lit(0)).cast("long").alias("n_changed"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
