@@ -5,9 +5,10 @@ Terms are lower-cased words without outer punctuation, and every term of every l
 the term and the label among the examples, so words that tell the labels apart weigh most and none is left out. Vectors have length 1.
 
 The examples' vectors lie in inverted lists cut into blocks of BLOCK examples, and each list keeps its largest weight in each block it reaches.
-A document adds up these bounds for its terms, scores the FIRST blocks of the largest bounds, and then every block whose bound
-reaches the K-th cosine found, so the neighbours are exact; equal cosines go to the smaller doc_id. Examples that lean on the same word lie
-together, which keeps the bounds of other blocks low. Equal vectors of the same label are one example with a count.
+A document's terms with long lists and little weight, as far as they can add SLACK to a cosine, are only bounded by these block maxima; the lists
+of the others are added up. Examples that reach the K-th sum with their block's bound are then scored in full, so the
+neighbours are exact; equal cosines go to the smaller doc_id. Examples that lean on the same word lie together, which keeps the bounds of other
+blocks low. Equal vectors of the same label are one example with a count.
 Votes are weighted by the angle, cosine / (1 - cosine + SOFT), against a prior of weight PRIOR for the label's share; a
 logistic fit calibrates them on each fold of the examples, with lists and contrasts that know the other folds alone.
 
@@ -33,15 +34,20 @@ from pyspark.sql import DataFrame, functions as F
 from tapeloom.llm.common import WordCache, held_out, labelled_sample, platt, sigmoid, text_bytes, word_hash
 
 MAX_EXAMPLES = 5000
-K, BLOCK, FIRST, SOFT, PRIOR, FLOOR, FOLDS = 16, 64, 4, 0.1, 0.5, 0.05, 3
+K, BLOCK, SLACK, SOFT, PRIOR, FLOOR, FOLDS = 16, 64, 0.02, 0.1, 0.5, 0.05, 3
 _OUTER = re.compile(r"^\W+|\W+$")
 _ASCII_OUTER = bytes(b for b in range(128) if not (chr(b).isalnum() or b == ord("_")))
 
 
 def term_of(word: bytes) -> bytes:
     """The term of a white-space word; empty if it has none."""
+    if word.isalpha():
+        return word.lower()
     if word.isascii():
         return word.strip(_ASCII_OUTER).lower()
+    text = word.decode("utf-8", "replace")
+    if text.isalpha():
+        return text.lower().encode()
     return _OUTER.sub("", word.decode("utf-8", "replace")).lower().encode()
 
 
@@ -68,6 +74,10 @@ class Index:
     block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # a run's block, largest weight and first posting
     most: np.ndarray = field(default_factory=lambda: np.zeros(0))
     first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    top: np.ndarray = field(default_factory=lambda: np.zeros(0))  # a term's largest weight
+    example: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # where each example's terms start
+    own: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    own_weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     prior: float = 0.5
     slope: float = 1.0
     intercept: float = 0.0
@@ -78,6 +88,8 @@ class Index:
         term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)])
         row = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
         weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
+        self.example = np.searchsorted(row, np.arange(len(vectors) + 1))
+        self.own, self.own_weight = term.astype(np.int32), weight
         order = np.lexsort((row, term))
         term, self.row, self.weight = term[order], row[order].astype(np.int32), weight[order]
         block = self.row // BLOCK
@@ -85,6 +97,8 @@ class Index:
         self.block, self.first = block[starts], np.append(starts, len(term))
         self.most = np.maximum.reduceat(self.weight, starts) if len(starts) else np.zeros(0)
         self.runs = np.searchsorted(term[starts], np.arange(len(self.idf) + 1))
+        self.top = np.zeros(len(self.idf))
+        np.maximum.at(self.top, term[starts], self.most)
 
     def vector(self, found: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Terms, ascending, and weights of length 1."""
@@ -95,38 +109,40 @@ class Index:
         weight = (1 + np.log(tf)) * self.idf[term]
         return term, weight / np.sqrt((weight * weight).sum()) if len(weight) else weight
 
-    def _cosines(self, of: np.ndarray, runs: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Of all examples, as far as these runs go."""
-        at, run = _spans(self.first[runs], self.first[runs + 1])
-        return np.bincount(self.row[at], self.weight[at] * weight[of[run]], len(self.ids)).round(12)
+    def _sums(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Of all examples, what these terms add to the cosine."""
+        at, of = _spans(self.first[self.runs[term]], self.first[self.runs[term + 1]])
+        return np.bincount(self.row[at], self.weight[at] * weight[of], len(self.ids))
+
+    def _cosines(self, examples: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Of some examples, by their own terms; a scratch row as long as the vocabulary is kept clear between calls."""
+        scratch = self.__dict__.setdefault("_scratch", np.zeros(len(self.idf)))
+        scratch[term] = weight
+        at, of = _spans(self.example[examples], self.example[examples + 1])
+        out = np.bincount(of, self.own_weight[at] * scratch[self.own[at]], len(examples))
+        scratch[term] = 0.0
+        return out
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples with a positive cosine, exactly; one copy of `skip` is left out."""
-        runs, of = _spans(self.runs[term], self.runs[term + 1]) if len(term) and len(self.ids) else (np.zeros(0, np.int64),) * 2
-        if not len(runs):
+        if not len(term) or not len(self.ids):
             return np.zeros(0, np.int64), np.zeros(0)
-        block = self.block[runs]
-        bound = np.bincount(block, self.most[runs] * weight[of], -(-len(self.ids) // BLOCK))
-
-        def best(wanted: np.ndarray, at: np.ndarray, cos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """With the examples of more blocks."""
-            some = wanted[block]
-            more = self._cosines(of[some], runs[some], weight)
-            if skip >= 0 and self.count[skip] < 2:
-                more[skip] = 0
-            least = 0.0 if len(at) < k else cos[-1]
-            here = np.flatnonzero((more > 0) & (more >= least))
-            if len(here) > k:
-                here = here[more[here] >= np.partition(more[here], len(here) - k)[len(here) - k]]
-            at, cos = np.concatenate([at, here]), np.concatenate([cos, more[here]])
-            order = np.lexsort((self.ids[at], -cos))[:k]
-            return at[order], cos[order]
-
-        none = np.zeros(0, np.int64), np.zeros(0)
-        first = bound >= (np.partition(bound, len(bound) - FIRST)[len(bound) - FIRST] if len(bound) > FIRST else 0.0)
-        at, cos = best(first, *none)
-        rest = ~first & (bound >= (cos[-1] - 1e-9 if len(at) == k else 1e-300))
-        return best(rest, at, cos) if rest.any() else (at, cos)
+        most = weight * self.top[term]
+        order = np.argsort(most / np.maximum(1, self.first[self.runs[term + 1]] - self.first[self.runs[term]]))
+        light = np.zeros(len(term), bool)
+        light[order[: np.searchsorted(np.cumsum(most[order]), SLACK)]] = True
+        sums = self._sums(term[~light], weight[~light])
+        runs, of = _spans(self.runs[term[light]], self.runs[term[light] + 1])
+        bound = np.bincount(self.block[runs], self.most[runs] * weight[light][of], -(-len(self.ids) // BLOCK))
+        upper = sums + np.repeat(bound, BLOCK)[: len(sums)]
+        if skip >= 0 and self.count[skip] < 2:
+            sums[skip] = upper[skip] = 0.0
+        least = np.partition(sums, len(sums) - k)[len(sums) - k] if len(sums) > k else 0.0
+        at = np.flatnonzero((upper > 0) & (upper >= least - 1e-9))
+        cos = (self._cosines(at, term, weight) if len(at) * 8 < len(sums) else self._sums(term, weight)[at]).round(12)
+        at, cos = at[cos > 0], cos[cos > 0]
+        best = np.lexsort((self.ids[at], -cos))[:k]
+        return at[best], cos[best]
 
     def vote(self, at: np.ndarray, cos: np.ndarray, skip: int = -1) -> float:
         """Log odds of the weighted votes; the count of an example's copies counts as its logarithm."""
@@ -146,7 +162,8 @@ class Finder:
     """Terms, ascending, of a text that are in the vocabulary, and how often each stands there."""
 
     def __init__(self, terms: dict[bytes, int]):
-        self.words = WordCache(lambda w: terms.get(term_of(w), -1))
+        known = terms.get
+        self.words = WordCache(lambda w: known(w.lower() if w.isalpha() else term_of(w), -1))
 
     def __call__(self, body: bytes) -> tuple[np.ndarray, np.ndarray]:
         term, tf = np.unique(self.words.array(body.split(), np.int64), return_counts=True)
@@ -267,6 +284,7 @@ def _fill(index: Index, rows: list[tuple[int, int, Counter]]) -> None:
 # -- scoring --------------------------------------------------------------------------------------------------
 def scorer(docs: DataFrame, index: Index):
     """A column function: whole text (binary) -> struct of score, neighbours and cosines."""
+    index.__dict__.pop("_scratch", None)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     @F.pandas_udf("score double, neighbours array<long>, cosines array<double>")
