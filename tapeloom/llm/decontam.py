@@ -2,8 +2,8 @@
 
 Words lose outer punctuation and case; numbers, names (capitalised inside a sentence) and units become typed placeholders. Runs of one
 type are one slot, and units behind a number belong to its slot, so "Mary Ann" may stand for "Bob", "1 200" for "7" and "3 km per hour" for "5mph".
-Every window of WINDOW tokens (words and slots) of a document is hashed; those that pass a bitmap of the benchmark's windows, of fixed size, are
-joined with the benchmark's windows on the hash. Windows with slots count if PLAIN words are in them, so tables of numbers match nothing. Windows
+Windows of WINDOW tokens (words and slots) of a document are hashed where all their words are among the benchmark's, by a bitmap of fixed
+size; those that pass a bitmap of the benchmark's windows are joined with the benchmark's windows on the hash. Windows with slots count if PLAIN words are in them, so tables of numbers match nothing. Windows
 are also hashed with the slots' fillings in place of their types, and a hit of either kind counts. Hits of a document and an item that lie
 on one diagonal form an alignment.
 The slots of an alignment must be consistent: over the tokens covered, a filling of the item's always stands against the same
@@ -17,7 +17,7 @@ of an item's words that way holds a copy, whatever its case or line breaks.
 
 Items shorter than WINDOW tokens make one window of their whole length; those of 11 to 16 have windows of half their
 length, so one changed word leaves windows whole. An item without words matches nothing.
-Both sides are large-safe: the bitmap is 2**BITMAP_BITS bits whatever the benchmark's size, the join is a shuffle join
+Both sides are large-safe: each bitmap is 2**BITMAP_BITS bits whatever the benchmark's size, the join is a shuffle join
 that Spark may broadcast by the size it measured, and a window that many documents share is one row a document and item.
 
 Defined results: null and empty texts match nothing; repeated rows are each reported (one row a doc_id and item);
@@ -53,10 +53,16 @@ _OUTER = re.compile(r"^\W+|\W+$")
 _NUMBER = re.compile(r"[+-]?[$€£]?\d+([.,:/]\d+)*%?([^\W\d_]*)")
 _STOP = re.compile(r"[.!?:][\"')\]»”]*$")
 PER = np.uint64(word_hash(b"per") & ~0x1F)
+# Bytes that no UTF-8 text holds stand for the end of a line and of a document.
+LINE, END = b"\xff", b"\xfe"
+SENTINEL = np.uint64(word_hash(END) & ~0x1F)
+CHUNK_BYTES = 1 << 20
 
 
 def _entry(word: bytes) -> tuple[int, int, int, int]:
     """Hash, kind, whether a capital leads, and whether it ends a sentence, of one white-space word."""
+    if word == LINE or word == END:
+        return word_hash(word), WORD if word == END else NOTHING, 0, 1
     text = word.decode("utf-8", "replace")
     core = text[:-1] if text[-1] in ".,;:!?" else text
     if core.isalpha():  # most words, without patterns
@@ -100,16 +106,11 @@ class Template:
 
 def _kinds(body: bytes, cache: WordCache) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Kind and hash of each word that has a letter or digit, and whether a capital leads it."""
-    packed = cache.array(body.split(), np.uint64)
-    first = np.zeros(len(packed) + 1, bool)
-    first[0] = True
-    if b"\n" in body:
-        counts = [len(line.split()) for line in body.split(b"\n")]
-        first[np.cumsum(counts)] = True
+    packed = cache.array(body.replace(b"\n", b" " + LINE + b" ").split(), np.uint64)
+    first = np.ones(len(packed), bool)
     fill, kind = packed & ~np.uint64(0x1F), (packed >> np.uint64(2) & np.uint64(7)).astype(np.int8)
     capital, stop = (packed >> np.uint64(1) & np.uint64(1)).astype(bool), (packed & np.uint64(1)).astype(bool)
-    first = first[:-1]
-    first[1:] |= stop[:-1]
+    first[1:] = stop[:-1]
     kind = np.where(((kind == WORD) | (kind == AFTER_NUMBER)) & capital & ~first, NAME, kind)
     keep = kind != NOTHING
     return kind[keep], fill[keep], capital[keep]
@@ -159,9 +160,9 @@ def windows(form: np.ndarray, lengths, salt: int) -> dict[int, np.ndarray]:
 
 
 def slot_windows(t: Template, lengths) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By length: hashes of typed windows, and which of them count: those without slots, or with PLAIN plain words."""
+    """By length: hashes of typed windows, and which of them count: those with PLAIN plain words, or no slot."""
     plain = np.concatenate([[0], np.cumsum(t.kind == WORD)])
-    return {n: (h, (some := plain[n:] - plain[:-n]) >= np.minimum(n, PLAIN)) if n > 1 else (h, t.kind == WORD) for n, h in windows(t.form, lengths, TEMPLATE).items()}
+    return {n: (h, plain[n:] - plain[:-n] >= min(n, PLAIN)) for n, h in windows(t.form, lengths, TEMPLATE).items()}
 
 
 def window_of(n: int, window: int = WINDOW) -> int:
@@ -226,14 +227,26 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return items.mapInArrow(extract, _schema(_GRAMS))
 
 
-def _bitmap(grams: DataFrame) -> tuple[np.ndarray, dict[int, list[int]]]:
-    """Which values the top BITMAP_BITS bits of the window hashes take, and the lengths of the windows of each form."""
-    slot = grams.select(F.shiftrightunsigned("h", 64 - BITMAP_BITS).alias("slot"))
+def _bits(hashes: DataFrame) -> np.ndarray:
+    """Which values the top BITMAP_BITS bits of the column h take."""
+    slot = hashes.select(F.shiftrightunsigned("h", 64 - BITMAP_BITS).alias("slot"))
     words = slot.selectExpr("cast(slot div 64 as int) AS word", "shiftleft(1L, cast(slot % 64 as int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     bits = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
     bits[words["word"].to_numpy(int)] = words["bits"].to_numpy(np.int64)
-    lengths = [(r[0], r[1]) for r in grams.select("form", "length").distinct().collect()]  # at most WINDOW a form
-    return bits.view(np.uint64), {f: sorted(n for g, n in lengths if g == f) for f in (TEMPLATE, COPY)}
+    return bits.view(np.uint64)
+
+
+def _among(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    slot = h >> np.uint64(64 - BITMAP_BITS)
+    return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _runs(flag: np.ndarray, least: int) -> np.ndarray:
+    """Places of the flags in runs of at least that many."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], flag, [False]])))
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    start, size = start[size >= least], size[size >= least]
+    return np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(start) else start
 
 
 _HITS = {"doc_id": "long", "doc_pos": "int", "h": "long", "doc_fills": "array<long>"}
@@ -241,29 +254,57 @@ _HITS = {"doc_id": "long", "doc_pos": "int", "h": "long", "doc_fills": "array<lo
 
 def alignments(docs: DataFrame, grams: DataFrame) -> DataFrame:
     """Windows of documents that are windows of items, with the shift between them."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(grams))  # 1 MB, and at most 2 * WINDOW lengths
+    lengths = [(r[0], r[1]) for r in grams.select("form", "length").distinct().collect()]  # at most WINDOW a form
+    lengths = {f: sorted(n for g, n in lengths if g == f) for f in (TEMPLATE, COPY)}
+    copies = grams.where(F.col("form") == COPY).select(F.explode("fills").alias("h"))
+    shared = docs.sparkSession.sparkContext.broadcast((_bits(grams), _bits(copies), lengths))  # 2 MB
+
+    def found(bodies: list[bytes], cache: WordCache):
+        """(document, position, hash, fillings) of the windows that pass, of many texts as one."""
+        bits, words, lengths = shared.value
+        t = tokens(*_kinds((b" " + END + b" ").join(bodies), cache)[:2])
+        known = _among(t.words, words) & (t.words != SENTINEL)
+        if not known.any() or not any(lengths.values()):
+            return
+        slot = t.kind != WORD
+        filled = np.logical_and.reduceat(known, t.first)
+        token = slot | known[t.first]
+        typed = (TEMPLATE, True, t.form, token, t.fill)
+        for salt, by_type, form, flag, fill in (typed, (TEMPLATE, False, t.fill, filled, t.fill), (COPY, False, t.words, known, t.words)):
+            if not (some := lengths[salt]):
+                continue
+            at = _runs(flag, some[0])
+            ends = np.flatnonzero(fill == SENTINEL)
+            plain = np.concatenate([[0], np.cumsum(~slot[at])]) if by_type else None
+            for n, h in windows(form[at], some, salt).items():
+                last = len(at) - n + 1
+                hit = _among(h, bits) & (at[n - 1 :] - at[:last] == n - 1)
+                if by_type:
+                    hit &= plain[n:] - plain[:-n] >= min(n, PLAIN)
+                p = at[:last][hit]
+                doc = np.searchsorted(ends, p)
+                start = np.concatenate([[0], ends + 1])[doc]
+                for d, q, r, x in zip(doc.tolist(), (p - start).tolist(), h[hit].view(np.int64).tolist(), p.tolist()):
+                    yield d, q, r, fill[x : x + n].view(np.int64).tolist()
 
     def extract(batches):
-        cache = WordCache(_packed)
-        bits, lengths = shared.value
+        cache, ids, bodies, size = WordCache(_packed), [], [], 0
 
-        def hits(h: np.ndarray) -> np.ndarray:
-            slot = h >> np.uint64(64 - BITMAP_BITS)
-            return bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)
+        def flush():
+            return _batch([(ids[d], *rest) for d, *rest in dict.fromkeys((d, q, r, tuple(f)) for d, q, r, f in found(bodies, cache))], _HITS)
 
         for b in batches:
-            rows = []
-            for doc_id, body in zip(b.column("doc_id").to_pylist(), b.column("body").to_pylist()):
-                t = template(body, cache)
-                found = [(h, n, hits(h) & counts, t.fill) for n, (h, counts) in slot_windows(t, lengths[TEMPLATE]).items()] if t.kind.any() else []
-                if len(t.fill) == len(t.words):  # no slot has more words, so both forms are windows over the same hashes
-                    filled = all_windows(t.words, lengths)
-                else:
-                    filled = {form: windows(x, lengths[form], form) for form, x in ((TEMPLATE, t.fill), (COPY, t.words))}
-                found += [(h, n, hits(h), t.fill if form == TEMPLATE else t.words) for form, some in filled.items() for n, h in some.items()]
-                for h, n, hit, fill in found:
-                    rows += [(doc_id, p, int(h[p : p + 1].view(np.int64)[0]), fill[p : p + n].view(np.int64).tolist()) for p in np.flatnonzero(hit).tolist()]
-            yield _batch(rows, _HITS)
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                for doc_id, body in zip(part.column("doc_id").to_pylist(), part.column("body").to_pylist()):
+                    ids.append(doc_id)
+                    bodies.append(body)
+                    size += len(body)
+                    if size >= CHUNK_BYTES:
+                        yield flush()
+                        ids, bodies, size = [], [], 0
+        if ids:
+            yield flush()
 
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
     hits = texts.mapInArrow(extract, _schema(_HITS))
