@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tapeloom.plans import market, operations, research
+from tapeloom.plans import feeds, market, operations, research
 
-_PARTS = (market, research, operations)
+_PARTS = (market, research, operations, feeds)
 
 
 def queries() -> dict:

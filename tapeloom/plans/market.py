@@ -22,8 +22,8 @@ TOPS_SQL = LEVELS_SQL + """,
 best AS (SELECT e.arrival, max(CASE WHEN l.side = 0 THEN l.price END) bid, arg_max(l.depth, CASE WHEN l.side = 0 THEN l.price END) bq,
     min(CASE WHEN l.side = 1 THEN l.price END) ask, arg_min(l.depth, CASE WHEN l.side = 1 THEN l.price END) aq
     FROM ev e JOIN lv l ON l.venue = e.venue AND l.symbol = e.symbol AND l.arrival <= e.arrival AND (l.nxt IS NULL OR l.nxt > e.arrival) AND l.depth > 0 GROUP BY e.arrival),
-tops AS (SELECT e.*, b.bid, b.bq, b.ask, b.aq, CASE WHEN e.event_type = 0 THEN (SELECT l.depth - l.delta FROM lv l WHERE l.arrival = e.arrival) ELSE 0 END queue_ahead
-    FROM ev e LEFT JOIN best b USING (arrival))"""
+tops AS (SELECT e.*, b.bid, b.bq, b.ask, b.aq, coalesce(l.depth - l.delta, 0) queue_ahead
+    FROM ev e LEFT JOIN best b USING (arrival) LEFT JOIN (SELECT arrival, depth, delta FROM lv WHERE event_type = 0) l ON l.arrival = e.arrival)"""
 
 _V = range(5)
 NBBO_SQL = TOPS_SQL + f""",
@@ -141,7 +141,11 @@ def depth_snapshot(spark, d):
 
 
 def book_reconcile(spark, d):
-    return book.reconcile(book_events(spark, d)).agg(F.count("*").alias("differences"))
+    """Levels on which the engine and the delta form differ, beside the number and depth of those that they share by venue."""
+    ev = book_events(spark, d)
+    levels = book.live_levels(ev).groupBy("venue").agg(F.count("*").alias("n_levels"), F.sum("qty").alias("depth"))
+    apart = book.reconcile(ev).groupBy("venue").agg(F.count("*").alias("differences"))
+    return levels.join(apart, "venue", "left").select("venue", "n_levels", "depth", F.coalesce("differences", F.lit(0)).alias("differences"))
 
 
 def book_tops(spark, d):
@@ -225,7 +229,7 @@ _DIFF = _OTHER + """, df AS (SELECT coalesce(a.venue, b.venue) venue, coalesce(a
 _KYLE = TWO_SQL + """,
 kx AS (SELECT *, CASE WHEN event_type IN (7, 8) THEN CASE side WHEN 0 THEN qty WHEN 1 THEN -qty ELSE 0 END END x, CASE WHEN event_type IN (7, 8) THEN coalesce((bid_price + ask_price) - lag(bid_price + ask_price) OVER (PARTITION BY symbol ORDER BY arrival), 0) END y FROM two),
 ky AS (SELECT *, CAST(count(x) OVER w AS DOUBLE) n, CAST(sum(x) OVER w AS DOUBLE) sx, CAST(sum(y) OVER w AS DOUBLE) sy, CAST(sum(x * x) OVER w AS DOUBLE) sxx, CAST(sum(x * y) OVER w AS DOUBLE) sxy FROM kx WINDOW w AS (PARTITION BY symbol ORDER BY arrival ROWS UNBOUNDED PRECEDING)),
-kl AS (SELECT arrival, symbol, round(coalesce(CASE WHEN abs(n * sxx - sx * sx) > 1e-12 THEN (n * sxy - sx * sy) / (n * sxx - sx * sx) / 2.0 END, 0.0), 8) kyle_lambda FROM ky)"""
+kl AS (SELECT arrival, symbol, round(kyle_raw, 8) kyle_lambda, kyle_raw FROM (SELECT *, coalesce(CASE WHEN abs(n * sxx - sx * sx) > 1e-12 THEN (n * sxy - sx * sy) / (n * sxx - sx * sx) / 2.0 END, 0.0) kyle_raw FROM ky))"""
 _MICRO = "round(CASE WHEN bid_qty + ask_qty > 0 THEN CAST(ask_price * bid_qty + bid_price * ask_qty AS DOUBLE) / (bid_qty + ask_qty) ELSE mid END, 6)"
 _BBO = "bid_price, bid_qty, bid_venue, ask_price, ask_qty, ask_venue"
 _STATS = "count(*) records, min(ns) min_ts, max(ns) max_ts, arg_min(ns, arrival) first_ts, arg_max(ns, arrival) last_ts"
@@ -252,7 +256,7 @@ ORACLE_SQL = {
         FROM (SELECT venue, symbol, side, price, CAST(sum(delta) AS BIGINT) q FROM dl GROUP BY ALL) WHERE q > 0 GROUP BY ALL"""),
     "depth_snapshot": tape_sql("," + LEVELS_SQL, """SELECT venue, symbol, side, count(*) n_levels, string_agg(price || 'x' || q, ',' ORDER BY CASE WHEN side = 0 THEN -price ELSE price END) levels
         FROM (SELECT venue, symbol, side, price, CAST(sum(delta) AS BIGINT) q FROM dl GROUP BY ALL) WHERE q > 0 GROUP BY ALL"""),
-    "book_reconcile": "SELECT CAST(0 AS BIGINT) differences",
+    "book_reconcile": tape_sql("," + LEVELS_SQL, "SELECT venue, count(*) n_levels, CAST(sum(q) AS BIGINT) depth, CAST(0 AS BIGINT) differences FROM (SELECT venue, symbol, side, price, sum(delta) q FROM dl GROUP BY ALL) WHERE q > 0 GROUP BY venue"),
     "book_tops": tape_sql("," + TOPS_SQL, "SELECT arrival, venue, symbol, bid bid_price, bq bid_qty, ask ask_price, aq ask_qty, CAST(queue_ahead AS BIGINT) queue_ahead FROM tops"),
     "nbbo_consolidated": tape_sql("," + NBBO_SQL, f"SELECT arrival, symbol, {_BBO} FROM nb"),
     "nbbo_changes": tape_sql(_CHANGES, f"SELECT arrival, symbol, {_BBO} FROM ch"),

@@ -34,15 +34,6 @@ def crc_witness(spark, d):
     return spark.createDataFrame([(a, a == b)], "crc long, same boolean")
 
 
-def itch_roundtrip(spark, d):
-    """The tape as venue messages and back; rows that differ."""
-    ev = book_events(spark, d).withColumn("exchange_ts_ns", F.col("exchange_ts_ns") % (1 << 47)).withColumn("venue", F.lit(0).cast("short"))
-    sent = ev.select("arrival", "sequence", "ingest_ts_ns", decode.itch_payload(F.col("event_type")).alias("payload"))
-    back = decode.decode(sent, decode.ITCH).drop("status")
-    cells = ["event_type", "exchange_ts_ns", "order_id", "qty"]
-    return sequence.divergence(ev, back, ["arrival"], cells)
-
-
 def itch_type_counts(spark, d):
     ev = book_events(spark, d).withColumn("exchange_ts_ns", F.col("exchange_ts_ns") % (1 << 47))
     sent = ev.select("arrival", "sequence", "ingest_ts_ns", decode.itch_payload(F.col("event_type")).alias("payload"))
@@ -125,7 +116,7 @@ def ofi_holdout_report(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    sequence_release, sequence_stats, accepted_by_feed, crc_witness, itch_roundtrip, itch_type_counts, crypto_lowering, research_tape, lifecycle_book, sim_fills_mm, sim_fills_ofi, intents_mm, shard_witness, symbol_codes, pnl_by_symbol, equity_buckets, experiment_report, risk_metrics, ofi_holdout_report,
+    sequence_release, sequence_stats, accepted_by_feed, crc_witness, itch_type_counts, crypto_lowering, research_tape, lifecycle_book, sim_fills_mm, sim_fills_ofi, intents_mm, shard_witness, symbol_codes, pnl_by_symbol, equity_buckets, experiment_report, risk_metrics, ofi_holdout_report,
 )}
 
 ORACLE_SQL = {
@@ -136,7 +127,6 @@ ORACLE_SQL = {
             CAST(sum(CASE WHEN step IN (0, 2) THEN 9999 + cycle % 97 WHEN step IN (1, 3) THEN 10001 + cycle % 97 ELSE 0 END) AS BIGINT) price_sum, CAST(sum(CASE WHEN step >= 4 THEN 0 ELSE 100 END) AS BIGINT) qty_sum FROM t GROUP BY ALL""",
     "shard_witness": tape_sql("", "SELECT CAST(4 AS BIGINT) runs, count(*) events FROM ev"),
     "symbol_codes": tape_sql("", "SELECT symbol, CAST(('0x' || hex(rpad(symbol, 8, ' '))) AS BIGINT) code, symbol AS back, count(*) n FROM ev GROUP BY ALL"),
-    "itch_roundtrip": "SELECT CAST(0 AS BIGINT) changed, CAST(0 AS BIGINT) left_only, CAST(0 AS BIGINT) right_only, CAST(0 AS BIGINT) total",
     "itch_type_counts": tape_sql("", "SELECT CASE event_type WHEN 0 THEN 'A' WHEN 2 THEN 'E' WHEN 4 THEN 'X' WHEN 5 THEN 'D' WHEN 7 THEN 'P' END AS type, 'ok' status, count(*) n FROM ev GROUP BY ALL"),
     "crypto_lowering": """WITH ev AS (SELECT event_id, user_id, event_type = 'error' gone, CAST(floor(value * 10000 + 0.5) AS BIGINT) px, CASE WHEN event_id % 2 = 0 THEN 1500000 ELSE 250000 END q, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END side, event_id // 1000 epoch FROM events),
         w AS (SELECT *, lag({'g': gone, 'p': px, 'q': q}) OVER (PARTITION BY epoch, user_id ORDER BY event_id) was FROM ev)

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import stats
 from tapeloom.operators import features, nbbo, research
-from tapeloom.plans.market import HOUR, OFI_SQL, QUOTED, WINDOW, tape_sql
+from tapeloom.plans.market import _KYLE, HOUR, OFI_SQL, ORACLE_SQL as MARKET_SQL, QUOTED, TWO_SQL, VPIN_VOLUME, WINDOW, tape_sql
 from tapeloom.sources.adapter import book_events
 
 HORIZONS = (HOUR, 6 * HOUR, 24 * HOUR)
 PURGE, EMBARGO = 2 * HOUR, HOUR
-SIGNALS = ("ofi", "microprice_minus_mid", "queue_ahead", "ofi_times_spread", "bid_ask_imbalance")
+#: Signals of the evaluation; the zoo has the three of the sequential features besides.
+SIGNALS = ("ofi", "microprice_minus_mid", "queue_ahead", "ofi_times_spread", "bid_ask_imbalance", "kyle_lambda", "ofi_zscore", "microprice_spread_adj", "sign_microprice_minus_mid", "queue_over_spread")
 
 
 def _rows(spark, d):
@@ -21,13 +22,14 @@ def _rows(spark, d):
     return research.with_mid(features.with_kyle(q).withColumn("queue_ahead", F.col("queue_ahead").cast("double"))).persist()
 
 
-def _signals(rows):
-    return research.SignalRegistry().long(rows, SIGNALS)
+def _scored(rows):
+    """With z-scores, in digits that do not hang on the order of a sum, as evaluation ranks them."""
+    return research.with_zscore(rows, block=4096).withColumn("ofi_zscore", F.round("ofi_zscore", 9))
 
 
 def _pairs(spark, d):
     rows = _rows(spark, d)
-    return research.evaluation_rows(research.SignalRegistry().wide(rows, SIGNALS), research.forward_labels(rows, HORIZONS), research.test_folds(rows), SIGNALS)
+    return research.evaluation_rows(research.SignalRegistry().wide(_scored(rows), SIGNALS), research.forward_labels(rows, HORIZONS), research.test_folds(rows), SIGNALS)
 
 
 def forward_labels(spark, d):
@@ -40,7 +42,11 @@ def labelled_features(spark, d):
 
 
 def signal_zoo(spark, d):
-    return _signals(_rows(spark, d)).select("arrival", "signal", F.round("value", 6).alias("value"))
+    """All thirteen signals of every row."""
+    q = features.two_sided(nbbo.nbbo(book_events(spark, d), keep=QUOTED)).withColumn("ofi_step", features.ofi_delta())
+    q = q.withColumn("ofi", features.trailing_sum("ofi_step", WINDOW).cast("double")).withColumn("microprice", features.microprice())
+    rows = research.with_mid(features.with_kyle(features.with_recursions(q, VPIN_VOLUME)).withColumn("queue_ahead", F.col("queue_ahead").cast("double")))
+    return research.SignalRegistry().long(_scored(rows)).select("arrival", "signal", F.round("value", 9).alias("value"))
 
 
 def ofi_zscore(spark, d):
@@ -85,7 +91,7 @@ def deflated_sharpe(spark, d):
     """Of the signal with the best ratio at the first horizon, for as many trials as there are signals, horizons and folds."""
     r = F.signum("value") * F.col("label")
     g = _pairs(spark, d).groupBy("signal", "horizon").agg(stats.sharpe(r).alias("sr"), stats.skewness(r).alias("skew"), stats.excess_kurtosis(r).alias("kurt"), F.count("*").alias("n")).orderBy("signal", "horizon").collect()
-    best = max((x for x in g), key=lambda x: (x["sr"], x["signal"]))
+    best = max((x for x in g), key=lambda x: (round(x["sr"], 9), x["signal"]))
     mean = sum(x["sr"] for x in g) / len(g)
     std = (sum((x["sr"] - mean) ** 2 for x in g) / len(g)) ** 0.5
     out = stats.deflated_sharpe(best["sr"], best["skew"], best["kurt"] + 3, best["n"], len(g) * research.FOLDS, std)
@@ -169,8 +175,8 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _H = ", ".join(f"({h})" for h in HORIZONS)
-ROWS_SQL = OFI_SQL + """,
-fr AS (SELECT *, CASE WHEN bid_qty + ask_qty > 0 THEN CAST(ask_price * bid_qty + bid_price * ask_qty AS DOUBLE) / (bid_qty + ask_qty) ELSE mid END micro, CAST(ask_price - bid_price AS DOUBLE) spread FROM ofi2)"""
+ROWS_SQL = OFI_SQL + _KYLE[len(TWO_SQL) :] + """,
+fr AS (SELECT ofi2.*, kl.kyle_raw, avg(ofi) OVER z zm, var_pop(ofi) OVER z zv, count(*) OVER z zn, CASE WHEN bid_qty + ask_qty > 0 THEN CAST(ask_price * bid_qty + bid_price * ask_qty AS DOUBLE) / (bid_qty + ask_qty) ELSE mid END micro, CAST(ask_price - bid_price AS DOUBLE) spread FROM ofi2 JOIN kl USING (arrival, symbol) WINDOW z AS (ORDER BY arrival ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))"""
 LABELS_SQL = f""",
 lb0 AS (SELECT arrival, symbol, ns, first_value(mid) OVER (PARTITION BY symbol, ns ORDER BY arrival) m0, h.h horizon, ns + h.h due FROM fr, (VALUES {_H}) h(h)),
 tl AS (SELECT symbol, ns, arg_min(mid, arrival) mid FROM fr GROUP BY ALL),
@@ -178,6 +184,8 @@ lb AS (SELECT a.arrival, a.horizon, (b.mid - a.m0) / a.m0 AS label FROM lb0 a AS
 _ZOO = {
     "ofi": "CAST(ofi AS DOUBLE)", "microprice_minus_mid": "micro - mid", "queue_ahead": "CAST(queue_ahead AS DOUBLE)", "ofi_times_spread": "CAST(ofi AS DOUBLE) * spread",
     "bid_ask_imbalance": "CASE WHEN bid_qty + ask_qty > 0 THEN CAST(bid_qty - ask_qty AS DOUBLE) / (bid_qty + ask_qty) ELSE 0.0 END",
+    "kyle_lambda": "kyle_raw", "ofi_zscore": "round(CASE WHEN zn >= 2 AND zv > 1e-12 THEN (ofi - zm) / sqrt(zv) ELSE 0.0 END, 9)", "microprice_spread_adj": "CASE WHEN spread > 0 THEN (micro - mid) / spread ELSE 0.0 END",
+    "sign_microprice_minus_mid": "CAST(sign(micro - mid) AS DOUBLE)", "queue_over_spread": "queue_ahead / greatest(1.0, spread)",
 }
 SIGNALS_SQL = ", sg AS (" + " UNION ALL ".join(f"SELECT arrival, '{n}' AS signal, {e} AS value FROM fr" for n, e in _ZOO.items()) + ")"
 FOLDS_SQL = ", fo AS (SELECT arrival, ns, least((row_number() OVER (ORDER BY ns, arrival) - 1) // greatest(1, count(*) OVER () // 5), 4) fold FROM fr)"
@@ -214,7 +222,6 @@ _FULL = ROWS_SQL
 ORACLE_SQL = {k: tape_sql("," + v[0], v[1]) for k, v in {
     "forward_labels": (_FULL + LABELS_SQL, "SELECT arrival, horizon, round(label, 10) AS label FROM lb"),
     "labelled_features": (_FULL + LABELS_SQL, "SELECT f.arrival, f.symbol, f.mid, " + ", ".join(f"round(max(CASE WHEN horizon = {h} THEN label END), 10) label_{k}" for k, h in enumerate(HORIZONS)) + " FROM fr f JOIN lb USING (arrival) GROUP BY ALL"),
-    "signal_zoo": (_FULL + SIGNALS_SQL, "SELECT arrival, signal, round(value, 6) AS value FROM sg"),
     "ofi_zscore": (_FULL, _z("")),
     "ofi_zscore_by_symbol": (_FULL, _z("PARTITION BY symbol")),
     "purged_folds": (_FULL + _FOLDED, "SELECT fold, role, count(*) n, min(ns) lo, max(ns) hi, CAST(sum(arrival) AS BIGINT) arrivals FROM asg GROUP BY ALL"),
@@ -236,3 +243,21 @@ ORACLE_SQL = {k: tape_sql("," + v[0], v[1]) for k, v in {
     "histogram_quantiles": (_HIST[1:], "SELECT CAST(p AS DOUBLE) p, CAST(2.0 ** min(bucket) AS DOUBLE) quantile FROM (SELECT bucket, sum(n) OVER (ORDER BY bucket) u, sum(n) OVER () a FROM hi), (VALUES (0.5), (0.9), (0.99)) t(p) WHERE u >= ceil(a * CAST(p AS DOUBLE)) GROUP BY p"),
     "nearest_rank": (_GAPS[1:], "SELECT CAST(p AS DOUBLE) p, max(CASE WHEN rn - 1 = CAST(floor(CAST(p AS DOUBLE) * (n - 1)) AS BIGINT) THEN gap END) AS value FROM (SELECT gap, row_number() OVER (ORDER BY gap) rn, count(*) OVER () n FROM gg), (VALUES (0.5), (0.9), (0.99)) t(p) GROUP BY p"),
 }.items()}
+
+# Of the three sequential signals: the mean that trades move and the toxicity of volume buckets, carried on to later rows.
+_TOX, _EMA = (MARKET_SQL[k].split(TWO_SQL, 1)[1].rsplit("\nSELECT", 1)[0] for k in ("vpin", "effective_spread_ema"))
+_EMA = _EMA.replace("tr AS", "te AS").replace("FROM tr", "FROM te").replace("ls AS", "le AS")
+_CARRIED = _EMA + _TOX + """, sq AS (SELECT le.arrival, coalesce(list_reduce(le.l, lambda x, y: 0.95 * x + (1 - 0.95) * y), 0.0) es,
+    coalesce(last_value(v.vp IGNORE NULLS) OVER (PARTITION BY le.symbol ORDER BY le.arrival ROWS UNBOUNDED PRECEDING), 0.0) vp
+    FROM le LEFT JOIN (SELECT arrival, coalesce(list_aggregate(list_slice(l, -32, -1), 'avg'), 0.0) vp FROM ls WHERE arrival IS NOT NULL) v ON v.arrival = le.arrival)"""
+_SEQUENTIAL = " UNION ALL ".join(f"SELECT arrival, '{n}', round({e}, 9) FROM sq" for n, e in (("effective_spread", "es"), ("neg_effective_spread", "0.0 - es"), ("vpin", "vp")))
+ORACLE_SQL["signal_zoo"] = tape_sql("," + _FULL + SIGNALS_SQL + _CARRIED, f"SELECT arrival, signal, round(value, 9) AS value FROM sg UNION ALL {_SEQUENTIAL}").replace("WITH ", "WITH RECURSIVE ", 1)
+
+# The normal distribution function by its series of positive terms, z^(2k+1) / (2k+1)!!.
+_PHI = "CASE WHEN abs(z) > 8 THEN CASE WHEN z > 0 THEN 1.0 ELSE 0.0 END WHEN z = 0 THEN 0.5 ELSE 0.5 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 300), lambda k: exp((2 * k + 1) * ln(abs(z)) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1)))) END"
+ORACLE_SQL["deflated_sharpe"] = tape_sql("," + _FULL + PAIRS_SQL + f""", rr AS (SELECT signal, horizon, {_R} r, avg({_R}) OVER (PARTITION BY signal, horizon) m FROM pr),
+    mo AS (SELECT signal, horizon, avg(r) a, avg((r - m) ** 2) v, avg((r - m) ** 3) c, avg((r - m) ** 4) k, count(*) n FROM rr GROUP BY ALL),
+    ms AS (SELECT signal, horizon, n, CASE WHEN n >= 2 AND v > 0 THEN a / sqrt(v) ELSE 0.0 END sr, CASE WHEN n >= 3 AND v > 0 THEN c / v ** 1.5 ELSE 0.0 END skew, CASE WHEN n >= 4 AND v > 0 THEN k / (v * v) - 3 ELSE 0.0 END kurt FROM mo),
+    one AS (SELECT *, (sr - (skew / 6 * sr + kurt / 24 * sr * sr)) * sqrt((n - 1) / (n - 2)) adjusted, (SELECT stddev_pop(sr) FROM ms) sd, sqrt(2 * ln((SELECT count(*) FROM ms) * 5)) w FROM ms ORDER BY round(sr, 9) DESC, signal DESC LIMIT 1),
+    ex AS (SELECT *, sd * ((1 - 0.5772156649015329) * w + 0.5772156649015329 / w) expected_max FROM one), zz AS (SELECT *, (adjusted - expected_max) * sqrt(n - 1) z FROM ex)""",
+    f"SELECT signal, horizon, round(adjusted, 6) adjusted, round(expected_max, 6) expected_max, round(z, 6) z, round(1 - ({_PHI}), 6) p_value FROM zz")
