@@ -4,7 +4,7 @@ Documents are range-partitioned and sorted by doc_id, so the shards in order hol
 A task encodes its texts and writes shard files to the shared folder as soon as SHARD_TOKENS ids are there (a document never
 spans two files), each under a name of its own attempt; the rows it returns name the files. A task that runs
 again writes other files and only the rows of the run that counts are kept, so lost executors leave no mixed shards.
-Readers decode shard files one by one.
+Readers take documents' ids and offsets from the shard files, decode them one by one, and ask their planes by access and rank.
 
 A text is cut at white space and each distinct piece is encoded once a worker by the tokenizers library. The vocabulary's
 normaliser works on characters and its pattern never spans white space, so the pieces' ids in turn are the text's;
@@ -144,7 +144,7 @@ def encoder(vocabulary: str) -> Encoder:
 
 
 def write_shards(docs: DataFrame, folder: str, vocabulary: str, shards: int, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Writes the files; (part, nth, file, n_docs, n_tokens, doc_ids) a file."""
+    """Writes the files; (part, nth, file, n_docs, n_tokens) a file."""
     end = np.array([END_ID], "<u4").tobytes()
 
     def write(batches):
@@ -160,11 +160,11 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, shards: int, sha
             name = f"shard-{part:06d}-{nth:05d}-{uuid.uuid4().hex}.tlwm"
             tokens = np.frombuffer(b"".join(buffer), "<u4")
             ends = np.cumsum(lengths)
-            data = WaveletMatrix.build(tokens, ends, enc.width).to_bytes()
+            data = WaveletMatrix.build(tokens, ends, enc.width, ids).to_bytes()
             with fs.open_output_stream(f"{base}/{name}.tmp") as out:
                 out.write(data)
             fs.move(f"{base}/{name}.tmp", f"{base}/{name}")
-            row = pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((part, pa.int32()), (nth, pa.int32()), (name, pa.string()), (len(ids), pa.int64()), (len(tokens), pa.int64()), (ids, pa.list_(pa.int64())))], ["part", "nth", "file", "n_docs", "n_tokens", "doc_ids"])
+            row = pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((part, pa.int32()), (nth, pa.int32()), (name, pa.string()), (len(ids), pa.int64()), (len(tokens), pa.int64()))], ["part", "nth", "file", "n_docs", "n_tokens"])
             buffer, lengths, ids, nth = [], [], [], nth + 1
             return row
 
@@ -186,15 +186,19 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, shards: int, sha
             yield flush()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(write, "part int, nth int, file string, n_docs long, n_tokens long, doc_ids array<long>")
+    return ordered.mapInArrow(write, "part int, nth int, file string, n_docs long, n_tokens long")
 
 
 def read_shards(files: DataFrame, folder: str) -> DataFrame:
-    """A row for each document from the files: doc_id, start, n_tokens and the crc32 of its ids."""
+    """A row for each document from the files: doc_id, start, n_tokens, the crc32 of its ids, its first id and how many end ids it has.
+
+    Ids and offsets of documents lie in the files; what all files before hold is added from the table of files. The last two columns come
+    from access and rank on the planes, not from the decoded ids.
+    """
     # Offsets of shards: a row a file of millions of ids, summed over all files before.
     before = Window.orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)
     offsets = files.select("part", "nth", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("offset"))
-    placed = files.join(offsets, ["part", "nth"]).select("file", "offset", "doc_ids").repartition(max(1, files.rdd.getNumPartitions(), int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "file")
+    placed = files.join(offsets, ["part", "nth"]).select("file", "offset").repartition(max(1, files.rdd.getNumPartitions(), int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "file")
 
     def read(batches):
         fs, base = pafs.FileSystem.from_uri(folder)
@@ -207,9 +211,12 @@ def read_shards(files: DataFrame, folder: str) -> DataFrame:
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 raw = memoryview(tokens).cast("B")
                 crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["offset"] + starts), pa.array(ends - starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(matrix.doc_ids, pa.int64()), pa.array(row["offset"] + starts), pa.array(ends - starts), pa.array(crc, pa.int64()), pa.array(matrix.access_at(starts)), pa.array(matrix.count_in(END_ID, starts, ends))],
+                    ["doc_id", "start", "n_tokens", "ids_crc32", "first_id", "n_end_ids"],
+                )
 
-    return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, first_id long, n_end_ids long")
 
 
 def token_files(docs: DataFrame, vocabulary: str | None = None, shards: int | None = None, shard_tokens: int = SHARD_TOKENS) -> tuple[DataFrame, str]:

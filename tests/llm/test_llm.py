@@ -339,6 +339,13 @@ def test_wavelet_matrix():
         x = rng.integers(0, high, n).astype(np.uint32)
         m = WaveletMatrix.from_bytes(WaveletMatrix.build(x, np.array([n])).to_bytes())
         assert (m.decode() == x).all()
+        m = WaveletMatrix.from_bytes(WaveletMatrix.build(x, np.array([n // 2, n]), doc_ids=[-5, None]).to_bytes())
+        assert not m.planes.open and m.doc_ids == [-5, None] and m.ends.tolist() == [n // 2, n]
+        some = rng.integers(0, n, 50) if n else np.zeros(0, int)
+        assert (m.access_at(some) == x[some]).all()
+        a, b = np.minimum(some, some[::-1]), np.maximum(some, some[::-1])
+        for t in (x[:5].tolist() if n else []) + [high + 7]:
+            assert m.count_in(t, a, b).tolist() == [(x[i:j] == t).sum() for i, j in zip(a, b)]
         for k in range(0, n, max(1, n // 40)):
             assert m.access(k) == x[k]
         for t in (x[:20].tolist() if n else []) + [high + 7]:
@@ -358,7 +365,11 @@ def test_tokens_round_trip(spark):
         ids = e.tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
-    assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+    got = sorted(got, key=lambda r: r["start"])
+    assert [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got] == want
+    texts = [t or "" for _, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))]
+    ids = [e.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert [(r["first_id"], r["n_end_ids"]) for r in got] == [(x[0], x.count(2)) for x in ids]
     assert tokens.round_trip(docs(spark, EMPTY)).collect() == []
 
 
