@@ -10,6 +10,8 @@ stay apart, and a row without a doc_id stays where its group has no row with one
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeloom.llm import decontam, mixing, quality, simhash, tokens
@@ -42,7 +44,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     per_id = per_id.groupBy("doc_id").agg(F.sum("n").alias("n"), F.max(F.coalesce("chosen", F.lit(False))).alias("kept"))
     apart = stored(per_id.where("NOT kept OR n > 1"), "dedup-apart")
     once = docs.where("doc_id IS NOT NULL").join(apart.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    lonely = docs.where("doc_id IS NULL").limit(1).count() > 0
+    lonely = rows.where("doc_id IS NULL").limit(1).count() > 0
     repeated = apart.where("kept AND n > 1").limit(1).count() > 0
     if not (lonely or repeated):
         return once
@@ -51,7 +53,11 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _one_row_each(docs: DataFrame, repeated: DataFrame, keepers: DataFrame) -> DataFrame:
     """Of rows that share a doc_id, and of rows without one, the least row of each kept id and fingerprint."""
-    prints = F.udf(lambda b: int.from_bytes(simhash.fingerprint(bytes(b)).to_bytes(8, "big"), "big", signed=True), "long")
+
+    @F.pandas_udf("long")
+    def prints(bodies: pd.Series) -> pd.Series:
+        return pd.Series(np.array([simhash.fingerprint(t) for t in bodies], np.uint64).view(np.int64))
+
     again = docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL")).withColumn("__print", prints(text_bytes()))
     chosen = keepers.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"))
     met = again.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__print") == F.col("__fp")), "left_semi")
