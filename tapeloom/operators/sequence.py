@@ -13,6 +13,7 @@ from tapeloom.functions.ranks import global_rank, running_max_before
 
 IN_ORDER, DUPLICATE, GAP_BUFFERED, GAP_TOO_LARGE = "in_order", "duplicate", "gap_buffered", "gap_too_large"
 LOOKBACK = 64
+ORDER = [("arrival", "ascending"), ("sequence", "ascending")]  # what arrives at once is met in order of sequence
 
 
 # -- set-oriented forms -------------------------------------------------------------------------------------------
@@ -159,7 +160,7 @@ def sequenced(events: DataFrame, window: int = 1024, compat: bool = False) -> Da
     columns, types = events.columns, ", ".join(f"{n} {t}" for n, t in events.dtypes)
 
     def walk(table: pa.Table) -> pa.Table:
-        table = table.sort_by("arrival")
+        table = table.sort_by(ORDER)
         tracker, status, release, n = Tracker(window, compat), [], [None] * table.num_rows, 0
         for row, seq in enumerate(table.column("sequence").to_pylist()):
             kind, _, out = tracker.observe(seq, row)
@@ -177,7 +178,7 @@ def tracker_stats(events: DataFrame, window: int = 1024, compat: bool = False) -
 
     def walk(table: pa.Table) -> pa.Table:
         tracker = Tracker(window, compat)
-        for seq in table.sort_by("arrival").column("sequence").to_pylist():
+        for seq in table.sort_by(ORDER).column("sequence").to_pylist():
             tracker.observe(seq, seq)
         return pa.table([pa.array([table.column("venue")[0].as_py()], pa.int16()), *(pa.array([tracker.stats[n]], pa.int64()) for n in names)], ["venue", *names])
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import codecs, stats
 from tapeloom.operators import backtest, book, sequence
+from tapeloom.plans import replays
 from tapeloom.plans.market import HOUR, WINDOW, _copies, tape_sql
 from tapeloom.sources import crypto, decode, synthetic
 from tapeloom.sources.adapter import book_events
@@ -105,7 +106,9 @@ def risk_metrics(spark, d):
     ticks = backtest.simulate(book_events(spark, d), MM).persist()
     curve = backtest.equity_curve(ticks)
     r = backtest.bucket_returns(curve, 24 * HOUR).where("r IS NOT NULL").select("r")
-    return stats.risk_metrics(r, curve.select(F.col("arrival").alias("at"), "equity"), backtest.fills(ticks).where("realized <> 0").select(F.col("realized").alias("pnl")))
+    found = stats.risk_metrics(r, curve.select(F.col("arrival").alias("at"), "equity"), backtest.fills(ticks).where("realized <> 0").select(F.col("realized").alias("pnl")))
+    places = {"sharpe": 9, "sortino": 9, "win_rate": 9, "max_drawdown": 6, "avg_trade": 6}
+    return found.select(*(F.round(c, places[c]).alias(c) if c in places else F.col(c) for c in found.columns))
 
 
 def ofi_holdout_report(spark, d):
@@ -120,6 +123,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 ORACLE_SQL = {
+    **replays.ORACLE_SQL,
     "accepted_by_feed": tape_sql(""", copies AS (SELECT venue, seq, 'A' feed, arrival * 2 arrival FROM ev WHERE seq % 7 <> 0 UNION ALL SELECT venue, seq, 'B', arrival * 2 + 1 FROM ev WHERE seq % 5 <> 0)""",
         "SELECT feed, count(*) accepted FROM (SELECT feed, row_number() OVER (PARTITION BY venue, seq ORDER BY arrival) rn FROM copies) WHERE rn = 1 GROUP BY feed"),
     "research_tape": """WITH t AS (SELECT i, i % 4 slot, i // 24 AS cycle, (i // 4) % 6 step FROM range(6000) r(i))
