@@ -99,7 +99,8 @@ def equity_buckets(spark, d):
 
 
 def experiment_report(spark, d):
-    return backtest.report(backtest.simulate(book_events(spark, d), MM).persist(), 24 * HOUR)
+    found = backtest.report(backtest.simulate(book_events(spark, d), MM).persist(), 24 * HOUR)
+    return found.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes))
 
 
 def risk_metrics(spark, d):

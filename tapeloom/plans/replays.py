@@ -83,6 +83,12 @@ ORACLE_SQL = {
     "intents_mm": _recursive(SIM_SQL + ", fin AS (SELECT symbol, max(sent) sent, max(cancelled) cancelled FROM sim GROUP BY symbol)", "SELECT symbol, 'submit' AS action, sent n, sent * 20 qty FROM fin WHERE sent > 0 UNION ALL SELECT symbol, 'cancel', cancelled, 0 FROM fin WHERE cancelled > 0", ON_TIME_SQL),
     "pnl_by_symbol": _recursive(EQUITY_SQL, "SELECT symbol, arg_max(sent, n) submitted, arg_max(position, n) AS position, round(arg_max(cash, n), 4) cash, round(arg_max(realized, n), 4) realized, round(arg_max(equity, n), 4) equity, count(*) FILTER (f_qty > 0) fills FROM eq GROUP BY symbol", ON_TIME_SQL),
     "equity_buckets": _recursive(EQUITY_SQL, "SELECT bucket, round(equity, 4) equity, round(r, 4) r FROM bk", ON_TIME_SQL),
+    "experiment_report": _recursive(EQUITY_SQL, f"""SELECT submitted, cancelled, fills, round(realized, 6) realized, round(unrealized, 6) unrealized, round(turnover, 6) turnover, round(fees, 6) fees, round(rebates, 6) rebates, round(equity - fees + rebates, 6) equity,
+        round(CASE WHEN submitted > 0 THEN fills / submitted ELSE 0.0 END, 6) fill_ratio, round(fall, 6) max_drawdown, round(sharpe, 6) sharpe FROM
+        (SELECT CAST(sum(sent) AS BIGINT) submitted, CAST(sum(cancelled) AS BIGINT) cancelled, sum(realized) realized, sum(unrealized) unrealized, sum(equity) equity FROM
+            (SELECT arg_max(sent, n) sent, arg_max(cancelled, n) cancelled, arg_max(realized, n) realized, coalesce(arg_max((mid - cost) * position, n), 0.0) unrealized, arg_max(cash + position * coalesce(mid, cost), n) equity FROM sim WHERE n > 0 GROUP BY symbol)),
+        (SELECT count(*) fills, coalesce(sum(CAST(f_price AS DOUBLE) * f_qty), 0.0) turnover, coalesce(sum(CASE WHEN f_taker THEN 0.003 * f_qty END), 0.0) fees, coalesce(sum(CASE WHEN NOT f_taker THEN 0.002 * f_qty END), 0.0) rebates FROM sim WHERE f_qty > 0),
+        (SELECT max(greatest(peak, 0.0) - equity) fall FROM (SELECT equity, max(equity) OVER (ORDER BY arrival ROWS UNBOUNDED PRECEDING) peak FROM curve)), (SELECT {_SHARPE} sharpe FROM bk)""", ON_TIME_SQL),
     "risk_metrics": _recursive(EQUITY_SQL, f"""SELECT round(sharpe, 9) sharpe, round(sortino, 9) sortino, n_returns, round(fall, 6) max_drawdown, round(win_rate, 9) win_rate, round(avg_trade, 6) avg_trade, n_trades FROM
         (SELECT {_SHARPE} sharpe, coalesce(avg(r) / nullif(sqrt(avg(CASE WHEN r < 0 THEN r * r END)), 0), 0.0) sortino, count(r) n_returns FROM bk), fall,
         (SELECT coalesce(avg(CASE WHEN gain > 0 THEN 1.0 ELSE 0.0 END), 0.0) win_rate, coalesce(avg(gain), 0.0) avg_trade, count(*) n_trades FROM eq WHERE f_qty > 0 AND gain <> 0)""", ON_TIME_SQL),
