@@ -122,3 +122,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, train, most
     found = texts.join(F.broadcast(ids), "doc_id")
     one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("body").alias("h"), "y", "body")).alias("row"))
     return one.select("doc_id", "row.y", "row.body")
+
+
+#: SQL that DuckDB can run: a CTE with the table of CRC-32, and the CRC-32 of a text's UTF-8 bytes by it.
+CRC32_TABLE_SQL = """crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) crc_t)"""
+
+
+def crc32_sql(text: str, table: str = "crc_t") -> str:
+    """The unsigned CRC-32 of a text; null of null."""
+    nibble = lambda at: f"(instr('0123456789ABCDEF', substr(hex(encode({text})), {at}, 1)) - 1)"
+    size = f"CAST(octet_length(encode({text})) AS BIGINT)"
+    octets = f"list_transform(range({size}), lambda i: CAST(16 * {nibble('2 * i + 1')} + {nibble('2 * i + 2')} AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])), 4294967295)"
