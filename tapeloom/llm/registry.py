@@ -15,6 +15,7 @@ _MODULES = {
     "op8_decontamination": "decontam",
     "op9_mixing": "mixing",
     "op10_quality": "quality",
+    "op12_spelling": "spelling",
     "op13_merkle": "manifest",
 }
 
