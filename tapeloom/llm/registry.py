@@ -15,6 +15,7 @@ _MODULES = {
     "op8_decontamination": "decontam",
     "op9_mixing": "mixing",
     "op10_quality": "quality",
+    "op11_license": "licenses",
     "op12_spelling": "spelling",
     "op13_merkle": "manifest",
 }
