@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from functools import partial
 from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from tapeloom.operators.walks import Walker, walk
 from tapeloom.schema import ADD, ADD_MPID, BOOK_TYPES, BUY, CANCEL, DELETE, EXECUTE, EXECUTE_PRICE, REPLACE, SELL
 
 TOP = "bid_price long, bid_qty long, ask_price long, ask_qty long, queue_ahead long, changed_top boolean"
@@ -105,66 +107,74 @@ class Book:
         return (*self.ladder(symbol, BUY).top(), *self.ladder(symbol, SELL).top())
 
 
-def walk_strict(kinds: list, ids: list, references: list, sides: list, prices: list, quantities: list) -> list[list]:
-    """Columns bid_price, bid_qty, ask_price, ask_qty, queue_ahead and changed_top after each event of one venue's symbol.
+class StrictBook:
+    """One venue's symbol by Book's strict rules, written out flat: levels are dicts, and each side has a heap of prices from which
+    dead ones are dropped when they come to the top. What it holds is the live orders and levels."""
+
+    def __init__(self):
+        self.orders, self.bids, self.asks, self.bid_heap, self.ask_heap = {}, {}, {}, [], []
+        self.top = (None, None, None, None)
+
+    def run(self, kinds: list, ids: list, references: list, sides: list, prices: list, quantities: list) -> list[list]:
+        """Columns bid_price, bid_qty, ask_price, ask_qty, queue_ahead and changed_top after each event."""
+        n = len(kinds)
+        out = [[None] * n for _ in range(4)] + [[0] * n, [False] * n]
+        bid_price, bid_qty, ask_price, ask_qty, ahead_of, moved = out
+        orders, bids, asks, bid_heap, ask_heap = self.orders, self.bids, self.asks, self.bid_heap, self.ask_heap
+        b, bq, a, aq = self.top
+        i = -1
+        for kind, oid, side, price, qty in zip(kinds, ids, sides, prices, quantities):
+            i += 1
+            if kind <= REPLACE:
+                key = oid
+                if kind > ADD_MPID:
+                    if kind == REPLACE:
+                        key = references[i] or oid
+                    order = orders.get(key)
+                    if order is not None:
+                        was, at, left = order
+                        gone = left if kind >= DELETE or qty == 0 or qty > left else qty
+                        levels = asks if was else bids
+                        have = levels.get(at, 0)
+                        if have > gone:
+                            levels[at] = have - gone
+                        else:
+                            levels.pop(at, None)
+                        if gone == left:
+                            del orders[key]
+                        else:
+                            orders[key] = was, at, left - gone
+                        if side > 1:
+                            side = was
+                if (kind <= ADD_MPID or kind == REPLACE) and side < 2 and oid:
+                    levels = asks if side else bids
+                    have = levels.get(price)
+                    if qty:
+                        if have is None:
+                            heappush(ask_heap, price) if side else heappush(bid_heap, -price)
+                            levels[price] = qty
+                        else:
+                            levels[price] = have + qty
+                    orders[oid] = side, price, qty
+                    if have:
+                        ahead_of[i] = have
+                while bid_heap and -bid_heap[0] not in bids:
+                    heappop(bid_heap)
+                while ask_heap and ask_heap[0] not in asks:
+                    heappop(ask_heap)
+                nb, na = (-bid_heap[0] if bid_heap else None), (ask_heap[0] if ask_heap else None)
+                nbq, naq = bids.get(nb), asks.get(na)
+                if nbq != bq or nb != b or naq != aq or na != a:
+                    moved[i] = True
+                    b, bq, a, aq = nb, nbq, na, naq
+            bid_price[i], bid_qty[i], ask_price[i], ask_qty[i] = b, bq, a, aq
+        self.top = b, bq, a, aq
+        return out
 
-    The rules are Book's in strict mode, written out flat: levels are dicts, and each side has a heap of prices from which dead ones are
-    dropped when they come to the top.
-    """
-    n = len(kinds)
-    out = [[None] * n for _ in range(4)] + [[0] * n, [False] * n]
-    bid_price, bid_qty, ask_price, ask_qty, ahead_of, moved = out
-    orders, bids, asks, bid_heap, ask_heap = {}, {}, {}, [], []
-    b = bq = a = aq = None
-    for i in range(n):
-        kind, added = kinds[i], None
-        if kind <= ADD_MPID:
-            added = ids[i], sides[i], prices[i], quantities[i]
-        elif kind <= REPLACE:
-            key = ids[i] if kind != REPLACE else references[i] or ids[i]
-            order = orders.get(key)
-            if order is not None:
-                side, price, left = order
-                qty = quantities[i]
-                if kind >= DELETE or qty == 0 or qty > left:
-                    qty = left
-                levels = asks if side else bids
-                have = levels.get(price, 0)
-                if have > qty:
-                    levels[price] = have - qty
-                else:
-                    levels.pop(price, None)
-                if qty == left:
-                    del orders[key]
-                else:
-                    orders[key] = side, price, left - qty
-            if kind == REPLACE:
-                side = sides[i]
-                added = ids[i], side if side < 2 or order is None else order[0], prices[i], quantities[i]
-        if added is not None and added[1] < 2 and added[0]:
-            key, side, price, qty = added
-            levels = asks if side else bids
-            have = levels.get(price)
-            if qty:
-                if have is None:
-                    heappush(ask_heap, price) if side else heappush(bid_heap, -price)
-                    levels[price] = qty
-                else:
-                    levels[price] = have + qty
-            orders[key] = side, price, qty
-            if have:
-                ahead_of[i] = have
-        while bid_heap and -bid_heap[0] not in bids:
-            heappop(bid_heap)
-        while ask_heap and ask_heap[0] not in asks:
-            heappop(ask_heap)
-        nb, na = (-bid_heap[0] if bid_heap else None), (ask_heap[0] if ask_heap else None)
-        nbq, naq = bids.get(nb), asks.get(na)
-        if nb != b or nbq != bq or na != a or naq != aq:
-            moved[i] = True
-            b, bq, a, aq = nb, nbq, na, naq
-        bid_price[i], bid_qty[i], ask_price[i], ask_qty[i] = b, bq, a, aq
-    return out
+
+def walk_strict(kinds: list, ids: list, references: list, sides: list, prices: list, quantities: list) -> list[list]:
+    """StrictBook from the start."""
+    return StrictBook().run(kinds, ids, references, sides, prices, quantities)
 
 
 def enrich(events: DataFrame) -> DataFrame:
@@ -183,32 +193,53 @@ def with_tops(events: DataFrame, compat: bool = False, keep: list[str] | None =
 
     `keep` names the events' columns that are wanted after it (all): Spark cannot prune through the walk, so the rest is cut before.
 
-    Books are independent by venue and symbol (in compat mode by venue), so these are the groups; a group is walked once in order of arrival.
+    Books are independent by venue and symbol (in compat mode by venue), so these are the walks' keys; what a task holds is a book, not its events.
     """
     columns = list(keep or events.columns)
     events = events.select(*dict.fromkeys([*columns, *NEEDED]))
-    keys = ["venue"] if compat else ["venue", "symbol"]
-
-    def walk(table: pa.Table) -> pa.Table:
-        table = table.sort_by("arrival")
-        names = [f.split()[0] for f in TOP.split(", ")]
-        cells = [table.column(c).to_numpy().tolist() for c in ("event_type", "order_id", "reference_order_id", "side", "price", "qty")]
-        if compat:
-            book, last, out = Book(True), {}, []
-            for kind, symbol, *rest in zip(cells[0], table.column("symbol").to_pylist(), *cells[1:]):
-                ahead = book.apply(kind, symbol, *rest)
-                top = book.tops(symbol)
-                out.append((*top, ahead, top != last.get(symbol, (None,) * 4)))
-                last[symbol] = top
-            out = list(zip(*out))
-        else:
-            out = walk_strict(*cells)
-        for name, values in zip(names, out):
-            table = table.append_column(name, pa.array(values, pa.bool_() if name == "changed_top" else pa.int64()))
-        return table.select([*columns, *names])
-
     types = ", ".join(f"{n} {t}" for n, t in events.select(*columns).dtypes)
-    return events.groupBy(*keys).applyInArrow(walk, f"{types}, {TOP}")
+    if compat:
+        return walk(events, ["venue"], ["arrival"], partial(CompatWalk, columns), f"{types}, {TOP}")
+    return walk(events, ["venue", "symbol"], ["arrival"], partial(TopWalk, columns), f"{types}, {TOP}")
+
+
+CELLS = ("event_type", "order_id", "reference_order_id", "side", "price", "qty")
+TOP_NAMES = [f.split()[0] for f in TOP.split(", ")]
+
+
+def _cells(rows: pa.RecordBatch, names) -> list[list]:
+    return [c.to_numpy(zero_copy_only=False).tolist() if not c.null_count and not pa.types.is_string(c.type) else c.to_pylist() for c in map(rows.column, names)]
+
+
+def _with(rows: pa.RecordBatch, columns: list[str], out) -> pa.RecordBatch:
+    cells = [pa.array(values, pa.bool_() if name == "changed_top" else pa.int64()) for name, values in zip(TOP_NAMES, out)]
+    return pa.RecordBatch.from_arrays([*map(rows.column, columns), *cells], [*columns, *TOP_NAMES])
+
+
+class TopWalk(Walker):
+    """One venue's symbol."""
+
+    def __init__(self, columns: list[str]):
+        self.columns, self.book = columns, StrictBook()
+
+    def feed(self, rows: pa.RecordBatch) -> pa.RecordBatch:
+        return _with(rows, self.columns, self.book.run(*_cells(rows, CELLS)))
+
+
+class CompatWalk(Walker):
+    """One venue, all its symbols."""
+
+    def __init__(self, columns: list[str]):
+        self.columns, self.book, self.last = columns, Book(True), {}
+
+    def feed(self, rows: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for kind, symbol, *rest in zip(*_cells(rows, ("event_type", "symbol", *CELLS[1:]))):
+            ahead = self.book.apply(kind, symbol, *rest)
+            top = self.book.tops(symbol)
+            out.append((*top, ahead, top != self.last.get(symbol, (None,) * 4)))
+            self.last[symbol] = top
+        return _with(rows, self.columns, zip(*out))
 
 
 def deltas(events: DataFrame) -> DataFrame:
@@ -256,17 +287,26 @@ def depth_snapshot(events: DataFrame) -> DataFrame:
     return snap.select("venue", "symbol", "side", F.transform("cells", lambda c: F.struct(c["price"].alias("price"), c["qty"].alias("qty"))).alias("levels"))
 
 
-def reconcile(events: DataFrame, compat: bool = False) -> DataFrame:
-    """Levels on which the engine's final books and the delta form disagree; empty if they agree."""
+class LevelWalk(Walker):
+    """The levels that are left at the end of one venue's symbol."""
+
+    def __init__(self, compat: bool):
+        self.book, self.venue = Book(compat), None
+
+    def feed(self, rows: pa.RecordBatch) -> None:
+        self.venue = rows.column("venue")[0].as_py()
+        for row in zip(*_cells(rows, ("event_type", "symbol", *CELLS[1:]))):
+            self.book.apply(*row)
 
-    def last(table: pa.Table) -> pa.Table:
-        table, book = table.sort_by("arrival"), Book(compat)
-        for row in zip(*(table.column(c).to_pylist() for c in ("event_type", "symbol", "order_id", "reference_order_id", "side", "price", "qty"))):
-            book.apply(*row)
-        venue = table.column("venue")[0].as_py()
-        cells = [(venue, s, side, p, q) for (s, side), ladder in book.sides.items() for p, q in ladder.levels()]
-        return pa.table([pa.array([c[k] for c in cells], t) for k, t in enumerate((pa.int16(), pa.string(), pa.int16(), pa.int64(), pa.int64()))], ["venue", "symbol", "side", "price", "qty"])
+    def end(self) -> pa.RecordBatch | None:
+        cells = [(self.venue, s, side, p, q) for (s, side), ladder in self.book.sides.items() for p, q in ladder.levels()]
+        types = (pa.int16(), pa.string(), pa.int16(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([c[k] for c in cells], t) for k, t in enumerate(types)], ["venue", "symbol", "side", "price", "qty"])
 
-    engine = events.groupBy("venue", "symbol").applyInArrow(last, "venue short, symbol string, side short, price long, qty long")
+
+def reconcile(events: DataFrame, compat: bool = False) -> DataFrame:
+    """Levels on which the engine's final books and the delta form disagree; empty if they agree."""
+    events = events.select(*NEEDED)
+    engine = walk(events, ["venue", "symbol"], ["arrival"], partial(LevelWalk, compat), "venue short, symbol string, side short, price long, qty long")
     other = live_levels(events).select("venue", "symbol", "side", "price", "qty")
     return engine.exceptAll(other).unionByName(other.exceptAll(engine))

@@ -6,10 +6,14 @@ exponential mean are recursions; they walk each symbol once.
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from tapeloom.operators.walks import Walker, walk
 from tapeloom.schema import BUY, FEATURE_TRADES, SELL
 
 SECOND = 1_000_000_000
@@ -101,21 +105,28 @@ class Recursions:
         return self.ema or 0.0, sum(self.full) / len(self.full) if self.full else 0.0
 
 
+class RecursionWalk(Walker):
+    """One symbol's recursions; only trades change them."""
+
+    def __init__(self, volume: int, buckets: int):
+        self.state, self.now = Recursions(volume, buckets), (0.0, 0.0)
+
+    def feed(self, rows: pa.RecordBatch) -> pa.RecordBatch:
+        trades = np.isin(rows.column("event_type").to_numpy(zero_copy_only=False), FEATURE_TRADES)
+        at = np.nonzero(trades)[0]
+        some = rows.take(pa.array(at))
+        cells = (some.column(c).to_pylist() for c in ("side", "qty", "price", "bid_price", "ask_price"))
+        known = [self.now, *(self.state.step(True, side, qty, price, 0.5 * (bid + ask)) for side, qty, price, bid, ask in zip(*cells))]
+        self.now = known[-1]
+        values = np.array(known)[np.cumsum(trades)]
+        out = [pa.array(values[:, k], pa.float64()) for k in range(2)]
+        return pa.RecordBatch.from_arrays([*rows.columns, *out], [*rows.schema.names, "effective_spread", "vpin"])
+
+
 def with_recursions(quotes: DataFrame, volume: int = VPIN_VOLUME, buckets: int = VPIN_BUCKETS) -> DataFrame:
     """Adds effective_spread and vpin."""
-    columns = quotes.columns
     types = ", ".join(f"{n} {t}" for n, t in quotes.dtypes)
-
-    def walk(table: pa.Table) -> pa.Table:
-        table = table.sort_by("arrival")
-        state = Recursions(volume, buckets)
-        cells = (table.column(c).to_pylist() for c in ("event_type", "side", "qty", "price", "bid_price", "ask_price"))
-        out = [state.step(kind in FEATURE_TRADES, side, qty, price, 0.5 * (bid + ask)) for kind, side, qty, price, bid, ask in zip(*cells)]
-        for k, name in enumerate(("effective_spread", "vpin")):
-            table = table.append_column(name, pa.array([o[k] for o in out], pa.float64()))
-        return table.select([*columns, "effective_spread", "vpin"])
-
-    return quotes.groupBy("symbol").applyInArrow(walk, f"{types}, effective_spread double, vpin double")
+    return walk(quotes, ["symbol"], ["arrival"], partial(RecursionWalk, volume, buckets), f"{types}, effective_spread double, vpin double")
 
 
 def ema(value: Column) -> Column:

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass, field
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from tapeloom.functions.ranks import global_rank, running_max_before
+from tapeloom.operators.walks import Walker, walk
 
 IN_ORDER, DUPLICATE, GAP_BUFFERED, GAP_TOO_LARGE = "in_order", "duplicate", "gap_buffered", "gap_too_large"
 LOOKBACK = 64
-ORDER = [("arrival", "ascending"), ("sequence", "ascending")]  # what arrives at once is met in order of sequence
+ORDER = ["arrival", "sequence"]  # what arrives at once is met in order of sequence
 
 
 # -- set-oriented forms -------------------------------------------------------------------------------------------
@@ -155,34 +157,67 @@ class Tracker:
         self.next = max(self.next, seq)
 
 
-def sequenced(events: DataFrame, window: int = 1024, compat: bool = False) -> DataFrame:
-    """Events in the order in which each venue's tracker releases them, as release (from 1), and the status that each met on arrival."""
-    columns, types = events.columns, ", ".join(f"{n} {t}" for n, t in events.dtypes)
+class ReleaseWalk(Walker):
+    """One venue's arrivals. Rows that may still be released wait in the state: those that are held back, and those that the
+    tracker's memory may give back, so a window and its slack at most."""
+
+    def __init__(self, window: int, compat: bool):
+        self.tracker, self.n, self.seen, self.waiting = Tracker(window, compat), 0, 0, {}
 
-    def walk(table: pa.Table) -> pa.Table:
-        table = table.sort_by(ORDER)
-        tracker, status, release, n = Tracker(window, compat), [], [None] * table.num_rows, 0
-        for row, seq in enumerate(table.column("sequence").to_pylist()):
-            kind, _, out = tracker.observe(seq, row)
+    def feed(self, rows: pa.RecordBatch) -> pa.RecordBatch:
+        first, status, release, late = self.seen, [], [None] * rows.num_rows, []
+        for number, seq in enumerate(rows.column("sequence").to_pylist(), first):
+            kind, _, out = self.tracker.observe(seq, number)
             status.append(kind)
             for r in out:
-                n += 1
-                release[r] = n
-        return table.append_column("status", pa.array(status, pa.string())).append_column("release", pa.array(release, pa.int64())).select([*columns, "status", "release"])
+                self.n += 1
+                if r >= first:
+                    release[r - first] = self.n
+                else:
+                    late.append((*self.waiting.pop(r), self.n))
+        self.seen += rows.num_rows
+        alive = {*self.tracker.held.values(), *self.tracker.memory.values()}
+        late += [(*self.waiting.pop(n), None) for n in self.waiting.keys() - alive]
+        known = [i for i, n in enumerate(release) if n is not None or i + first not in alive]
+        for i in set(range(rows.num_rows)).difference(known):
+            self.waiting[i + first] = rows.take(pa.array([i])), status[i]  # a copy, so that the batch may go
+        taken = rows.take(pa.array(known, pa.int64()))
+        done = self._out(taken, [status[i] for i in known], [release[i] for i in known])
+        return pa.concat_batches([done, *(self._out(r, [k], [n]) for r, k, n in late)])
+
+    def end(self) -> pa.RecordBatch | None:
+        left = [self._out(r, [k], [None]) for r, k in self.waiting.values()]
+        return pa.concat_batches(left) if left else None
+
+    @staticmethod
+    def _out(rows: pa.RecordBatch, status: list, release: list) -> pa.RecordBatch:
+        cells = [*rows.columns, pa.array(status, pa.string()), pa.array(release, pa.int64())]
+        return pa.RecordBatch.from_arrays(cells, [*rows.schema.names, "status", "release"])
+
+
+def sequenced(events: DataFrame, window: int = 1024, compat: bool = False) -> DataFrame:
+    """Events in the order in which each venue's tracker releases them, as release (from 1), and the status that each met on arrival."""
+    types = ", ".join(f"{n} {t}" for n, t in events.dtypes)
+    return walk(events, ["venue"], ORDER, partial(ReleaseWalk, window, compat), f"{types}, status string, release long")
 
-    return events.groupBy("venue").applyInArrow(walk, f"{types}, status string, release long")
 
+class StatsWalk(Walker):
+    def __init__(self, window: int, compat: bool):
+        self.tracker, self.venue = Tracker(window, compat), None
 
-def tracker_stats(events: DataFrame, window: int = 1024, compat: bool = False) -> DataFrame:
-    names = list(Tracker(1).stats)
+    def feed(self, rows: pa.RecordBatch) -> None:
+        self.venue = rows.column("venue")[0].as_py()
+        for seq in rows.column("sequence").to_pylist():
+            self.tracker.observe(seq, seq)
 
-    def walk(table: pa.Table) -> pa.Table:
-        tracker = Tracker(window, compat)
-        for seq in table.sort_by(ORDER).column("sequence").to_pylist():
-            tracker.observe(seq, seq)
-        return pa.table([pa.array([table.column("venue")[0].as_py()], pa.int16()), *(pa.array([tracker.stats[n]], pa.int64()) for n in names)], ["venue", *names])
+    def end(self) -> pa.RecordBatch:
+        names = list(self.tracker.stats)
+        return pa.RecordBatch.from_arrays([pa.array([self.venue], pa.int16()), *(pa.array([self.tracker.stats[n]], pa.int64()) for n in names)], ["venue", *names])
 
-    return events.groupBy("venue").applyInArrow(walk, "venue short, " + ", ".join(f"{n} long" for n in names))
+
+def tracker_stats(events: DataFrame, window: int = 1024, compat: bool = False) -> DataFrame:
+    schema = "venue short, " + ", ".join(f"{n} long" for n in Tracker(1).stats)
+    return walk(events.select("venue", "sequence", "arrival"), ["venue"], ORDER, partial(StatsWalk, window, compat), schema)
 
 
 # -- witness ------------------------------------------------------------------------------------------------------

@@ -5,15 +5,13 @@ Also risk measures of a curve that the tape itself gives, without a simulation.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from tapeloom.functions import stats
 from tapeloom.operators import backtest, nbbo
 from tapeloom.plans.market import _CHANGES, HOUR, QUOTED, tape_sql
+from tapeloom.shared import fresh_path
 from tapeloom.sources import decode, files
 from tapeloom.sources.adapter import book_events
 
@@ -22,16 +20,6 @@ PER_DATAGRAM = 16
 DAY_MS = 86_400_000
 
 
-def _shared(spark: SparkSession, tag: str) -> str:
-    """A new folder under spark.checkpoint.dir; in local mode without that setting, a temporary one."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not place:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        place = "file://" + tempfile.mkdtemp(prefix="tapeloom-")
-    return f"{place.rstrip('/')}/tapeloom/{tag}-{uuid.uuid4().hex}"
-
-
 def _sent(ev: DataFrame, payload: Column) -> DataFrame:
     return ev.select("arrival", "sequence", "ingest_ts_ns", payload.alias("payload")).where("payload IS NOT NULL")
 
@@ -101,7 +89,7 @@ def mold_roundtrip(spark, d):
 # -- journals -------------------------------------------------------------------------------------------------------
 def journal_roundtrip(spark, d):
     """The tape written as book journals and read again, record numbers as arrival."""
-    path = _shared(spark, "journal")
+    path = fresh_path(spark, "journal")
     ev = book_events(spark, d)
     files.write_journal(ev, path)
     back = files.read_journal(spark, path)
@@ -109,14 +97,14 @@ def journal_roundtrip(spark, d):
 
 
 def nbbo_journal_roundtrip(spark, d):
-    path = _shared(spark, "quotes")
+    path = fresh_path(spark, "quotes")
     files.write_journal(nbbo.changes(nbbo.nbbo(book_events(spark, d), keep=QUOTED)), path, "nbbo")
     return files.read_journal(spark, path, "nbbo").select(F.col("arrival").alias("record"), "symbol", "exchange_ts_ns", "bid_price", "bid_qty", "ask_price", "ask_qty")
 
 
 def journal_counts(spark, d):
     """Records of a journal by its files' sizes alone, and after appending it again."""
-    path = _shared(spark, "journal")
+    path = fresh_path(spark, "journal")
     ev = book_events(spark, d)
     files.write_journal(ev, path)
     once = files.count_records(path)
