@@ -220,6 +220,56 @@ def tracker_stats(events: DataFrame, window: int = 1024, compat: bool = False) -
     return walk(events.select("venue", "sequence", "arrival"), ["venue"], ORDER, partial(StatsWalk, window, compat), schema)
 
 
+class RequestWalk(Walker):
+    """One venue's arrivals with their status, and the range of numbers that each of them asks for."""
+
+    def __init__(self, window: int, compat: bool):
+        self.tracker = Tracker(window, compat)
+
+    def feed(self, rows: pa.RecordBatch) -> pa.RecordBatch:
+        seen = [self.tracker.observe(seq, seq)[:2] for seq in rows.column("sequence").to_pylist()]
+        begin, end = ([gap and gap[k] for _, gap in seen] for k in (0, 1))
+        cells = [rows.column(c) for c in ("venue", "arrival", "sequence")]
+        cells += [pa.array([s for s, _ in seen], pa.string()), pa.array(begin, pa.int64()), pa.array(end, pa.int64())]
+        return pa.RecordBatch.from_arrays(cells, ["venue", "arrival", "sequence", "status", "gap_begin", "gap_end"])
+
+
+def observed(events: DataFrame, window: int = 1024, compat: bool = False) -> DataFrame:
+    """(venue, arrival, sequence, status, gap_begin, gap_end) of every arrival: what its venue's tracker says of it, and asks for."""
+    schema = "venue short, arrival long, sequence long, status string, gap_begin long, gap_end long"
+    return walk(events.select("venue", "arrival", "sequence"), ["venue"], ORDER, partial(RequestWalk, window, compat), schema)
+
+
+REASONS = {GAP_BUFFERED: "gap_detected", GAP_TOO_LARGE: "gap_too_large"}
+
+
+def requests(seen: DataFrame) -> DataFrame:
+    """Of observed(): (venue, arrival, gap_begin, gap_end, missing, reason) of every request for recovery."""
+    reason = F.element_at(F.create_map(*(F.lit(x) for pair in REASONS.items() for x in pair)), F.col("status"))
+    asked = seen.where(F.col("status").isin(*REASONS))
+    return asked.select("venue", "arrival", "gap_begin", "gap_end", (F.col("gap_end") - F.col("gap_begin") + 1).alias("missing"), reason.alias("reason"))
+
+
+def recovered(seen: DataFrame, window: int = 1024) -> DataFrame:
+    """Of observed(): (venue, requested_at, sequence, stored_at, reinjected): stored events that a request finds in its range.
+
+    A request for too many numbers is not answered. The store holds the last window + LOOKBACK numbers of a venue, of a number that
+    came more than once the latest event before the request. An event that is still held back is found but not given back again; one
+    that the tracker jumped over (in compat mode) is, and is released by that.
+
+    An interval join: ranges of `window` numbers at most and stored numbers meet in buckets of `window` numbers, two a range at most.
+    """
+    at = lambda c: F.floor(F.col(c) / window)
+    kept = seen.select("venue", F.col("sequence").alias("number"), F.col("arrival").alias("stored_at"), "status", at("sequence").alias("bucket"))
+    asked = requests(seen).where(F.col("reason") == REASONS[GAP_BUFFERED]).withColumnRenamed("arrival", "requested_at")
+    asked = asked.withColumn("bucket", F.explode(F.sequence(at("gap_begin"), at("gap_end"))))
+    horizon = F.col("number") > F.col("gap_end") - (window + LOOKBACK)
+    # A number of the range is less than the request's own, so at one arrival it comes first.
+    met = asked.join(kept, ["venue", "bucket"]).where("number BETWEEN gap_begin AND gap_end AND stored_at <= requested_at").where(horizon)
+    latest = met.groupBy("venue", "requested_at", F.col("number").alias("sequence")).agg(F.max(F.struct("stored_at", "status")).alias("s"))
+    return latest.select("venue", "requested_at", "sequence", F.col("s.stored_at").alias("stored_at"), (F.col("s.status") == GAP_TOO_LARGE).alias("reinjected"))
+
+
 # -- witness ------------------------------------------------------------------------------------------------------
 def _combine(a: int, b: int, length: int) -> int:
     """CRC-32 of two strings in a row from their CRCs and the second's length: a's is carried over `length` zero bytes by squaring."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tapeloom.plans import feeds, market, operations, research
+from tapeloom.plans import depth, feeds, market, operations, research
 
-_PARTS = (market, research, operations, feeds)
+_PARTS = (market, research, operations, feeds, depth)
 
 
 def queries() -> dict:
