@@ -1,7 +1,7 @@
 """Live forms of the stateful operators: one state a key, kept in the state store between micro-batches.
 
-Each operator is a class whose `row` takes one event and gives output rows; the batch operators use the same engines, so a
-replayed stream gives what the batch form gives. Rows of a micro-batch are put in order of arrival; an event that arrives in a
+Books lie in the state store by order and level (streaming.books). Any other operator is a class whose `row` takes one event and gives output
+rows; its state is small. The batch operators use the same engines, so a replayed stream gives what the batch form gives. Rows of a micro-batch are put in order of arrival; an event that arrives in a
 later micro-batch with a smaller arrival is applied when it comes.
 """
 
@@ -15,10 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tapeloom.operators.book import Book
 from tapeloom.operators.features import SECOND, VPIN_BUCKETS, VPIN_VOLUME, Recursions
 from tapeloom.operators.sequence import Tracker
 from tapeloom.schema import BUY, FEATURE_TRADES, SELL
+from tapeloom.streaming.books import tops
 
 STATE = "state binary"
 
@@ -37,22 +37,6 @@ def _run(events: DataFrame, keys: list[str], make, schema: str) -> DataFrame:
     return events.groupBy(*keys).applyInPandasWithState(step, schema, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-class TopOp:
-    def __init__(self):
-        self.book, self.last = Book(), (None,) * 4
-
-    def row(self, r) -> list[tuple]:
-        ahead = self.book.apply(r["event_type"], r["symbol"], r["order_id"], r["reference_order_id"], r["side"], r["price"], r["qty"])
-        top = self.book.tops(r["symbol"])
-        changed, self.last = top != self.last, top
-        return [(r["arrival"], r["venue"], r["symbol"], *top, ahead, changed)]
-
-
-def tops(events: DataFrame) -> DataFrame:
-    """Best bid and offer of a venue's symbol after every event."""
-    return _run(events, ["venue", "symbol"], TopOp, "arrival long, venue short, symbol string, bid_price long, bid_qty long, ask_price long, ask_qty long, queue_ahead long, changed_top boolean")
-
-
 class SequenceOp:
     def __init__(self, window: int):
         self.tracker, self.n = Tracker(window), 0
@@ -70,17 +54,16 @@ def sequenced(events: DataFrame, window: int = 1024) -> DataFrame:
 
 
 class FeatureOp:
-    """All features of one symbol over all its venues."""
+    """All features of one symbol from its venues' tops; what is kept is a top a venue, the window's flow and sums."""
 
     def __init__(self, window_ns: int, volume: int, buckets: int):
-        self.window_ns, self.books, self.tops = window_ns, {}, {}
+        self.window_ns, self.tops = window_ns, {}
         self.quote, self.flow, self.ofi = None, deque(), 0
         self.sums, self.mid, self.rec = [0, 0, 0, 0, 0], None, Recursions(volume, buckets)
 
     def row(self, r) -> list[tuple]:
-        book = self.books.setdefault(r["venue"], Book())
-        ahead = book.apply(r["event_type"], r["symbol"], r["order_id"], r["reference_order_id"], r["side"], r["price"], r["qty"])
-        self.tops[r["venue"]] = book.tops(r["symbol"])
+        ahead = r["queue_ahead"]
+        self.tops[r["venue"]] = tuple(None if pd.isna(r[c]) else int(r[c]) for c in ("bid_price", "bid_qty", "ask_price", "ask_qty"))
         bid = max(((t[0], -v, t[1]) for v, t in self.tops.items() if t[0] is not None), default=None)
         ask = min(((t[2], v, t[3]) for v, t in self.tops.items() if t[2] is not None), default=None)
         if not bid or not ask or not bid[0] or not ask[0]:
@@ -112,7 +95,8 @@ class FeatureOp:
 
 def features(events: DataFrame, window_ns: int = SECOND, volume: int = VPIN_VOLUME, buckets: int = VPIN_BUCKETS) -> DataFrame:
     schema = "arrival long, symbol string, exchange_ts_ns long, bid_price long, bid_qty long, ask_price long, ask_qty long, microprice double, ofi double, queue_ahead double, effective_spread double, kyle_lambda double, vpin double"
-    return _run(events, ["symbol"], lambda: FeatureOp(window_ns, volume, buckets), schema)
+    quoted = tops(events, keep=["arrival", "venue", "symbol", "exchange_ts_ns", "event_type", "side", "qty", "price"])
+    return _run(quoted, ["symbol"], lambda: FeatureOp(window_ns, volume, buckets), schema)
 
 
 def arbitrated(copies: DataFrame, delay: str = "10 minutes") -> DataFrame:
