@@ -1,7 +1,6 @@
 """Binary files as Spark data sources: journals of fixed-size records and captures of messages, read by byte ranges.
 
-Journals are split at record borders, so a large file is many tasks. Captures can only be walked from their start; a file is a
-task. Paths may be any that pyarrow's file systems know; a folder is all its files in order of name.
+Journals are split at record borders, so a large file is many tasks, and are followed while they grow. Captures are in sources.captures. Paths may be any that pyarrow's file systems know; a folder is all its files in order of name.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from tapeloom.schema import BOOK_EVENTS
 
@@ -74,6 +73,9 @@ class JournalSource(DataSource):
     def reader(self, schema):
         return JournalReader(dict(self.options))
 
+    def streamReader(self, schema):
+        return JournalFollower(dict(self.options))
+
 
 class JournalReader(DataSourceReader):
     def __init__(self, options: dict):
@@ -123,6 +125,60 @@ class JournalReader(DataSourceReader):
             yield _journal_batch(self.kind, np.zeros(1, rows.dtype), at[stop : stop + 1], ["record_size"])
 
 
+class JournalFollower(DataSourceStreamReader):
+    """Journals of a folder while they grow. The offset says for every file how many bytes of whole records were read.
+
+    A file shorter than its header and a torn record wait until the rest is there. arrival is the record number that is written in
+    the record, which goes on over files. A record whose checksum or length is wrong is left out (in permissive mode a row says so);
+    records have one size, so those after it are read.
+    """
+
+    def __init__(self, options: dict):
+        self.batch = JournalReader(options)
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        magic, size, _ = FORMATS[self.batch.kind]
+        fs, files = _files(self.batch.path)
+        out = {}
+        for f in files:
+            with fs.open_input_file(f) as src:
+                head, length = src.read(HEADER), src.size()
+            if len(head) < HEADER:
+                continue
+            if head[:4] != magic or int.from_bytes(head[4:], "little") != VERSION:
+                raise ValueError(f"{f}: not a version {VERSION} {self.batch.kind} journal")
+            width = 24 + size
+            out[f] = HEADER + (length - HEADER) // width * width
+        return out
+
+    def partitions(self, start: dict, end: dict):
+        step = self.batch.step * (24 + FORMATS[self.batch.kind][1])
+        return [_Range(f, at, min(stop, at + step), 0) for f, stop in end.items() for at in range(start.get(f, HEADER), stop, step)]
+
+    def read(self, part):
+        size = FORMATS[self.batch.kind][1]
+        fs, _ = _files(self.batch.path)
+        with fs.open_input_file(part.file) as src:
+            src.seek(part.start)
+            raw = src.read(part.end - part.start)
+        rows, view, width = np.frombuffer(raw, record_dtype(self.batch.kind)), memoryview(raw), 24 + size
+        sums = np.array([zlib.crc32(view[k * width + 24 : (k + 1) * width]) for k in range(len(rows))], np.uint32)
+        status = np.where(rows["env_payload_len"] != size, "record_size", np.where(sums != rows["env_crc"], "record_crc", "ok")).astype(object)
+        keep = np.arange(len(rows)) if self.batch.permissive else np.flatnonzero(status == "ok")
+        for lo in range(0, len(keep), 65_536):
+            some = keep[lo : lo + 65_536]
+            yield _journal_batch(self.batch.kind, rows[some], rows["env_monotonic_seq"][some], status[some].tolist())
+
+    def commit(self, end: dict) -> None:
+        pass
+
+    def stop(self) -> None:
+        pass
+
+
 def _names(raw: np.ndarray) -> pa.Array:
     return pa.array([b.decode("latin-1").rstrip(" \x00") for b in raw.tolist()], pa.string())
 
@@ -232,6 +288,13 @@ def read_journal(spark: SparkSession, path: str, kind: str = "book", permissive:
     return df if permissive else df.drop("status")
 
 
+def follow_journal(spark: SparkSession, path: str, kind: str = "book", permissive: bool = False, **options) -> DataFrame:
+    """A stream of the records of the journals in a folder as they grow."""
+    spark.dataSource.register(JournalSource)
+    df = spark.readStream.format("tape_journal").options(path=path, kind=kind, mode="permissive" if permissive else "failsafe", **options).load()
+    return df if permissive else df.drop("status")
+
+
 # -- captures -----------------------------------------------------------------------------------------------------
 def looks_like_text(head: bytes) -> bool:
     """Of the first 4 KB over 95 % printable, more than ten commas and five lines: a table, not a capture."""
@@ -313,45 +376,11 @@ def walk_pcap(data: bytes, skip: int = 40, order: str = "little"):
 WALKERS = {"itch_lengths": walk_length_prefixed, "itch_raw": walk_raw_itch, "cert": walk_cert, "pcap": walk_pcap}
 
 
-class CaptureSource(DataSource):
-    """format "tape_capture": options path, walk (a name in WALKERS), max_events, max_bytes, skip and order (pcap). Rows are (arrival, payload), arrival from 1 in a file."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "tape_capture"
-
-    def schema(self) -> str:
-        return "file string, arrival long, payload binary"
-
-    def reader(self, schema):
-        return CaptureReader(dict(self.options))
-
-
-class CaptureReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.options = options
-
-    def partitions(self):
-        return [_Range(f, 0, 0, 0) for f in _files(self.options["path"])[1]]
-
-    def read(self, part):
-        fs, _ = _files(self.options["path"])
-        with fs.open_input_file(part.file) as src:
-            data = src.read()
-        walk = self.options.get("walk", "itch_lengths")
-        extra = {"skip": int(self.options.get("skip", 40)), "order": self.options.get("order", "little")} if walk == "pcap" else {}
-        most, most_bytes = int(self.options.get("max_events", 0)), int(self.options.get("max_bytes", 0))
-        used = 0
-        for n, payload in enumerate(WALKERS[walk](data, **extra), 1):
-            used += len(payload) + 2
-            if most and n > most or most_bytes and used > most_bytes:
-                return
-            yield part.file, n, payload
-
-
 def read_capture(spark: SparkSession, path: str, walk: str = "itch_lengths", **options) -> DataFrame:
-    spark.dataSource.register(CaptureSource)
-    return spark.read.format("tape_capture").options(path=path, walk=walk, **options).load()
+    """(file, arrival, payload), arrival from 1 in a file; see captures.read_capture."""
+    from tapeloom.sources import captures
+
+    return captures.read_capture(spark, path, walk, **options)
 
 
 # -- datagrams ----------------------------------------------------------------------------------------------------
