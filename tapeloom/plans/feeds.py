@@ -12,7 +12,7 @@ from tapeloom.functions import stats
 from tapeloom.operators import backtest, nbbo
 from tapeloom.plans.market import _CHANGES, HOUR, QUOTED, tape_sql
 from tapeloom.shared import fresh_path
-from tapeloom.sources import decode, files
+from tapeloom.sources import captures, decode, files
 from tapeloom.sources.adapter import book_events
 
 FIELDS = ["arrival", "event_type", "sequence", "exchange_ts_ns", "symbol", "order_id", "match_id", "qty", "price", "side"]
@@ -86,6 +86,59 @@ def mold_roundtrip(spark, d):
     return back.select(F.expr("(arrival div 65536) % 8").alias("feed"), *FIELDS[1:])
 
 
+# -- captures -------------------------------------------------------------------------------------------------------
+RANGE = 64 << 10  # small, so that a file of the provided tape is several tasks
+
+
+def _captured(spark: SparkSession, d: str, walk: str) -> DataFrame:
+    path = fresh_path(spark, walk)
+    captures.write_capture(_itch_tape(spark, d).select("arrival", decode.itch_payload(F.col("event_type")).alias("payload")), path, walk, parts=2)
+    back = captures.read_capture(spark, path, walk, every=RANGE)
+    return decode.decode(decode.as_messages(back), decode.ITCH).select(*(c for c in FIELDS if c not in ("arrival", "sequence")))
+
+
+def capture_itch(spark, d):
+    """The tape written as files of messages with lengths, and read again in ranges."""
+    return _captured(spark, d, "itch_lengths")
+
+
+def capture_raw(spark, d):
+    return _captured(spark, d, "itch_raw")
+
+
+def capture_pcap(spark, d):
+    """The same in network packets of 16 messages."""
+    return _captured(spark, d, "pcap")
+
+
+PACKET, MESSAGE = 8, 4  # entries
+
+
+def _sbe_packets(spark: SparkSession, d: str) -> DataFrame:
+    """The tape as packets of two book messages and one of another template; trades are implied entries, some numbers are null or 0."""
+    nth = F.row_number().over(Window.partitionBy("venue").orderBy("arrival")) - 1
+    ev = book_events(spark, d).withColumn("nth", nth).withColumn("pack", F.expr(f"nth div {PACKET}"))
+    action = F.when(F.col("arrival") % 31 == 0, 9).when(F.col("event_type") == 0, 0).when(F.col("event_type") == 2, 1).when(F.col("event_type") == 4, 2).otherwise(3 + F.col("order_id") % 2)
+    price = F.when(F.col("event_type") == 5, F.lit((1 << 63) - 1)).otherwise(F.col("price") * 100_000 + 37)
+    security = F.when(F.col("arrival") % 17 == 0, (1 << 31) - 1).otherwise(F.substring("symbol", 4, 8).cast("long"))
+    report = F.when(F.col("sequence") % 13 == 0, 0).otherwise(F.col("sequence"))
+    kind = F.when(F.col("event_type") == 7, "4A").when(F.col("arrival") % 19 == 0, "45").when(F.col("side") == 0, "30").otherwise("31")
+    entry = F.concat(_le(price, 8), _le(F.col("qty"), 4), _le(security, 4), _le(report, 4), F.lit("00" * 5), _be(action, 1), kind, F.lit("00" * 5))
+    cells = F.array_sort(F.collect_list(F.struct("nth", "exchange_ts_ns", entry.alias("hex"))))  # 8 entries
+    packs = ev.groupBy("venue", "pack").agg(cells.alias("cells"))
+    body = lambda first: F.slice("cells", first, MESSAGE)
+    sized = lambda template, inner: F.concat(_le(F.length(inner) / 2 + 10, 2), F.lit("0000"), _le(F.lit(template), 2), F.lit("00000000"), inner)
+    book = lambda time, some: sized(32, F.concat(_le(time, 8), F.lit("000000"), _le(F.lit(32), 2), _be(F.size(some), 1), F.array_join(F.transform(some, lambda c: c["hex"]), "")))
+    sent = F.col("cells")[0]["exchange_ts_ns"]
+    whole = F.concat(_le(F.col("pack"), 4), _le(sent + 1, 8), book(sent, body(1)), sized(4, F.lit("00" * 6)), book(F.lit(0), body(MESSAGE + 1)))
+    return packs.select((F.col("pack") * 8 + F.col("venue")).alias("arrival"), F.lit(0).cast("long").alias("ingest_ts_ns"), F.unhex(whole).alias("payload"))
+
+
+def mdp3_roundtrip(spark, d):
+    """The tape as packets of repeating groups and back."""
+    return decode.decode_sbe(_sbe_packets(spark, d)).select(*(c for c in FIELDS if c not in ("match_id", "order_id")))
+
+
 # -- journals -------------------------------------------------------------------------------------------------------
 def journal_roundtrip(spark, d):
     """The tape written as book journals and read again, record numbers as arrival."""
@@ -134,7 +187,7 @@ def tape_risk(spark, d):
     return out.select(*(F.round(c, 6).alias(c) for c in ("sharpe", "sortino", "win_rate", "avg_trade", "max_drawdown")), "n_returns", "n_trades")
 
 
-QUERIES = {f.__name__: f for f in (itch_roundtrip, pitch_roundtrip, deep_roundtrip, mold_roundtrip, journal_roundtrip, nbbo_journal_roundtrip, journal_counts, tape_buckets, tape_risk)}
+QUERIES = {f.__name__: f for f in (capture_itch, capture_raw, capture_pcap, mdp3_roundtrip, itch_roundtrip, pitch_roundtrip, deep_roundtrip, mold_roundtrip, journal_roundtrip, nbbo_journal_roundtrip, journal_counts, tape_buckets, tape_risk)}
 
 #: What each message type carries: an absent number is 0, an absent name empty, an absent side 2.
 _ITCH = """, sent AS (SELECT arrival, venue, event_type, seq, ns % 140737488355328 ns, CASE WHEN event_type IN (0, 7) THEN symbol ELSE '' END symbol, order_id,
@@ -143,7 +196,16 @@ _OUT = "event_type, seq AS sequence, ns exchange_ts_ns, symbol, order_id, match_
 _CURVE = """, tr AS (SELECT arrival, ns, CAST(CASE WHEN side = 0 THEN qty ELSE -qty END * (10000 - price + order_id + seq % 5 - 1) AS DOUBLE) pnl FROM ev WHERE event_type = 7),
     cu AS (SELECT *, sum(pnl) OVER (ORDER BY arrival) equity FROM tr), bu AS (SELECT ns // 86400000000000 bucket, arg_min(equity, arrival) equity FROM cu GROUP BY 1), re AS (SELECT bucket, equity, equity - lag(equity) OVER (ORDER BY bucket) r FROM bu)"""
 
+_PARTS_OF = "event_type, ns exchange_ts_ns, symbol, order_id, match_id, qty, price, side"
+
 ORACLE_SQL = {
+    **{name: tape_sql(_ITCH, f"SELECT {_PARTS_OF} FROM sent") for name in ("capture_itch", "capture_raw", "capture_pcap")},
+    "mdp3_roundtrip": tape_sql(f""", placed AS (SELECT *, row_number() OVER (PARTITION BY venue ORDER BY arrival) - 1 nth FROM ev),
+        packed AS (SELECT *, nth // {PACKET} pack, first_value(ns) OVER (PARTITION BY venue, nth // {PACKET} ORDER BY nth) sent FROM placed),
+        shown AS (SELECT *, row_number() OVER (PARTITION BY venue, pack ORDER BY nth) - 1 k FROM packed WHERE event_type <> 7)""",
+        f"""SELECT (pack * 8 + venue) * 256 + k arrival, CASE WHEN arrival % 31 = 0 THEN 255 WHEN event_type = 0 THEN 0 WHEN event_type = 2 THEN 6 ELSE 5 END event_type,
+        CASE WHEN seq % 13 = 0 THEN pack * 4294967296 + nth % {MESSAGE} ELSE seq END AS sequence, CASE WHEN nth % {PACKET} < {MESSAGE} THEN sent ELSE sent + 1 END exchange_ts_ns,
+        CASE WHEN arrival % 17 = 0 THEN '' ELSE substr(symbol, 4) END symbol, qty, CASE WHEN event_type = 5 THEN 0 ELSE price END price, CASE WHEN arrival % 19 = 0 THEN 2 ELSE side END side FROM shown"""),
     "itch_roundtrip": tape_sql(_ITCH, f"SELECT arrival, {_OUT} FROM sent"),
     "pitch_roundtrip": tape_sql("", f"""SELECT arrival, event_type, seq AS sequence, (ns // 1000000) % {DAY_MS} * 1000000 exchange_ts_ns, CASE WHEN event_type IN (0, 7) THEN symbol ELSE '' END symbol, order_id,
         CASE WHEN event_type IN (2, 7) THEN seq ELSE 0 END match_id, qty, CASE WHEN event_type IN (0, 7) THEN price ELSE 0 END price, CASE WHEN event_type IN (0, 7) THEN side ELSE 2 END side FROM ev WHERE event_type IN (0, 2, 4, 7)"""),

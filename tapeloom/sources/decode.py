@@ -280,20 +280,85 @@ def sbe_packet(packet: bytes, stats: dict | None = None) -> list[tuple]:
     return out
 
 
+def _numbers(data: np.ndarray, at: np.ndarray, kind: str) -> np.ndarray:
+    """Little-endian numbers at places of a batch's bytes."""
+    form = np.dtype(kind)
+    return data[at[:, None] + np.arange(form.itemsize)].view(form)[:, 0] if len(at) else np.zeros(0, form)
+
+
+def sbe_columns(payload: pa.Array) -> dict[str, np.ndarray]:
+    """What sbe_packet gives, for a batch of packets at once, with the packet of each entry and its number in it.
+
+    The first messages of all packets are looked at together, then the second ones, and so on; the entries of all book messages
+    are then laid out by their counts and widths, and a field is one gather.
+    """
+    payload = pa.concat_arrays([payload.fill_null(b"")]).cast(pa.large_binary())
+    bounds = np.frombuffer(payload.buffers()[1], np.int64, len(payload) + 1)
+    data = np.frombuffer(payload.buffers()[2] or b"", np.uint8)
+    begin, end = bounds[:-1], bounds[1:]
+    packet = np.flatnonzero(end - begin >= 12)
+    at, found = begin[packet] + 12, []
+    while len(packet):
+        fits = at + 10 <= end[packet]
+        packet, at = packet[fits], at[fits]
+        size = _numbers(data, at, "<u2").astype(np.int64)
+        sound = (size >= 10) & (at + size <= end[packet])
+        packet, at, size = packet[sound], at[sound], size[sound]
+        found.append((packet, at + 10, at + size, _numbers(data, at + 4, "<u2")))
+        at = at + size
+    owner, start, stop, template = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(4))
+    book = (template == TEMPLATE_BOOK) & (stop - start >= 14)
+    owner, start, stop = owner[book], start[book], stop[book]
+    time, width, entries = _numbers(data, start, "<u8").view(np.int64), _numbers(data, start + 11, "<u2").astype(np.int64), _numbers(data, start + 13, "u1").astype(np.int64)
+    sound = (width >= 32) & (start + 14 + entries * width <= stop)
+    owner, start, time, width, entries = owner[sound], start[sound], time[sound], width[sound], entries[sound]
+    order = np.lexsort((start, owner))  # a packet's messages in a row
+    owner, start, time, width, entries = owner[order], start[order], time[order], width[order], entries[order]
+    message = np.repeat(np.arange(len(owner)), entries)
+    nth = np.arange(len(message)) - np.repeat(np.cumsum(entries) - entries, entries)
+    e = start[message] + 14 + nth * width[message]
+    kind = data[e + 26]
+    real = kind != ord("J")  # implied
+    e, kind, message, nth = e[real], kind[real], message[real], nth[real]
+    of = owner[message]
+    price, qty, security, report = _numbers(data, e, "<i8"), _numbers(data, e + 8, "<i4").astype(np.int64), _numbers(data, e + 12, "<i4"), _numbers(data, e + 16, "<u4").astype(np.int64)
+    actions = np.full(256, UNKNOWN_TYPE, np.int64)
+    actions[list(_ACTIONS)] = list(_ACTIONS.values())
+    sides = np.full(256, UNKNOWN_SIDE, np.int64)
+    sides[[ord("0"), ord("1")]] = BUY, SELL
+    packet_seq, sent = _numbers(data, begin[of], "<u4").astype(np.int64), _numbers(data, begin[of] + 4, "<u8").view(np.int64)
+    names, back = np.unique(security, return_inverse=True)
+    first = np.searchsorted(of, of)
+    return {
+        "packet": of,
+        "nth": np.arange(len(of)) - first,
+        "event_type": actions[data[e + 25]],
+        "sequence": np.where(report != 0, report, packet_seq << 32 | nth),
+        "ts": np.where(time[message] != 0, time[message], sent),
+        "symbol": np.array(["" if n == _NULL_ID else str(n)[:8] for n in names.tolist()], object)[back],
+        "qty": np.maximum(qty, 0),
+        "price": np.where((price == _NULL_PRICE) | (price <= 0), 0, np.minimum(price // 100_000, U32)),
+        "side": sides[kind],
+    }
+
+
+_SBE = "arrival long, ingest long, event_type short, sequence long, ts long, symbol string, qty long, price long, side short"
+
+
 def decode_sbe(packets: DataFrame) -> DataFrame:
     """Canonical events of (arrival, payload, ingest_ts_ns) packets; arrival is the packet's times 256 plus the entry's number."""
 
     def expand(batches):
+        kinds = {"long": pa.int64(), "short": pa.int16(), "string": pa.string()}
         for b in batches:
-            rows = []
-            for arrival, payload, ingest in zip(*(b.column(c).to_pylist() for c in ("arrival", "payload", "ingest_ts_ns"))):
-                rows += [(arrival * 256 + k, ingest, *e) for k, e in enumerate(sbe_packet(payload or b""))]
-            cells = list(zip(*rows)) if rows else [()] * 9
-            types = (pa.int64(),) * 2 + (pa.int16(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int16())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types)], names)
-
-    names = ["arrival", "ingest", "event_type", "sequence", "ts", "symbol", "qty", "price", "side"]
-    flat = packets.select("arrival", "payload", "ingest_ts_ns").mapInArrow(expand, "arrival long, ingest long, event_type short, sequence long, ts long, symbol string, qty long, price long, side short")
+            found = sbe_columns(b.column("payload"))
+            of = pa.array(found["packet"])
+            found["arrival"] = b.column("arrival").take(of).to_numpy() * 256 + found["nth"]
+            found["ingest"] = b.column("ingest_ts_ns").take(of)
+            named = [c.split() for c in _SBE.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(found[n]).cast(kinds[t]) for n, t in named], [n for n, _ in named])
+
+    flat = packets.select("arrival", F.col("payload").cast("binary").alias("payload"), "ingest_ts_ns").mapInArrow(expand, _SBE)
     return flat.select(*canonical(arrival="arrival", venue=F.lit(VENUES["CME"]), event_type="event_type", sequence="sequence", exchange_ts_ns="ts", ingest_ts_ns="ingest", symbol="symbol", order_id="sequence", qty="qty", price="price", side="side", raw_type=F.lit(TEMPLATE_BOOK)))
 
 
@@ -323,4 +388,4 @@ def itch_payload(event_type: Column) -> Column:
     return F.unhex(out)
 
 
-__all__ = ["COLUMNS", "DEEP", "ITCH", "LAYOUTS", "PITCH", "as_messages", "decode", "decode_sbe", "itch_payload", "parse_stats", "sbe_packet"]
+__all__ = ["COLUMNS", "DEEP", "ITCH", "LAYOUTS", "PITCH", "as_messages", "decode", "decode_sbe", "itch_payload", "parse_stats", "sbe_columns", "sbe_packet"]
