@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from tapeloom.functions.ranks import global_rank
+from tapeloom.shared import stored
+
 EULER = 0.5772156649015329
 
 
@@ -82,33 +85,48 @@ def drawdown(equity: DataFrame, at: str = "at", value: str = "equity") -> DataFr
     return parts.withColumn("ahead", ahead).agg(F.coalesce(F.max(F.greatest("fall", F.col("ahead") - F.col("trough"))), F.lit(0.0)).alias("max_drawdown"))
 
 
-def bootstrap(series: DataFrame, value: str, order: str, block: int, rounds: int = 2000, seed: int = 7, tasks: int = 16) -> DataFrame:
+PREFIX_BLOCK = 1 << 16
+
+
+def prefix_sums(series: DataFrame, value: str, order: str) -> DataFrame:
+    """(at, upto): the sum of the first `at` values in the order of a whole-number column, for 0 and every count.
+
+    Blocks of PREFIX_BLOCK ranks are summed apart; one row a block is carried on.
+    """
+    ranked = global_rank(series.select(F.col(order).cast("long").alias("o"), F.col(value).cast("double").alias("x")), "o", ["x"], "at")
+    blocks = ranked.withColumn("block", F.expr(f"(at - 1) div {PREFIX_BLOCK}"))
+    sums = blocks.groupBy("block").agg(F.sum("x").alias("own"))
+    ahead = F.coalesce(F.sum("own").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))  # a row a block
+    inside = F.sum("x").over(Window.partitionBy("block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    upto = blocks.join(sums.select("block", ahead.alias("ahead")), "block").select("at", (F.col("ahead") + inside).alias("upto"))
+    return upto.unionByName(series.sparkSession.range(1).select(F.lit(0).cast("long").alias("at"), F.lit(0.0).alias("upto")))
+
+
+def block_start(seed: int, number: Column, block: Column, n: int) -> Column:
+    """Where a round's block begins: the first 60 bits of the MD5 of `seed:round:block`, modulo n."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), number.cast("string"), block.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % n
+
+
+def bootstrap(series: DataFrame, value: str, order: str, block: int, rounds: int = 2000, seed: int = 7) -> DataFrame:
     """p-value of a mean above 0 by circular block bootstrap: share of resample means not above 0; 1 for an empty series.
 
-    The series (period returns of one strategy) is summed by the driver's one reader into prefix sums; rounds are dealt to tasks with a seed each.
+    A block's sum is the difference of two prefix sums (and the whole, where it goes over the end), so a round is looked up at the two
+    ends of its blocks by a join on places; neither the series nor a round is ever in one task.
     """
-    spark = series.sparkSession
-    x = np.array([r[0] for r in series.orderBy(order).select(F.col(value).cast("double")).collect()], float)
-    if not len(x):
-        return spark.createDataFrame([(1.0, 0.0, 0)], "p_value double, mean double, n long")
-    block, n = max(1, min(block, len(x))), len(x)
-    sums = np.concatenate([[0.0], np.cumsum(np.concatenate([x, x]))])
-    shared = spark.sparkContext.broadcast(sums)
-
-    def draw(batches):
-        sums = shared.value
-        for b in batches:
-            out = []
-            for k in b.column("id").to_pylist():
-                rng = np.random.default_rng([seed, k])
-                starts = rng.integers(0, n, -(-n // block))
-                sizes = np.full(len(starts), block)
-                sizes[-1] = n - block * (len(starts) - 1)
-                out.append(float((sums[starts + sizes] - sums[starts]).sum()) / n)
-            yield pa.RecordBatch.from_arrays([pa.array(out)], ["mean"])
-
-    means = spark.range(rounds, numPartitions=tasks).mapInArrow(draw, "mean double")
-    return means.agg(F.avg(F.when(F.col("mean") <= 0, 1.0).otherwise(0.0)).alias("p_value"), F.avg("mean").alias("mean"), F.lit(n).cast("long").alias("n"))
+    n = series.count()
+    block = max(1, min(block, n))
+    blocks = -(-n // block)
+    drawn = series.sparkSession.range(rounds * blocks).select(F.expr(f"id div {max(1, blocks)}").alias("round"), (F.col("id") % max(1, blocks)).alias("block"))
+    size = F.when(F.col("block") == blocks - 1, n - block * (blocks - 1)).otherwise(block)
+    drawn = drawn.select("round", block_start(seed, F.col("round"), F.col("block"), max(1, n)).alias("start"), size.alias("size"))
+    end = F.col("start") + F.col("size")
+    look = lambda at, sign: F.struct(at.cast("long").alias("at"), F.lit(sign).alias("sign"))
+    ends = F.array(look(F.col("start"), -1), F.when(end <= n, look(end, 1)).otherwise(look(end - n, 1)), F.when(end > n, look(F.lit(n), 1)))
+    asked = drawn.select("round", F.explode(ends).alias("e")).where("e IS NOT NULL").select("round", "e.at", "e.sign")
+    means = asked.join(prefix_sums(series, value, order), "at").groupBy("round").agg((F.sum(F.col("sign") * F.col("upto")) / max(1, n)).alias("mean"))
+    share = F.avg(F.when(F.col("mean") <= 0, 1.0).otherwise(0.0))
+    return means.agg(F.coalesce(share, F.lit(1.0)).alias("p_value"), F.coalesce(F.avg("mean"), F.lit(0.0)).alias("mean"), F.lit(n).cast("long").alias("n"))
 
 
 def log2_bucket(x: Column, steps: int = 1) -> Column:
@@ -128,9 +146,34 @@ def histogram_quantile(hist: DataFrame, p: float) -> DataFrame:
     return hist.withColumn("upto", upto).withColumn("every", every).where(F.col("upto") >= F.ceil(F.col("every") * F.lit(p))).agg(F.min("low").alias("quantile"))
 
 
+def order_key(df: DataFrame, value: str, name: str = "key") -> DataFrame:
+    """Adds a whole number that orders as the value does: the value itself, or the bits of a fraction (-0 is 0, NaN the largest)."""
+    if dict(df.dtypes)[value] not in ("double", "float"):
+        return df.withColumn(name, F.col(value).cast("long"))
+
+    @F.pandas_udf("long")
+    def bits(x: pd.Series) -> pd.Series:
+        raw = np.ascontiguousarray(x.to_numpy(np.float64, na_value=np.nan) + 0.0).view(np.int64)
+        return pd.Series(raw ^ ((raw >> 63) & np.int64(0x7FFFFFFFFFFFFFFF)))
+
+    return df.withColumn(name, bits(F.col(value).cast("double")))
+
+
 def nearest_rank(df: DataFrame, value: str, p: float) -> DataFrame:
-    """The value at index floor(p * (n - 1)) in ascending order, through counts of equal values."""
+    """The value at index floor(p * (n - 1)) in ascending order; null values take no part, and of none the result is null.
+
+    Equal values are counted and stored. Then the value is found by its bits, sixteen at a time from the top: counts of the 65536
+    leading patterns give the one that holds the index, and only its values go on.
+    """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("all"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy(value))).join(F.broadcast(total))
-    return upto.where(F.col("upto") > F.floor(F.lit(p) * (F.col("all") - 1))).agg(F.min(value).alias("value"))
+    counts = stored(order_key(counts, value), "rank-counts")
+    target = counts.agg(F.floor(F.lit(p) * (F.sum("n") - 1)).cast("long").alias("index"))
+    here = counts
+    for shift in (48, 32, 16, 0):
+        digits = here.withColumn("digits", F.shiftright("key", shift) if shift == 48 else F.shiftright("key", shift).bitwiseAND(F.lit(0xFFFF)))
+        upto = F.sum("n").over(Window.orderBy("digits"))  # 65536 rows at most
+        sums = digits.groupBy("digits").agg(F.sum("n").alias("n")).withColumn("upto", upto).join(F.broadcast(target)).where("upto > index")
+        chosen = sums.agg(F.min_by(F.struct("digits", (F.col("index") - F.col("upto") + F.col("n")).alias("index")), "upto").alias("c")).select("c.digits", "c.index")
+        target = chosen.select("index")
+        here = digits.join(F.broadcast(chosen.select("digits")), "digits").drop("digits")  # one row
+    return here.agg(F.min(value).alias("value"))

@@ -6,6 +6,7 @@ import zlib
 from dataclasses import dataclass, field
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
@@ -297,28 +298,50 @@ def _combine(a: int, b: int, length: int) -> int:
     return a ^ b
 
 
-def witness(events: DataFrame, order: str = "arrival", parts: int = 16) -> int:
-    """Chained CRC-32 over events in order: venue, type, sequence, time, symbol, order id, quantity and price, little-endian.
+#: The bytes of an event, little-endian: venue, type, sequence, time, symbol, order id, quantity and price.
+WITNESS = np.dtype([("venue", "u1"), ("event_type", "u1"), ("sequence", "<u8"), ("exchange_ts_ns", "<u8"), ("symbol", "S8"), ("order_id", "<u8"), ("qty", "<u4"), ("price", "<u4")])
+
+
+def witness_bytes(batch: pa.RecordBatch) -> bytes:
+    """A batch's events as one matrix of bytes; symbols are filled up with spaces."""
+    rows = np.empty(batch.num_rows, WITNESS)
+    for name in WITNESS.names:
+        if name == "symbol":
+            rows[name] = np.char.ljust(np.array(batch.column(name).to_pylist(), "S8"), 8, b" ")
+        else:
+            rows[name] = batch.column(name).to_numpy(zero_copy_only=False)
+    return rows.tobytes()
 
-    Ranges are summed in tasks; the driver folds a row a range.
-    """
-    import struct
 
-    form = "<BBQQ8sQII"
+def witnessed(events: DataFrame, order: str = "arrival", parts: int | None = None) -> DataFrame:
+    """One row, crc and events: the chained CRC-32 of all events in order.
+
+    Ranges of the order are summed by tasks, as many as Spark makes of them (or `parts`). The CRC of texts in a row is the exclusive or of
+    each one's, carried over as many zero bytes as stand after it; so ranges are carried each by itself, and the rest is Spark's bit_xor.
+    """
 
     def crc(batches):
-        value, size, first = 0, 0, None
+        value, n, first = 0, 0, None
         for b in batches:
-            cells = [b.column(c).to_pylist() for c in ("venue", "event_type", "sequence", "exchange_ts_ns", "symbol", "order_id", "qty", "price", order)]
-            raw = b"".join(struct.pack(form, v, k, s, t, sym.encode().ljust(8)[:8], o, q, p) for v, k, s, t, sym, o, q, p, _ in zip(*cells))
-            if first is None and b.num_rows:
-                first = cells[-1][0]
-            value, size = zlib.crc32(raw, value), size + len(raw)
-        if size:
-            yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([value]), pa.array([size])], ["first", "crc", "size"])
-
-    ranged = events.repartitionByRange(parts, order).sortWithinPartitions(order)
-    total = 0
-    for r in sorted(ranged.mapInArrow(crc, "first long, crc long, size long").collect()):
-        total = _combine(total, r["crc"], r["size"])
-    return total
+            if b.num_rows and first is None:
+                first = b.column(order)[0].as_py()
+            value, n = zlib.crc32(witness_bytes(b), value), n + b.num_rows
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([value]), pa.array([n])], ["first", "crc", "n"])
+
+    def carry(batches):
+        for b in batches:
+            carried = [_combine(c, 0, k * WITNESS.itemsize) for c, k in zip(b.column("crc").to_pylist(), b.column("after").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(carried, pa.int64()), b.column("n")], ["crc", "n"])
+
+    dealt = [parts] if parts else []
+    ranged = events.select(*WITNESS.names, F.col(order).cast("long").alias(order)).repartitionByRange(*dealt, order).sortWithinPartitions(order)
+    ranges = ranged.mapInArrow(crc, "first long, crc long, n long")
+    after = F.coalesce(F.sum("n").over(Window.orderBy("first").rowsBetween(1, Window.unboundedFollowing)), F.lit(0)).cast("long")  # a row a range
+    carried = ranges.select("crc", "n", after.alias("after")).mapInArrow(carry, "crc long, n long")
+    return carried.agg(F.coalesce(F.expr("bit_xor(crc)"), F.lit(0)).cast("long").alias("crc"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("events"))
+
+
+def witness(events: DataFrame, order: str = "arrival", parts: int | None = None) -> int:
+    """witnessed() as a number."""
+    return witnessed(events, order, parts).first()["crc"]

@@ -30,9 +30,10 @@ def accepted_by_feed(spark, d):
 
 
 def crc_witness(spark, d):
+    """The tape's checksum, and whether it is the same in other ranges."""
     ev = book_events(spark, d)
-    a, b = sequence.witness(ev, parts=4), sequence.witness(ev.repartition(7), parts=9)
-    return spark.createDataFrame([(a, a == b)], "crc long, same boolean")
+    both = sequence.witnessed(ev).union(sequence.witnessed(ev.repartition(7), parts=9))
+    return both.agg(F.first("crc").alias("crc"), (F.min("crc") == F.max("crc")).alias("same"), F.max("events").alias("events"))
 
 
 def itch_type_counts(spark, d):
@@ -116,15 +117,23 @@ def ofi_holdout_report(spark, d):
     """Trading of the last 30 % of the tape, with the bootstrap of its daily equity changes."""
     curve = backtest.equity_curve(backtest.simulate(backtest.holdout(book_events(spark, d), 0.3), OFI))
     r = backtest.bucket_returns(curve, HOUR).where("r IS NOT NULL AND r <> 0")
-    return stats.bootstrap(r, "r", "bucket", 10, 500).select("p_value", "n")
+    return stats.bootstrap(r, "r", "bucket", 10).select("p_value", "n")
 
 
 QUERIES = {f.__name__: f for f in (
     sequence_release, sequence_stats, accepted_by_feed, crc_witness, itch_type_counts, crypto_lowering, research_tape, lifecycle_book, sim_fills_mm, sim_fills_ofi, intents_mm, shard_witness, symbol_codes, pnl_by_symbol, equity_buckets, experiment_report, risk_metrics, ofi_holdout_report,
 )}
 
+_OCTETS = lambda x, n: f"list_transform(range({n}), lambda i: ({x} >> (8 * i)) & 255)"
+_EVENT_OCTETS = " || ".join(["[CAST(venue AS BIGINT), event_type]", _OCTETS("seq", 8), _OCTETS("ns", 8), "list_transform(range(8), lambda i: CAST(ascii(substr(rpad(symbol, 8, ' '), CAST(i + 1 AS BIGINT), 1)) AS BIGINT))", _OCTETS("order_id", 8), _OCTETS("CAST(qty AS BIGINT)", 4), _OCTETS("CAST(price AS BIGINT)", 4)])
+#: CRC-32 by its table: each event's bytes by themselves, then the sums in a row, each carried over the next event's zero bytes by four tables.
+_CRC = f"""SELECT list_reduce(list(c ORDER BY arrival), lambda a, c: xor(xor(xor(z[(a & 255) + 1], z[((a >> 8) & 255) + 257]), xor(z[((a >> 16) & 255) + 513], z[((a >> 24) & 255) + 769])), c)) crc, TRUE same, count(*) AS events
+FROM (SELECT arrival, xor(list_reduce(list_prepend(4294967295::BIGINT, CAST({_EVENT_OCTETS} AS BIGINT[])), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) c FROM ev, tb),
+    (SELECT list_transform(range(1024), lambda k: list_reduce(list_prepend((k % 256) << (8 * (k // 256)), list_transform(range(42), lambda i: 0::BIGINT)), lambda c, b: xor(c >> 8, t[(c & 255) + 1]))) z FROM tb) GROUP BY z"""
+
 ORACLE_SQL = {
     **replays.ORACLE_SQL,
+    "crc_witness": tape_sql(""", tb AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) t)""", _CRC),
     "accepted_by_feed": tape_sql(""", copies AS (SELECT venue, seq, 'A' feed, arrival * 2 arrival FROM ev WHERE seq % 7 <> 0 UNION ALL SELECT venue, seq, 'B', arrival * 2 + 1 FROM ev WHERE seq % 5 <> 0)""",
         "SELECT feed, count(*) accepted FROM (SELECT feed, row_number() OVER (PARTITION BY venue, seq ORDER BY arrival) rn FROM copies) WHERE rn = 1 GROUP BY feed"),
     "research_tape": """WITH t AS (SELECT i, i % 4 slot, i // 24 AS cycle, (i // 4) % 6 step FROM range(6000) r(i))

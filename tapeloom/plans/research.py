@@ -166,7 +166,7 @@ def nearest_rank(spark, d):
 
 def block_bootstrap(spark, d):
     r = book_events(spark, d).groupBy(F.floor(F.col("exchange_ts_ns") / (24 * HOUR)).alias("day")).agg((F.avg("qty") - 49.0).alias("r"))
-    return stats.bootstrap(r, "r", "day", 3, 500).select("p_value", "n")
+    return stats.bootstrap(r, "r", "day", 3).select("p_value", F.round("mean", 9).alias("mean"), "n")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -219,6 +219,14 @@ _FOLDED = FOLDS_SQL + f""", wi AS (SELECT fold f, min(ns) a, max(ns) b, greatest
 asg AS (SELECT w.f fold, o.arrival, o.ns, CASE WHEN o.fold = w.f THEN 'test' ELSE 'train' END AS role FROM fo o, wi w WHERE o.fold = w.f OR o.ns NOT BETWEEN w.oa AND w.ob)"""
 _FULL = ROWS_SQL
 
+#: 2000 rounds of blocks of 3 days; a block begins at the first 60 bits of the MD5 of seed:round:block, modulo the days.
+_DAYS = f"""days AS (SELECT ns // {24 * HOUR} AS day, avg(qty) - 49.0 r FROM ev GROUP BY 1),
+placed AS (SELECT row_number() OVER (ORDER BY day) i, r FROM days),
+sums AS (SELECT 0 i, 0.0::DOUBLE upto UNION ALL SELECT i, sum(r) OVER (ORDER BY i) FROM placed),
+whole_ AS (SELECT count(*) n, (count(*) + 2) // 3 blocks, sum(r) whole FROM placed),
+drawn AS (SELECT k // blocks round_, n, whole, CASE WHEN k % blocks = blocks - 1 THEN n - 3 * (blocks - 1) ELSE 3 END size,
+    CAST('0x' || substr(md5('7:' || (k // blocks) || ':' || (k % blocks)), 1, 15) AS BIGINT) % n s FROM (SELECT *, unnest(range(2000 * blocks)) k FROM whole_))"""
+
 ORACLE_SQL = {k: tape_sql("," + v[0], v[1]) for k, v in {
     "forward_labels": (_FULL + LABELS_SQL, "SELECT arrival, horizon, round(label, 10) AS label FROM lb"),
     "labelled_features": (_FULL + LABELS_SQL, "SELECT f.arrival, f.symbol, f.mid, " + ", ".join(f"round(max(CASE WHEN horizon = {h} THEN label END), 10) label_{k}" for k, h in enumerate(HORIZONS)) + " FROM fr f JOIN lb USING (arrival) GROUP BY ALL"),
@@ -241,6 +249,9 @@ ORACLE_SQL = {k: tape_sql("," + v[0], v[1]) for k, v in {
         "SELECT v variant, round(CASE WHEN z THEN 0.0 ELSE (SELECT avg(ic) FROM mm) END, 6) mean_ic, round(CASE WHEN z THEN (SELECT avg(z) FROM zq) ELSE (SELECT avg(quintile_spread) FROM mm) END, 8) mean_spread, round(CASE WHEN z THEN 0.0 ELSE (SELECT avg(s) FROM ps) END, 6) net_sharpe FROM (VALUES ('full_signal', false), ('ablate_ofi_component', true), ('ablate_microprice_component', false)) t(v, z)"),
     "latency_histogram": (_HIST[1:], "SELECT bucket, n, CAST(2.0 ** bucket AS DOUBLE) low FROM hi"),
     "histogram_quantiles": (_HIST[1:], "SELECT CAST(p AS DOUBLE) p, CAST(2.0 ** min(bucket) AS DOUBLE) quantile FROM (SELECT bucket, sum(n) OVER (ORDER BY bucket) u, sum(n) OVER () a FROM hi), (VALUES (0.5), (0.9), (0.99)) t(p) WHERE u >= ceil(a * CAST(p AS DOUBLE)) GROUP BY p"),
+    "block_bootstrap": (_DAYS, f"""SELECT avg(CASE WHEN m <= 0 THEN 1.0 ELSE 0.0 END) p_value, round(avg(m), 9) mean, any_value(n) n FROM
+        (SELECT round_, any_value(n) n, sum(b.upto - a.upto + CASE WHEN s + size > n THEN whole ELSE 0.0 END) / any_value(n) m FROM drawn
+            JOIN sums a ON a.i = s JOIN sums b ON b.i = CASE WHEN s + size > n THEN s + size - n ELSE s + size END GROUP BY round_)"""),
     "nearest_rank": (_GAPS[1:], "SELECT CAST(p AS DOUBLE) p, max(CASE WHEN rn - 1 = CAST(floor(CAST(p AS DOUBLE) * (n - 1)) AS BIGINT) THEN gap END) AS value FROM (SELECT gap, row_number() OVER (ORDER BY gap) rn, count(*) OVER () n FROM gg), (VALUES (0.5), (0.9), (0.99)) t(p) GROUP BY p"),
 }.items()}
 
