@@ -34,6 +34,13 @@ def stream_nbbo(quotes: DataFrame, symbol: str = "", start_ns: int = 0, end_ns:
     return _range(quotes, symbol, start_ns, end_ns, limit)
 
 
+def scan_status(scanned: DataFrame) -> DataFrame:
+    """One row, code, reason and bad: how a permissive scan (arrival, status) ended. OK, or DATA_LOSS with the first damage's reason and how many records are bad."""
+    bad = F.col("status") != "ok"
+    lost = scanned.agg(F.min_by("status", F.when(bad, F.col("arrival"))).alias("reason"), F.count_if(bad).alias("bad"))
+    return lost.select(F.when(F.col("bad") > 0, "DATA_LOSS").otherwise("OK").alias("code"), F.when(F.col("bad") > 0, F.col("reason")).alias("reason"), "bad")
+
+
 def query_nbbo(quotes: DataFrame, symbol: str, ts_ns: int) -> dict:
     """The quote in force at a time, with found."""
     row = asof_point(quotes, symbol, ts_ns).first()

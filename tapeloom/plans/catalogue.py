@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tapeloom.plans import depth, feeds, market, operations, research
+from tapeloom.plans import depth, feeds, market, operations, research, wires
 
-_PARTS = (market, research, operations, feeds, depth)
+_PARTS = (market, research, operations, feeds, depth, wires)
 
 
 def queries() -> dict:

@@ -11,8 +11,8 @@ from tapeloom.sources.adapter import book_events
 
 HORIZONS = (HOUR, 6 * HOUR, 24 * HOUR)
 PURGE, EMBARGO = 2 * HOUR, HOUR
-#: Signals of the evaluation; the zoo has the three of the sequential features besides.
-SIGNALS = ("ofi", "microprice_minus_mid", "queue_ahead", "ofi_times_spread", "bid_ask_imbalance", "kyle_lambda", "ofi_zscore", "microprice_spread_adj", "sign_microprice_minus_mid", "queue_over_spread")
+#: All signals of the zoo.
+SIGNALS = tuple(research.SignalRegistry().signals)
 
 
 def _rows(spark, d):
@@ -28,7 +28,10 @@ def _scored(rows):
 
 
 def _pairs(spark, d):
+    """Every signal's values with labels and folds; the sequential features in digits that do not hang on how they are averaged."""
     rows = _rows(spark, d)
+    walked = features.with_recursions(rows, VPIN_VOLUME)
+    rows = walked.withColumn("effective_spread", F.round("effective_spread", 9)).withColumn("vpin", F.round("vpin", 9))
     return research.evaluation_rows(research.SignalRegistry().wide(_scored(rows), SIGNALS), research.forward_labels(rows, HORIZONS), research.test_folds(rows), SIGNALS)
 
 
@@ -187,9 +190,17 @@ _ZOO = {
     "kyle_lambda": "kyle_raw", "ofi_zscore": "round(CASE WHEN zn >= 2 AND zv > 1e-12 THEN (ofi - zm) / sqrt(zv) ELSE 0.0 END, 9)", "microprice_spread_adj": "CASE WHEN spread > 0 THEN (micro - mid) / spread ELSE 0.0 END",
     "sign_microprice_minus_mid": "CAST(sign(micro - mid) AS DOUBLE)", "queue_over_spread": "queue_ahead / greatest(1.0, spread)",
 }
+# Of the three sequential signals: the mean that trades move and the toxicity of volume buckets, carried on to later rows.
+_TOX, _EMA = (MARKET_SQL[k].split(TWO_SQL, 1)[1].rsplit("\nSELECT", 1)[0] for k in ("vpin", "effective_spread_ema"))
+_EMA = _EMA.replace("tr AS", "te AS").replace("FROM tr", "FROM te").replace("ls AS", "le AS")
+_CARRIED = _EMA + _TOX + """, sq AS (SELECT le.arrival, coalesce(list_reduce(le.l, lambda x, y: 0.95 * x + (1 - 0.95) * y), 0.0) es,
+    coalesce(last_value(v.vp IGNORE NULLS) OVER (PARTITION BY le.symbol ORDER BY le.arrival ROWS UNBOUNDED PRECEDING), 0.0) vp
+    FROM le LEFT JOIN (SELECT arrival, coalesce(list_aggregate(list_slice(l, -32, -1), 'avg'), 0.0) vp FROM ls WHERE arrival IS NOT NULL) v ON v.arrival = le.arrival)"""
+_SEQUENTIAL = " UNION ALL ".join(f"SELECT arrival, '{n}', round({e}, 9) FROM sq" for n, e in (("effective_spread", "es"), ("neg_effective_spread", "0.0 - es"), ("vpin", "vp")))
 SIGNALS_SQL = ", sg AS (" + " UNION ALL ".join(f"SELECT arrival, '{n}' AS signal, {e} AS value FROM fr" for n, e in _ZOO.items()) + ")"
+EVERY_SIGNAL_SQL = _CARRIED + SIGNALS_SQL[:-1] + f" UNION ALL {_SEQUENTIAL})"
 FOLDS_SQL = ", fo AS (SELECT arrival, ns, least((row_number() OVER (ORDER BY ns, arrival) - 1) // greatest(1, count(*) OVER () // 5), 4) fold FROM fr)"
-PAIRS_SQL = LABELS_SQL + SIGNALS_SQL + FOLDS_SQL + """,
+PAIRS_SQL = LABELS_SQL + EVERY_SIGNAL_SQL + FOLDS_SQL + """,
 pr AS (SELECT s.signal, l.horizon, f.fold, s.arrival, s.value, l.label FROM sg s JOIN lb l USING (arrival) JOIN fo f USING (arrival) WHERE l.label IS NOT NULL)"""
 METRICS_SQL = PAIRS_SQL + """,
 rk AS (SELECT *, row_number() OVER (PARTITION BY signal, horizon, fold ORDER BY value, arrival) up, count(*) OVER (PARTITION BY signal, horizon, fold) n, greatest(1, count(*) OVER (PARTITION BY signal, horizon, fold) // 5) q FROM pr),
@@ -227,7 +238,7 @@ whole_ AS (SELECT count(*) n, (count(*) + 2) // 3 blocks, sum(r) whole FROM plac
 drawn AS (SELECT k // blocks round_, n, whole, CASE WHEN k % blocks = blocks - 1 THEN n - 3 * (blocks - 1) ELSE 3 END size,
     CAST('0x' || substr(md5('7:' || (k // blocks) || ':' || (k % blocks)), 1, 15) AS BIGINT) % n s FROM (SELECT *, unnest(range(2000 * blocks)) k FROM whole_))"""
 
-ORACLE_SQL = {k: tape_sql("," + v[0], v[1]) for k, v in {
+ORACLE_SQL = {k: tape_sql("," + v[0], v[1]).replace("WITH ", "WITH RECURSIVE ", 1) for k, v in {
     "forward_labels": (_FULL + LABELS_SQL, "SELECT arrival, horizon, round(label, 10) AS label FROM lb"),
     "labelled_features": (_FULL + LABELS_SQL, "SELECT f.arrival, f.symbol, f.mid, " + ", ".join(f"round(max(CASE WHEN horizon = {h} THEN label END), 10) label_{k}" for k, h in enumerate(HORIZONS)) + " FROM fr f JOIN lb USING (arrival) GROUP BY ALL"),
     "ofi_zscore": (_FULL, _z("")),
@@ -255,13 +266,6 @@ ORACLE_SQL = {k: tape_sql("," + v[0], v[1]) for k, v in {
     "nearest_rank": (_GAPS[1:], "SELECT CAST(p AS DOUBLE) p, max(CASE WHEN rn - 1 = CAST(floor(CAST(p AS DOUBLE) * (n - 1)) AS BIGINT) THEN gap END) AS value FROM (SELECT gap, row_number() OVER (ORDER BY gap) rn, count(*) OVER () n FROM gg), (VALUES (0.5), (0.9), (0.99)) t(p) GROUP BY p"),
 }.items()}
 
-# Of the three sequential signals: the mean that trades move and the toxicity of volume buckets, carried on to later rows.
-_TOX, _EMA = (MARKET_SQL[k].split(TWO_SQL, 1)[1].rsplit("\nSELECT", 1)[0] for k in ("vpin", "effective_spread_ema"))
-_EMA = _EMA.replace("tr AS", "te AS").replace("FROM tr", "FROM te").replace("ls AS", "le AS")
-_CARRIED = _EMA + _TOX + """, sq AS (SELECT le.arrival, coalesce(list_reduce(le.l, lambda x, y: 0.95 * x + (1 - 0.95) * y), 0.0) es,
-    coalesce(last_value(v.vp IGNORE NULLS) OVER (PARTITION BY le.symbol ORDER BY le.arrival ROWS UNBOUNDED PRECEDING), 0.0) vp
-    FROM le LEFT JOIN (SELECT arrival, coalesce(list_aggregate(list_slice(l, -32, -1), 'avg'), 0.0) vp FROM ls WHERE arrival IS NOT NULL) v ON v.arrival = le.arrival)"""
-_SEQUENTIAL = " UNION ALL ".join(f"SELECT arrival, '{n}', round({e}, 9) FROM sq" for n, e in (("effective_spread", "es"), ("neg_effective_spread", "0.0 - es"), ("vpin", "vp")))
 ORACLE_SQL["signal_zoo"] = tape_sql("," + _FULL + SIGNALS_SQL + _CARRIED, f"SELECT arrival, signal, round(value, 9) AS value FROM sg UNION ALL {_SEQUENTIAL}").replace("WITH ", "WITH RECURSIVE ", 1)
 
 # The normal distribution function by its series of positive terms, z^(2k+1) / (2k+1)!!.
@@ -271,4 +275,4 @@ ORACLE_SQL["deflated_sharpe"] = tape_sql("," + _FULL + PAIRS_SQL + f""", rr AS (
     ms AS (SELECT signal, horizon, n, CASE WHEN n >= 2 AND v > 0 THEN a / sqrt(v) ELSE 0.0 END sr, CASE WHEN n >= 3 AND v > 0 THEN c / v ** 1.5 ELSE 0.0 END skew, CASE WHEN n >= 4 AND v > 0 THEN k / (v * v) - 3 ELSE 0.0 END kurt FROM mo),
     one AS (SELECT *, (sr - (skew / 6 * sr + kurt / 24 * sr * sr)) * sqrt((n - 1) / (n - 2)) adjusted, (SELECT stddev_pop(sr) FROM ms) sd, sqrt(2 * ln((SELECT count(*) FROM ms) * 5)) w FROM ms ORDER BY round(sr, 9) DESC, signal DESC LIMIT 1),
     ex AS (SELECT *, sd * ((1 - 0.5772156649015329) * w + 0.5772156649015329 / w) expected_max FROM one), zz AS (SELECT *, (adjusted - expected_max) * sqrt(n - 1) z FROM ex)""",
-    f"SELECT signal, horizon, round(adjusted, 6) adjusted, round(expected_max, 6) expected_max, round(z, 6) z, round(1 - ({_PHI}), 6) p_value FROM zz")
+    f"SELECT signal, horizon, round(adjusted, 6) adjusted, round(expected_max, 6) expected_max, round(z, 6) z, round(1 - ({_PHI}), 6) p_value FROM zz").replace("WITH ", "WITH RECURSIVE ", 1)

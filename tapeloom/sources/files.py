@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from tapeloom.schema import BOOK_EVENTS
+from tapeloom.shared import stored
 
 # File formats. A record is a 24-byte envelope and a payload of C structs with their padding, little-endian.
 VERSION = 1
@@ -102,6 +103,8 @@ class JournalReader(DataSourceReader):
         return out
 
     def read(self, part):
+        if part is None:  # there are no ranges
+            return
         if part.error:
             yield _journal_batch(self.kind, np.zeros(1, record_dtype(self.kind)), np.array([part.first]), [part.error])
             return
@@ -213,7 +216,8 @@ def _journal_batch(kind: str, rows: np.ndarray, arrival: np.ndarray, status: lis
 def write_journal(events: DataFrame, path: str, kind: str = "book", order: str = "arrival", parts: int = 8, append: bool = False) -> int:
     """Writes a folder of journal files in `order` and returns the records. Appending goes on with the record numbers after those there.
 
-    Files are written under a name of the attempt and renamed, so a task that runs again leaves no half of a file.
+    The rows are put in order once and stored; record numbers come from what is stored, so a plan that gives other ranges when it is run
+    again changes nothing. Files are written under a name of the attempt and renamed, so a task that runs again leaves no half of a file.
     """
     fs, base = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
     there = 0
@@ -225,20 +229,25 @@ def write_journal(events: DataFrame, path: str, kind: str = "book", order: str =
     run = f"{there:020d}"
     magic, size, fields = FORMATS[kind]
     nbbo = kind == "nbbo"
-    ordered = events.repartitionByRange(parts, order).sortWithinPartitions(order)
-    sizes = {r["p"]: r["n"] for r in ordered.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}  # a row a file
-    before = {p: sum(n for q, n in sizes.items() if q < p) for p in sizes}
+    ordered = events.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("__row", F.monotonically_increasing_id())
+    ordered = stored(ordered, "journal-rows")
+    sizes = ordered.groupBy(F.shiftright("__row", 33).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()  # a row a file
+    ranges = np.array([r["p"] for r in sizes], np.int64)
+    before = np.cumsum([0, *(r["n"] for r in sizes)])
 
     def write(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        at = there + before.get(part, 0)
         fs, base = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-        name, n = f"{base}/{run}-{part:05d}.journal", 0
-        with fs.open_output_stream(f"{base}/.{part}.{TaskContext.get().taskAttemptId()}.tmp") as out:
+        held, at, n = f"{base}/.{part}.{TaskContext.get().taskAttemptId()}.tmp", None, 0
+        with fs.open_output_stream(held) as out:
             out.write(magic + VERSION.to_bytes(4, "little"))
             for b in batches:
+                number = b.column("__row").to_numpy()
+                number = there + before[np.searchsorted(ranges, number >> 33)] + (number & ((1 << 33) - 1))
+                if at is None and b.num_rows:
+                    at = int(number[0])
                 rows = np.zeros(b.num_rows, record_dtype(kind))
                 cell = lambda c: b.column(c).to_pylist()  # noqa: B023, E731
                 for f in fields:
@@ -258,16 +267,22 @@ def write_journal(events: DataFrame, path: str, kind: str = "book", order: str =
                 whole = np.frombuffer(raw, np.uint8).reshape(-1, 24 + size)
                 whole[:, 24 + 16 : 24 + 24].view("<u8")[:, 0] = ingest  # the payload has it too
                 rows = np.frombuffer(raw, record_dtype(kind))
-                rows["env_monotonic_seq"] = at + n + np.arange(len(rows))
+                rows["env_monotonic_seq"] = number
                 rows["env_ingest_ts_ns"], rows["env_payload_len"] = ingest, size
                 rows["env_crc"] = [zlib.crc32(whole[k, 24:].tobytes()) for k in range(len(rows))]
                 out.write(bytes(raw))
                 n += len(rows)
-        fs.move(f"{base}/.{part}.{TaskContext.get().taskAttemptId()}.tmp", name)
+        if at is None:
+            fs.delete_file(held)
+        else:
+            fs.move(held, f"{base}/{run}-{at:020d}.journal")
         yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
 
-    written = ordered.mapInArrow(write, "n long").agg(F.sum("n")).first()[0]
-    return written or 0
+    if not sizes:
+        with fs.open_output_stream(f"{base}/{run}-{there:020d}.journal") as out:
+            out.write(magic + VERSION.to_bytes(4, "little"))
+        return 0
+    return ordered.repartitionByRange(parts, "__row").sortWithinPartitions("__row").mapInArrow(write, "n long").agg(F.sum("n")).first()[0]
 
 
 def count_records(path: str, kind: str = "book") -> int:

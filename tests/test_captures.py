@@ -157,6 +157,22 @@ def test_small_blocks_give_the_same_records(tmp_path, monkeypatch):
                 assert [m for _, _, own in captures.records(f, captures.form_of(walk), 0) for m in own] == some
 
 
+@pytest.mark.parametrize("parts", [1, 3, 4, 9])
+def test_record_numbers_do_not_hang_on_a_second_run_of_the_plan(spark, small, tmp_path, parts):
+    """The numbers in the records are those of the order, whatever ranges the files got."""
+    import numpy as np
+
+    ev = book_events(spark, small)
+    n = files.write_journal(ev, str(tmp_path / "j"), parts=parts)
+    assert files.write_journal(ev, str(tmp_path / "j"), parts=parts, append=True) == n
+    dtype = files.record_dtype("book")
+    got = np.concatenate([np.fromfile(tmp_path / "j" / f, dtype, offset=files.HEADER) for f in sorted(os.listdir(tmp_path / "j"))])
+    assert got["env_monotonic_seq"].tolist() == list(range(2 * n))
+    want = [r[0] for r in ev.orderBy("arrival").select("order_id").collect()]
+    assert got["order_id"].tolist() == want * 2
+    assert files.write_journal(ev.limit(0), str(tmp_path / "none")) == 0 and files.read_journal(spark, str(tmp_path / "none")).count() == 0
+
+
 # -- packets of repeating groups ------------------------------------------------------------------------------------
 def sbe(draw, sound=False):
     """A packet of any messages: other templates, short groups, wide entries, nulls, torn and wrong sizes (unless it shall be sound)."""
