@@ -1 +1,3 @@
 """Market-data analytics and training-data operators on Spark."""
+
+__version__ = "0.3"

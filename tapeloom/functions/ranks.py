@@ -37,6 +37,21 @@ def running_max_before(df: DataFrame, order: str, value: str, name: str = "befor
     return ranged.join(tops, "__range").withColumn(name, F.greatest("__ahead", inside)).drop("__range", "__ahead")
 
 
+def last_before(df: DataFrame, order: str, value: str, name: str = "last") -> DataFrame:
+    """Adds the last value that is not null of all rows before each in the order of a whole-number column.
+
+    Ranges of the column are reduced to their last values, which are carried into the ranges after them.
+    """
+    span = df.agg(F.min(order).alias("__low"), F.max(order).alias("__high"))
+    ranged = df.join(F.broadcast(span))  # one row
+    ranged = ranged.withColumn("__range", F.floor((F.col(order) - F.col("__low")) / ((F.col("__high") - F.col("__low") + 1) / F.lit(float(BUCKETS)))).cast("int")).drop("__low", "__high")
+    ends = ranged.groupBy("__range").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("__end"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    ends = ends.select("__range", F.last("__end", ignorenulls=True).over(before).alias("__ahead"))
+    inside = F.last(value, ignorenulls=True).over(Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return ranged.join(ends, "__range").withColumn(name, F.coalesce(inside, "__ahead")).drop("__range", "__ahead")
+
+
 def trailing(df: DataFrame, rank: str, rows: int, block: int, aggregates: dict) -> DataFrame:
     """Aggregates over the `rows` rows up to each, in the order of a global rank.
 

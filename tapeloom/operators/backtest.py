@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from tapeloom.functions.ranks import BUCKETS
+from tapeloom.functions.ranks import BUCKETS, last_before
 from tapeloom.functions.stats import drawdown, sharpe
 from tapeloom.operators import features as feat
 from tapeloom.operators.book import with_tops
@@ -301,7 +301,8 @@ def equity_curve(ticks: DataFrame) -> DataFrame:
 def bucket_returns(curve: DataFrame, bucket_ns: int = feat.SECOND) -> DataFrame:
     """(bucket, equity, r): equity at the first tick of each bucket of time, and its change from the bucket before that has ticks."""
     first = curve.groupBy(F.floor(F.col("exchange_ts_ns") / bucket_ns).alias("bucket")).agg(F.min_by("equity", "arrival").alias("equity"))
-    return first.withColumn("r", F.col("equity") - F.lag("equity").over(Window.orderBy("bucket")))
+    was = last_before(first, "bucket", "equity", "__was")
+    return was.select("bucket", "equity", (F.col("equity") - F.col("__was")).alias("r"))
 
 
 def report(ticks: DataFrame, bucket_ns: int = feat.SECOND) -> DataFrame:

@@ -10,15 +10,18 @@ from tapeloom.schema import VENUES
 
 N_VENUES = len(VENUES)
 BBO = ("bid_price", "bid_qty", "bid_venue", "ask_price", "ask_qty", "ask_venue")
+SEQUENCES = ("bid_venue_sequence", "ask_venue_sequence")
 
 
-def consolidate(tops: DataFrame) -> DataFrame:
+def consolidate(tops: DataFrame, sequences: bool = False) -> DataFrame:
     """Every event of a symbol with the best of all venues' latest tops; ties go to the lower venue. Crossed markets are left as they are.
 
+    With `sequences`, also the number of the message that gave each side's venue its top.
+
     Five forward fills over one window, so one shuffle by symbol; prices and venues are packed into one number to take a maximum of.
     """
     symbol = Window.partitionBy("symbol").orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0)
-    own = F.struct("bid_price", "bid_qty", "ask_price", "ask_qty")
+    own = F.struct("bid_price", "bid_qty", "ask_price", "ask_qty", *(["sequence"] if sequences else []))
     filled = tops.select("*", *(F.last(F.when(F.col("venue") == v, own), ignorenulls=True).over(symbol).alias(f"v{v}") for v in range(N_VENUES)))
     bid = F.greatest(*(F.col(f"v{v}.bid_price") * 8 + (7 - v) for v in range(N_VENUES)))
     ask = F.least(*(F.col(f"v{v}.ask_price") * 8 + v for v in range(N_VENUES)))
@@ -31,7 +34,8 @@ def consolidate(tops: DataFrame) -> DataFrame:
         return out
 
     keep = [c for c in tops.columns if c not in ("bid_price", "bid_qty", "ask_price", "ask_qty")]
-    return filled.select(*keep, F.expr("b div 8").alias("bid_price"), of("bid_venue", "bid_qty").alias("bid_qty"), "bid_venue", F.expr("a div 8").alias("ask_price"), of("ask_venue", "ask_qty").alias("ask_qty"), "ask_venue")
+    told = [of(f"{side}_venue", "sequence").alias(f"{side}_venue_sequence") for side in ("bid", "ask")] if sequences else []
+    return filled.select(*keep, *told, F.expr("b div 8").alias("bid_price"), of("bid_venue", "bid_qty").alias("bid_qty"), "bid_venue", F.expr("a div 8").alias("ask_price"), of("ask_venue", "ask_qty").alias("ask_qty"), "ask_venue")
 
 
 def nbbo(events: DataFrame, compat: bool = False, keep: list[str] | None = None) -> DataFrame:
@@ -39,10 +43,10 @@ def nbbo(events: DataFrame, compat: bool = False, keep: list[str] | None = None)
     return consolidate(with_tops(events, compat, keep))
 
 
-def changes(quotes: DataFrame) -> DataFrame:
+def changes(quotes: DataFrame, fields: tuple = BBO) -> DataFrame:
     """Rows whose best bid or offer differs from the symbol's row before, nulls equal to each other."""
-    before = F.lag(F.struct(*BBO)).over(Window.partitionBy("symbol").orderBy("arrival"))
-    return quotes.withColumn("was", before).where(F.col("was").isNull() | ~F.col("was").eqNullSafe(F.struct(*BBO))).where("was IS NOT NULL OR bid_price IS NOT NULL OR ask_price IS NOT NULL").drop("was")
+    before = F.lag(F.struct(*fields)).over(Window.partitionBy("symbol").orderBy("arrival"))
+    return quotes.withColumn("was", before).where(F.col("was").isNull() | ~F.col("was").eqNullSafe(F.struct(*fields))).where("was IS NOT NULL OR bid_price IS NOT NULL OR ask_price IS NOT NULL").drop("was")
 
 
 def journal(events: DataFrame) -> DataFrame:
@@ -50,6 +54,13 @@ def journal(events: DataFrame) -> DataFrame:
     return changes(nbbo(events).where("changed_top"))
 
 
+def provenance(events: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The journal with the venues' message numbers: a row where any of the ten fields differs from the row before."""
+    columns = list(dict.fromkeys([*(keep or events.columns), "arrival", "venue", "symbol", "sequence"]))
+    moved = with_tops(events, keep=columns).where("changed_top")
+    return changes(consolidate(moved, sequences=True), (*BBO, *SEQUENCES))
+
+
 def asof(left: DataFrame, right: DataFrame, values: list[str], by: str = "symbol", at: str = "ts", right_at: str = "exchange_ts_ns", order: str = "arrival") -> DataFrame:
     """left (by, at, ...) with `values` of the right row of the largest time not after `at`; of rows of one time the first wins.
 

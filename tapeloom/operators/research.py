@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from tapeloom.functions.ranks import global_rank, trailing
 from tapeloom.functions.stats import pearson, sharpe
+from tapeloom.shared import stored
 
 SECOND = 1_000_000_000
 HORIZONS = (1 * SECOND, 5 * SECOND, 10 * SECOND)
@@ -222,3 +223,17 @@ def ablation(pairs: DataFrame, signal: str) -> DataFrame:
     each = each.withColumn("value", F.when(F.col("v.zero"), 0.0).otherwise(F.col("value"))).withColumn("signal", F.col("v.name")).drop("v")
     metrics = fold_metrics(each).join(proxy_sharpe(each).drop("fills"), ["signal", "fold"])
     return metrics.groupBy(F.col("signal").alias("variant")).agg(F.avg("ic").alias("mean_ic"), F.avg("quintile_spread").alias("mean_spread"), F.avg("sharpe").alias("net_sharpe"))
+
+
+def ablation_report(pairs: DataFrame, signal: str, spreads: DataFrame, baseline_sharpe: Column, order: str = "arrival") -> DataFrame:
+    """ablation(), and two rows more with the whole signal's coefficients: without costs (the gross ratio at the first participation of the
+    sweep), and the ratio of a baseline, an aggregate over all of `pairs` of the signal.
+
+    spreads: (arrival, spread) of the rows.
+    """
+    own = stored(pairs.where(F.col("signal") == signal), "ablation-pairs")
+    parts = stored(ablation(own, signal), "ablation")
+    gross = capacity_sweep(own.select(order, "value", "label").join(spreads, order), GRID[:1]).select(F.col("gross_sharpe").alias("net_sharpe"))
+    whole = parts.where("variant = 'full_signal'").select("mean_ic", "mean_spread")
+    more = gross.select(F.lit("no_cost_model").alias("variant"), "net_sharpe").union(own.agg(baseline_sharpe.alias("net_sharpe")).select(F.lit("phase0_ofi_baseline"), "net_sharpe"))
+    return parts.unionByName(more.join(F.broadcast(whole)).select("variant", "mean_ic", "mean_spread", "net_sharpe"))  # one row

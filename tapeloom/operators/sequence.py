@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from tapeloom.functions.ranks import global_rank, running_max_before
+from tapeloom.functions.ranks import global_rank, last_before, running_max_before
 from tapeloom.operators.walks import Walker, walk
 
 IN_ORDER, DUPLICATE, GAP_BUFFERED, GAP_TOO_LARGE = "in_order", "duplicate", "gap_buffered", "gap_too_large"
@@ -21,9 +21,14 @@ ORDER = ["arrival", "sequence"]  # what arrives at once is met in order of seque
 
 # -- set-oriented forms -------------------------------------------------------------------------------------------
 def forward_fill_time(events: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Times of 0 inherit the last time before."""
+    """Times of 0 inherit the last time before, of all or of their own keys."""
+    time = F.nullif(F.col("exchange_ts_ns"), F.lit(0))
+    if not by:
+        filled = last_before(events.withColumn("__time", time), "arrival", "__time", "__last")
+        known = F.coalesce("__time", "__last", F.lit(0).cast("long"))
+        return filled.withColumn("exchange_ts_ns", known).drop("__time", "__last")
     w = Window.partitionBy(*by).orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0)
-    filled = F.last(F.nullif(F.col("exchange_ts_ns"), F.lit(0)), ignorenulls=True).over(w)
+    filled = F.last(time, ignorenulls=True).over(w)
     return events.withColumn("exchange_ts_ns", F.coalesce(filled, F.lit(0).cast("long")))
 
 
@@ -313,8 +318,8 @@ def witness_bytes(batch: pa.RecordBatch) -> bytes:
     return rows.tobytes()
 
 
-def witnessed(events: DataFrame, order: str = "arrival", parts: int | None = None) -> DataFrame:
-    """One row, crc and events: the chained CRC-32 of all events in order.
+def chained_crc(rows: DataFrame, to_bytes, width: int, order: str = "arrival", parts: int | None = None) -> DataFrame:
+    """One row, crc and events: the chained CRC-32 of all rows in order, each `width` bytes that `to_bytes` gives for a batch.
 
     Ranges of the order are summed by tasks, as many as Spark makes of them (or `parts`). The CRC of texts in a row is the exclusive or of
     each one's, carried over as many zero bytes as stand after it; so ranges are carried each by itself, and the rest is Spark's bit_xor.
@@ -324,24 +329,29 @@ def witnessed(events: DataFrame, order: str = "arrival", parts: int | None = Non
         value, n, first = 0, 0, None
         for b in batches:
             if b.num_rows and first is None:
-                first = b.column(order)[0].as_py()
-            value, n = zlib.crc32(witness_bytes(b), value), n + b.num_rows
+                first = b.column("__order")[0].as_py()
+            value, n = zlib.crc32(to_bytes(b), value), n + b.num_rows
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([value]), pa.array([n])], ["first", "crc", "n"])
 
     def carry(batches):
         for b in batches:
-            carried = [_combine(c, 0, k * WITNESS.itemsize) for c, k in zip(b.column("crc").to_pylist(), b.column("after").to_pylist())]
+            carried = [_combine(c, 0, k * width) for c, k in zip(b.column("crc").to_pylist(), b.column("after").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(carried, pa.int64()), b.column("n")], ["crc", "n"])
 
     dealt = [parts] if parts else []
-    ranged = events.select(*WITNESS.names, F.col(order).cast("long").alias(order)).repartitionByRange(*dealt, order).sortWithinPartitions(order)
+    ranged = rows.withColumn("__order", F.col(order).cast("long")).repartitionByRange(*dealt, "__order").sortWithinPartitions("__order")
     ranges = ranged.mapInArrow(crc, "first long, crc long, n long")
     after = F.coalesce(F.sum("n").over(Window.orderBy("first").rowsBetween(1, Window.unboundedFollowing)), F.lit(0)).cast("long")  # a row a range
     carried = ranges.select("crc", "n", after.alias("after")).mapInArrow(carry, "crc long, n long")
     return carried.agg(F.coalesce(F.expr("bit_xor(crc)"), F.lit(0)).cast("long").alias("crc"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("events"))
 
 
+def witnessed(events: DataFrame, order: str = "arrival", parts: int | None = None) -> DataFrame:
+    """One row, crc and events: the checksum of a tape."""
+    return chained_crc(events.select(*dict.fromkeys([*WITNESS.names, order])), witness_bytes, WITNESS.itemsize, order, parts)
+
+
 def witness(events: DataFrame, order: str = "arrival", parts: int | None = None) -> int:
     """witnessed() as a number."""
     return witnessed(events, order, parts).first()["crc"]

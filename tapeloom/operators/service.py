@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tapeloom import __version__
 from tapeloom.operators.nbbo import asof_point
 from tapeloom.schema import UNKNOWN_TYPE
 
@@ -62,16 +65,25 @@ def decode(events: DataFrame) -> DataFrame:
     return events.withColumn("symbol", F.rtrim("symbol")).withColumn("has_mpid", F.col("mpid").isNotNull()).withColumn("known_type", F.col("event_type") != UNKNOWN_TYPE)
 
 
+MODE = "replay queries over recorded market data; no live exchange"
+
+
 class Catalog:
     """The tables that a session serves, as views; the quotes are cached as they are asked for at random."""
 
-    def __init__(self, events: DataFrame, quotes: DataFrame):
+    def __init__(self, events: DataFrame, quotes: DataFrame, book_path: str = "", nbbo_path: str = ""):
+        self.began, self.paths = time.monotonic(), {"book_journal_path": book_path, "nbbo_journal_path": nbbo_path}
         self.events, self.quotes = events, quotes.cache()
         events.createOrReplaceTempView("book_events")
         self.quotes.createOrReplaceTempView("nbbo_events")
 
     def health(self) -> dict:
-        return health(self.events, self.quotes).first().asDict()
+        """Counts, the journals' paths, seconds since the catalog was made, build and mode."""
+        served = {"uptime_seconds": time.monotonic() - self.began, "build_id": f"tapeloom-{__version__}", "service_mode": MODE}
+        return health(self.events, self.quotes).first().asDict() | self.paths | served
+
+    def close(self) -> None:
+        self.quotes.unpersist()
 
     def nbbo(self, symbol: str, ts_ns: int) -> dict:
         return query_nbbo(self.quotes, symbol, ts_ns)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tapeloom.operators import queues, sequence
-from tapeloom.plans.market import LEVELS_SQL
+from tapeloom.operators import nbbo, queues, sequence
+from tapeloom.plans.market import LEVELS_SQL, TOPS_SQL, tape_sql
+from tapeloom.sources import files
 from tapeloom.sources.adapter import TAPE_SQL, book_events
 
 TICK = 16  # prices are cut to so many ticks, so that queues are long
@@ -46,7 +47,25 @@ def recovery_stats(spark, d):
     return sequence.tracker_stats(_bursts(spark, d), WINDOW, compat=True)
 
 
-QUERIES = {f.__name__: f for f in (order_queue_position, reconcile_checkpoints, gap_requests, recovered_events, recovery_stats)}
+QUOTE = ["arrival", "venue", "symbol", "sequence", "exchange_ts_ns", "ingest_ts_ns"]
+
+
+def nbbo_provenance(spark, d):
+    """The quote journal with the messages that its sides come from."""
+    return nbbo.provenance(book_events(spark, d), QUOTE).select("arrival", "symbol", *nbbo.BBO, *nbbo.SEQUENCES)
+
+
+def nbbo_journal_stats(spark, d):
+    """Events in, changes of a venue's top, quotes out, and the checksum of the journal's payloads."""
+    ev = book_events(spark, d)
+    tops = nbbo.with_tops(ev, keep=QUOTE)
+    quotes = nbbo.provenance(ev, QUOTE)
+    seen = tops.agg(F.count("*").alias("book_events_in"), F.count_if("changed_top").alias("top_changes"))
+    crc = sequence.chained_crc(quotes, files.quote_payloads, files.FORMATS["nbbo"][1])
+    return seen.join(F.broadcast(crc)).select("book_events_in", "top_changes", F.col("events").alias("nbbo_emitted"), F.col("crc").alias("journal_crc"))  # one row each
+
+
+QUERIES = {f.__name__: f for f in (nbbo_provenance, nbbo_journal_stats, order_queue_position, reconcile_checkpoints, gap_requests, recovered_events, recovery_stats)}
 
 _ALL = TAPE_SQL.replace("\nev AS (", "\nall_ev AS (")
 _QUEUE = f"""WITH {_ALL},
@@ -103,7 +122,39 @@ tk AS (SELECT venue, CAST(0 AS BIGINT) n, CAST(NULL AS BIGINT) arrival, CAST(NUL
         FROM tk t JOIN arr a ON a.venue = t.venue AND a.n = t.n + 1)))),
 looked AS (SELECT * FROM tk WHERE n > 0)"""
 
+_V = range(5)
+_TOP = "{'bid': bid, 'bq': bq, 'ask': ask, 'aq': aq}"
+_TEN = "{'a': bid_price, 'b': bid_qty, 'c': bid_venue, 'd': bid_venue_sequence, 'e': ask_price, 'f': ask_qty, 'g': ask_venue, 'h': ask_venue_sequence}"
+_PROVENANCE = TOPS_SQL + f""",
+moved AS (SELECT * FROM (SELECT *, row_number() OVER w nth, lag({_TOP}) OVER w was FROM tops WINDOW w AS (PARTITION BY venue, symbol ORDER BY arrival))
+    WHERE CASE WHEN nth = 1 THEN bid IS NOT NULL OR ask IS NOT NULL ELSE was IS DISTINCT FROM {_TOP} END),
+vs AS (SELECT *, {", ".join(f"last_value(CASE WHEN venue = {v} THEN {{'bid': bid, 'bq': bq, 'ask': ask, 'aq': aq, 'seq': seq}} END IGNORE NULLS) OVER w v{v}" for v in _V)} FROM moved
+    WINDOW w AS (PARTITION BY symbol ORDER BY arrival ROWS UNBOUNDED PRECEDING)),
+ks AS (SELECT *, list_max([{", ".join(f"v{v}.bid * 8 + {7 - v}" for v in _V)}]) bk, list_min([{", ".join(f"v{v}.ask * 8 + {v}" for v in _V)}]) ak FROM vs),
+qs AS (SELECT arrival, symbol, ns, bk // 8 bid_price, 7 - bk % 8 bid_venue, {", ".join(f"CASE 7 - bk % 8 {' '.join(f'WHEN {v} THEN v{v}.{f}' for v in _V)} END {n}" for f, n in (("bq", "bid_qty"), ("seq", "bid_venue_sequence")))},
+    ak // 8 ask_price, ak % 8 ask_venue, {", ".join(f"CASE ak % 8 {' '.join(f'WHEN {v} THEN v{v}.{f}' for v in _V)} END {n}" for f, n in (("aq", "ask_qty"), ("seq", "ask_venue_sequence")))} FROM ks),
+jr AS (SELECT * FROM (SELECT *, row_number() OVER w nth, lag({_TEN}) OVER w was FROM qs WINDOW w AS (PARTITION BY symbol ORDER BY arrival))
+    WHERE CASE WHEN nth = 1 THEN bid_price IS NOT NULL OR ask_price IS NOT NULL ELSE was IS DISTINCT FROM {_TEN} END)"""
+
+
+def _octets(x: str, n: int) -> str:
+    return f"list_transform(range({n}), lambda i: (CAST(coalesce({x}, 0) AS BIGINT) >> (8 * i)) & 255)"
+
+
+_QUOTE_OCTETS = " || ".join(
+    ["list_reverse(list_transform(range(8), lambda i: CAST(ascii(substr(rpad(symbol, 8, ' '), CAST(i + 1 AS BIGINT), 1)) AS BIGINT)))", _octets("ns", 8), _octets("ns", 8)]
+    + [_octets("CASE WHEN bid_price IS NULL THEN 0 ELSE 1 END", 1), _octets("CASE WHEN ask_price IS NULL THEN 0 ELSE 1 END", 3)]
+    + [_octets(c, 4) for c in ("bid_price", "bid_qty", "ask_price", "ask_qty")]
+    + [_octets("bid_venue", 1), _octets("ask_venue", 3), _octets("bid_venue_sequence", 8), _octets("ask_venue_sequence", 8)]
+)
+_CRC_STEP = "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])"
+
 ORACLE_SQL = {
+    "nbbo_provenance": tape_sql("," + _PROVENANCE, "SELECT arrival, symbol, bid_price, bid_qty, bid_venue, ask_price, ask_qty, ask_venue, bid_venue_sequence, ask_venue_sequence FROM jr"),
+    "nbbo_journal_stats": tape_sql("," + _PROVENANCE + """,
+        tb AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) t)""", f"""
+        SELECT (SELECT count(*) FROM ev) book_events_in, (SELECT count(*) FROM moved) top_changes, n nbbo_emitted, xor(list_reduce(list_prepend(4294967295::BIGINT, octets), {_CRC_STEP}), 4294967295) journal_crc
+        FROM (SELECT count(*) n, flatten(list(CAST({_QUOTE_OCTETS} AS BIGINT[]) ORDER BY arrival)) octets FROM jr), tb"""),
     "order_queue_position": _QUEUE,
     "reconcile_checkpoints": _RECONCILE,
     "gap_requests": f"""{_COMPAT}

@@ -256,7 +256,13 @@ ORACLE_SQL = {
         FROM (SELECT venue, symbol, side, price, CAST(sum(delta) AS BIGINT) q FROM dl GROUP BY ALL) WHERE q > 0 GROUP BY ALL"""),
     "depth_snapshot": tape_sql("," + LEVELS_SQL, """SELECT venue, symbol, side, count(*) n_levels, string_agg(price || 'x' || q, ',' ORDER BY CASE WHEN side = 0 THEN -price ELSE price END) levels
         FROM (SELECT venue, symbol, side, price, CAST(sum(delta) AS BIGINT) q FROM dl GROUP BY ALL) WHERE q > 0 GROUP BY ALL"""),
-    "book_reconcile": tape_sql("," + LEVELS_SQL, "SELECT venue, count(*) n_levels, CAST(sum(q) AS BIGINT) depth, CAST(0 AS BIGINT) differences FROM (SELECT venue, symbol, side, price, sum(delta) q FROM dl GROUP BY ALL) WHERE q > 0 GROUP BY venue"),
+    "book_reconcile": tape_sql("," + LEVELS_SQL + """,
+        sums AS (SELECT venue, symbol, side, price, sum(delta) q FROM dl GROUP BY ALL HAVING sum(delta) > 0),
+        alive AS (SELECT o.order_id, any_value(e.venue) venue, o.symbol, o.side, o.price, o.qty - coalesce(sum(CASE WHEN e.event_type IN (2, 4) THEN e.qty END), 0) rest
+            FROM own o JOIN ev e USING (order_id) GROUP BY o.order_id, o.symbol, o.side, o.price, o.qty HAVING count(*) FILTER (e.event_type = 5) = 0),
+        books AS (SELECT venue, symbol, side, price, sum(rest) q FROM alive WHERE rest > 0 GROUP BY ALL),
+        both_ways AS (SELECT venue, a.q a, b.q b FROM sums a FULL JOIN books b USING (venue, symbol, side, price))""",
+        "SELECT venue, count(a) n_levels, CAST(sum(a) AS BIGINT) depth, count(*) FILTER (a IS DISTINCT FROM b) differences FROM both_ways GROUP BY venue HAVING count(a) > 0"),
     "book_tops": tape_sql("," + TOPS_SQL, "SELECT arrival, venue, symbol, bid bid_price, bq bid_qty, ask ask_price, aq ask_qty, CAST(queue_ahead AS BIGINT) queue_ahead FROM tops"),
     "nbbo_consolidated": tape_sql("," + NBBO_SQL, f"SELECT arrival, symbol, {_BBO} FROM nb"),
     "nbbo_changes": tape_sql(_CHANGES, f"SELECT arrival, symbol, {_BBO} FROM ch"),

@@ -135,7 +135,9 @@ def proxy_sharpe(spark, d):
 
 
 def ablation(spark, d):
-    a = research.ablation(_pairs(spark, d).where(F.col("horizon") == HORIZONS[0]), "ofi")
+    pairs = _pairs(spark, d).where(F.col("horizon") == HORIZONS[0])
+    spreads = _rows(spark, d).select("arrival", research.spread().alias("spread"))
+    a = research.ablation_report(pairs, "ofi", spreads, stats.sharpe(F.signum("value") * F.col("label")))
     return a.select("variant", F.round("mean_ic", 6).alias("mean_ic"), F.round("mean_spread", 8).alias("mean_spread"), F.round("net_sharpe", 6).alias("net_sharpe"))
 
 
@@ -257,7 +259,10 @@ ORACLE_SQL = {k: tape_sql("," + v[0], v[1]).replace("WITH ", "WITH RECURSIVE ",
     "calibrated_impact": (_FULL, "SELECT round(coalesce(avg(CASE WHEN spread > 0 THEN spread END) * 1e-7, 1e-6), 12) impact_lambda FROM fr"),
     "proxy_sharpe": (_FULL + PAIRS_SQL, f"SELECT signal, fold, round({_sharpe(_R)}, 6) sharpe, count(*) // 100 fills FROM pr WHERE horizon = 3600000000000 GROUP BY ALL"),
     "ablation": (_FULL + METRICS_SQL + f", ps AS (SELECT fold, {_sharpe(_R)} s FROM pr WHERE horizon = 3600000000000 AND signal = 'ofi' GROUP BY fold), zq AS (SELECT fold, CASE WHEN count(*) >= 10 THEN (sum(CASE WHEN up > n - q THEN label END) - sum(CASE WHEN up <= q THEN label END)) / max(q) ELSE 0.0 END z FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY arrival) up, count(*) OVER (PARTITION BY fold) n, greatest(1, count(*) OVER (PARTITION BY fold) // 5) q FROM pr WHERE horizon = 3600000000000 AND signal = 'ofi') GROUP BY fold), mm AS (SELECT * FROM me WHERE horizon = 3600000000000 AND signal = 'ofi')",
-        "SELECT v variant, round(CASE WHEN z THEN 0.0 ELSE (SELECT avg(ic) FROM mm) END, 6) mean_ic, round(CASE WHEN z THEN (SELECT avg(z) FROM zq) ELSE (SELECT avg(quintile_spread) FROM mm) END, 8) mean_spread, round(CASE WHEN z THEN 0.0 ELSE (SELECT avg(s) FROM ps) END, 6) net_sharpe FROM (VALUES ('full_signal', false), ('ablate_ofi_component', true), ('ablate_microprice_component', false)) t(v, z)"),
+        "SELECT v variant, round(CASE WHEN z THEN 0.0 ELSE (SELECT avg(ic) FROM mm) END, 6) mean_ic, round(CASE WHEN z THEN (SELECT avg(z) FROM zq) ELSE (SELECT avg(quintile_spread) FROM mm) END, 8) mean_spread, round(CASE WHEN z THEN 0.0 ELSE (SELECT avg(s) FROM ps) END, 6) net_sharpe FROM (VALUES ('full_signal', false), ('ablate_ofi_component', true), ('ablate_microprice_component', false)) t(v, z)"
+        f""" UNION ALL SELECT variant, round((SELECT avg(ic) FROM mm), 6), round((SELECT avg(quintile_spread) FROM mm), 8), round(s, 6) FROM (
+            SELECT 'no_cost_model' variant, {_sharpe("sign(value) * 0.01::DOUBLE * label")} s FROM pr WHERE horizon = 3600000000000 AND signal = 'ofi'
+            UNION ALL SELECT 'phase0_ofi_baseline', {_sharpe(_R)} FROM pr WHERE horizon = 3600000000000 AND signal = 'ofi')"""),
     "latency_histogram": (_HIST[1:], "SELECT bucket, n, CAST(2.0 ** bucket AS DOUBLE) low FROM hi"),
     "histogram_quantiles": (_HIST[1:], "SELECT CAST(p AS DOUBLE) p, CAST(2.0 ** min(bucket) AS DOUBLE) quantile FROM (SELECT bucket, sum(n) OVER (ORDER BY bucket) u, sum(n) OVER () a FROM hi), (VALUES (0.5), (0.9), (0.99)) t(p) WHERE u >= ceil(a * CAST(p AS DOUBLE)) GROUP BY p"),
     "block_bootstrap": (_DAYS, f"""SELECT avg(CASE WHEN m <= 0 THEN 1.0 ELSE 0.0 END) p_value, round(avg(m), 9) mean, any_value(n) n FROM

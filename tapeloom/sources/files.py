@@ -213,6 +213,23 @@ def _journal_batch(kind: str, rows: np.ndarray, arrival: np.ndarray, status: lis
     return pa.RecordBatch.from_arrays(out, names)
 
 
+def quote_payloads(batch: pa.RecordBatch) -> bytes:
+    """The payloads of a batch of quotes (with their venues' message numbers), as the quote journal has them."""
+    _, size, fields = FORMATS["nbbo"]
+    names = [*fields, "ingest_ts_ns"]
+    dtype = np.dtype({"names": names, "formats": [*(form for _, form in fields.values()), "<u8"], "offsets": [*(at for at, _ in fields.values()), 16], "itemsize": size})
+    rows = np.zeros(batch.num_rows, dtype)
+    for f in names:
+        if f == "symbol":
+            raw = np.char.ljust(np.array([v or "" for v in batch.column("symbol").to_pylist()], "S8"), 8, b" ")
+            rows[f] = np.frombuffer(raw.astype("S8").tobytes(), ">u8")
+        elif f in ("has_bid", "has_ask"):
+            rows[f] = batch.column(f[4:] + "_price").is_valid().to_numpy(zero_copy_only=False)
+        else:
+            rows[f] = batch.column(f).fill_null(0).to_numpy(zero_copy_only=False)
+    return rows.tobytes()
+
+
 def write_journal(events: DataFrame, path: str, kind: str = "book", order: str = "arrival", parts: int = 8, append: bool = False) -> int:
     """Writes a folder of journal files in `order` and returns the records. Appending goes on with the record numbers after those there.
 
