@@ -17,8 +17,11 @@ of an item's words that way holds a copy, whatever its case or line breaks.
 
 Items shorter than WINDOW tokens make one window of their whole length; those of 11 to 16 have windows of half their
 length, so one changed word leaves windows whole. An item without words matches nothing.
-Both sides are large-safe: each bitmap is 2**BITMAP_BITS bits whatever the benchmark's size, the join is a shuffle join
-that Spark may broadcast by the size it measured, and a window that many documents share is one row a document and item.
+Both sides are large-safe: each bitmap is 2**BITMAP_BITS bits whatever the benchmark's size, and the join is a shuffle join
+that Spark may broadcast by the size it measured. Windows that more than SHARED items have, as a common instruction, are left out of the
+first join where they alone cannot report an item: the words that an item's common windows cover fall short of every rule. A pair that is
+reported has another of the item's windows, then, so those pairs are looked up for the common windows as well, by document and hash. Nothing
+is lost, and no window joins more than SHARED items but for items that it may report, whose pairs are results.
 
 Defined results: null and empty texts match nothing; repeated rows are each reported (one row a doc_id and item);
 rows with null ids take no part; empty tables give an empty result; other columns play no part.
@@ -42,6 +45,7 @@ MIN_WORDS, PLAIN = 4, 2
 RUN = 13  # covered tokens in a row that suffice alone
 LEAST_WINDOW = 5  # of items of under 2 * WINDOW + 1 tokens
 BITMAP_BITS = 23
+SHARED = 32  # items; a window that more have is common
 WORD, NUMBER, NAME, UNIT, NOTHING, AFTER_NUMBER = range(6)
 TEMPLATE, COPY = 0, 1
 
@@ -252,8 +256,39 @@ def _runs(flag: np.ndarray, least: int) -> np.ndarray:
 _HITS = {"doc_id": "long", "doc_pos": "int", "h": "long", "doc_fills": "array<long>"}
 
 
-def alignments(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """Windows of documents that are windows of items, with the shift between them."""
+def _open_items(common: DataFrame, cover: float) -> DataFrame:
+    """(item_id) of the items that their common windows alone may report: bounds of what contaminated() asks for, by the tokens covered."""
+    cells = common.select("item_id", "form", "n_item", "pos", F.posexplode("sizes").alias("k", "size"))
+    cells = cells.groupBy("item_id", "form", (F.col("pos") + F.col("k")).alias("at")).agg(F.max("size").alias("size"), F.min("n_item").alias("n_item"))
+    share = cells.groupBy("item_id", "form").agg((F.sum("size") / F.min("n_item")).alias("share"))
+    enough = share.where(F.when(F.col("form") == TEMPLATE, F.col("share") >= cover).otherwise(F.col("share") >= VERBATIM))
+    island = F.col("at") - F.row_number().over(Window.partitionBy("item_id").orderBy("at"))
+    runs = cells.where(F.col("form") == TEMPLATE).withColumn("island", island).groupBy("item_id", "island").agg(F.count("*").alias("n")).where(F.col("n") >= RUN)
+    return enough.select("item_id").union(runs.select("item_id")).distinct()
+
+
+def _met(hits: DataFrame, grams: DataFrame, on: list[str]) -> DataFrame:
+    """Windows of documents with the items' windows of the same hash and plain words: hashes alone may coincide."""
+    met = hits.join(grams, on).withColumn("shift", F.col("doc_pos") - F.col("pos"))
+    return met.where(F.forall(F.arrays_zip("kinds", "fills", "doc_fills"), lambda c: (c["kinds"] != WORD) | (c["fills"] == c["doc_fills"])))
+
+
+def _joined(hits: DataFrame, grams: DataFrame, cover: float) -> DataFrame:
+    """_met() of all windows, but of pairs that only common windows of other items link."""
+    common = grams.select("h", "item_id").distinct().groupBy("h").count().where(F.col("count") > SHARED).select("h")
+    common = stored(grams.join(common, "h", "left_semi"), "decontam-common")
+    if common.limit(1).count() == 0:
+        return _met(hits, grams, ["h"])
+    hits = stored(hits, "decontam-windows")
+    late = stored(common.join(_open_items(common, cover), "item_id", "left_anti"), "decontam-late")
+    early = grams.join(late.select("h", "item_id").distinct(), ["h", "item_id"], "left_anti")
+    first = stored(_met(hits, early, ["h"]), "decontam-first")
+    asked = first.select("doc_id", "item_id").distinct().join(late, "item_id")
+    return first.unionByName(_met(hits, asked, ["doc_id", "h"]))
+
+
+def alignments(docs: DataFrame, grams: DataFrame, cover: float = COVER) -> DataFrame:
+    """Windows of documents that are windows of items, with the shift between them; see _joined()."""
     lengths = [(r[0], r[1]) for r in grams.select("form", "length").distinct().collect()]  # at most WINDOW a form
     lengths = {f: sorted(n for g, n in lengths if g == f) for f in (TEMPLATE, COPY)}
     copies = grams.where(F.col("form") == COPY).select(F.explode("fills").alias("h"))
@@ -307,10 +342,7 @@ def alignments(docs: DataFrame, grams: DataFrame) -> DataFrame:
             yield flush()
 
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
-    hits = texts.mapInArrow(extract, _schema(_HITS))
-    met = hits.join(grams, "h").withColumn("shift", F.col("doc_pos") - F.col("pos"))
-    agree = F.forall(F.arrays_zip("kinds", "fills", "doc_fills"), lambda c: (c["kinds"] != WORD) | (c["fills"] == c["doc_fills"]))
-    return met.where(agree)  # hashes of windows alone may coincide
+    return _joined(texts.mapInArrow(extract, _schema(_HITS)), grams, cover)
 
 
 KEY = ["doc_id", "item_id", "form", "shift"]
@@ -349,7 +381,7 @@ def _contradictions(cells: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, item_id, coverage (share of the item's words), slots and changed slots of each contaminated pair."""
     grams = stored(benchmark_windows(benchmark, window), "decontam-grams")
-    hits = stored(alignments(docs, grams), "decontam-hits")
+    hits = stored(alignments(docs, grams, cover), "decontam-hits")
     totals = hits.groupBy(*KEY).agg(F.max("n_plain").alias("n_plain"), F.max("n_item").alias("n_item"))
     cells = stored(_cells(hits), "decontam-cells")
     judged = _contradictions(cells).join(totals, KEY)

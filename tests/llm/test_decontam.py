@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
 from tapeloom.llm import decontam as D
 from tests.llm.test_llm import EDGES, QUESTION, docs, leaks, words
 
@@ -148,7 +150,10 @@ def test_many_copies_in_one_text(spark):
     assert leaks(spark, [(1, text), (2, text), (3, words(400))]) == {(1, 0), (2, 0)}
 
 
-def test_templates_against_all_windows(spark):
+@pytest.mark.parametrize("shared", [1, 3, 32])
+def test_templates_against_all_windows(spark, monkeypatch, shared):
+    """Whatever counts as common, the same pairs are found: items share verbs, instructions and whole halves."""
+    monkeypatch.setattr(D, "SHARED", shared)
     rng = random.Random(12)
     names, units, verbs = ["Ann", "Bob", "Mary Ann", "Li Wei", "Zoé"], ["km", "kg", "dollars", "km per hour"], ["buys", "sells", "finds", "takes", "throws"]
 
@@ -160,6 +165,8 @@ def test_templates_against_all_windows(spark):
 
     made = [question(k) for k in range(8)]
     bench = [q("Ann", "Bob", 3, 12, "kg") for q in made] + ["Maria sells 7 hats", "Paris is large", "", None, "12 15 18 21", words(25, seed=4)]
+    told = words(9, seed=77)
+    bench += [f"{told} {q.split(' of ')[0]}" for q in bench[:4]] + [f"{words(12, seed=k)} {told}" for k in range(4)] + [f"{words(30, seed=79)} {words(6, seed=k)}" for k in range(3)] + [told, f"{told} ?"]
     texts = [*EDGES[:6], *EDGES[8:]]
     for k in range(60):
         q = made[k % 8](*(rng.choice(names) for _ in range(2)), rng.randrange(90), rng.choice(["1 200", 5, "7.5"]), rng.choice(units))
@@ -171,6 +178,20 @@ def test_templates_against_all_windows(spark):
         q = " ".join(part)
         texts.append((100 + k, f"{words(6, seed=k)} {q.lower() if k % 7 == 0 else q}. {words(6, seed=k + 1)}"))
     texts += [(300, "so Olga sells 9 hats"), (301, "12 15 18 21"), (302, "paris is large"), (303, "PARIS\nis large too")]
+    texts += [(400 + k, f"{words(5, seed=k)} {told} {words(12, seed=k % 4)} {told if k % 2 else ''}") for k in range(6)] + [(410, words(30, seed=79)), (411, f"{told} {words(4, seed=2)}"), (412, words(30, seed=79)[:60])]
     want = plain_leaks(texts, list(enumerate(bench)))
     assert leaks(spark, texts, bench) == want and 30 < len(want) and {d for d, _ in want} != {d for d, _ in texts}
     assert Counter(i for _, i in want)
+
+
+def test_an_instruction_that_all_items_share_makes_no_product(spark):
+    """Ten thousand items and ten thousand documents with one instruction: what is joined goes with the documents, not with items times documents."""
+    told = "answer the following question and give your reasons briefly"
+    bench = [f"{told} {words(14, seed=k)}" for k in range(10_000)]
+    texts = [(k, f"{words(4, seed=k)} {told} {words(6, seed=k + 1)}") for k in range(10_000)] + [(20_000 + k, f"so {bench[k]} {words(3)}") for k in range(0, 10_000, 500)]
+    b = spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")
+    d = docs(spark, texts)
+    grams = D.stored(D.benchmark_windows(b), "test-grams")
+    hits = D.alignments(d, grams)
+    assert hits.count() <= D.SHARED * d.count()  # the product would be over 100 million
+    assert {(r["doc_id"], r["item_id"]) for r in D.contaminated(d, b).collect()} == {(20_000 + k, k) for k in range(0, 10_000, 500)}
