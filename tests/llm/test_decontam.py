@@ -188,7 +188,7 @@ def test_an_instruction_that_all_items_share_makes_no_product(spark):
     """Ten thousand items and ten thousand documents with one instruction: what is joined goes with the documents, not with items times documents."""
     told = "answer the following question and give your reasons briefly"
     bench = [f"{told} {words(14, seed=k)}" for k in range(10_000)]
-    texts = [(k, f"{words(4, seed=k)} {told} {words(6, seed=k + 1)}") for k in range(10_000)] + [(20_000 + k, f"so {bench[k]} {words(3)}") for k in range(0, 10_000, 500)]
+    texts = [(k, f"{words(4, seed=k)} {told} {words(6, seed=50_000 + k)}") for k in range(10_000)] + [(20_000 + k, f"so {bench[k]} {words(3)}") for k in range(0, 10_000, 500)]
     b = spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")
     d = docs(spark, texts)
     grams = D.stored(D.benchmark_windows(b), "test-grams")
