@@ -6,7 +6,8 @@ characters, one of random strings and one of ordinary identifiers, are compared
 THRESHOLD nats or more, MEAN or more a character, are reported as kind `markov`.
 
 The chains are trained on labelled samples from all documents: what the patterns find (the value, not the keyword) is
-random; candidates without a digit are ordinary identifiers. Counts of character pairs are aggregated where they are made, so
+random; candidates without a digit are ordinary identifiers. What the patterns find is mostly hexadecimal, so UNIFORM of the random chain is even
+over the alphabet. THRESHOLD and MEAN were chosen on planted keys and identifiers (tests/llm/test_secrets.py). Counts of character pairs are aggregated where they are made, so
 the only table that leaves the executors is the ratio table: at most 66 x 66 numbers, whatever the input.
 
 Offsets are code points, ends excluded. Defined results: a null text is an empty one and has no spans; a null doc_id is
@@ -33,6 +34,7 @@ RUN = 16
 CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 THRESHOLD, MEAN, SMOOTH, PRIOR = 14.0, 0.7, 0.5, 10.0
+UNIFORM = 0.3  # share of the random chain that is even over the alphabet, as its samples are mostly digits and hexadecimal
 _SPAN = "struct<start:int,kind:int,stop:int,value:string>"
 _NONE = f"cast(array() as array<{_SPAN}>)"
 
@@ -41,19 +43,45 @@ def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL that computes a value once and uses it by name."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _by_blocks(array: str, block: str, body: str) -> str:
+    """SQL for the values of `body` over the blocks of a named array that is not empty: as many blocks as rows in one, so folds and looks stay short."""
+    width = f"cast(ceil(sqrt(size({array}))) as int)"
+    return _let("width", width, f"transform(sequence(0, (size({array}) - 1) div width), k -> {_let(block, f'slice({array}, k * width + 1, width)', body)})")
+
+
 def _finds(text: str, pattern: str, kind: int, group: int = 0, gate: str = "true") -> str:
-    """SQL for the spans of a pattern: the pieces between the finds give their places."""
+    """SQL for the spans of a pattern: the pieces between the finds give their places.
+
+    Places are summed within blocks of finds, then over the blocks, as every step of a fold copies what it has gathered.
+    """
     p = _literal(pattern)
-    value = f"regexp_extract_all({text}, {p}, {group})" if group else f"regexp_extract_all({text}, {p}, 0)"
-    zipped = f"filter(arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), {value}), z -> z.`1` is not null)"
-    walk = (
-        f"aggregate({zipped}, named_struct('at', 0, 'found', {_NONE}), "
-        f"(a, z) -> named_struct('at', a.at + length(z.`0`) + length(z.`1`), 'found', concat(a.found, "
-        f"array(named_struct('start', a.at + length(z.`0`), 'kind', {kind}, 'stop', a.at + length(z.`0`) + length(z.`1`), 'value', z.`2`)))), a -> a.found)"
+    more, value = (f", regexp_extract_all({text}, {p}, {group})", "z.`2`") if group else ("", "z.m")
+    zipped = _let("m", f"regexp_extract_all({text}, {p}, 0)", f"filter(arrays_zip(split({text}, {p}, -1), m{more}), z -> z.m is not null)")
+    start = "a.at + length(z.`0`)"
+    within = (
+        f"aggregate(block, named_struct('at', 0, 'found', {_NONE}), (a, z) -> named_struct('at', {start} + length(z.m), 'found', "
+        f"concat(a.found, array(named_struct('start', {start}, 'kind', {kind}, 'stop', {start} + length(z.m), 'value', {value})))))"
     )
+    begins = "aggregate(bs, named_struct('at', 0, 'all', cast(array() as array<int>)), (a, b) -> named_struct('at', a.at + b.at, 'all', concat(a.all, array(a.at))), a -> a.all)"
+    moved = "transform(b.found, f -> named_struct('start', f.start + s, 'kind', f.kind, 'stop', f.stop + s, 'value', f.value))"
+    placed = _let("bs", _by_blocks("zs", "block", within), f"flatten(zip_with(bs, {begins}, (b, s) -> {moved}))")
+    walk = _let("zs", zipped, f"CASE WHEN size(zs) = 0 THEN {_NONE} ELSE {placed} END")
     return f"CASE WHEN {gate} THEN {walk} ELSE {_NONE} END"
 
 
+def _apart(runs: str) -> str:
+    """SQL for the runs that touch none of the spans in `base`: a block of runs looks only at the spans within its reach."""
+    touch = lambda x, y: f"{x}.start < {y}.stop AND {y}.start < {x}.stop"
+    reach = "filter(base, b -> b.start < element_at(block, -1).stop AND element_at(block, 1).start < b.stop)"
+    kept = _let("near", reach, f"filter(block, c -> NOT exists(near, b -> {touch('b', 'c')}))")
+    return _let("cs", runs, f"CASE WHEN size(cs) = 0 OR size(base) = 0 THEN cs ELSE flatten({_by_blocks('cs', 'block', kept)}) END")
+
+
 def pattern_spans(docs: DataFrame, run: int = RUN) -> DataFrame:
     """doc_id, base (spans of the known kinds, in order) and runs (candidates that touch none of them)."""
     keyword = " OR ".join(f"contains(lower(t), '{w}')" for w in ("pass", "secret", "token", "api"))
@@ -62,7 +90,7 @@ def pattern_spans(docs: DataFrame, run: int = RUN) -> DataFrame:
         f"{_finds('t', ACCESS, 1, 0, chr(39).join(('contains(t, ', 'AKIA', ')')))}, {_finds('t', HEX, 2, 0, 't rlike ' + _literal('[0-9a-f]{16}'))})"
     )
     pattern = CANDIDATE % run
-    runs = f"filter({_finds('t', pattern, 3, 0, 't rlike ' + _literal(pattern))}, c -> NOT exists(base, b -> b.start < c.stop AND c.start < b.stop))"
+    runs = _apart(_finds("t", pattern, 3, 0, "t rlike " + _literal(pattern)))
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("base", F.expr(f"array_sort({base})"))
     return found.select("doc_id", "base", F.expr(runs).alias("runs"))
 
@@ -98,6 +126,7 @@ def ratios(sample: DataFrame, smooth: float = SMOOTH) -> dict[tuple[int, int], f
         total = {k: sum(seen[k].get((a, b), 0) for b in range(1, size)) for k in seen}
         for b in range(1, size):
             p = {k: (seen[k].get((a, b), 0) + PRIOR * share[k][b]) / (total[k] + PRIOR) for k in seen}
+            p[True] = UNIFORM / (size - 1) + (1 - UNIFORM) * p[True]
             out[a, b] = math.log(p[True]) - math.log(p[False])
     return out
 
