@@ -12,7 +12,10 @@ from tapeloom.sources.adapter import book_events
 HORIZONS = (HOUR, 6 * HOUR, 24 * HOUR)
 PURGE, EMBARGO = 2 * HOUR, HOUR
 #: All signals of the zoo.
-SIGNALS = tuple(research.SignalRegistry().signals)
+SIGNALS = (
+    "ofi", "microprice_minus_mid", "queue_ahead", "effective_spread", "kyle_lambda", "vpin", "ofi_zscore", "microprice_spread_adj", "ofi_times_spread", "sign_microprice_minus_mid",
+    "neg_effective_spread", "queue_over_spread", "bid_ask_imbalance",
+)
 
 
 def _rows(spark, d):

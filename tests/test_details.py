@@ -1,5 +1,6 @@
 """Provenance of quotes, fills over ranges, reports and health."""
 
+import os
 import random
 import struct
 import zlib
@@ -15,6 +16,9 @@ from tapeloom.sources import files
 from tapeloom.sources.adapter import book_events
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
 def tape(spark, rows):
     base = dict(venue=0, event_type=S.ADD, sequence=0, exchange_ts_ns=0, ingest_ts_ns=0, symbol="X", order_id=0, match_id=0, reference_order_id=0, qty=0, price=0, prev_qty=0, prev_price=0, side=2, mpid=None, raw_type=0)
     return spark.createDataFrame([tuple((base | {"arrival": k} | r)[c] for c in S.COLUMNS) for k, r in enumerate(rows)], S.BOOK_EVENTS)
@@ -135,3 +139,19 @@ def test_scan_status(spark):
     assert tuple(service.scan_status(rows).first()) == ("DATA_LOSS", "unexpected_eof", 2)
     assert tuple(service.scan_status(rows.where("status = 'ok'")).first()) == ("OK", None, 0)
     assert tuple(service.scan_status(rows.limit(0)).first()) == ("OK", None, 0)
+
+
+def test_the_catalogue_is_read_without_a_session():
+    """Names, queries and SQL need no Spark."""
+    import subprocess
+    import sys
+
+    told = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"
+    out = subprocess.run([sys.executable, "-c", told], capture_output=True, text=True, cwd=ROOT)
+    assert out.returncode == 0 and int(out.stdout) > 100, out.stderr[-500:]
+
+
+def test_all_signals_of_the_zoo_are_evaluated(spark):
+    from tapeloom.plans.research import SIGNALS
+
+    assert set(SIGNALS) == set(research.SignalRegistry().signals)
