@@ -168,7 +168,8 @@ def nbbo_asof(spark, d):
     """The quote in force at every hour of every symbol: the bulk form of the point query."""
     ev = book_events(spark, d)
     hours = ev.agg(F.floor(F.min("exchange_ts_ns") / HOUR).alias("lo"), F.floor(F.max("exchange_ts_ns") / HOUR).alias("hi"))
-    grid = hours.select(F.explode(F.sequence("lo", F.col("hi") + 1)).alias("h")).select((F.col("h") * HOUR).alias("ts"), F.explode(F.array(*(F.lit(f"SYM{k}") for k in range(8)))).alias("symbol"))
+    symbols = ev.select("symbol").distinct().join(F.broadcast(hours))  # one row
+    grid = symbols.select("symbol", F.explode(F.sequence("lo", F.col("hi") + 1)).alias("h")).select((F.col("h") * HOUR).alias("ts"), "symbol")
     quotes = nbbo.changes(nbbo.nbbo(ev, keep=QUOTED))
     return nbbo.asof(grid, quotes, ["bid_price", "bid_qty", "ask_price", "ask_qty"]).select("symbol", "ts", "bid_price", "bid_qty", "ask_price", "ask_qty", "quote_ts", "found")
 
@@ -235,7 +236,7 @@ _BBO = "bid_price, bid_qty, bid_venue, ask_price, ask_qty, ask_venue"
 _STATS = "count(*) records, min(ns) min_ts, max(ns) max_ts, arg_min(ns, arrival) first_ts, arg_max(ns, arrival) last_ts"
 
 ORACLE_SQL = {
-    "nbbo_asof": tape_sql(_CHANGES + """, grid AS (SELECT h * 3600000000000 ts, 'SYM' || s symbol FROM (SELECT unnest(range(min(ns) // 3600000000000, max(ns) // 3600000000000 + 2)) h FROM ev), range(8) r(s)),
+    "nbbo_asof": tape_sql(_CHANGES + """, grid AS (SELECT h * 3600000000000 ts, symbol FROM (SELECT unnest(range(min(ns) // 3600000000000, max(ns) // 3600000000000 + 2)) h FROM ev), (SELECT DISTINCT symbol FROM ev)),
         q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, ns ORDER BY arrival) rn FROM ch) WHERE rn = 1)""",
         "SELECT g.symbol, g.ts, q.bid_price, q.bid_qty, q.ask_price, q.ask_qty, q.ns quote_ts, q.ns IS NOT NULL AS found FROM grid g ASOF LEFT JOIN q ON q.symbol = g.symbol AND q.ns <= g.ts"),
     "stream_ticks": tape_sql("", "SELECT arrival, venue, symbol, event_type, ns exchange_ts_ns, order_id, price, qty FROM ev WHERE symbol = 'SYM3' AND ns BETWEEN 1704153600000000000 AND 1705363200000000000 ORDER BY arrival LIMIT 500"),

@@ -8,6 +8,7 @@ from tapeloom.functions import codecs, stats
 from tapeloom.operators import backtest, book, sequence
 from tapeloom.plans import replays
 from tapeloom.plans.market import HOUR, WINDOW, _copies, tape_sql
+from tapeloom.shared import stored
 from tapeloom.sources import crypto, decode, synthetic
 from tapeloom.sources.adapter import book_events
 
@@ -100,12 +101,12 @@ def equity_buckets(spark, d):
 
 
 def experiment_report(spark, d):
-    found = backtest.report(backtest.simulate(book_events(spark, d), MM).persist(), 24 * HOUR)
+    found = backtest.report(stored(backtest.simulate(book_events(spark, d), MM), "simulated"), 24 * HOUR)
     return found.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes))
 
 
 def risk_metrics(spark, d):
-    ticks = backtest.simulate(book_events(spark, d), MM).persist()
+    ticks = stored(backtest.simulate(book_events(spark, d), MM), "simulated")
     curve = backtest.equity_curve(ticks)
     r = backtest.bucket_returns(curve, 24 * HOUR).where("r IS NOT NULL").select("r")
     found = stats.risk_metrics(r, curve.select(F.col("arrival").alias("at"), "equity"), backtest.fills(ticks).where("realized <> 0").select(F.col("realized").alias("pnl")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import stats
 from tapeloom.operators import features, nbbo, research
 from tapeloom.plans.market import _KYLE, HOUR, OFI_SQL, ORACLE_SQL as MARKET_SQL, QUOTED, TWO_SQL, VPIN_VOLUME, WINDOW, tape_sql
+from tapeloom.shared import stored
 from tapeloom.sources.adapter import book_events
 
 HORIZONS = (HOUR, 6 * HOUR, 24 * HOUR)
@@ -19,10 +20,10 @@ SIGNALS = (
 
 
 def _rows(spark, d):
-    """Feature rows with mid, without the sequential features, which their own queries cover. Kept, as folds, labels and signals all read them."""
+    """Feature rows with mid, without the sequential features, which their own queries cover. Stored, as folds, labels and signals all read them."""
     q = features.two_sided(nbbo.nbbo(book_events(spark, d), keep=QUOTED)).withColumn("ofi_step", features.ofi_delta())
     q = q.withColumn("ofi", features.trailing_sum("ofi_step", WINDOW).cast("double")).withColumn("microprice", features.microprice())
-    return research.with_mid(features.with_kyle(q).withColumn("queue_ahead", F.col("queue_ahead").cast("double"))).persist()
+    return stored(research.with_mid(features.with_kyle(q).withColumn("queue_ahead", F.col("queue_ahead").cast("double"))), "research-rows")
 
 
 def _scored(rows):
