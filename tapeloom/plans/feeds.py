@@ -191,10 +191,13 @@ QUERIES = {f.__name__: f for f in (capture_itch, capture_raw, capture_pcap, mdp3
 
 #: What each message type carries: an absent number is 0, an absent name empty, an absent side 2.
 _ITCH = """, sent AS (SELECT arrival, venue, event_type, seq, ns % 140737488355328 ns, CASE WHEN event_type IN (0, 7) THEN symbol ELSE '' END symbol, order_id,
-    CASE WHEN event_type IN (2, 7) THEN seq ELSE 0 END match_id, CASE WHEN event_type = 5 THEN 0 ELSE qty END qty, CASE WHEN event_type IN (0, 7) THEN price ELSE 0 END price, CASE WHEN event_type IN (0, 7) THEN side ELSE 2 END side FROM ev)"""
+    CASE WHEN event_type IN (2, 7) THEN seq ELSE 0 END match_id, CASE WHEN event_type = 5 THEN 0 ELSE qty END qty, CASE
+        WHEN event_type IN (0, 7) THEN price ELSE 0 END price, CASE WHEN event_type IN (0, 7) THEN side ELSE 2 END side FROM ev)"""
 _OUT = "event_type, seq AS sequence, ns exchange_ts_ns, symbol, order_id, match_id, qty, price, side"
-_CURVE = """, tr AS (SELECT arrival, ns, CAST(CASE WHEN side = 0 THEN qty ELSE -qty END * (10000 - price + order_id + seq % 5 - 1) AS DOUBLE) pnl FROM ev WHERE event_type = 7),
-    cu AS (SELECT *, sum(pnl) OVER (ORDER BY arrival) equity FROM tr), bu AS (SELECT ns // 86400000000000 bucket, arg_min(equity, arrival) equity FROM cu GROUP BY 1), re AS (SELECT bucket, equity, equity - lag(equity) OVER (ORDER BY bucket) r FROM bu)"""
+_CURVE = """, tr AS (SELECT arrival, ns, CAST(CASE WHEN side = 0 THEN qty ELSE -qty END * (10000 - price + order_id + seq % 5 - 1) AS DOUBLE) pnl FROM ev
+        WHERE event_type = 7),
+    cu AS (SELECT *, sum(pnl) OVER (ORDER BY arrival) equity FROM tr), bu AS (SELECT ns // 86400000000000 bucket, arg_min(equity, arrival) equity
+        FROM cu GROUP BY 1), re AS (SELECT bucket, equity, equity - lag(equity) OVER (ORDER BY bucket) r FROM bu)"""
 
 _PARTS_OF = "event_type, ns exchange_ts_ns, symbol, order_id, match_id, qty, price, side"
 
@@ -203,19 +206,30 @@ ORACLE_SQL = {
     "mdp3_roundtrip": tape_sql(f""", placed AS (SELECT *, row_number() OVER (PARTITION BY venue ORDER BY arrival) - 1 nth FROM ev),
         packed AS (SELECT *, nth // {PACKET} pack, first_value(ns) OVER (PARTITION BY venue, nth // {PACKET} ORDER BY nth) sent FROM placed),
         shown AS (SELECT *, row_number() OVER (PARTITION BY venue, pack ORDER BY nth) - 1 k FROM packed WHERE event_type <> 7)""",
-        f"""SELECT (pack * 8 + venue) * 256 + k arrival, CASE WHEN arrival % 31 = 0 THEN 255 WHEN event_type = 0 THEN 0 WHEN event_type = 2 THEN 6 ELSE 5 END event_type,
-        CASE WHEN seq % 13 = 0 THEN pack * 4294967296 + nth % {MESSAGE} ELSE seq END AS sequence, CASE WHEN nth % {PACKET} < {MESSAGE} THEN sent ELSE sent + 1 END exchange_ts_ns,
-        CASE WHEN arrival % 17 = 0 THEN '' ELSE substr(symbol, 4) END symbol, qty, CASE WHEN event_type = 5 THEN 0 ELSE price END price, CASE WHEN arrival % 19 = 0 THEN 2 ELSE side END side FROM shown"""),
+        f"""SELECT (pack * 8 + venue) * 256 + k arrival, CASE WHEN arrival % 31 = 0 THEN 255 WHEN event_type = 0 THEN 0 WHEN event_type = 2 THEN 6
+        ELSE 5 END event_type,
+        CASE WHEN seq % 13 = 0 THEN pack * 4294967296 + nth % {MESSAGE} ELSE seq END AS sequence, CASE WHEN nth % {PACKET} < {MESSAGE} THEN sent
+        ELSE sent + 1 END exchange_ts_ns,
+        CASE WHEN arrival % 17 = 0 THEN '' ELSE substr(symbol, 4) END symbol, qty, CASE WHEN event_type = 5 THEN 0 ELSE price END price, CASE
+        WHEN arrival % 19 = 0 THEN 2 ELSE side END side FROM shown"""),
     "itch_roundtrip": tape_sql(_ITCH, f"SELECT arrival, {_OUT} FROM sent"),
-    "pitch_roundtrip": tape_sql("", f"""SELECT arrival, event_type, seq AS sequence, (ns // 1000000) % {DAY_MS} * 1000000 exchange_ts_ns, CASE WHEN event_type IN (0, 7) THEN symbol ELSE '' END symbol, order_id,
-        CASE WHEN event_type IN (2, 7) THEN seq ELSE 0 END match_id, qty, CASE WHEN event_type IN (0, 7) THEN price ELSE 0 END price, CASE WHEN event_type IN (0, 7) THEN side ELSE 2 END side FROM ev WHERE event_type IN (0, 2, 4, 7)"""),
-    "deep_roundtrip": tape_sql("", """SELECT arrival, CASE event_type WHEN 2 THEN 3 ELSE event_type END event_type, seq AS sequence, ns exchange_ts_ns, symbol, CASE WHEN event_type = 7 THEN 0 ELSE order_id END order_id,
-        CASE WHEN event_type IN (2, 7) THEN seq ELSE 0 END match_id, CASE WHEN event_type = 5 THEN 0 ELSE qty END qty, CASE WHEN event_type = 5 THEN 0 ELSE price END price, CASE WHEN event_type = 0 THEN side ELSE 2 END side FROM ev WHERE event_type IN (0, 2, 5, 7)"""),
+    "pitch_roundtrip": tape_sql("", f"""SELECT arrival, event_type, seq AS sequence, (ns // 1000000) % {DAY_MS} * 1000000 exchange_ts_ns, CASE
+        WHEN event_type IN (0, 7) THEN symbol ELSE '' END symbol, order_id,
+        CASE WHEN event_type IN (2, 7) THEN seq ELSE 0 END match_id, qty, CASE WHEN event_type IN (0, 7) THEN price ELSE 0 END price, CASE
+        WHEN event_type IN (0, 7) THEN side ELSE 2 END side FROM ev WHERE event_type IN (0, 2, 4, 7)"""),
+    "deep_roundtrip": tape_sql("", """SELECT arrival, CASE event_type WHEN 2 THEN 3 ELSE event_type END event_type, seq AS sequence, ns exchange_ts_ns, symbol,
+        CASE WHEN event_type = 7 THEN 0 ELSE order_id END order_id,
+        CASE WHEN event_type IN (2, 7) THEN seq ELSE 0 END match_id, CASE WHEN event_type = 5 THEN 0 ELSE qty END qty, CASE WHEN event_type = 5 THEN 0
+        ELSE price END price, CASE WHEN event_type = 0 THEN side ELSE 2 END side FROM ev WHERE event_type IN (0, 2, 5, 7)"""),
     "mold_roundtrip": tape_sql(_ITCH, f"SELECT venue feed, {_OUT} FROM sent"),
-    "journal_roundtrip": tape_sql("", "SELECT row_number() OVER (ORDER BY arrival) - 1 record, venue, event_type, seq AS sequence, ns exchange_ts_ns, symbol, order_id, 0 match_id, qty, price, side FROM ev"),
-    "nbbo_journal_roundtrip": tape_sql(_CHANGES, "SELECT row_number() OVER (ORDER BY arrival) - 1 record, symbol, ns exchange_ts_ns, bid_price, bid_qty, ask_price, ask_qty FROM ch"),
+    "journal_roundtrip": tape_sql("", "SELECT row_number() OVER (ORDER BY arrival) - 1 record, venue, event_type, seq AS sequence, ns exchange_ts_ns, symbol, "
+        "order_id, 0 match_id, qty, price, side FROM ev"),
+    "nbbo_journal_roundtrip": tape_sql(_CHANGES, "SELECT row_number() OVER (ORDER BY arrival) - 1 record, symbol, ns exchange_ts_ns, bid_price, bid_qty, "
+        "ask_price, ask_qty FROM ch"),
     "journal_counts": tape_sql("", "SELECT count(*) once, 2 * count(*) twice FROM ev"),
     "tape_buckets": tape_sql(_CURVE, "SELECT bucket, round(equity, 4) equity, round(r, 4) r FROM re"),
-    "tape_risk": tape_sql(_CURVE, """SELECT (SELECT round(avg(r) / stddev_pop(r), 6) FROM re) sharpe, (SELECT round(avg(r) / sqrt(avg(CASE WHEN r < 0 THEN r * r END)), 6) FROM re) sortino, (SELECT count(r) FROM re) n_returns,
-        round(avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END), 6) win_rate, round(avg(pnl), 6) avg_trade, count(*) n_trades, (SELECT round(max(peak - equity), 6) FROM (SELECT equity, max(equity) OVER (ORDER BY arrival) peak FROM cu)) max_drawdown FROM tr"""),
+    "tape_risk": tape_sql(_CURVE, """SELECT (SELECT round(avg(r) / stddev_pop(r), 6) FROM re) sharpe, (SELECT round(avg(r) / sqrt(avg(CASE
+        WHEN r < 0 THEN r * r END)), 6) FROM re) sortino, (SELECT count(r) FROM re) n_returns,
+        round(avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END), 6) win_rate, round(avg(pnl), 6) avg_trade, count(*) n_trades, (SELECT round(max(peak - equity),
+        6) FROM (SELECT equity, max(equity) OVER (ORDER BY arrival) peak FROM cu)) max_drawdown FROM tr"""),
 }

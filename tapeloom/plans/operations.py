@@ -126,26 +126,40 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _OCTETS = lambda x, n: f"list_transform(range({n}), lambda i: ({x} >> (8 * i)) & 255)"
-_EVENT_OCTETS = " || ".join(["[CAST(venue AS BIGINT), event_type]", _OCTETS("seq", 8), _OCTETS("ns", 8), "list_transform(range(8), lambda i: CAST(ascii(substr(rpad(symbol, 8, ' '), CAST(i + 1 AS BIGINT), 1)) AS BIGINT))", _OCTETS("order_id", 8), _OCTETS("CAST(qty AS BIGINT)", 4), _OCTETS("CAST(price AS BIGINT)", 4)])
+_EVENT_OCTETS = " || ".join(["[CAST(venue AS BIGINT), event_type]", _OCTETS("seq", 8), _OCTETS("ns", 8), "list_transform(range(8), "
+    "lambda i: CAST(ascii(substr(rpad(symbol, 8, ' '), CAST(i + 1 AS BIGINT), "
+        "1)) AS BIGINT))", _OCTETS("order_id", 8), _OCTETS("CAST(qty AS BIGINT)", 4), _OCTETS("CAST(price AS BIGINT)", 4)])
 #: CRC-32 by its table: each event's bytes by themselves, then the sums in a row, each carried over the next event's zero bytes by four tables.
-_CRC = f"""SELECT list_reduce(list(c ORDER BY arrival), lambda a, c: xor(xor(xor(z[(a & 255) + 1], z[((a >> 8) & 255) + 257]), xor(z[((a >> 16) & 255) + 513], z[((a >> 24) & 255) + 769])), c)) crc, TRUE same, count(*) AS events
-FROM (SELECT arrival, xor(list_reduce(list_prepend(4294967295::BIGINT, CAST({_EVENT_OCTETS} AS BIGINT[])), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) c FROM ev, tb),
-    (SELECT list_transform(range(1024), lambda k: list_reduce(list_prepend((k % 256) << (8 * (k // 256)), list_transform(range(42), lambda i: 0::BIGINT)), lambda c, b: xor(c >> 8, t[(c & 255) + 1]))) z FROM tb) GROUP BY z"""
+_CRC = f"""SELECT list_reduce(list(c ORDER BY arrival), lambda a, c: xor(xor(xor(z[(a & 255) + 1], z[((a >> 8) & 255) + 257]), xor(z[((a >> 16) & 255) + 513],
+        z[((a >> 24) & 255) + 769])), c)) crc, TRUE same, count(*) AS events
+FROM (SELECT arrival, xor(list_reduce(list_prepend(4294967295::BIGINT, CAST({_EVENT_OCTETS} AS BIGINT[])), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])),
+        4294967295) c FROM ev, tb),
+    (SELECT list_transform(range(1024), lambda k: list_reduce(list_prepend((k % 256) << (8 * (k // 256)), list_transform(range(42), lambda i: 0::BIGINT)),
+        lambda c, b: xor(c >> 8, t[(c & 255) + 1]))) z FROM tb) GROUP BY z"""
 
 ORACLE_SQL = {
     **replays.ORACLE_SQL,
-    "crc_witness": tape_sql(""", tb AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) t)""", _CRC),
-    "accepted_by_feed": tape_sql(""", copies AS (SELECT venue, seq, 'A' feed, arrival * 2 arrival FROM ev WHERE seq % 7 <> 0 UNION ALL SELECT venue, seq, 'B', arrival * 2 + 1 FROM ev WHERE seq % 5 <> 0)""",
-        "SELECT feed, count(*) accepted FROM (SELECT feed, row_number() OVER (PARTITION BY venue, seq ORDER BY arrival) rn FROM copies) WHERE rn = 1 GROUP BY feed"),
+    "crc_witness": tape_sql(""", tb AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE
+        WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) t)""", _CRC),
+    "accepted_by_feed": tape_sql(""", copies AS (SELECT venue, seq, 'A' feed, arrival * 2 arrival FROM ev WHERE seq % 7 <> 0 UNION ALL
+        SELECT venue, seq, 'B', arrival * 2 + 1 FROM ev WHERE seq % 5 <> 0)""",
+        "SELECT feed, count(*) accepted FROM (SELECT feed, row_number() OVER (PARTITION BY venue, seq ORDER BY arrival) rn FROM copies) WHERE rn = 1 "
+            "GROUP BY feed"),
     "research_tape": """WITH t AS (SELECT i, i % 4 slot, i // 24 AS cycle, (i // 4) % 6 step FROM range(6000) r(i))
-        SELECT list_extract(['AAPL0001', 'MSFT0002', 'NVDA0003', 'AMZN0004'], slot + 1) symbol, list_extract([0, 0, 7, 7, 5, 5], step + 1) event_type, list_extract([0, 1, 1, 0, 2, 2], step + 1) side, count(*) n,
-            CAST(sum(CASE WHEN step IN (0, 2) THEN 9999 + cycle % 97 WHEN step IN (1, 3) THEN 10001 + cycle % 97 ELSE 0 END) AS BIGINT) price_sum, CAST(sum(CASE WHEN step >= 4 THEN 0 ELSE 100 END) AS BIGINT) qty_sum FROM t GROUP BY ALL""",
+        SELECT list_extract(['AAPL0001', 'MSFT0002', 'NVDA0003', 'AMZN0004'], slot + 1) symbol, list_extract([0, 0, 7, 7, 5, 5], step + 1) event_type,
+        list_extract([0, 1, 1, 0, 2, 2], step + 1) side, count(*) n,
+            CAST(sum(CASE WHEN step IN (0, 2) THEN 9999 + cycle % 97 WHEN step IN (1, 3) THEN 10001 + cycle % 97 ELSE 0 END) AS BIGINT) price_sum,
+            CAST(sum(CASE WHEN step >= 4 THEN 0 ELSE 100 END) AS BIGINT) qty_sum FROM t GROUP BY ALL""",
     "shard_witness": tape_sql("", "SELECT CAST(4 AS BIGINT) runs, count(*) events FROM ev"),
     "symbol_codes": tape_sql("", "SELECT symbol, CAST(('0x' || hex(rpad(symbol, 8, ' '))) AS BIGINT) code, symbol AS back, count(*) n FROM ev GROUP BY ALL"),
-    "itch_type_counts": tape_sql("", "SELECT CASE event_type WHEN 0 THEN 'A' WHEN 2 THEN 'E' WHEN 4 THEN 'X' WHEN 5 THEN 'D' WHEN 7 THEN 'P' END AS type, 'ok' status, count(*) n FROM ev GROUP BY ALL"),
-    "crypto_lowering": """WITH ev AS (SELECT event_id, user_id, event_type = 'error' gone, CAST(floor(value * 10000 + 0.5) AS BIGINT) px, CASE WHEN event_id % 2 = 0 THEN 1500000 ELSE 250000 END q, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END side, event_id // 1000 epoch FROM events),
+    "itch_type_counts": tape_sql("", "SELECT CASE event_type WHEN 0 THEN 'A' WHEN 2 THEN 'E' WHEN 4 THEN 'X' WHEN 5 THEN 'D' "
+        "WHEN 7 THEN 'P' END AS type, 'ok' status, count(*) n FROM ev GROUP BY ALL"),
+    "crypto_lowering": """WITH ev AS (SELECT event_id, user_id, event_type = 'error' gone, CAST(floor(value * 10000 + 0.5) AS BIGINT) px, CASE
+        WHEN event_id % 2 = 0 THEN 1500000 ELSE 250000 END q, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END side, event_id // 1000 epoch FROM events),
         w AS (SELECT *, lag({'g': gone, 'p': px, 'q': q}) OVER (PARTITION BY epoch, user_id ORDER BY event_id) was FROM ev)
-        SELECT event_id * 65536 arrival, CASE WHEN gone THEN 4 WHEN was IS NOT NULL AND NOT was.g THEN 6 ELSE 0 END event_type, user_id order_id, CASE WHEN gone THEN 0 ELSE q END qty, CASE WHEN gone THEN 0 ELSE px END price,
-            CASE WHEN NOT gone AND was IS NOT NULL AND NOT was.g THEN was.q ELSE 0 END prev_qty, CASE WHEN NOT gone AND was IS NOT NULL AND NOT was.g THEN was.p ELSE 0 END prev_price, side FROM w WHERE NOT gone OR (was IS NOT NULL AND NOT was.g)""",
+        SELECT event_id * 65536 arrival, CASE WHEN gone THEN 4 WHEN was IS NOT NULL AND NOT was.g THEN 6 ELSE 0 END event_type, user_id order_id, CASE
+        WHEN gone THEN 0 ELSE q END qty, CASE WHEN gone THEN 0 ELSE px END price,
+            CASE WHEN NOT gone AND was IS NOT NULL AND NOT was.g THEN was.q ELSE 0 END prev_qty, CASE WHEN NOT gone AND was IS NOT NULL
+            AND NOT was.g THEN was.p ELSE 0 END prev_price, side FROM w WHERE NOT gone OR (was IS NOT NULL AND NOT was.g)""",
 }
 

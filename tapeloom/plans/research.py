@@ -185,7 +185,10 @@ QUERIES = {f.__name__: f for f in (
 
 _H = ", ".join(f"({h})" for h in HORIZONS)
 ROWS_SQL = OFI_SQL + _KYLE[len(TWO_SQL) :] + """,
-fr AS (SELECT ofi2.*, kl.kyle_raw, avg(ofi) OVER z zm, var_pop(ofi) OVER z zv, count(*) OVER z zn, CASE WHEN bid_qty + ask_qty > 0 THEN CAST(ask_price * bid_qty + bid_price * ask_qty AS DOUBLE) / (bid_qty + ask_qty) ELSE mid END micro, CAST(ask_price - bid_price AS DOUBLE) spread FROM ofi2 JOIN kl USING (arrival, symbol) WINDOW z AS (ORDER BY arrival ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))"""
+fr AS (SELECT ofi2.*, kl.kyle_raw, avg(ofi) OVER z zm, var_pop(ofi) OVER z zv, count(*) OVER z zn, CASE
+        WHEN bid_qty + ask_qty > 0 THEN CAST(ask_price * bid_qty + bid_price * ask_qty AS DOUBLE) / (bid_qty + ask_qty) ELSE mid END micro,
+        CAST(ask_price - bid_price AS DOUBLE) spread FROM ofi2 JOIN kl USING (arrival, symbol) WINDOW z AS (ORDER BY arrival ROWS BETWEEN 99 PRECEDING
+        AND CURRENT ROW))"""
 LABELS_SQL = f""",
 lb0 AS (SELECT arrival, symbol, ns, first_value(mid) OVER (PARTITION BY symbol, ns ORDER BY arrival) m0, h.h horizon, ns + h.h due FROM fr, (VALUES {_H}) h(h)),
 tl AS (SELECT symbol, ns, arg_min(mid, arrival) mid FROM fr GROUP BY ALL),
@@ -193,7 +196,8 @@ lb AS (SELECT a.arrival, a.horizon, (b.mid - a.m0) / a.m0 AS label FROM lb0 a AS
 _ZOO = {
     "ofi": "CAST(ofi AS DOUBLE)", "microprice_minus_mid": "micro - mid", "queue_ahead": "CAST(queue_ahead AS DOUBLE)", "ofi_times_spread": "CAST(ofi AS DOUBLE) * spread",
     "bid_ask_imbalance": "CASE WHEN bid_qty + ask_qty > 0 THEN CAST(bid_qty - ask_qty AS DOUBLE) / (bid_qty + ask_qty) ELSE 0.0 END",
-    "kyle_lambda": "kyle_raw", "ofi_zscore": "round(CASE WHEN zn >= 2 AND zv > 1e-12 THEN (ofi - zm) / sqrt(zv) ELSE 0.0 END, 9)", "microprice_spread_adj": "CASE WHEN spread > 0 THEN (micro - mid) / spread ELSE 0.0 END",
+    "kyle_lambda": "kyle_raw", "ofi_zscore": "round(CASE WHEN zn >= 2 AND zv > 1e-12 THEN (ofi - zm) / sqrt(zv) "
+        "ELSE 0.0 END, 9)", "microprice_spread_adj": "CASE WHEN spread > 0 THEN (micro - mid) / spread ELSE 0.0 END",
     "sign_microprice_minus_mid": "CAST(sign(micro - mid) AS DOUBLE)", "queue_over_spread": "queue_ahead / greatest(1.0, spread)",
 }
 # Of the three sequential signals: the mean that trades move and the toxicity of volume buckets, carried on to later rows.
@@ -201,18 +205,25 @@ _TOX, _EMA = (MARKET_SQL[k].split(TWO_SQL, 1)[1].rsplit("\nSELECT", 1)[0] for k
 _EMA = _EMA.replace("tr AS", "te AS").replace("FROM tr", "FROM te").replace("ls AS", "le AS")
 _CARRIED = _EMA + _TOX + """, sq AS (SELECT le.arrival, coalesce(list_reduce(le.l, lambda x, y: 0.95 * x + (1 - 0.95) * y), 0.0) es,
     coalesce(last_value(v.vp IGNORE NULLS) OVER (PARTITION BY le.symbol ORDER BY le.arrival ROWS UNBOUNDED PRECEDING), 0.0) vp
-    FROM le LEFT JOIN (SELECT arrival, coalesce(list_aggregate(list_slice(l, -32, -1), 'avg'), 0.0) vp FROM ls WHERE arrival IS NOT NULL) v ON v.arrival = le.arrival)"""
-_SEQUENTIAL = " UNION ALL ".join(f"SELECT arrival, '{n}', round({e}, 9) FROM sq" for n, e in (("effective_spread", "es"), ("neg_effective_spread", "0.0 - es"), ("vpin", "vp")))
+    FROM le LEFT JOIN (SELECT arrival, coalesce(list_aggregate(list_slice(l, -32, -1), 'avg'), 0.0) vp FROM ls
+        WHERE arrival IS NOT NULL) v ON v.arrival = le.arrival)"""
+_SEQUENTIAL = " UNION ALL ".join(f"SELECT arrival, '{n}', round({e}, 9) "
+    f"FROM sq" for n, e in (("effective_spread", "es"), ("neg_effective_spread", "0.0 - es"), ("vpin", "vp")))
 SIGNALS_SQL = ", sg AS (" + " UNION ALL ".join(f"SELECT arrival, '{n}' AS signal, {e} AS value FROM fr" for n, e in _ZOO.items()) + ")"
 EVERY_SIGNAL_SQL = _CARRIED + SIGNALS_SQL[:-1] + f" UNION ALL {_SEQUENTIAL})"
 FOLDS_SQL = ", fo AS (SELECT arrival, ns, least((row_number() OVER (ORDER BY ns, arrival) - 1) // greatest(1, count(*) OVER () // 5), 4) fold FROM fr)"
 PAIRS_SQL = LABELS_SQL + EVERY_SIGNAL_SQL + FOLDS_SQL + """,
-pr AS (SELECT s.signal, l.horizon, f.fold, s.arrival, s.value, l.label FROM sg s JOIN lb l USING (arrival) JOIN fo f USING (arrival) WHERE l.label IS NOT NULL)"""
+pr AS (SELECT s.signal, l.horizon, f.fold, s.arrival, s.value, l.label FROM sg s JOIN lb l USING (arrival) JOIN fo f USING (arrival)
+        WHERE l.label IS NOT NULL)"""
 METRICS_SQL = PAIRS_SQL + """,
-rk AS (SELECT *, row_number() OVER (PARTITION BY signal, horizon, fold ORDER BY value, arrival) up, count(*) OVER (PARTITION BY signal, horizon, fold) n, greatest(1, count(*) OVER (PARTITION BY signal, horizon, fold) // 5) q FROM pr),
-me AS (SELECT signal, horizon, fold, CASE WHEN count(*) >= 3 AND var_pop(value) > 0 AND var_pop(label) > 0 THEN corr(value, label) ELSE 0.0 END ic, avg(CASE WHEN value * label > 0 THEN 1.0 ELSE 0.0 END) hit_rate,
-    CASE WHEN count(*) >= 10 THEN (coalesce(sum(CASE WHEN up > n - q THEN label END), 0) - coalesce(sum(CASE WHEN up <= q THEN label END), 0)) / max(q) ELSE 0.0 END quintile_spread, count(*) n FROM rk GROUP BY ALL),
-ag AS (SELECT signal, horizon, avg(ic) mean_ic, stddev_pop(ic) std_ic, avg(quintile_spread) mean_spread, stddev_pop(quintile_spread) std_spread, count(*) folds FROM me GROUP BY ALL)"""
+rk AS (SELECT *, row_number() OVER (PARTITION BY signal, horizon, fold ORDER BY value, arrival) up, count(*) OVER (PARTITION BY signal, horizon, fold) n,
+        greatest(1, count(*) OVER (PARTITION BY signal, horizon, fold) // 5) q FROM pr),
+me AS (SELECT signal, horizon, fold, CASE WHEN count(*) >= 3 AND var_pop(value) > 0 AND var_pop(label) > 0 THEN corr(value, label)
+        ELSE 0.0 END ic, avg(CASE WHEN value * label > 0 THEN 1.0 ELSE 0.0 END) hit_rate,
+    CASE WHEN count(*) >= 10 THEN (coalesce(sum(CASE WHEN up > n - q THEN label END), 0) - coalesce(sum(CASE WHEN up <= q THEN label END), 0)) / max(q)
+        ELSE 0.0 END quintile_spread, count(*) n FROM rk GROUP BY ALL),
+ag AS (SELECT signal, horizon, avg(ic) mean_ic, stddev_pop(ic) std_ic, avg(quintile_spread) mean_spread, stddev_pop(quintile_spread) std_spread,
+        count(*) folds FROM me GROUP BY ALL)"""
 
 
 def _sharpe(x: str) -> str:
@@ -221,7 +232,8 @@ def _sharpe(x: str) -> str:
 
 _R = "sign(value) * label"
 _COSTED = LABELS_SQL + ", cs AS (SELECT CAST(ofi AS DOUBLE) AS value, spread * 1e-4 spread, label FROM fr JOIN lb USING (arrival) WHERE horizon = 3600000000000 AND label IS NOT NULL)" + f""",
-sw AS (SELECT *, sign(value) * p.p * label gross, sign(value) * p.p * label - (abs(sign(value) * p.p) * (0.5 * spread + CASE WHEN spread <= 0 THEN 0.01 ELSE 0.0 END + 0.0005) + 1e-6 * abs(sign(value) * p.p)) net FROM cs, (VALUES {", ".join(f"(CAST({g} AS DOUBLE))" for g in research.GRID)}) p(p)),
+sw AS (SELECT *, sign(value) * p.p * label gross, sign(value) * p.p * label - (abs(sign(value) * p.p) * (0.5 * spread + CASE WHEN spread <= 0 THEN 0.01
+        ELSE 0.0 END + 0.0005) + 1e-6 * abs(sign(value) * p.p)) net FROM cs, (VALUES {", ".join(f"(CAST({g} AS DOUBLE))" for g in research.GRID)}) p(p)),
 cv AS (SELECT p participation, {_sharpe("gross")} gross_sharpe, {_sharpe("net")} net_sharpe, avg(gross) mean_return FROM sw GROUP BY p)"""
 _GAPS = ", gp AS (SELECT CAST(floor((ns - lag(ns) OVER (PARTITION BY symbol ORDER BY arrival)) / 1000) AS BIGINT) gap FROM ev), gg AS (SELECT gap FROM gp WHERE gap > 0)"
 _HIST = _GAPS + ", hi AS (SELECT CAST(floor(log2(gap)) AS BIGINT) bucket, count(*) n FROM gg GROUP BY ALL)"
@@ -233,7 +245,8 @@ def _z(part: str) -> str:
 
 
 _FOLDED = FOLDS_SQL + f""", wi AS (SELECT fold f, min(ns) a, max(ns) b, greatest(0, min(ns) - {PURGE}) oa, max(ns) + {EMBARGO} ob FROM fo GROUP BY fold),
-asg AS (SELECT w.f fold, o.arrival, o.ns, CASE WHEN o.fold = w.f THEN 'test' ELSE 'train' END AS role FROM fo o, wi w WHERE o.fold = w.f OR o.ns NOT BETWEEN w.oa AND w.ob)"""
+asg AS (SELECT w.f fold, o.arrival, o.ns, CASE WHEN o.fold = w.f THEN 'test' ELSE 'train' END AS role FROM fo o, wi w
+        WHERE o.fold = w.f OR o.ns NOT BETWEEN w.oa AND w.ob)"""
 _FULL = ROWS_SQL
 
 #: 2000 rounds of blocks of 3 days; a block begins at the first 60 bits of the MD5 of seed:round:block, modulo the days.
@@ -242,46 +255,73 @@ placed AS (SELECT row_number() OVER (ORDER BY day) i, r FROM days),
 sums AS (SELECT 0 i, 0.0::DOUBLE upto UNION ALL SELECT i, sum(r) OVER (ORDER BY i) FROM placed),
 whole_ AS (SELECT count(*) n, (count(*) + 2) // 3 blocks, sum(r) whole FROM placed),
 drawn AS (SELECT k // blocks round_, n, whole, CASE WHEN k % blocks = blocks - 1 THEN n - 3 * (blocks - 1) ELSE 3 END size,
-    CAST('0x' || substr(md5('7:' || (k // blocks) || ':' || (k % blocks)), 1, 15) AS BIGINT) % n s FROM (SELECT *, unnest(range(2000 * blocks)) k FROM whole_))"""
+    CAST('0x' || substr(md5('7:' || (k // blocks) || ':' || (k % blocks)), 1, 15) AS BIGINT) % n s FROM (SELECT *, unnest(range(2000 * blocks)) k
+        FROM whole_))"""
 
 ORACLE_SQL = {k: tape_sql("," + v[0], v[1]).replace("WITH ", "WITH RECURSIVE ", 1) for k, v in {
     "forward_labels": (_FULL + LABELS_SQL, "SELECT arrival, horizon, round(label, 10) AS label FROM lb"),
-    "labelled_features": (_FULL + LABELS_SQL, "SELECT f.arrival, f.symbol, f.mid, " + ", ".join(f"round(max(CASE WHEN horizon = {h} THEN label END), 10) label_{k}" for k, h in enumerate(HORIZONS)) + " FROM fr f JOIN lb USING (arrival) GROUP BY ALL"),
+    "labelled_features": (_FULL + LABELS_SQL, "SELECT f.arrival, f.symbol, f.mid, " + ", ".join(f"round(max(CASE "
+        f"WHEN horizon = {h} THEN label END), 10) label_{k}" for k, h in enumerate(HORIZONS)) + " FROM fr f JOIN lb USING (arrival) GROUP BY ALL"),
     "ofi_zscore": (_FULL, _z("")),
     "ofi_zscore_by_symbol": (_FULL, _z("PARTITION BY symbol")),
     "purged_folds": (_FULL + _FOLDED, "SELECT fold, role, count(*) n, min(ns) lo, max(ns) hi, CAST(sum(arrival) AS BIGINT) arrivals FROM asg GROUP BY ALL"),
-    "leak_check": (_FULL + _FOLDED, f"SELECT t.fold, count(CASE WHEN t.ns <= w.b AND t.ns + {6 * HOUR} >= w.a THEN 1 END) n_leaks FROM asg t JOIN wi w ON w.f = t.fold WHERE t.role = 'train' GROUP BY ALL"),
-    "signal_fold_metrics": (_FULL + METRICS_SQL, "SELECT signal, horizon, fold, round(ic, 6) ic, round(hit_rate, 6) hit_rate, round(quintile_spread, 8) quintile_spread, n FROM me"),
-    "signal_aggregate": (_FULL + METRICS_SQL, "SELECT signal, horizon, round(mean_ic, 6) mean_ic, round(std_ic, 6) std_ic, round(mean_spread, 8) mean_spread, round(std_spread, 8) std_spread, folds FROM ag"),
+    "leak_check": (_FULL + _FOLDED, f"SELECT t.fold, count(CASE WHEN t.ns <= w.b AND t.ns + {6 * HOUR} >= w.a THEN 1 END) n_leaks FROM asg t "
+        f"JOIN wi w ON w.f = t.fold WHERE t.role = 'train' GROUP BY ALL"),
+    "signal_fold_metrics": (_FULL + METRICS_SQL, "SELECT signal, horizon, fold, round(ic, 6) ic, round(hit_rate, 6) hit_rate, round(quintile_spread, "
+        "8) quintile_spread, n FROM me"),
+    "signal_aggregate": (_FULL + METRICS_SQL, "SELECT signal, horizon, round(mean_ic, 6) mean_ic, round(std_ic, 6) std_ic, round(mean_spread, 8) mean_spread, "
+        "round(std_spread, 8) std_spread, folds FROM ag"),
     "top_signals": (_FULL + METRICS_SQL, "SELECT signal, horizon, round(mean_ic, 6) mean_ic FROM ag ORDER BY ag.mean_ic DESC, signal, horizon LIMIT 10"),
     "sharpe_moments": (_FULL + PAIRS_SQL + f""", rr AS (SELECT signal, horizon, {_R} r, avg({_R}) OVER (PARTITION BY signal, horizon) m FROM pr),
         mo AS (SELECT signal, horizon, avg(r) a, avg((r - m) ** 2) v, avg((r - m) ** 3) c, avg((r - m) ** 4) k, count(*) n FROM rr GROUP BY ALL)""",
-        "SELECT signal, horizon, round(CASE WHEN n >= 2 AND v > 0 THEN a / sqrt(v) ELSE 0.0 END, 5) sharpe, round(CASE WHEN n >= 3 AND v > 0 THEN c / v ** 1.5 ELSE 0.0 END, 5) skew, round(CASE WHEN n >= 4 AND v > 0 THEN k / (v * v) - 3 ELSE 0.0 END, 5) kurtosis, n FROM mo"),
-    "pbo": (_FULL + METRICS_SQL + ", bs AS (SELECT a.fold, max(a.ic) i, max(b.ic) o FROM me a JOIN me b ON a.signal = b.signal AND a.horizon = b.horizon AND b.fold = a.fold + 1 WHERE a.horizon = 3600000000000 GROUP BY a.fold)", "SELECT round(coalesce(avg(CASE WHEN i > o THEN 1.0 ELSE 0.0 END), 0.5), 6) pbo, count(*) comparisons FROM bs"),
-    "capacity_sweep": (_FULL + _COSTED, "SELECT participation, round(gross_sharpe, 6) gross_sharpe, round(net_sharpe, 6) net_sharpe, round(mean_return, 10) mean_return FROM cv"),
+        "SELECT signal, horizon, round(CASE WHEN n >= 2 AND v > 0 THEN a / sqrt(v) ELSE 0.0 END, 5) sharpe, round(CASE WHEN n >= 3 "
+            "AND v > 0 THEN c / v ** 1.5 ELSE 0.0 END, 5) skew, round(CASE WHEN n >= 4 AND v > 0 THEN k / (v * v) - 3 ELSE 0.0 END, 5) kurtosis, n FROM mo"),
+    "pbo": (_FULL + METRICS_SQL + ", bs AS (SELECT a.fold, max(a.ic) i, max(b.ic) o FROM me a JOIN me b ON a.signal = b.signal AND a.horizon = b.horizon "
+        "AND b.fold = a.fold + 1 WHERE a.horizon = 3600000000000 GROUP BY a.fold)", "SELECT round(coalesce(avg(CASE WHEN i > o THEN 1.0 "
+            "ELSE 0.0 END), 0.5), 6) pbo, count(*) comparisons FROM bs"),
+    "capacity_sweep": (_FULL + _COSTED, "SELECT participation, round(gross_sharpe, 6) gross_sharpe, round(net_sharpe, 6) net_sharpe, round(mean_return, "
+        "10) mean_return FROM cv"),
     "capacity_ceiling": (_FULL + _COSTED, "SELECT coalesce(max(CASE WHEN net_sharpe > 0 THEN participation END), 0.0) ceiling FROM cv"),
     "calibrated_impact": (_FULL, "SELECT round(coalesce(avg(CASE WHEN spread > 0 THEN spread END) * 1e-7, 1e-6), 12) impact_lambda FROM fr"),
-    "proxy_sharpe": (_FULL + PAIRS_SQL, f"SELECT signal, fold, round({_sharpe(_R)}, 6) sharpe, count(*) // 100 fills FROM pr WHERE horizon = 3600000000000 GROUP BY ALL"),
-    "ablation": (_FULL + METRICS_SQL + f", ps AS (SELECT fold, {_sharpe(_R)} s FROM pr WHERE horizon = 3600000000000 AND signal = 'ofi' GROUP BY fold), zq AS (SELECT fold, CASE WHEN count(*) >= 10 THEN (sum(CASE WHEN up > n - q THEN label END) - sum(CASE WHEN up <= q THEN label END)) / max(q) ELSE 0.0 END z FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY arrival) up, count(*) OVER (PARTITION BY fold) n, greatest(1, count(*) OVER (PARTITION BY fold) // 5) q FROM pr WHERE horizon = 3600000000000 AND signal = 'ofi') GROUP BY fold), mm AS (SELECT * FROM me WHERE horizon = 3600000000000 AND signal = 'ofi')",
-        "SELECT v variant, round(CASE WHEN z THEN 0.0 ELSE (SELECT avg(ic) FROM mm) END, 6) mean_ic, round(CASE WHEN z THEN (SELECT avg(z) FROM zq) ELSE (SELECT avg(quintile_spread) FROM mm) END, 8) mean_spread, round(CASE WHEN z THEN 0.0 ELSE (SELECT avg(s) FROM ps) END, 6) net_sharpe FROM (VALUES ('full_signal', false), ('ablate_ofi_component', true), ('ablate_microprice_component', false)) t(v, z)"
+    "proxy_sharpe": (_FULL + PAIRS_SQL, f"SELECT signal, fold, round({_sharpe(_R)}, 6) sharpe, count(*) // 100 fills FROM pr "
+        f"WHERE horizon = 3600000000000 GROUP BY ALL"),
+    "ablation": (_FULL + METRICS_SQL + f", ps AS (SELECT fold, {_sharpe(_R)} s FROM pr WHERE horizon = 3600000000000 AND signal = 'ofi' "
+        f"GROUP BY fold), zq AS (SELECT fold, CASE WHEN count(*) >= 10 THEN (sum(CASE WHEN up > n - q THEN label END) - sum(CASE "
+            f"WHEN up <= q THEN label END)) / max(q) ELSE 0.0 END z FROM (SELECT *, row_number() OVER (PARTITION BY fold "
+                f"ORDER BY arrival) up, count(*) OVER (PARTITION BY fold) n, greatest(1, count(*) OVER (PARTITION BY fold) // 5) q FROM pr "
+                    f"WHERE horizon = 3600000000000 AND signal = 'ofi') GROUP BY fold), mm AS (SELECT * FROM me WHERE horizon = 3600000000000 "
+                        f"AND signal = 'ofi')",
+        "SELECT v variant, round(CASE WHEN z THEN 0.0 ELSE (SELECT avg(ic) FROM mm) END, 6) mean_ic, round(CASE WHEN z THEN (SELECT avg(z) FROM zq) "
+            "ELSE (SELECT avg(quintile_spread) FROM mm) END, 8) mean_spread, round(CASE WHEN z THEN 0.0 ELSE (SELECT avg(s) FROM ps) END, 6) net_sharpe "
+                "FROM (VALUES ('full_signal', false), ('ablate_ofi_component', true), ('ablate_microprice_component', false)) t(v, z)"
         f""" UNION ALL SELECT variant, round((SELECT avg(ic) FROM mm), 6), round((SELECT avg(quintile_spread) FROM mm), 8), round(s, 6) FROM (
             SELECT 'no_cost_model' variant, {_sharpe("sign(value) * 0.01::DOUBLE * label")} s FROM pr WHERE horizon = 3600000000000 AND signal = 'ofi'
             UNION ALL SELECT 'phase0_ofi_baseline', {_sharpe(_R)} FROM pr WHERE horizon = 3600000000000 AND signal = 'ofi')"""),
     "latency_histogram": (_HIST[1:], "SELECT bucket, n, CAST(2.0 ** bucket AS DOUBLE) low FROM hi"),
-    "histogram_quantiles": (_HIST[1:], "SELECT CAST(p AS DOUBLE) p, CAST(2.0 ** min(bucket) AS DOUBLE) quantile FROM (SELECT bucket, sum(n) OVER (ORDER BY bucket) u, sum(n) OVER () a FROM hi), (VALUES (0.5), (0.9), (0.99)) t(p) WHERE u >= ceil(a * CAST(p AS DOUBLE)) GROUP BY p"),
+    "histogram_quantiles": (_HIST[1:], "SELECT CAST(p AS DOUBLE) p, CAST(2.0 ** min(bucket) AS DOUBLE) quantile "
+        "FROM (SELECT bucket, sum(n) OVER (ORDER BY bucket) u, sum(n) OVER () a FROM hi), (VALUES (0.5), (0.9), (0.99)) t(p) "
+            "WHERE u >= ceil(a * CAST(p AS DOUBLE)) GROUP BY p"),
     "block_bootstrap": (_DAYS, f"""SELECT avg(CASE WHEN m <= 0 THEN 1.0 ELSE 0.0 END) p_value, round(avg(m), 9) mean, any_value(n) n FROM
         (SELECT round_, any_value(n) n, sum(b.upto - a.upto + CASE WHEN s + size > n THEN whole ELSE 0.0 END) / any_value(n) m FROM drawn
             JOIN sums a ON a.i = s JOIN sums b ON b.i = CASE WHEN s + size > n THEN s + size - n ELSE s + size END GROUP BY round_)"""),
-    "nearest_rank": (_GAPS[1:], "SELECT CAST(p AS DOUBLE) p, max(CASE WHEN rn - 1 = CAST(floor(CAST(p AS DOUBLE) * (n - 1)) AS BIGINT) THEN gap END) AS value FROM (SELECT gap, row_number() OVER (ORDER BY gap) rn, count(*) OVER () n FROM gg), (VALUES (0.5), (0.9), (0.99)) t(p) GROUP BY p"),
+    "nearest_rank": (_GAPS[1:], "SELECT CAST(p AS DOUBLE) p, max(CASE "
+        "WHEN rn - 1 = CAST(floor(CAST(p AS DOUBLE) * (n - 1)) AS BIGINT) THEN gap END) AS value FROM (SELECT gap, row_number() OVER (ORDER BY gap) rn, "
+            "count(*) OVER () n FROM gg), (VALUES (0.5), (0.9), (0.99)) t(p) GROUP BY p"),
 }.items()}
 
-ORACLE_SQL["signal_zoo"] = tape_sql("," + _FULL + SIGNALS_SQL + _CARRIED, f"SELECT arrival, signal, round(value, 9) AS value FROM sg UNION ALL {_SEQUENTIAL}").replace("WITH ", "WITH RECURSIVE ", 1)
+ORACLE_SQL["signal_zoo"] = tape_sql("," + _FULL + SIGNALS_SQL + _CARRIED, f"SELECT arrival, signal, round(value, 9) AS value FROM sg "
+    f"UNION ALL {_SEQUENTIAL}").replace("WITH ", "WITH RECURSIVE ", 1)
 
 # The normal distribution function by its series of positive terms, z^(2k+1) / (2k+1)!!.
 _PHI = "CASE WHEN abs(z) > 8 THEN CASE WHEN z > 0 THEN 1.0 ELSE 0.0 END WHEN z = 0 THEN 0.5 ELSE 0.5 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 300), lambda k: exp((2 * k + 1) * ln(abs(z)) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1)))) END"
-ORACLE_SQL["deflated_sharpe"] = tape_sql("," + _FULL + PAIRS_SQL + f""", rr AS (SELECT signal, horizon, {_R} r, avg({_R}) OVER (PARTITION BY signal, horizon) m FROM pr),
+ORACLE_SQL["deflated_sharpe"] = tape_sql("," + _FULL + PAIRS_SQL + f""", rr AS (SELECT signal, horizon, {_R} r, avg({_R}) OVER (PARTITION BY signal,
+        horizon) m FROM pr),
     mo AS (SELECT signal, horizon, avg(r) a, avg((r - m) ** 2) v, avg((r - m) ** 3) c, avg((r - m) ** 4) k, count(*) n FROM rr GROUP BY ALL),
-    ms AS (SELECT signal, horizon, n, CASE WHEN n >= 2 AND v > 0 THEN a / sqrt(v) ELSE 0.0 END sr, CASE WHEN n >= 3 AND v > 0 THEN c / v ** 1.5 ELSE 0.0 END skew, CASE WHEN n >= 4 AND v > 0 THEN k / (v * v) - 3 ELSE 0.0 END kurt FROM mo),
-    one AS (SELECT *, (sr - (skew / 6 * sr + kurt / 24 * sr * sr)) * sqrt((n - 1) / (n - 2)) adjusted, (SELECT stddev_pop(sr) FROM ms) sd, sqrt(2 * ln((SELECT count(*) FROM ms) * 5)) w FROM ms ORDER BY round(sr, 9) DESC, signal DESC LIMIT 1),
-    ex AS (SELECT *, sd * ((1 - 0.5772156649015329) * w + 0.5772156649015329 / w) expected_max FROM one), zz AS (SELECT *, (adjusted - expected_max) * sqrt(n - 1) z FROM ex)""",
-    f"SELECT signal, horizon, round(adjusted, 6) adjusted, round(expected_max, 6) expected_max, round(z, 6) z, round(1 - ({_PHI}), 6) p_value FROM zz").replace("WITH ", "WITH RECURSIVE ", 1)
+    ms AS (SELECT signal, horizon, n, CASE WHEN n >= 2 AND v > 0 THEN a / sqrt(v) ELSE 0.0 END sr, CASE WHEN n >= 3 AND v > 0 THEN c / v ** 1.5
+        ELSE 0.0 END skew, CASE WHEN n >= 4 AND v > 0 THEN k / (v * v) - 3 ELSE 0.0 END kurt FROM mo),
+    one AS (SELECT *, (sr - (skew / 6 * sr + kurt / 24 * sr * sr)) * sqrt((n - 1) / (n - 2)) adjusted, (SELECT stddev_pop(sr)
+        FROM ms) sd, sqrt(2 * ln((SELECT count(*) FROM ms) * 5)) w FROM ms ORDER BY round(sr, 9) DESC, signal DESC LIMIT 1),
+    ex AS (SELECT *, sd * ((1 - 0.5772156649015329) * w + 0.5772156649015329 / w) expected_max FROM one), zz AS (SELECT *,
+        (adjusted - expected_max) * sqrt(n - 1) z FROM ex)""",
+    f"SELECT signal, horizon, round(adjusted, 6) adjusted, round(expected_max, 6) expected_max, round(z, 6) z, round(1 - ({_PHI}), 6) p_value "
+        f"FROM zz").replace("WITH ", "WITH RECURSIVE ", 1)

@@ -166,7 +166,8 @@ _KINDS = {"A": 0, "F": 1, "E": 2, "C": 3, "X": 4, "D": 5, "U": 6, "P": 7, "Q": 8
 
 def _all_types_sql(letters: str, kinds: dict[str, int], has: dict[str, str], time: str = "ns") -> str:
     """`has`: field -> the letters of the types that carry it."""
-    dressed = f""", dressed AS (SELECT arrival, seq, ns % 140737488355328 ns, symbol, order_id, order_id + 7 older, seq AS match_no, qty, 9000 + arrival % 2000 px, arrival % 3 s, 'MP' || (10 + arrival % 90) maker FROM ev),
+    dressed = f""", dressed AS (SELECT arrival, seq, ns % 140737488355328 ns, symbol, order_id, order_id + 7 older, seq AS match_no, qty,
+        9000 + arrival % 2000 px, arrival % 3 s, 'MP' || (10 + arrival % 90) maker FROM ev),
         lettered AS (SELECT *, substr('{letters}', CAST(arrival % {len(letters)} + 1 AS BIGINT), 1) t FROM dressed)"""
     value = {"symbol": ("symbol", "''"), "order_id": ("order_id", "0"), "match_id": ("match_no", "0"), "qty": ("qty", "0"), "price": ("px", "0"), "side": ("s", "2"), "reference_order_id": ("older", "0"), "mpid": ("maker", "NULL")}
     cells = [f"CASE WHEN contains('{has.get(f, '')}', t) THEN {there} ELSE {absent} END {f}" for f, (there, absent) in value.items()]
@@ -176,11 +177,14 @@ def _all_types_sql(letters: str, kinds: dict[str, int], has: dict[str, str], tim
 
 _BAD = f"record % {BAD_EVERY} = {BAD_AT}"
 _RECORDS = ", rec AS (SELECT *, row_number() OVER (ORDER BY arrival) - 1 record FROM ev)"
-_FRAMES = f"""fr AS (SELECT event_id, user_id, 'tS' || (user_id % 3) || 'USD' symbol, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) n, event_type = 'error' gone,
-    CAST(floor(value * 10000 + 0.5) AS BIGINT) px, CASE WHEN event_id % 2 = 0 THEN 1500000 ELSE 250000 END q, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END side FROM events),
+_FRAMES = f"""fr AS (SELECT event_id, user_id, 'tS' || (user_id % 3) || 'USD' symbol, row_number() OVER (PARTITION BY user_id % 3
+        ORDER BY event_id) n, event_type = 'error' gone,
+    CAST(floor(value * 10000 + 0.5) AS BIGINT) px, CASE WHEN event_id % 2 = 0 THEN 1500000 ELSE 250000 END q, CASE WHEN event_id % 2 = 0 THEN 0
+        ELSE 1 END side FROM events),
 kept AS (SELECT *, n % {SNAPSHOT_EVERY} = 1 snap, CASE WHEN n % {BARE_EVERY} = 3 THEN 0 ELSE n END number FROM fr WHERE n % {LOST_EVERY} <> 7),
 ep AS (SELECT *, count(*) FILTER (snap) OVER (PARTITION BY symbol ORDER BY event_id) epoch FROM kept),
-ls AS (SELECT *, last_value(nullif(number, 0) IGNORE NULLS) OVER (PARTITION BY symbol, epoch ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) before FROM ep),
+ls AS (SELECT *, last_value(nullif(number, 0) IGNORE NULLS) OVER (PARTITION BY symbol, epoch ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING
+        AND 1 PRECEDING) before FROM ep),
 gp AS (SELECT *, NOT snap AND number <> 0 AND number <> coalesce(before, -1) + 1 gap FROM ls),
 lo AS (SELECT *, epoch = 0 OR bool_or(gap) OVER (PARTITION BY symbol, epoch ORDER BY event_id) lost FROM gp)"""
 
@@ -188,15 +192,20 @@ ORACLE_SQL = {
     "itch_all_types": _all_types_sql(ITCH_LETTERS, _KINDS, {"symbol": "AFPQIR", "order_id": "AFECXDUP", "match_id": "ECPQ", "qty": "AFECXUPQI", "price": "AFCUPQ", "side": "AFP", "reference_order_id": "U", "mpid": "F"}),
     "pitch_all_types": _all_types_sql(PITCH_LETTERS, {"A": 0, "d": 1, "1": 1, "E": 2, "X": 4, "P": 7, "r": 7, "2": 7}, {"symbol": "Ad1Pr2", "order_id": PITCH_LETTERS, "match_id": "EPr2", "qty": PITCH_LETTERS, "price": "Ad1Pr2", "side": "Ad1Pr2", "mpid": "d1"}, f"(ns // 1000000) % {DAY_MS} * 1000000"),
     "deep_all_types": _all_types_sql(DEEP_LETTERS, {"a": 0, "M": 6, "R": 5, "L": 3, "T": 7, "S": 10, "E": 10}, {"symbol": "aMRLTE", "order_id": "aMRL", "match_id": "LT", "qty": "aMLT", "price": "aMLT", "side": "a"}),
-    "damaged_journal": tape_sql(_RECORDS, f"""SELECT record, CASE WHEN {_BAD} THEN 'record_crc' ELSE 'ok' END status, CASE WHEN NOT {_BAD} THEN symbol END symbol, CASE WHEN NOT {_BAD} THEN order_id END order_id FROM rec
+    "damaged_journal": tape_sql(_RECORDS, f"""SELECT record, CASE WHEN {_BAD} THEN 'record_crc' ELSE 'ok' END status, CASE
+        WHEN NOT {_BAD} THEN symbol END symbol, CASE WHEN NOT {_BAD} THEN order_id END order_id FROM rec
         UNION ALL SELECT count(*), 'unexpected_eof', NULL, NULL FROM rec"""),
     "failsafe_journal": tape_sql(_RECORDS, f"SELECT record, symbol, order_id, qty, price FROM rec WHERE NOT {_BAD}"),
-    "journal_data_loss": tape_sql(_RECORDS, f"SELECT 'sound' journal, 'OK' code, CAST(NULL AS VARCHAR) reason, CAST(0 AS BIGINT) bad UNION ALL SELECT 'damaged', 'DATA_LOSS', 'record_crc', count(*) FILTER ({_BAD}) + 1 FROM rec"),
+    "journal_data_loss": tape_sql(_RECORDS, f"SELECT 'sound' journal, 'OK' code, CAST(NULL AS VARCHAR) reason, CAST(0 AS BIGINT) bad UNION ALL "
+        f"SELECT 'damaged', 'DATA_LOSS', 'record_crc', count(*) FILTER ({_BAD}) + 1 FROM rec"),
     "crypto_resync_stats": f"""WITH {_FRAMES}
-SELECT symbol, count(*) FILTER (snap) snapshots, count(DISTINCT CASE WHEN lost AND epoch > 0 THEN epoch END) gaps, count(*) FILTER (NOT snap AND lost) - count(DISTINCT CASE WHEN lost AND epoch > 0 THEN epoch END) ignored,
+SELECT symbol, count(*) FILTER (snap) snapshots, count(DISTINCT CASE WHEN lost AND epoch > 0 THEN epoch END) gaps, count(*) FILTER (NOT snap
+        AND lost) - count(DISTINCT CASE WHEN lost AND epoch > 0 THEN epoch END) ignored,
     count(*) FILTER (NOT snap AND NOT lost) applied FROM lo GROUP BY symbol""",
     "crypto_resync_events": f"""WITH {_FRAMES},
 w AS (SELECT *, lag({{'g': gone, 'p': px, 'q': q}}) OVER (PARTITION BY symbol, epoch, user_id ORDER BY event_id) was FROM lo WHERE NOT lost)
-SELECT event_id * 65536 arrival, symbol, CASE WHEN gone THEN 4 WHEN was IS NOT NULL AND NOT was.g THEN 6 ELSE 0 END event_type, number AS sequence, user_id order_id, CASE WHEN gone THEN 0 ELSE q END qty, CASE WHEN gone THEN 0 ELSE px END price,
-    CASE WHEN NOT gone AND was IS NOT NULL AND NOT was.g THEN was.q ELSE 0 END prev_qty, CASE WHEN NOT gone AND was IS NOT NULL AND NOT was.g THEN was.p ELSE 0 END prev_price, side FROM w WHERE NOT gone OR (was IS NOT NULL AND NOT was.g)""",
+SELECT event_id * 65536 arrival, symbol, CASE WHEN gone THEN 4 WHEN was IS NOT NULL AND NOT was.g THEN 6
+        ELSE 0 END event_type, number AS sequence, user_id order_id, CASE WHEN gone THEN 0 ELSE q END qty, CASE WHEN gone THEN 0 ELSE px END price,
+    CASE WHEN NOT gone AND was IS NOT NULL AND NOT was.g THEN was.q ELSE 0 END prev_qty, CASE WHEN NOT gone AND was IS NOT NULL AND NOT was.g THEN was.p
+        ELSE 0 END prev_price, side FROM w WHERE NOT gone OR (was IS NOT NULL AND NOT was.g)""",
 }
