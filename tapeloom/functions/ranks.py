@@ -37,19 +37,45 @@ def running_max_before(df: DataFrame, order: str, value: str, name: str = "befor
     return ranged.join(tops, "__range").withColumn(name, F.greatest("__ahead", inside)).drop("__range", "__ahead")
 
 
-def last_before(df: DataFrame, order: str, value: str, name: str = "last") -> DataFrame:
-    """Adds the last value that is not null of all rows before each in the order of a whole-number column.
+def _ranged(df: DataFrame, order: str) -> DataFrame:
+    """df with __range, which of BUCKETS ranges of a whole-number column a row lies in."""
+    span = df.agg(F.min(order).alias("__low"), F.max(order).alias("__high"))
+    width = (F.col("__high") - F.col("__low") + 1) / F.lit(float(BUCKETS))
+    return df.join(F.broadcast(span)).withColumn("__range", F.floor((F.col(order) - F.col("__low")) / width).cast("int")).drop("__low", "__high")  # one row
+
+
+def _back(ranged: DataFrame, ends: DataFrame, by: list[str]) -> DataFrame:
+    """Ranged rows with what is known of their range; a null key equals a null key."""
+    if not by:
+        return ranged.join(ends, "__range")
+    named = ends.select(F.col("__range").alias("__r"), *(F.col(c).alias(f"__by_{c}") for c in by), "__ahead")
+    same = F.col("__range") == F.col("__r")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    return ranged.join(named, same).drop("__r", *(f"__by_{c}" for c in by))
+
+
+def last_before(df: DataFrame, order: str, value: str, name: str = "last", by: list[str] = ()) -> DataFrame:
+    """Adds the last value that is not null of all rows (of the same keys) before each in the order of a whole-number column.
 
     Ranges of the column are reduced to their last values, which are carried into the ranges after them.
     """
-    span = df.agg(F.min(order).alias("__low"), F.max(order).alias("__high"))
-    ranged = df.join(F.broadcast(span))  # one row
-    ranged = ranged.withColumn("__range", F.floor((F.col(order) - F.col("__low")) / ((F.col("__high") - F.col("__low") + 1) / F.lit(float(BUCKETS)))).cast("int")).drop("__low", "__high")
-    ends = ranged.groupBy("__range").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("__end"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    ends = ends.select("__range", F.last("__end", ignorenulls=True).over(before).alias("__ahead"))
-    inside = F.last(value, ignorenulls=True).over(Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return ranged.join(ends, "__range").withColumn(name, F.coalesce(inside, "__ahead")).drop("__range", "__ahead")
+    ranged, by = _ranged(df, order), list(by)
+    ends = ranged.groupBy("__range", *by).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("__end"))
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    ends = ends.select("__range", *by, F.last("__end", ignorenulls=True).over(before).alias("__ahead"))
+    inside = F.last(value, ignorenulls=True).over(Window.partitionBy("__range", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return _back(ranged, ends, by).withColumn(name, F.coalesce(inside, "__ahead")).drop("__range", "__ahead")
+
+
+def running_sum(df: DataFrame, order: str, value: str, name: str = "sum", by: list[str] = ()) -> DataFrame:
+    """Adds the sum of a whole-number column over all rows (of the same keys) up to each, by ranges as last_before() does it."""
+    ranged, by = _ranged(df, order), list(by)
+    ends = ranged.groupBy("__range", *by).agg(F.sum(value).alias("__own"))
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    ends = ends.select("__range", *by, F.coalesce(F.sum("__own").over(before), F.lit(0)).alias("__ahead"))
+    inside = F.sum(value).over(Window.partitionBy("__range", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return _back(ranged, ends, by).withColumn(name, F.coalesce(inside, F.lit(0)) + F.col("__ahead")).drop("__range", "__ahead")
 
 
 def trailing(df: DataFrame, rank: str, rows: int, block: int, aggregates: dict) -> DataFrame:

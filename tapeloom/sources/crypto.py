@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from tapeloom.functions.ranks import last_before, running_sum
 from tapeloom.schema import ADD, BUY, CANCEL, REPLACE, SELL, U32, UNKNOWN_SIDE, VENUES, canonical
+from tapeloom.shared import stored
 
 PRICE_UNITS, QTY_UNITS = 10_000, 1_000_000
 CONTROL, HEARTBEAT, SNAPSHOT, UPDATE, BAD = "control", "heartbeat", "snapshot", "update", "malformed"
@@ -51,14 +53,21 @@ def fixed_point(value: Column, units: int) -> Column:
 
 
 def _placed(parsed: DataFrame) -> DataFrame:
-    """Snapshots and updates with epoch and whether the channel has lost its place by then."""
-    w = Window.partitionBy("symbol").orderBy("arrival")
-    rows = parsed.where(F.col("kind").isin(SNAPSHOT, UPDATE)).withColumn("epoch", F.sum(F.when(F.col("kind") == SNAPSHOT, 1).otherwise(0)).over(w))
-    e = Window.partitionBy("symbol", "epoch").orderBy("arrival")
-    last = F.last(F.nullif(F.col("frame_sequence"), F.lit(0)), ignorenulls=True).over(e.rowsBetween(Window.unboundedPreceding, -1))
+    """Snapshots and updates with epoch and whether the channel has lost its place by then.
+
+    Epochs are counted and the last number before a frame is found by ranges of arrival, and an epoch is lost from its first gap on, so a
+    channel of any length is many tasks.
+    """
+    rows = parsed.where(F.col("kind").isin(SNAPSHOT, UPDATE)).withColumn("__snapshot", (F.col("kind") == SNAPSHOT).cast("long"))
+    rows = running_sum(stored(rows, "frames"), "arrival", "__snapshot", "epoch", by=["symbol"])  # stored, as each step reads its rows more than once
+    numbered = F.when(F.col("frame_sequence") != 0, F.struct("epoch", F.col("frame_sequence").alias("number")))
+    rows = last_before(stored(rows.withColumn("__numbered", numbered), "frames"), "arrival", "__numbered", "__last", by=["symbol"])
+    last = F.when(F.col("__last.epoch") == F.col("epoch"), F.col("__last.number"))
     gap = (F.col("kind") == UPDATE) & (F.col("frame_sequence") != 0) & (F.col("frame_sequence") != F.coalesce(last, F.lit(-1)) + 1)
-    rows = rows.withColumn("gap", gap)
-    return rows.withColumn("lost", (F.col("epoch") == 0) | F.max("gap").over(e.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = stored(rows.withColumn("gap", gap).drop("__snapshot", "__numbered", "__last"), "frames")
+    first = rows.where("gap").groupBy(F.col("symbol").alias("__symbol"), F.col("epoch").alias("__epoch")).agg(F.min("arrival").alias("__from"))
+    rows = rows.join(first, F.col("symbol").eqNullSafe(F.col("__symbol")) & (F.col("epoch") == F.col("__epoch")), "left")
+    return rows.withColumn("lost", (F.col("epoch") == 0) | F.coalesce(F.col("arrival") >= F.col("__from"), F.lit(False))).drop("__symbol", "__epoch", "__from")
 
 
 def synced(parsed: DataFrame) -> DataFrame:

@@ -93,6 +93,20 @@ def test_last_values_over_ranges(spark, n):
     assert Counter(map(tuple, got.select("o", "v", "last").collect())) == want
 
 
+@pytest.mark.parametrize("n", [1, 400])
+def test_sums_and_last_values_by_keys_over_ranges(spark, n):
+    draw = random.Random(n)
+    rows = [(3 * k, draw.choice(["a", "a", "b", None]), draw.choice([None, draw.randrange(9)])) for k in range(n)]
+    sums, last, want = {}, {}, Counter()
+    for o, k, v in rows:
+        sums[k] = sums.get(k, 0) + (v or 0)
+        want[o, k, v, sums[k], last.get(k)] += 1
+        last[k] = v if v is not None else last.get(k)
+    df = spark.createDataFrame(rows[::-1], "o long, k string, v int")
+    got = ranks.last_before(ranks.running_sum(df, "o", "v", "s", by=["k"]), "o", "v", "l", by=["k"])
+    assert Counter(map(tuple, got.select("o", "k", "v", "s", "l").collect())) == want
+
+
 def test_forward_fill_of_all_rows_is_not_one_window(spark):
     rows = [dict(exchange_ts_ns=t) for t in (0, 7, 0, 0, 9, 0)]
     filled = sequence.forward_fill_time(tape(spark, rows))
