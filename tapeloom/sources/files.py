@@ -213,6 +213,13 @@ def _journal_batch(kind: str, rows: np.ndarray, arrival: np.ndarray, status: lis
     return pa.RecordBatch.from_arrays(out, names)
 
 
+def _fixed_text(column: pa.Array, width: int, pad: bytes) -> np.ndarray:
+    """Texts cut and filled up to `width` bytes; the distinct ones are encoded once."""
+    coded = column.fill_null("").dictionary_encode()
+    known = np.array([v.encode("latin-1")[:width].ljust(width, pad) for v in coded.dictionary.to_pylist()] or [b""], f"S{width}")
+    return known[coded.indices.to_numpy(zero_copy_only=False)]
+
+
 def quote_payloads(batch: pa.RecordBatch) -> bytes:
     """The payloads of a batch of quotes (with their venues' message numbers), as the quote journal has them."""
     _, size, fields = FORMATS["nbbo"]
@@ -257,49 +264,50 @@ def write_journal(events: DataFrame, path: str, kind: str = "book", order: str =
 
         part = TaskContext.get().partitionId()
         fs, base = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-        held, at, n = f"{base}/.{part}.{TaskContext.get().taskAttemptId()}.tmp", None, 0
+        width = 24 + size
+        held, first, n = f"{base}/.{part}.{TaskContext.get().taskAttemptId()}.tmp", None, 0
         with fs.open_output_stream(held) as out:
             out.write(magic + VERSION.to_bytes(4, "little"))
             for b in batches:
                 number = b.column("__row").to_numpy()
                 number = there + before[np.searchsorted(ranges, number >> 33)] + (number & ((1 << 33) - 1))
-                if at is None and b.num_rows:
-                    at = int(number[0])
-                rows = np.zeros(b.num_rows, record_dtype(kind))
-                cell = lambda c: b.column(c).to_pylist()  # noqa: B023, E731
+                if first is None and b.num_rows:
+                    first = int(number[0])
+                raw = bytearray(b.num_rows * width)
+                rows = np.frombuffer(raw, record_dtype(kind))
                 for f in fields:
                     if f == "symbol":
-                        sym = np.array([(s or "").encode("latin-1").ljust(8)[:8] for s in cell("symbol")], "S8")
+                        sym = _fixed_text(b.column(f), 8, b" ")
                         rows[f] = np.frombuffer(sym.tobytes(), ">u8") if nbbo else sym
                     elif f == "mpid":
-                        rows[f] = [(m or "").encode("latin-1") for m in cell("mpid")]
+                        rows[f] = _fixed_text(b.column(f), 4, b"\0")
                     elif f == "has_mpid":
-                        rows[f] = [m is not None for m in cell("mpid")]
+                        rows[f] = b.column("mpid").is_valid().to_numpy(zero_copy_only=False)
                     elif f in ("has_bid", "has_ask"):
-                        rows[f] = [v is not None for v in cell(f[4:] + "_price")]
+                        rows[f] = b.column(f[4:] + "_price").is_valid().to_numpy(zero_copy_only=False)
                     elif f in b.schema.names:
-                        rows[f] = [v or 0 for v in cell(f)]
-                ingest = [v or 0 for v in cell("ingest_ts_ns")]
-                raw = bytearray(rows.tobytes())
-                whole = np.frombuffer(raw, np.uint8).reshape(-1, 24 + size)
+                        rows[f] = b.column(f).fill_null(0).to_numpy(zero_copy_only=False)
+                ingest = b.column("ingest_ts_ns").fill_null(0).to_numpy(zero_copy_only=False)
+                whole = np.frombuffer(raw, np.uint8).reshape(-1, width)
                 whole[:, 24 + 16 : 24 + 24].view("<u8")[:, 0] = ingest  # the payload has it too
-                rows = np.frombuffer(raw, record_dtype(kind))
                 rows["env_monotonic_seq"] = number
                 rows["env_ingest_ts_ns"], rows["env_payload_len"] = ingest, size
-                rows["env_crc"] = [zlib.crc32(whole[k, 24:].tobytes()) for k in range(len(rows))]
-                out.write(bytes(raw))
+                view = memoryview(raw)
+                rows["env_crc"] = [zlib.crc32(view[at + 24 : at + width]) for at in range(0, len(raw), width)]
+                out.write(view)
                 n += len(rows)
-        if at is None:
+        if first is None:
             fs.delete_file(held)
         else:
-            fs.move(held, f"{base}/{run}-{at:020d}.journal")
+            fs.move(held, f"{base}/{run}-{first:020d}.journal")
         yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
 
     if not sizes:
         with fs.open_output_stream(f"{base}/{run}-{there:020d}.journal") as out:
             out.write(magic + VERSION.to_bytes(4, "little"))
         return 0
-    return ordered.repartitionByRange(parts, "__row").sortWithinPartitions("__row").mapInArrow(write, "n long").agg(F.sum("n")).first()[0]
+    dealt = ordered.repartitionById(parts, F.shiftright("__row", 33).cast("int")).sortWithinPartitions("__row")  # as they were put in order
+    return dealt.mapInArrow(write, "n long").agg(F.sum("n")).first()[0]
 
 
 def count_records(path: str, kind: str = "book") -> int:
