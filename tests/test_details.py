@@ -162,7 +162,7 @@ def test_the_catalogue_is_read_without_a_session():
 
     told = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"
     out = subprocess.run([sys.executable, "-c", told], capture_output=True, text=True, cwd=ROOT)
-    assert out.returncode == 0 and int(out.stdout) > 100, out.stderr[-500:]
+    assert out.returncode == 0 and int(out.stdout) > 90, out.stderr[-500:]
 
 
 def test_all_signals_of_the_zoo_are_evaluated(spark):
