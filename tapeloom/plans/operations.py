@@ -154,11 +154,16 @@ ORACLE_SQL = {
     "symbol_codes": tape_sql("", "SELECT symbol, CAST(('0x' || hex(rpad(symbol, 8, ' '))) AS BIGINT) code, symbol AS back, count(*) n FROM ev GROUP BY ALL"),
     "itch_type_counts": tape_sql("", "SELECT CASE event_type WHEN 0 THEN 'A' WHEN 2 THEN 'E' WHEN 4 THEN 'X' WHEN 5 THEN 'D' "
         "WHEN 7 THEN 'P' END AS type, 'ok' status, count(*) n FROM ev GROUP BY ALL"),
-    "crypto_lowering": """WITH ev AS (SELECT event_id, user_id, event_type = 'error' gone, CAST(floor(value * 10000 + 0.5) AS BIGINT) px, CASE
-        WHEN event_id % 2 = 0 THEN 1500000 ELSE 250000 END q, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END side, event_id // 1000 epoch FROM events),
+    # A price of 0 removes an order whatever event gave it; a frame out of sequence ends an epoch; numbers out of range are rejected.
+    "crypto_lowering": """WITH ep AS (SELECT event_id, user_id, value, event_type = 'error' OR value = 0 gone, event_id % 1000 = 0 snap, count(*) FILTER (event_id % 1000 = 0)
+        OVER (ORDER BY event_id) epoch, CASE WHEN event_id % 2 = 0 THEN 1500000 ELSE 250000 END q, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END side FROM events),
+        gp AS (SELECT *, NOT snap AND event_id <> coalesce(lag(event_id) OVER (PARTITION BY epoch ORDER BY event_id), -2) + 1 gap FROM ep),
+        lo AS (SELECT *, epoch = 0 OR bool_or(gap) OVER (PARTITION BY epoch ORDER BY event_id) lost FROM gp),
+        ev AS (SELECT *, CASE WHEN gone THEN 0 ELSE CAST(floor(value * 10000 + 0.5) AS BIGINT) END px FROM lo
+            WHERE NOT lost AND (gone OR value BETWEEN 0 AND 4294967295 / 10000.0::DOUBLE)),
         w AS (SELECT *, lag({'g': gone, 'p': px, 'q': q}) OVER (PARTITION BY epoch, user_id ORDER BY event_id) was FROM ev)
         SELECT event_id * 65536 arrival, CASE WHEN gone THEN 4 WHEN was IS NOT NULL AND NOT was.g THEN 6 ELSE 0 END event_type, user_id order_id, CASE
-        WHEN gone THEN 0 ELSE q END qty, CASE WHEN gone THEN 0 ELSE px END price,
+        WHEN gone THEN 0 ELSE q END qty, px price,
             CASE WHEN NOT gone AND was IS NOT NULL AND NOT was.g THEN was.q ELSE 0 END prev_qty, CASE WHEN NOT gone AND was IS NOT NULL
             AND NOT was.g THEN was.p ELSE 0 END prev_price, side FROM w WHERE NOT gone OR (was IS NOT NULL AND NOT was.g)""",
 }
