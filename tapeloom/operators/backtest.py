@@ -20,7 +20,9 @@ from tapeloom.operators import features as feat
 from tapeloom.operators.book import with_tops
 from tapeloom.operators.nbbo import consolidate
 from tapeloom.operators.sequence import clock_filter
+from tapeloom.operators.walks import Walker, walk
 from tapeloom.schema import BUY, MATCHING_TRADES, SELL
+from tapeloom.shared import stored
 
 
 # -- matching -------------------------------------------------------------------------------------------------------
@@ -222,43 +224,54 @@ def inputs(events: DataFrame, cfg: Config) -> DataFrame:
     return q.select(F.col("__symbol").alias("symbol"), *cells, *(F.when(F.col("__two"), c).alias(n) for n, c in seen.items()))
 
 
+_FILL = pa.struct([("number", pa.int64()), ("side", pa.int16()), ("price", pa.int64()), ("qty", pa.int64()), ("partial", pa.bool_()), ("taker", pa.bool_()), ("realized", pa.float64())])
+_INTENT = pa.struct([("action", pa.string()), ("number", pa.int64()), ("side", pa.int16()), ("price", pa.int64()), ("qty", pa.int64())])
+_KINDS = [pa.string()] + [pa.int64()] * 5 + [pa.float64()] * 7 + [pa.list_(_INTENT), pa.list_(_FILL)]
+
+
+class Trader(Walker):
+    """One symbol's strategy, resting orders and account, batch by batch; of orders it keeps those that rest."""
+
+    def __init__(self, cfg: Config):
+        self.strategy, self.match, self.account = STRATEGIES[cfg.strategy](**cfg.options), Matching(cfg.cap), Account(cfg.compat)
+        self.number, self.submitted, self.cancelled, self.takers, self.best = 0, 0, 0, {}, (None, None)
+
+    def feed(self, rows: pa.RecordBatch) -> pa.RecordBatch:
+        out = [self._step(r) for r in rows.to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), _KINDS)], [c.split()[0] for c in TICKS.split(", ")])
+
+    def _step(self, r: dict) -> tuple:
+        strategy, match, account, takers = self.strategy, self.match, self.account, self.takers
+        if r["mid"] is not None:
+            account.mid, self.best = r["mid"], (r["bid_price"], r["ask_price"])
+        bid, ask = self.best
+        orders, old = strategy.view(r)
+        intents = []
+        for n in old:
+            match.cancel(n)
+            takers.pop(n, None)
+            self.cancelled += 1
+            intents.append({"action": "cancel", "number": n, "side": None, "price": None, "qty": None})
+        for side, price, qty in orders:
+            self.number += 1
+            self.submitted += 1
+            intents.append({"action": "submit", "number": self.number, "side": side, "price": price, "qty": qty})
+            takers[self.number] = ask is not None and price >= ask if side == BUY else bid is not None and price <= bid
+            strategy.placed(self.number, side)
+            match.submit(self.number, side, price, qty, r["exchange_ts_ns"])
+        fills = []
+        for n, side, price, qty, partial in match.event(r["event_type"], r["side"], r["price"], r["qty"]):
+            taker = takers[n] if partial else takers.pop(n)
+            gain = account.fill(side, float(price), qty, taker)
+            strategy.filled(n, side, qty, partial)
+            fills.append({"number": n, "side": side, "price": price, "qty": qty, "partial": partial, "taker": taker, "realized": gain})
+        return (r["symbol"], r["arrival"], r["exchange_ts_ns"], self.submitted, self.cancelled, account.position, account.cash, account.realized, account.unrealized, account.turnover, account.fees, account.rebates, account.equity, intents, fills)
+
+
 def simulate(events: DataFrame, cfg: Config | None = None) -> DataFrame:
     """A row an event and symbol, with the account after it and the fills it made."""
     cfg = cfg or Config()
-
-    def walk(table: pa.Table) -> pa.Table:
-        rows = table.sort_by("arrival").to_pylist()
-        strategy, match, account = STRATEGIES[cfg.strategy](**cfg.options), Matching(cfg.cap), Account(cfg.compat)
-        number, submitted, cancelled, takers, best, out = 0, 0, 0, {}, (None, None), []
-        for r in rows:
-            if r["mid"] is not None:
-                account.mid, best = r["mid"], (r["bid_price"], r["ask_price"])
-            orders, old = strategy.view(r)
-            intents = []
-            for n in old:
-                match.cancel(n)
-                cancelled += 1
-                intents.append({"action": "cancel", "number": n, "side": None, "price": None, "qty": None})
-            for side, price, qty in orders:
-                number += 1
-                submitted += 1
-                intents.append({"action": "submit", "number": number, "side": side, "price": price, "qty": qty})
-                takers[number] = best[1] is not None and price >= best[1] if side == BUY else best[0] is not None and price <= best[0]
-                strategy.placed(number, side)
-                match.submit(number, side, price, qty, r["exchange_ts_ns"])
-            fills = []
-            for n, side, price, qty, partial in match.event(r["event_type"], r["side"], r["price"], r["qty"]):
-                gain = account.fill(side, float(price), qty, takers[n])
-                strategy.filled(n, side, qty, partial)
-                fills.append({"number": n, "side": side, "price": price, "qty": qty, "partial": partial, "taker": takers[n], "realized": gain})
-            out.append((r["symbol"], r["arrival"], r["exchange_ts_ns"], submitted, cancelled, account.position, account.cash, account.realized, account.unrealized, account.turnover, account.fees, account.rebates, account.equity, intents, fills))
-        fill_type = pa.struct([("number", pa.int64()), ("side", pa.int16()), ("price", pa.int64()), ("qty", pa.int64()), ("partial", pa.bool_()), ("taker", pa.bool_()), ("realized", pa.float64())])
-        intent_type = pa.struct([("action", pa.string()), ("number", pa.int64()), ("side", pa.int16()), ("price", pa.int64()), ("qty", pa.int64())])
-        kinds = [pa.string()] + [pa.int64()] * 5 + [pa.float64()] * 7 + [pa.list_(intent_type), pa.list_(fill_type)]
-        names = [c.split()[0] for c in TICKS.split(", ")]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
-
-    return inputs(events, cfg).groupBy("symbol").applyInArrow(walk, TICKS)
+    return walk(inputs(events, cfg), ["symbol"], ["arrival"], lambda: Trader(cfg), TICKS)
 
 
 def fills(ticks: DataFrame) -> DataFrame:
@@ -286,10 +299,12 @@ def final_accounts(ticks: DataFrame) -> DataFrame:
 def equity_curve(ticks: DataFrame) -> DataFrame:
     """(arrival, exchange_ts_ns, equity): the symbols' equities added up after every event.
 
-    Each symbol's changes are summed over ranges of arrival first, so no task holds the whole tape.
+    Each symbol's changes are summed over ranges of arrival first, so no task holds the whole tape. The changes are stored, as the
+    curve reads them more than once and whoever reads the curve would trade the tape anew each time.
     """
     change = F.col("equity") - F.coalesce(F.lag("equity").over(Window.partitionBy("symbol").orderBy("arrival")), F.lit(0.0))
     steps = ticks.withColumn("change", change).groupBy("arrival").agg(F.sum("change").alias("change"), F.max("exchange_ts_ns").alias("exchange_ts_ns"))
+    steps = stored(steps, "equity-steps")
     span = steps.agg(F.min("arrival").alias("lo"), F.max("arrival").alias("hi"))
     steps = steps.join(F.broadcast(span)).withColumn("part", F.floor((F.col("arrival") - F.col("lo")) / ((F.col("hi") - F.col("lo") + 1) / F.lit(float(BUCKETS)))))
     ahead = steps.groupBy("part").agg(F.sum("change").alias("s"))
@@ -301,7 +316,7 @@ def equity_curve(ticks: DataFrame) -> DataFrame:
 def bucket_returns(curve: DataFrame, bucket_ns: int = feat.SECOND) -> DataFrame:
     """(bucket, equity, r): equity at the first tick of each bucket of time, and its change from the bucket before that has ticks."""
     first = curve.groupBy(F.floor(F.col("exchange_ts_ns") / bucket_ns).alias("bucket")).agg(F.min_by("equity", "arrival").alias("equity"))
-    was = last_before(first, "bucket", "equity", "__was")
+    was = last_before(stored(first, "bucket-equity"), "bucket", "equity", "__was")
     return was.select("bucket", "equity", (F.col("equity") - F.col("__was")).alias("r"))
 
 
