@@ -114,6 +114,7 @@ def bootstrap(series: DataFrame, value: str, order: str, block: int, rounds: int
     A block's sum is the difference of two prefix sums (and the whole, where it goes over the end), so a round is looked up at the two
     ends of its blocks by a join on places; neither the series nor a round is ever in one task.
     """
+    series = stored(series.select(value, order), "bootstrap-series")  # counted, spanned, ranked and summed: one pass of what made it
     n = series.count()
     block = max(1, min(block, n))
     blocks = -(-n // block)

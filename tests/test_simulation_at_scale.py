@@ -31,3 +31,11 @@ def test_trading_in_ranges_gives_the_same(spark, small):
     finally:
         spark.conf.unset("tapeloom.walk.rangeRows")
     assert once and ranged == once
+
+
+def test_what_reads_a_curve_does_not_trade_again(spark, small):
+    curve = backtest.equity_curve(backtest.simulate(book_events(spark, small), operations.OFI))
+    returns = backtest.bucket_returns(curve, operations.HOUR).where("r IS NOT NULL")
+    for df in (curve, returns, stats.bootstrap(returns.where(F.col("r") != 0), "r", "bucket", 10, rounds=5)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" not in plan and "MapInPandas" not in plan and "FlatMapGroups" not in plan
