@@ -24,6 +24,8 @@ FORMATS = {
     "nbbo": (b"MFNB", 64, {"symbol": (0, "<u8"), "exchange_ts_ns": (8, "<u8"), "has_bid": (24, "u1"), "has_ask": (25, "u1"), "bid_price": (28, "<u4"), "bid_qty": (32, "<u4"), "ask_price": (36, "<u4"), "ask_qty": (40, "<u4"), "bid_venue": (44, "u1"), "ask_venue": (45, "u1"), "bid_venue_sequence": (48, "<u8"), "ask_venue_sequence": (56, "<u8")}),
 }
 HEADER = 8
+BLOCK = 16_384  # records that a reader holds at a time
+MOST_PARTS = 256  # partitions of a scan; where `records` would give more, each takes more records
 BOOK_SCHEMA = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in BOOK_EVENTS) + ", status string"
 NBBO_SCHEMA = "arrival long, symbol string, exchange_ts_ns long, ingest_ts_ns long, bid_price long, bid_qty long, ask_price long, ask_qty long, bid_venue short, ask_venue short, bid_venue_sequence long, ask_venue_sequence long, status string"
 
@@ -52,6 +54,19 @@ def _files(path: str) -> tuple[pafs.FileSystem, list[str]]:
     return fs, [base]
 
 
+def blocks(src, start: int, end: int, width: int):
+    """The records from byte `start` to `end`, BLOCK at a time, each with how many records came before it: a reader holds a block, whatever the range."""
+    src.seek(start)
+    for at in range(start, end, BLOCK * width):
+        yield src.read(min(BLOCK * width, end - at)), (at - start) // width
+
+
+def _sums(raw: bytes, width: int, n: int) -> np.ndarray:
+    """Checksums of the first n records' payloads."""
+    view = memoryview(raw)
+    return np.fromiter((zlib.crc32(view[k * width + 24 : (k + 1) * width]) for k in range(n)), np.uint32, n)
+
+
 class _Range(InputPartition):
     def __init__(self, file: str, start: int, end: int, first: int, error: str = ""):
         super().__init__((file, start, end))
@@ -59,7 +74,7 @@ class _Range(InputPartition):
 
 
 class JournalSource(DataSource):
-    """format "tape_journal": options path, kind (book or nbbo), records (a partition), mode (permissive keeps bad rows with their status).
+    """format "tape_journal": options path, kind (book or nbbo), records (a partition, or as many more as leave about MOST_PARTS), mode (permissive keeps bad rows with their status).
 
     A record whose checksum fails is left out; a wrong length or a torn tail ends the file. In permissive mode a row says so.
     """
@@ -88,6 +103,7 @@ class JournalReader(DataSourceReader):
         magic, size, _ = FORMATS[self.kind]
         fs, files = _files(self.path)
         out, first = [], 0
+        step = max(self.step, -(-sum(fs.get_file_info(f).size for f in files) // ((24 + size) * MOST_PARTS)))
         for f in files:
             with fs.open_input_file(f) as src:
                 head, length = src.read(HEADER), src.size()
@@ -95,8 +111,8 @@ class JournalReader(DataSourceReader):
                 raise ValueError(f"{f}: not a version {VERSION} {self.kind} journal")
             width = 24 + size
             n, torn = divmod(length - HEADER, width)
-            for at in range(0, n, self.step):
-                out.append(_Range(f, HEADER + at * width, HEADER + min(n, at + self.step) * width, first + at))
+            for at in range(0, n, step):
+                out.append(_Range(f, HEADER + at * width, HEADER + min(n, at + step) * width, first + at))
             if torn and self.permissive:
                 out.append(_Range(f, 0, 0, first + n, "unexpected_eof"))
             first += n
@@ -109,23 +125,22 @@ class JournalReader(DataSourceReader):
             yield _journal_batch(self.kind, np.zeros(1, record_dtype(self.kind)), np.array([part.first]), [part.error])
             return
         fs, _ = _files(self.path)
-        with fs.open_input_file(part.file) as src:
-            src.seek(part.start)
-            raw = src.read(part.end - part.start)
         size = FORMATS[self.kind][1]
-        rows = np.frombuffer(raw, record_dtype(self.kind))
-        at = part.first + np.arange(len(rows))
-        long = np.flatnonzero(rows["env_payload_len"] != size)
-        stop = int(long[0]) if len(long) else len(rows)
-        view, width = memoryview(raw), 24 + size
-        bad = np.array([zlib.crc32(view[k * width + 24 : (k + 1) * width]) for k in range(stop)], np.uint32) != rows["env_crc"][:stop]
-        status = np.where(bad, "record_crc", "ok").astype(object)
-        keep = np.arange(stop) if self.permissive else np.flatnonzero(~bad)
-        for lo in range(0, len(keep), 65_536):
-            some = keep[lo : lo + 65_536]
-            yield _journal_batch(self.kind, rows[some], at[some], status[some].tolist())
-        if stop < len(rows) and self.permissive:
-            yield _journal_batch(self.kind, np.zeros(1, rows.dtype), at[stop : stop + 1], ["record_size"])
+        with fs.open_input_file(part.file) as src:
+            for raw, past in blocks(src, part.start, part.end, 24 + size):
+                rows = np.frombuffer(raw, record_dtype(self.kind))
+                at = part.first + past + np.arange(len(rows))
+                long = np.flatnonzero(rows["env_payload_len"] != size)
+                stop = int(long[0]) if len(long) else len(rows)
+                bad = _sums(raw, 24 + size, stop) != rows["env_crc"][:stop]
+                status = np.where(bad, "record_crc", "ok").astype(object)
+                keep = np.arange(stop) if self.permissive else np.flatnonzero(~bad)
+                if len(keep):
+                    yield _journal_batch(self.kind, rows[keep], at[keep], status[keep].tolist())
+                if stop < len(rows):
+                    if self.permissive:
+                        yield _journal_batch(self.kind, np.zeros(1, rows.dtype), at[stop : stop + 1], ["record_size"])
+                    return
 
 
 class JournalFollower(DataSourceStreamReader):
@@ -165,15 +180,13 @@ class JournalFollower(DataSourceStreamReader):
         size = FORMATS[self.batch.kind][1]
         fs, _ = _files(self.batch.path)
         with fs.open_input_file(part.file) as src:
-            src.seek(part.start)
-            raw = src.read(part.end - part.start)
-        rows, view, width = np.frombuffer(raw, record_dtype(self.batch.kind)), memoryview(raw), 24 + size
-        sums = np.array([zlib.crc32(view[k * width + 24 : (k + 1) * width]) for k in range(len(rows))], np.uint32)
-        status = np.where(rows["env_payload_len"] != size, "record_size", np.where(sums != rows["env_crc"], "record_crc", "ok")).astype(object)
-        keep = np.arange(len(rows)) if self.batch.permissive else np.flatnonzero(status == "ok")
-        for lo in range(0, len(keep), 65_536):
-            some = keep[lo : lo + 65_536]
-            yield _journal_batch(self.batch.kind, rows[some], rows["env_monotonic_seq"][some], status[some].tolist())
+            for raw, _past in blocks(src, part.start, part.end, 24 + size):
+                rows = np.frombuffer(raw, record_dtype(self.batch.kind))
+                sums = _sums(raw, 24 + size, len(rows))
+                status = np.where(rows["env_payload_len"] != size, "record_size", np.where(sums != rows["env_crc"], "record_crc", "ok")).astype(object)
+                keep = np.arange(len(rows)) if self.batch.permissive else np.flatnonzero(status == "ok")
+                if len(keep):
+                    yield _journal_batch(self.batch.kind, rows[keep], rows["env_monotonic_seq"][keep], status[keep].tolist())
 
     def commit(self, end: dict) -> None:
         pass
