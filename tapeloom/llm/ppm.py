@@ -96,20 +96,28 @@ def _levels(tables: list[tuple[np.ndarray, np.ndarray]]) -> list[Level]:
         if i and len(first):
             below = levels[-1]
             at, _ = find(below.grams, grams & np.uint64((1 << 8 * i) - 1))
+            shared = np.add.reduceat(below.count[at], first, dtype=np.int64)
+            del at
             up, _ = find(below.contexts, contexts & np.uint64((1 << 8 * (i - 1)) - 1))
-            rest = below.seen[up] - np.add.reduceat(below.count[at], first)
+            rest = below.seen[up] - shared
             fresh = below.kinds[up] - kinds
-        levels.append(Level(grams, count, contexts, seen, kinds, rest, fresh))
+        levels.append(Level(grams, _small(count), contexts, _small(seen), kinds.astype(np.int16), _small(rest), fresh.astype(np.int16)))  # a context has 256 bytes at most
+        tables[i] = None
     return levels
 
 
+def _small(counts: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits where they fit."""
+    return counts.astype(np.int32) if len(counts) and 0 <= counts.min() and counts.max() < 1 << 31 else counts
+
+
 class Model:
     """The trie of one part: levels 0 to order, and a table that answers for the longest runs at once."""
 
     def __init__(self, order: int, runs: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray):
         self.order = order
         # Each length is summed from the next longer one, so only the longest is sorted in full.
-        tables = [summed(runs, counts)]
+        tables = [(runs, counts) if len(runs) < 2 or (runs[1:] > runs[:-1]).all() else summed(runs, counts)]
         for i in range(order - 1, 1, -1):
             tables.append(summed(tables[-1][0] & np.uint64((1 << 8 * (i + 1)) - 1), tables[-1][1]))
         del runs, counts
@@ -117,7 +125,7 @@ class Model:
         self.levels = _levels(tables)
         del tables
         top = self.levels[order]
-        self.cost = np.log10(top.count / np.repeat(top.seen + top.kinds, top.kinds))
+        self.cost = np.log10(top.count / np.repeat(top.seen.astype(np.int64) + top.kinds, top.kinds))
         top.count = self.cost  # the longest runs' counts have served
         self.bits = max(10, int(len(top.grams) * 1.5).bit_length())
         self.slots = np.full(1 << self.bits, -1, np.int32)
@@ -267,15 +275,22 @@ def _table(folder: str, kind: int, part: int) -> tuple[np.ndarray, np.ndarray]:
 _held: dict[tuple, object] = {}
 
 
+def _release() -> None:
+    """Gives the parts' memory back: Spark keeps a task's worker for later tasks, and idle ones would hold a part each."""
+    _held.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def _part(trained: Trained, kind: int, part: int):
-    """One part of a model, the last that this worker used of its kind."""
+    """One part of a model, the last that this task used of its kind."""
     key = (trained.folder, kind, part)
     if key not in _held:
         for k in [k for k in _held if k[1] == kind]:
             del _held[k]
         if kind == GRAMS:
             (runs, n), (pairs, pair_n) = _table(trained.folder, GRAMS, part), _table(trained.folder, 2, 0)
-            _held[key] = Model(trained.order, runs.view(np.uint64), n.astype(np.int64), pairs.view(np.uint64), pair_n.astype(np.int64))
+            n, pair_n = n.astype(np.int64), pair_n.astype(np.int64)
+            _held[key] = Model(trained.order, runs.view(np.uint64), n, pairs.view(np.uint64), pair_n)
         else:
             _held[key] = _table(trained.folder, WORDS, part)
     return _held[key]
@@ -288,6 +303,12 @@ def score_documents(docs: DataFrame, trained: Trained) -> DataFrame:
     floor = trained.tokens + 0.1 * (trained.distinct + 1)
 
     def score(batches):
+        try:
+            yield from scored(batches)
+        finally:
+            _release()
+
+    def scored(batches):
         cache = WordCache(word_hash)
         # Parts are loaded once a chunk, so there is more in a chunk where there are more parts.
         size = min(MOST_CHUNK, CHUNK_BYTES * (gram_parts + word_parts - 1))
