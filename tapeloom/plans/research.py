@@ -35,7 +35,8 @@ def _pairs(spark, d):
     """Every signal's values with labels and folds; the sequential features in digits that do not hang on how they are averaged."""
     rows = _rows(spark, d)
     walked = features.with_recursions(rows, VPIN_VOLUME)
-    rows = walked.withColumn("effective_spread", F.round("effective_spread", 9)).withColumn("vpin", F.round("vpin", 9))
+    # Stored, as signals, labels and folds each read them, ranks more than once, and a walk is never run for one of them only.
+    rows = stored(walked.withColumn("effective_spread", F.round("effective_spread", 9)).withColumn("vpin", F.round("vpin", 9)), "research-walked")
     return research.evaluation_rows(research.SignalRegistry().wide(_scored(rows), SIGNALS), research.forward_labels(rows, HORIZONS), research.test_folds(rows), SIGNALS)
 
 
