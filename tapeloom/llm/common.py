@@ -39,6 +39,11 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df for a join that is never a broadcast: what grows with the input may be small as stored and yet too large for the driver."""
+    return df.hint("merge")
+
+
 def text_bytes(name: str = "text"):
     """The whole text as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary")

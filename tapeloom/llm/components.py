@@ -1,13 +1,15 @@
 """Connected components of a graph held in a DataFrame, by alternating large and small stars.
 
 Every round is a handful of shuffles on node ids and its result is checkpointed to the shared folder,
-so a lost executor costs one round at most and nothing is gathered on the driver but a row count.
+so a lost executor costs one round at most and nothing is gathered on the driver but a row count; no side of a join is broadcast.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tapeloom.llm.common import shuffled
+
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """pairs (u, v), u > v. Links every neighbour of a node to the smallest one.
@@ -17,7 +19,7 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """
     around = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else pairs
     least = around.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
-    joined = around.join(least, "u")
+    joined = around.join(shuffled(least), "u")
     if large:
         linked = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -35,7 +37,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     )
     for _ in range(most_rounds):
         after = _star(_star(pairs, True), False).checkpoint()
-        moved = after.join(pairs, ["u", "v"], "left_anti").limit(1).count()
+        moved = after.join(shuffled(pairs), ["u", "v"], "left_anti").limit(1).count()
         same = not moved and after.count() == pairs.count()
         pairs = after
         if same:

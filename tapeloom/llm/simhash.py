@@ -13,7 +13,7 @@ Keys are joined and every candidate pair is verified by its differing bits, so n
 Equal fingerprints are one node, so copies are never expanded into pairs. Keys of kind a)
 first link each fingerprint to the smallest one of its bucket; components of those links then keep the pairs
 inside a dense group from being made at all: the full join only makes links between different components.
-Hot buckets are dealt out by the skew join.
+Hot buckets are dealt out by the skew join. No join is a broadcast, as both sides of each grow with the documents.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; repeated rows give repeated
 rows; rows with a null doc_id carry their fingerprint's component and lend it no name (component_id is null where
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tapeloom.llm import golay
-from tapeloom.llm.common import stored, text_bytes
+from tapeloom.llm.common import shuffled, stored, text_bytes
 from tapeloom.llm.components import components
 
 WORDS = 4
@@ -114,14 +114,14 @@ def link_fingerprints(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(fp, component) for distinct fingerprints (fp): the least one reachable by links."""
     hubs = keyed(prints, "a")
     least = hubs.groupBy("key").agg(F.min("fp").alias("hub"))
-    stars = hubs.join(least, "key").where((F.col("hub") != F.col("fp")) & (_differing("fp", "hub") <= distance))
+    stars = hubs.join(shuffled(least), "key").where((F.col("hub") != F.col("fp")) & (_differing("fp", "hub") <= distance))
     first = components(stars.select(F.col("fp").alias("a"), F.col("hub").alias("b")))
-    named = stored(prints.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("comp")), "simhash-stars")
+    named = stored(prints.join(shuffled(first.withColumnRenamed("node", "fp")), "fp", "left").select("fp", F.coalesce("component", "fp").alias("comp")), "simhash-stars")
     keys = keyed(named, "abc")
     x, y = (keys.select("key", F.col("fp").alias(f"fp_{s}"), F.col("comp").alias(f"comp_{s}")) for s in "xy")
-    links = x.join(y, (x["key"] == y["key"]) & (F.col("comp_x") < F.col("comp_y")) & (_differing("fp_x", "fp_y") <= distance))
+    links = x.join(shuffled(y), (x["key"] == y["key"]) & (F.col("comp_x") < F.col("comp_y")) & (_differing("fp_x", "fp_y") <= distance))
     second = components(links.select(F.col("comp_x").alias("a"), F.col("comp_y").alias("b")))
-    return named.join(second.withColumnRenamed("node", "comp"), "comp", "left").select("fp", F.coalesce("component", "comp").alias("component"))
+    return named.join(shuffled(second.withColumnRenamed("node", "comp")), "comp", "left").select("fp", F.coalesce("component", "comp").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -130,10 +130,10 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
         raise ValueError(f"keys are complete for distances of 0 to {DISTANCE}")
     rows = stored(fingerprints(docs), "simhash-prints")
     prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    found = prints.join(link_fingerprints(prints.select("fp"), distance), "fp")
+    found = prints.join(shuffled(link_fingerprints(prints.select("fp"), distance)), "fp")
     names = found.groupBy("component").agg(F.min("least").alias("component_id"))
-    per_fp = found.join(names, "component").select("fp", "component_id")
-    return rows.join(per_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    per_fp = found.join(shuffled(names), "component").select("fp", "component_id")
+    return rows.join(shuffled(per_fp), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
