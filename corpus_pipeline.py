@@ -15,9 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeloom.llm import decontam, mixing, quality, simhash, tokens
-from tapeloom.llm.common import held_out, stored, text_bytes
+from tapeloom.llm.common import held_out, shuffled, stored, text_bytes
 
-#: A stage that filters keeps these ids' rows by joins on doc_id, which Spark may broadcast by their stored size.
 MIX = {"share": 0.8, "max_epochs": 1}
 
 
@@ -36,14 +35,14 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group: of the smallest doc_id, fingerprint and row in it; a row without an id only where no other is."""
     rows = stored(simhash.fingerprints(docs), "dedup-prints")
     by_fp = stored(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lonely"), "doc_id")).alias("least")), "dedup-distinct")
-    groups = by_fp.join(simhash.link_fingerprints(by_fp.select("fp")), "fp")
+    groups = by_fp.join(shuffled(simhash.link_fingerprints(by_fp.select("fp"))), "fp")
     keepers = groups.groupBy("component").agg(F.min(F.struct("least.lonely", "least.doc_id", "fp")).alias("k"))
     keepers = stored(keepers.select("k.doc_id", "k.fp"), "dedup-keepers")
     chosen = keepers.where("doc_id IS NOT NULL").withColumn("chosen", F.lit(True))
-    per_id = rows.where("doc_id IS NOT NULL").groupBy("doc_id", "fp").agg(F.count("*").alias("n")).join(chosen, ["doc_id", "fp"], "left")
+    per_id = rows.where("doc_id IS NOT NULL").groupBy("doc_id", "fp").agg(F.count("*").alias("n")).join(shuffled(chosen), ["doc_id", "fp"], "left")
     per_id = per_id.groupBy("doc_id").agg(F.sum("n").alias("n"), F.max(F.coalesce("chosen", F.lit(False))).alias("kept"))
     apart = stored(per_id.where("NOT kept OR n > 1"), "dedup-apart")
-    once = docs.where("doc_id IS NOT NULL").join(apart.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    once = docs.where("doc_id IS NOT NULL").join(shuffled(apart.select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
     lonely = rows.where("doc_id IS NULL").limit(1).count() > 0
     repeated = apart.where("kept AND n > 1").limit(1).count() > 0
     if not (lonely or repeated):
@@ -58,9 +57,9 @@ def _one_row_each(docs: DataFrame, repeated: DataFrame, keepers: DataFrame) -> D
     def prints(bodies: pd.Series) -> pd.Series:
         return pd.Series(np.array([simhash.fingerprint(t) for t in bodies], np.uint64).view(np.int64))
 
-    again = docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL")).withColumn("__print", prints(text_bytes()))
+    again = docs.join(shuffled(repeated), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL")).withColumn("__print", prints(text_bytes()))
     chosen = keepers.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"))
-    met = again.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__print") == F.col("__fp")), "left_semi")
+    met = again.join(shuffled(chosen), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__print") == F.col("__fp")), "left_semi")
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     least = met.groupBy("doc_id", "__print").agg(F.min(F.struct("text", *rest)).alias("__row"))
     return least.select("doc_id", "__row.*").select(*docs.columns)
