@@ -8,8 +8,8 @@ seen. A document is its bytes and an end mark, 0xFF, which no UTF-8 text holds;
 Training counts runs of ORDER + 1 bytes and hashes of words; they are summed in tasks first, then by key. The sums go to tables in the
 shared folder, split into parts of PART_ROWS rows at most on average: byte runs by the two bytes before the last, so that a part
 has all that its contexts need but for orders 0 and 1 (at most 65 792 numbers, in every part), words by hash. A
-worker holds one part at a time and sums what the positions of a batch cost in each, so memory does not grow with the model,
-nothing is broadcast and nothing but the totals reaches the driver.
+worker holds one part at a time and sums what the positions of a chunk cost in each, by document and block by block, so memory does not
+grow with the model, nothing is broadcast and nothing but the totals reaches the driver.
 
 Defined results: null and empty texts consist of the end mark; rows with a null doc_id are treated as the empty id's; repeated rows
 are scored alike, and count in training as often as they stand; without training documents bytes cost 1/256 each; an empty
@@ -30,9 +30,10 @@ from tapeloom.llm.common import WordCache, fresh_path, held_out, stored, text_by
 
 ORDER = 5
 END = 0xFF
-PART_ROWS = 5_000_000
+PART_ROWS = 1_500_000
 CHUNK_BYTES, FLUSH_ROWS = 1 << 20, 2_000_000
-MOST_CHUNK = 64 << 20
+MOST_CHUNK = 32 << 20  # a chunk takes about five bytes a byte
+BLOCK = 1 << 20  # positions that are priced at once
 END_WORD = word_hash(b"\xff")  # no word of a UTF-8 text
 GRAMS, WORDS = 0, 1
 
@@ -297,10 +298,62 @@ def _part(trained: Trained, kind: int, part: int):
 
 
 # -- scoring --------------------------------------------------------------------------------------------------
+def _byte_costs(bodies: list[bytes], trained: Trained) -> np.ndarray:
+    """Log10 probability of each document's bytes and its end mark; runs are made for one block and part at a time."""
+    order, parts = trained.order, trained.parts[0]
+    pad, end = bytes([END]) * order, bytes([END])
+    raw = np.frombuffer(b"".join([x for b in bodies for x in (pad, b, end)]), np.uint8)
+    size = np.array([order + len(b) + 1 for b in bodies], np.int64)
+    stops = np.cumsum(size)
+    coded = np.ones(len(raw), bool)
+    for k in range(order):
+        coded[stops - size + k] = False
+    cost = np.zeros(len(bodies))
+    for part in range(parts):
+        model = _part(trained, GRAMS, part)
+        for lo in range(order, len(raw), BLOCK):
+            hi = min(lo + BLOCK, len(raw))
+            place = raw[lo - 1 : hi - 1].astype(np.int32)
+            if order > 1:
+                place |= raw[lo - 2 : hi - 2].astype(np.int32) << 8
+            at = np.flatnonzero(coded[lo:hi] & (place % parts == part)) + lo
+            if not len(at):
+                continue
+            runs = np.zeros(len(at), np.uint64)
+            for k in range(order, -1, -1):
+                runs = runs << np.uint64(8) | raw[at - k]
+            first, last = np.searchsorted(stops, (at[0], at[-1]), side="right")
+            doc = np.searchsorted(stops[first : last + 1], at, side="right")
+            cost[first : last + 1] += np.bincount(doc, model.log10(runs), last - first + 1)
+    return cost
+
+
+def _word_costs(bodies: list[bytes], trained: Trained, cache: WordCache) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of each document, those known, and their log10 probability by counts of words."""
+    floor, parts = trained.tokens + 0.1 * (trained.distinct + 1), trained.parts[1]
+    bounds = np.flatnonzero(np.diff(np.cumsum([len(b) for b in bodies]) // BLOCK, prepend=-1))
+    spans, n_tokens = [], np.zeros(len(bodies), np.int64)
+    for lo, hi in zip(bounds, np.append(bounds[1:], len(bodies))):
+        words, firsts = _word_ids(bodies[lo:hi], cache)
+        n_tokens[lo:hi] = np.diff(np.append(firsts, len(words)))
+        spans.append((lo, hi, words))
+    n_known, base = np.zeros(len(bodies), np.int64), np.zeros(len(bodies))
+    for part in range(parts):
+        keys, known = _part(trained, WORDS, part)
+        for lo, hi, words in spans:
+            at = np.flatnonzero((words >> np.uint64(40)) % np.uint64(parts) == part)
+            distinct, back = np.unique(words[at], return_inverse=True)
+            where, hit = find(keys, distinct.view(np.int64))
+            n = np.zeros(len(distinct), np.int64)
+            n[hit] = known[where[hit]]
+            doc = np.repeat(np.arange(hi - lo), n_tokens[lo:hi])[at]
+            n_known[lo:hi] += np.bincount(doc[(n > 0)[back]], minlength=hi - lo)
+            base[lo:hi] += np.bincount(doc, np.log10((n + 0.1) / floor)[back], hi - lo)
+    return n_tokens, n_known, base
+
+
 def score_documents(docs: DataFrame, trained: Trained) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of every row."""
-    order, (gram_parts, word_parts) = trained.order, trained.parts
-    floor = trained.tokens + 0.1 * (trained.distinct + 1)
 
     def score(batches):
         try:
@@ -311,28 +364,11 @@ def score_documents(docs: DataFrame, trained: Trained) -> DataFrame:
     def scored(batches):
         cache = WordCache(word_hash)
         # Parts are loaded once a chunk, so there is more in a chunk where there are more parts.
-        size = min(MOST_CHUNK, CHUNK_BYTES * (gram_parts + word_parts - 1))
+        size = min(MOST_CHUNK, CHUNK_BYTES * (sum(trained.parts) - 1))
         for bodies, ids in _chunks(batches, ("body", "doc_id"), size):
-            runs, starts = byte_runs(bodies, order)
-            cost = np.zeros(len(runs))
-            place = (runs >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.int64) % gram_parts
-            for part in range(gram_parts):
-                at = slice(None) if gram_parts == 1 else np.flatnonzero(place == part)
-                cost[at] = _part(trained, GRAMS, part).log10(runs[at])
-            words, firsts = _word_ids(bodies, cache)
-            distinct, back = np.unique(words, return_inverse=True)
-            n = np.zeros(len(distinct), np.int64)
-            for part in range(word_parts):
-                at = np.flatnonzero((distinct >> np.uint64(40)) % np.uint64(word_parts) == part)
-                keys, known = _part(trained, WORDS, part)
-                where, hit = find(keys, distinct[at].view(np.int64))
-                n[at[hit]] = known[where[hit]]
-            base = np.log10((n + 0.1) / floor)[back]
-            size = np.diff(np.append(firsts, len(words)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(size), pa.array(np.add.reduceat((n > 0)[back].astype(np.int64), firsts)), pa.array(np.add.reduceat(base, firsts)), pa.array(np.add.reduceat(cost, starts))],
-                ["doc_id", "n_tokens", "n_known", "base_score", "score"],
-            )
+            cost = _byte_costs(bodies, trained)
+            n_tokens, n_known, base = _word_costs(bodies, trained, cache)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, (n_tokens, n_known, base, cost))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
     return texts.mapInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")

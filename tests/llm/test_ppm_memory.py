@@ -1,6 +1,7 @@
 """A model part takes few bytes a run, and a worker holds none when its task is over."""
 
 import sys
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -41,3 +42,27 @@ def test_nothing_is_held_after_a_task(spark, monkeypatch):
     assert next(rows).num_rows == 2 and ppm._held
     assert list(rows) == [] and not ppm._held
     assert sys.getsizeof(ppm._held) < 1000
+
+
+def test_a_chunk_takes_few_bytes_a_byte(monkeypatch):
+    rng = np.random.default_rng(5)
+    words = ["".join(map(chr, w)).encode() for w in rng.integers(97, 123, (3000, 6))]
+    bodies = [b" ".join(words[i] for i in rng.integers(0, 3000, 1500)) for _ in range(800)]
+    models = [_model(ppm.byte_runs(bodies[:20], 5)[0])] * 8
+    counts = np.sort(np.array([ppm.word_hash(w) for w in words], np.uint64).view(np.int64)), np.ones(3000, np.int64)
+    monkeypatch.setattr(ppm, "_part", lambda trained, kind, part: counts if kind == ppm.WORDS else models[part])
+
+    class Frame:  # takes the task's function, to run it here
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _schema):
+            return run
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(len(bodies)), "body": bodies})
+    tracemalloc.start()
+    got = list(ppm.score_documents(Frame(), ppm.Trained(5, "", (8, 1), 100, 3000))(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in got) == 800 and sum(map(len, bodies)) > 8 << 20
+    assert peak < 8 * (8 << 20) + (48 << 20)
