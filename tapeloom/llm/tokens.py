@@ -33,7 +33,7 @@ from tapeloom.llm.wavelet import WaveletMatrix
 
 END_ID = 2
 SHARD_TOKENS = 1 << 22
-PIECES = 400_000
+PIECES = 200_000
 #: ASCII punctuation that the pre-tokenizer keeps together behind a word; an apostrophe may begin a contraction.
 TAIL = string.punctuation.replace("'", "")
 PROBE = ("Some", "wörds,", "12", "it's", "|", "end.")
@@ -79,6 +79,10 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
+    def forget(self) -> None:
+        """Gives the pieces' memory back: Spark keeps a task's worker for later stages, and idle ones would hold them."""
+        self.pieces, self.tails = Pieces(self.piece), {}
+
     def piece(self, piece: str) -> bytes:
         """Words of Latin letters, with punctuation behind them or not, go to the library's model right away, in the form that its
         normaliser and pre-tokenizer would give them; other pieces go through the whole tokenizer."""
@@ -169,21 +173,24 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, shards: int, sha
             return row
 
         size = 0
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                piece = b.slice(at, 256)
-                texts = piece.column("text").to_pylist()
-                for doc_id, text in zip(piece.column("doc_id").to_pylist(), texts):
-                    coded = enc.encode(text) + end
-                    buffer.append(coded)
-                    lengths.append(len(coded) // 4)
-                    ids.append(doc_id)
-                    size += lengths[-1]
-                    if size >= shard_tokens:
-                        yield flush()
-                        size = 0
-        if ids:
-            yield flush()
+        try:
+            for b in batches:
+                for at in range(0, b.num_rows, 256):
+                    piece = b.slice(at, 256)
+                    texts = piece.column("text").to_pylist()
+                    for doc_id, text in zip(piece.column("doc_id").to_pylist(), texts):
+                        coded = enc.encode(text) + end
+                        buffer.append(coded)
+                        lengths.append(len(coded) // 4)
+                        ids.append(doc_id)
+                        size += lengths[-1]
+                        if size >= shard_tokens:
+                            yield flush()
+                            size = 0
+            if ids:
+                yield flush()
+        finally:
+            enc.forget()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(write, "part int, nth int, file string, n_docs long, n_tokens long")
