@@ -1,7 +1,7 @@
 """Orders in their queues, and books checked at regular points.
 
-effects() says what every event does to the one order that it touches, by the strict rules of the book and in one bounded walk; all else
-here is sums over effects, so nothing else is sequential.
+effects() says what every event does to the one order that it touches, by the strict rules of the book and in one bounded walk, which
+queue_position() takes too; checked books are sums over effects.
 """
 
 from __future__ import annotations
@@ -69,27 +69,76 @@ def effects(events: DataFrame) -> DataFrame:
     return walk(events.select(*NEEDED, *point), ["venue", "symbol"], ["arrival"], OrderWalk, _CHECKED if point else EFFECT)
 
 
+class LevelQueue:
+    """Orders of one level by age, and sums of orders and lots before each in Fenwick trees, made anew when most places are empty."""
+
+    def __init__(self):
+        self.left, self.place, self.orders, self.lots = {}, {}, [0], [0]
+
+    def enter(self, age: int, lots: int) -> None:
+        if len(self.orders) > 2 * len(self.left) + 64:
+            live = self.left
+            self.__init__()
+            for a, n in live.items():
+                self._append(a, n)
+        self._append(age, lots)
+
+    def _append(self, age: int, lots: int) -> None:
+        at, orders, below = len(self.orders), 1, 1
+        self.left[age], self.place[age] = lots, at
+        while below < at & -at:
+            orders, lots, below = orders + self.orders[at - below], lots + self.lots[at - below], below << 1
+        self.orders.append(orders)
+        self.lots.append(lots)
+
+    def ahead(self, age: int) -> tuple[int, int]:
+        at, orders, lots = self.place[age] - 1, 0, 0
+        while at:
+            orders, lots, at = orders + self.orders[at], lots + self.lots[at], at & at - 1
+        return orders, lots
+
+    def reduce(self, age: int, cut: int, gone: bool) -> None:
+        at = self.place[age]
+        self.left[age] -= cut
+        if gone:
+            del self.left[age], self.place[age]
+        while at < len(self.orders):
+            self.orders[at] -= gone
+            self.lots[at] -= cut
+            at += at & -at
+
+
+class QueueWalk(OrderWalk):
+    """Effects with what stands before their orders; levels without orders are dropped, so memory is bounded by the orders in them."""
+
+    def __init__(self):
+        super().__init__()
+        self.levels = {}
+
+    def feed(self, rows: pa.RecordBatch) -> pa.RecordBatch:
+        found, out = super().feed(rows), []
+        for age, side, price, delta, entered, gone in zip(*(found.column(c).to_pylist() for c in ("age", "side", "price", "delta", "entered", "gone"))):
+            queue = self.levels.get((side, price))
+            if queue is None:
+                queue = self.levels[side, price] = LevelQueue()
+            if entered:
+                queue.enter(age, delta)
+            out.append(queue.ahead(age))
+            if not entered:
+                queue.reduce(age, -delta, gone)
+                if not queue.left:
+                    del self.levels[side, price]
+        ahead = zip(*out) if out else ([], [])
+        return pa.RecordBatch.from_arrays([*found.columns, *(pa.array(c, pa.int64()) for c in ahead)], [*found.schema.names, "orders_ahead", "lots_ahead"])
+
+
 def queue_position(events: DataFrame) -> DataFrame:
     """For every effect: how many orders and lots stand before the order in its level's queue after it.
 
-    An order stands behind those of its level that entered before it. What is before it is a sum over two orders, age and time, of what
-    earlier effects changed. Ages of a level are numbered; an effect of rank r and an asking order of rank q > r have one highest bit in
-    which they differ, where r has 0 and q has 1. So for each bit, the effects that agree in all higher bits are put in order of
-    time, those with 0 give and those with 1 ask: a running sum for each bit of the largest rank, and the answers are summed.
+    An order stands behind those of its level that entered before it. Each book's queues are kept by the walk that finds the effects, so nothing
+    is sorted or summed again and a task holds the orders in its book's levels.
     """
-    found = effects(events)
-    level = Window.partitionBy(*LEVEL)
-    rank = (F.dense_rank().over(level.orderBy("age")) - 1).cast("long")
-    ranked = found.withColumn("rank", rank)
-    bits = F.length(F.bin(F.max("rank").over(level)))  # of the largest rank
-    each = ranked.withColumn("bits", bits).withColumn("bit", F.explode(F.sequence(F.lit(0), F.col("bits") - 1)))
-    asks = F.expr("shiftright(rank, bit) & 1") == 1
-    lots = F.when(~asks, F.col("delta")).otherwise(0)
-    orders = F.when(~asks, F.col("entered").cast("long") - F.col("gone").cast("long")).otherwise(0)
-    upto = Window.partitionBy(*LEVEL, "bit", F.expr("shiftright(rank, bit + 1)")).orderBy("arrival", "step").rowsBetween(Window.unboundedPreceding, 0)
-    summed = each.select(*found.columns, asks.alias("asks"), F.sum(orders).over(upto).alias("orders"), F.sum(lots).over(upto).alias("lots"))
-    ahead = lambda c: F.coalesce(F.sum(F.when(F.col("asks"), F.col(c))), F.lit(0)).cast("long")
-    return summed.groupBy(*found.columns).agg(ahead("orders").alias("orders_ahead"), ahead("lots").alias("lots_ahead"))
+    return walk(events.select(*NEEDED), ["venue", "symbol"], ["arrival"], QueueWalk, f"{EFFECT}, orders_ahead long, lots_ahead long")
 
 
 # -- checkpoints --------------------------------------------------------------------------------------------------
