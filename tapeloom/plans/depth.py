@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tapeloom.operators import nbbo, queues, sequence
+from tapeloom.operators.book import NEEDED
 from tapeloom.plans.market import LEVELS_SQL, TOPS_SQL, tape_sql
+from tapeloom.shared import stored
 from tapeloom.sources import files
 from tapeloom.sources.adapter import TAPE_SQL, book_events
 
@@ -23,7 +25,9 @@ def order_queue_position(spark, d):
 
 def reconcile_checkpoints(spark, d):
     """Books of a tape that lost every 97th message of a venue, checked every 1000 events against the whole tape."""
-    points = queues.numbered(book_events(spark, d), EVERY)
+    # Numbering reads its rows three times and the checks read theirs six times.
+    ev = stored(book_events(spark, d).select(*NEEDED, "sequence"), "checked-tape")
+    points = stored(queues.numbered(ev, EVERY), "checked-points")
     return queues.checked(points, live=queues.snapshots(points.where("sequence % 97 <> 0")))
 
 
